@@ -26,8 +26,8 @@ def let(value: Column, body) -> Column:
 
 
 def sql_text(value: str) -> str:
-    """A string literal of Spark SQL."""
-    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    """A string literal of Spark SQL. `${` is spelled so that it is not taken for a variable."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("${", "$\\u007B")
     return "'" + escaped.replace("\n", "\\n").replace("\r", "\\r") + "'"
 
 

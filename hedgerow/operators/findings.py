@@ -12,12 +12,20 @@ from hedgerow.catalogue import noise
 from hedgerow.functions.numbering import first_per, number_rows
 from hedgerow.functions.text import contains_any
 
-FINDINGS_SCHEMA = T.StructType.fromDDL(
-    "finding_id string, cwe string, category string, name string, file string, line int, "
-    "snippet string, status string, severity string, confidence int, description string, "
-    "ts timestamp, endpoint string, parameter string, payload string, evidence string, "
-    "url string, technique string, remediation string, owasp string, risk_score int"
+_FIELDS = {
+    T.StringType(): (
+        "finding_id cwe category name file snippet status severity description endpoint "
+        "parameter payload evidence url technique remediation owasp"
+    ),
+    T.IntegerType(): "line confidence risk_score",
+    T.TimestampType(): "ts",
+}
+_ORDER = (
+    "finding_id cwe category name file line snippet status severity confidence description ts "
+    "endpoint parameter payload evidence url technique remediation owasp risk_score"
 )
+_TYPES = {name: kind for kind, names in _FIELDS.items() for name in names.split()}
+FINDINGS_SCHEMA = T.StructType([T.StructField(name, _TYPES[name]) for name in _ORDER.split()])
 
 
 def conform(findings: DataFrame) -> DataFrame:

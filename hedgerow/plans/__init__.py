@@ -1,0 +1 @@
+"""Whole scans and the reports over their findings."""

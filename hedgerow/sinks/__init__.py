@@ -1,0 +1 @@
+"""Writers for findings."""

@@ -1,0 +1 @@
+"""Readers: source trees, stored findings, expected literals."""

@@ -1,0 +1,5 @@
+"""Nothing here keeps state: file and response scans are per-row expressions.
+
+`operators.matchers.match_files` and `operators.extract.find_all` take a streaming DataFrame as they
+take a stored one (see `tests/test_streaming.py`). Reports and first hits need a finished run.
+"""
