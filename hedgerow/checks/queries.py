@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hedgerow.catalogue import web
 from hedgerow.catalogue.categories import CATEGORY_PATTERNS
 from hedgerow.checks import planted, sql
 from hedgerow.functions import risk, text, urls
@@ -443,15 +444,12 @@ def _(spark, sf):
     f"SELECT * FROM ({sql.mode_counts(mode, rules.mode_patterns(mode))})" for mode in rules.MODES
 ))
 def _(spark, sf):
-    files = planted.files(spark, sf)
-    modes = rules.mode_table(spark)
-    counts = None
-    for mode in rules.MODES:
-        found = extract.find_all_in_lines(files, "path", patterns=rules.mode_patterns(mode), script=True)
-        part = found.agg(F.count("*").alias("matches")).withColumn("mode", F.lit(mode))
-        counts = part if counts is None else counts.unionByName(part)
-    sizes = modes.groupBy("mode", "severity").agg(F.count("*").alias("patterns"))
-    return sizes.join(counts, "mode").select("mode", "severity", "patterns", "matches")
+    found = extract.mode_matches(planted.files(spark, sf), "path")
+    counts = found.groupBy("mode").agg(F.count("*").alias("matches"))
+    sizes = rules.mode_table(spark).groupBy("mode", "severity").agg(F.count("*").alias("patterns"))
+    return sizes.join(counts, "mode", "left").select(
+        "mode", "severity", "patterns", F.coalesce("matches", F.lit(0)).alias("matches")
+    )
 
 
 @check("r9_xss_rules", _rule_oracle([r for r in rules.stock_rules() if r.surface == "xss"]))
@@ -504,7 +502,7 @@ _PAGES = f"WITH {planted.PAGES_SQL}, {sql.PAGE_PARTS} "
 )
 def _(spark, sf):
     crawled = planted.pages(spark, sf)
-    endpoints = pages.site_endpoints(crawled)
+    endpoints = pages.distinct_endpoints(crawled)
     live = endpoints.filter(F.length("endpoint") % 2 == 0)
     reported = pages.script_endpoints(crawled).select(
         urls.site(F.col("url")).alias("site"), "endpoint"
@@ -665,7 +663,7 @@ def _(spark, sf):
 
 @check("w01_anchor_links", _PAGES + "SELECT DISTINCT page_id, link FROM links")
 def _(spark, sf):
-    return pages.distinct_links(planted.pages(spark, sf))
+    return pages.anchor_links(planted.pages(spark, sf)).select("page_id", "link")
 
 
 def _page_query(name: str, oracle: str, rows: Callable[[DataFrame], DataFrame]) -> None:
@@ -744,7 +742,7 @@ def _(spark, sf):
 _page_query(
     "w14_risky_parameters",
     f"SELECT DISTINCT page_id, key FROM (SELECT page_id, key FROM query_keys UNION ALL SELECT page_id, "
-    f"key FROM own_query_keys) WHERE key IN ({', '.join(planted.quote(p) for p in dict.fromkeys(pages.risky_parameters.__globals__['RISKY_PARAMETERS']))})",
+    f"key FROM own_query_keys) WHERE key IN ({', '.join(planted.quote(p) for p in dict.fromkeys(web.RISKY_PARAMETERS))})",
     pages.risky_query_parameters,
 )
 
@@ -1060,13 +1058,11 @@ def _(spark, sf):
     "k2_table",
     _FINDINGS + "SELECT file AS file_path, line AS line_num, category, severity, confidence, description, "
     "CAST(0 AS INTEGER) AS risk_score, row_number() OVER (ORDER BY file, line, category NULLS FIRST, name, "
-    "snippet, description) AS id FROM findings",
+    "snippet, severity NULLS FIRST, confidence, description) AS id FROM findings",
 )
 def _(spark, sf):
     name = f"security_findings_{uuid.uuid4().hex}"
-    # Events may agree in everything but their number, so the number joins the description.
-    rows = planted.findings(spark, sf)
-    exports.write_table(rows, name, fresh_path(spark, "table"))
+    exports.write_table(planted.findings(spark, sf), name, fresh_path(spark, "table"))
     return spark.table(name).select(
         "file_path", "line_num", "category", "severity", "confidence", "description", "risk_score", "id"
     )

@@ -323,8 +323,8 @@ def _path(url: str) -> str:
 def _keys(url: str) -> str:
     query = f"regexp_extract({url}, '^[^?#]*\\?([^#]*)', 1)"
     return (
-        f"list_transform(list_filter(string_split({query}, '&'), p -> contains(p, '=')), "
-        "p -> string_split(p, '=')[1])"
+        f"list_transform(list_filter(string_split({query}, '&'), lambda p: contains(p, '=')), "
+        "lambda p: string_split(p, '=')[1])"
     )
 
 
@@ -342,7 +342,7 @@ def _attribute(tag: str, name: str, alias: str) -> str:
     raw = "regexp_replace(v, '^[\"''](.*)[\"'']$', '\\1', 's')"
     return (
         f"(SELECT page_id, url, CAST(generate_subscripts(vs, 1) - 1 AS INTEGER) AS pos, "
-        f"unnest(list_transform(vs, v -> {_unescape(raw)})) AS {alias} FROM (SELECT page_id, url, "
+        f"unnest(list_transform(vs, lambda v: {_unescape(raw)})) AS {alias} FROM (SELECT page_id, url, "
         f"regexp_extract_all(markup, {quote(pattern)}, 1, 'is') AS vs FROM marked))"
     )
 
@@ -369,7 +369,7 @@ def _script_endpoints() -> str:
         f"regexp_extract_all(body, {quote(p)}, {2 if p.startswith('axios') else 1}, 'i')"
         for p in SCRIPT_ENDPOINT_PATTERNS
     )
-    return f"list_filter({parts}, e -> starts_with(e, '/'))"
+    return f"list_filter({parts}, lambda e: starts_with(e, '/'))"
 
 
 _SCRIPT_TAG = r"<script\b([^>]*)>(.*?)</script\s*>"
@@ -381,12 +381,12 @@ PAGE_PARTS = (
     f"hrefs AS (SELECT * FROM {_attribute('a', 'href', 'href')}), "
     f"targets AS (SELECT page_id, url, {_resolved(strip('href'))} AS link FROM "
     "(SELECT *, rtrim(url, '/') AS base FROM hrefs)), "
-    f"links AS (SELECT * FROM targets WHERE {authority('link')} IN ('', {authority('url')})), "
+    f"links AS (SELECT DISTINCT page_id, url, link FROM targets WHERE {authority('link')} IN ('', {authority('url')})), "
     f"path_endpoints AS (SELECT page_id, url, {_path('link')} AS endpoint FROM links "
     f"WHERE {_path('link')} NOT IN ('', '/')), "
     "prefixes AS (SELECT page_id, url, string_split(" + _path("link") + ", '/') AS ps FROM links), "
     "prefix_endpoints AS (SELECT page_id, url, '/' || p AS endpoint FROM (SELECT page_id, url, "
-    "unnest(list_transform(range(1, len(ps) + 1), i -> array_to_string(ps[1:i], '/'))) AS p "
+    "unnest(list_transform(range(1, len(ps) + 1), lambda i: array_to_string(ps[1:i], '/'))) AS p "
     "FROM prefixes) WHERE p <> ''), "
     f"query_keys AS (SELECT page_id, url, unnest({_keys('link')}) AS key FROM links), "
     f"own_query_keys AS (SELECT page_id, url, unnest({_keys('url')}) AS key FROM planted), "
@@ -394,8 +394,9 @@ PAGE_PARTS = (
     f"srcs AS (SELECT page_id, url, pos, string_split(CASE WHEN starts_with(src, '//') THEN 'https:' "
     f"|| src ELSE {_resolved('src')} END, '?')[1] AS script FROM (SELECT *, rtrim(url, '/') AS base "
     f"FROM {_attribute('script', 'src', 'src')})), "
-    "script_files AS (SELECT page_id, url, script, min(pos) AS pos, "
-    f"{_SITE} AS site FROM srcs WHERE suffix(script, '.js') GROUP BY page_id, url, script), "
+    "script_files AS (SELECT page_id, url, script, CAST(row_number() OVER (PARTITION BY page_id ORDER BY "
+    f"min(pos)) - 1 AS INTEGER) AS pos, {_SITE} AS site FROM srcs WHERE suffix(script, '.js') "
+    "GROUP BY page_id, url, script), "
     "blocks AS (SELECT page_id, url, unnest(regexp_extract_all(html, "
     f"{quote(_SCRIPT_TAG)}, 0, 'is')) AS block FROM clean), "
     f"bodies AS (SELECT page_id, url, regexp_extract(block, {quote(_SCRIPT_TAG)}, 1, 'is') AS head, "

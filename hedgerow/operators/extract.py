@@ -12,6 +12,7 @@ from hedgerow.functions.patterns import can_match_sql, java_pattern
 from hedgerow.functions.text import fold_sql, let_sql, preview, sql_text
 from hedgerow.functions.urls import drop_trailing_slashes
 from hedgerow.operators.lines import candidate_lines
+from hedgerow.operators.rules import MODES, mode_patterns
 from hedgerow.operators.noise import (
     is_build_artifact, is_minified, is_short_line, is_skipped_script_line,
 )
@@ -88,6 +89,21 @@ def find_all_in_lines(
     return _exploded(lines, _find_all_sql("text", "folded", patterns), *keys, "line", "text")
 
 
+def mode_matches(texts: DataFrame, *keys: str, content: str = "content") -> DataFrame:
+    """(mode, keys, line, text, pat_ord, match_pos, value): script lines against all scan modes.
+
+    The patterns of all modes are matched in one pass; a match then belongs to each mode that has
+    its pattern, a lookup in a table of a few patterns.
+    """
+    patterns = mode_patterns("7")
+    found = find_all_in_lines(texts, *keys, patterns=patterns, content=content, script=True)
+    modes = [[m for m in MODES if p in mode_patterns(m)] for p in patterns]
+    lists = ", ".join("array(" + ", ".join(sql_text(m) for m in ms) + ")" for ms in modes)
+    return found.select(
+        F.explode(F.expr(f"element_at(array({lists}), pat_ord + 1)")).alias("mode"), *found.columns
+    )
+
+
 def endpoint_candidates(matches: DataFrame, *site: str, base_url: str) -> DataFrame:
     """Values that look like a path, once per site: the first by (line, pattern, match)."""
     paths = matches.filter(
@@ -95,7 +111,7 @@ def endpoint_candidates(matches: DataFrame, *site: str, base_url: str) -> DataFr
     ).withColumn("snippet", preview(F.col("text"), 200))
     first = first_per(
         paths, [*site, "value"], ["line", "pat_ord", "match_pos"],
-        list(dict.fromkeys(["line", "pat_ord", "snippet", base_url])),
+        [c for c in ("line", "pat_ord", "snippet", base_url) if c not in site],
     )
     full = F.concat(drop_trailing_slashes(F.col(base_url)), F.col("value"))
     return first.withColumn("full_url", full)

@@ -118,6 +118,6 @@ def signature_matches(requests: DataFrame, *keys: str, text: str) -> DataFrame:
     return rows.filter(F.col("_sig").isNotNull()).select(*keys, "_sig.*")
 
 
-def risky_parameters(keys: DataFrame, key: str = "key") -> DataFrame:
-    """Rows whose key is on the list of parameter names worth a review."""
-    return keys.filter(F.col(key).isin(*dict.fromkeys(RISKY_PARAMETERS)))
+def is_risky_parameter(key: Column) -> Column:
+    """Whether a parameter name is on the list of names worth a review."""
+    return key.isin(*dict.fromkeys(RISKY_PARAMETERS))

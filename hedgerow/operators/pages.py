@@ -5,8 +5,10 @@ quotes or bare; comments and script bodies hold no tags. Character references in
 are decoded for the names in `functions.text.ENTITIES`. A tag whose quoted attribute holds `>` is
 cut there, which a tolerant parser would not do.
 
-Everything up to the distinct endpoint is a narrow pass over a page. Results are kept as rows
-(site, kind, value): a site may hold a third of all pages, so its lists are never one array.
+What a page names is worked out inside the page's row, as arrays, and repeats within the page go
+there too: one narrow pass over the pages for all kinds. Only what has to be distinct across pages is
+shuffled, by the whole value. A site's lists stay rows (site, kind, value), as a site may hold a third
+of all pages.
 """
 
 from __future__ import annotations
@@ -17,10 +19,8 @@ from pyspark.sql import functions as F
 from hedgerow.functions import urls
 from hedgerow.functions.numbering import first_per
 from hedgerow.functions.patterns import can_match_sql, java_pattern
-from hedgerow.functions.text import (
-    fold_sql, let_sql, sql_text, strip, unescape_html,
-)
-from hedgerow.operators.lookups import risky_parameters
+from hedgerow.functions.text import fold_sql, let, let_sql, sql_text, strip, unescape_html
+from hedgerow.operators.lookups import is_risky_parameter
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _COMMENTS = r"(?s)<!--.*?-->"
@@ -49,56 +49,140 @@ def _attribute(tag: str, name: str) -> str:
     return rf"(?is)<{tag}(?=[\s/])[^>]*?\s{name}\s*=\s*{_VALUE}"
 
 
-def _without_comments(html: Column) -> Column:
-    return F.regexp_replace(html, _COMMENTS, "")
-
-
-def _markup(html: Column) -> Column:
-    """The page without comments and script bodies: only tags that are tags."""
-    return F.regexp_replace(_without_comments(html), _SCRIPT_BODIES, "$1")
-
-
 def _values(markup: Column, pattern: str) -> Column:
     """Attribute values in page order, without quotes and references."""
-    raw = F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))
     return F.transform(
-        raw,
+        F.regexp_extract_all(markup, F.lit(pattern), F.lit(1)),
         lambda v: unescape_html(
             F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
         ),
     )
 
 
-def _exploded(pages: DataFrame, values: Column, name: str) -> DataFrame:
-    rows = pages.select("page_id", "url", F.posexplode_outer(values).alias("pos", name))
-    return rows.filter(F.col("pos").isNotNull())
+def _parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, clean, markup): the page without comments, and without script bodies too."""
+    clean = pages.select(
+        "page_id", "url", F.regexp_replace("html", _COMMENTS, "").alias("clean")
+    )
+    return clean.withColumn("markup", F.regexp_replace("clean", _SCRIPT_BODIES, "$1"))
+
+
+def _exploded(rows: DataFrame, values: Column, name: str) -> DataFrame:
+    """(page_id, url, pos, name): one row per array element."""
+    spread = rows.select("page_id", "url", F.posexplode_outer(values).alias("pos", name))
+    return spread.filter(F.col("pos").isNotNull())
 
 
 def _base() -> Column:
     return urls.drop_trailing_slashes(F.col("url"))
 
 
-def anchor_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, link): absolute targets of anchors on the page's own domain.
+def _links(markup: Column) -> Column:
+    """Targets of the page's anchors on its own domain, each once.
 
-    Links without an authority, such as `mailto:`, count as own. A target may be there twice.
+    Links without an authority, such as `mailto:`, count as own. Whitespace around a link is
+    dropped, as browsers and URL parsers do.
     """
-    hrefs = _exploded(pages, _values(_markup(F.col("html")), _attribute("a", "href")), "href")
-    # Whitespace around a link is dropped, as browsers and URL parsers do.
-    links = hrefs.select(
-        "page_id", "url", "pos", urls.resolve(_base(), strip(F.col("href"))).alias("link")
+    resolved = F.transform(
+        F.array_distinct(_values(markup, _attribute("a", "href"))),
+        lambda href: let(strip(href), lambda link: urls.resolve(_base(), link)),
     )
-    return links.filter(urls.same_domain(F.col("link"), urls.authority(F.col("url"))))
+    own = F.filter(resolved, lambda link: urls.same_domain(link, urls.authority(F.col("url"))))
+    return F.array_distinct(own)
+
+
+def _scripts(markup: Column) -> Column:
+    """External scripts that end in `.js` once the query is cut, each once, in page order."""
+    def absolute(src):
+        return (
+            F.when(F.startswith(src, F.lit("//")), F.concat(F.lit("https:"), src))
+            .when(F.startswith(src, F.lit("http")), src)
+            .otherwise(urls.resolve(_base(), src))
+        )
+
+    cut = F.transform(
+        F.array_distinct(_values(markup, _attribute("script", "src"))),
+        lambda src: F.substring_index(absolute(src), "?", 1),
+    )
+    return F.array_distinct(F.filter(cut, lambda url: F.endswith(url, F.lit(".js"))))
 
 
-def distinct_links(pages: DataFrame) -> DataFrame:
-    """(page_id, link), each once per page."""
-    return anchor_links(pages).select("page_id", "link").distinct()
+def _inline_scripts(clean: Column) -> Column:
+    """Bodies of the page's scripts that have no source."""
+    blocks = F.transform(
+        F.regexp_extract_all(clean, F.lit(_SCRIPTS), F.lit(0)),
+        lambda block: F.struct(
+            F.regexp_extract(block, _SCRIPTS, 1).alias("head"),
+            F.regexp_extract(block, _SCRIPTS, 2).alias("body"),
+        ),
+    )
+    inline = F.filter(
+        blocks, lambda b: ~b["head"].rlike(r"(?i)(?:^|\s)src\s*=") & (b["body"] != "")
+    )
+    return F.transform(inline, lambda b: b["body"])
 
 
-def _link_parts(links: DataFrame, parts: Column) -> DataFrame:
-    rows = links.select("page_id", "url", F.explode_outer(parts).alias("endpoint"))
-    return rows.filter(F.col("endpoint").isNotNull())
+def _named_in_scripts_sql(bodies: str) -> str:
+    """SQL array of the endpoints that script bodies name and that start with `/`."""
+    parts = []
+    for pattern in SCRIPT_ENDPOINT_PATTERNS:
+        group = 2 if pattern.startswith("axios") else 1
+        found = f"regexp_extract_all(_c.t, {sql_text(java_pattern(pattern))}, {group})"
+        parts.append(f"CASE WHEN {can_match_sql('_c.f', [pattern])} THEN {found} END")
+    per_body = let_sql(
+        f"named_struct('t', _body, 'f', {fold_sql('_body')})",
+        "_c",
+        f"filter(flatten(filter(array({', '.join(parts)}), _p -> _p IS NOT NULL)), "
+        "_e -> startswith(_e, '/'))",
+    )
+    return f"flatten(transform({bodies}, _body -> {per_body}))"
+
+
+def _not_empty(values: Column) -> Column:
+    return F.filter(values, lambda v: v != "")
+
+
+def _data_urls(markup: Column) -> Column:
+    return _not_empty(_values(markup, _attribute(r"[a-z][a-z0-9-]*", "data-url")))
+
+
+def _form_actions(markup: Column) -> Column:
+    return _not_empty(_values(markup, _attribute("form", "action")))
+
+
+def _link_endpoints(link: Column) -> Column:
+    """Path, path prefixes and query keys of a link, as endpoints."""
+    path = urls.path(link)
+    keys = urls.query_keys(urls.query(link))
+    return F.concat(
+        F.filter(F.array(path), lambda p: ~p.isin("", "/")),
+        urls.path_prefixes(path),
+        F.transform(keys, lambda key: F.concat(F.lit("?"), key, F.lit("="))),
+    )
+
+
+def crawl_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, scripts, links, endpoints): everything a page names, as arrays."""
+    parts = _parsed(pages).select(
+        "page_id", "url",
+        _scripts(F.col("markup")).alias("scripts"),
+        _links(F.col("markup")).alias("links"),
+        _inline_scripts(F.col("clean")).alias("_bodies"),
+        F.concat(_data_urls(F.col("markup")), _form_actions(F.col("markup"))).alias("_named"),
+    )
+    endpoints = F.array_distinct(
+        F.concat(
+            F.flatten(F.transform("links", _link_endpoints)),
+            F.expr(_named_in_scripts_sql("_bodies")),
+            F.col("_named"),
+        )
+    )
+    return parts.select("page_id", "url", "scripts", "links", endpoints.alias("endpoints"))
+
+
+def anchor_links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, pos, link): anchors' absolute targets on the page's own domain, each once."""
+    return _exploded(_parsed(pages), _links(F.col("markup")), "link")
 
 
 def path_endpoints(links: DataFrame) -> DataFrame:
@@ -111,125 +195,59 @@ def path_endpoints(links: DataFrame) -> DataFrame:
 
 def prefix_endpoints(links: DataFrame) -> DataFrame:
     """Every prefix of each link's path, with one more slash in front."""
-    return _link_parts(links, urls.path_prefixes(urls.path(F.col("link"))))
+    prefixes = urls.path_prefixes(urls.path(F.col("link")))
+    return _exploded(links, prefixes, "endpoint").drop("pos")
 
 
 def query_parameters(links: DataFrame) -> DataFrame:
     """(page_id, url, key): query keys of each link."""
-    return _link_parts(links, urls.query_keys(urls.query(F.col("link")))).withColumnRenamed(
-        "endpoint", "key"
-    )
+    return _exploded(links, urls.query_keys(urls.query(F.col("link"))), "key").drop("pos")
 
 
 def query_endpoints(links: DataFrame) -> DataFrame:
     """`?key=` for each query key of each link."""
-    keys = query_parameters(links)
-    return keys.select(
-        "page_id", "url", F.concat(F.lit("?"), F.col("key"), F.lit("=")).alias("endpoint")
-    )
+    endpoint = F.concat(F.lit("?"), F.col("key"), F.lit("="))
+    return query_parameters(links).select("page_id", "url", endpoint.alias("endpoint"))
 
 
 def script_files(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, script): external scripts that end in `.js` once the query is cut; each
-    once per page, at its first place."""
-    sources = _exploded(
-        pages, _values(_markup(F.col("html")), _attribute("script", "src")), "src"
-    )
-    src = F.col("src")
-    absolute = (
-        F.when(F.startswith(src, F.lit("//")), F.concat(F.lit("https:"), src))
-        .when(F.startswith(src, F.lit("http")), src)
-        .otherwise(urls.resolve(_base(), src))
-    )
-    scripts = sources.withColumn("script", F.substring_index(absolute, "?", 1)).filter(
-        F.endswith(F.col("script"), F.lit(".js"))
-    )
-    return scripts.groupBy("page_id", "url", "script").agg(F.min("pos").alias("pos")).select(
-        "page_id", "url", "pos", "script"
-    )
+    """(page_id, url, pos, script): external scripts, each once per page."""
+    return _exploded(_parsed(pages), _scripts(F.col("markup")), "script")
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, script): bodies of scripts that have no source."""
-    html = _without_comments(F.col("html"))
-    blocks = F.regexp_extract_all(html, F.lit(_SCRIPTS), F.lit(0))
-    inline = F.filter(
-        F.transform(blocks, lambda b: F.struct(
-            F.regexp_extract(b, _SCRIPTS, 1).alias("head"),
-            F.regexp_extract(b, _SCRIPTS, 2).alias("body"),
-        )),
-        lambda b: ~b["head"].rlike(r"(?i)(?:^|\s)src\s*=") & (b["body"] != ""),
-    )
-    return _exploded(pages, F.transform(inline, lambda b: b["body"]), "script")
+    return _exploded(_parsed(pages), _inline_scripts(F.col("clean")), "script")
 
 
 def script_endpoints(pages: DataFrame) -> DataFrame:
     """(page_id, url, endpoint): endpoints named in inline scripts that start with `/`."""
-    parts = []
-    for pattern in SCRIPT_ENDPOINT_PATTERNS:
-        group = 2 if pattern.startswith("axios") else 1
-        found = f"regexp_extract_all(_c.t, {sql_text(java_pattern(pattern))}, {group})"
-        parts.append(f"CASE WHEN {can_match_sql('_c.f', [pattern])} THEN {found} END")
-    endpoints = let_sql(
-        f"named_struct('t', script, 'f', {fold_sql('script')})",
-        "_c",
-        f"filter(flatten(filter(array({', '.join(parts)}), _p -> _p IS NOT NULL)), "
-        "_e -> startswith(_e, '/'))",
+    bodies = _parsed(pages).select(
+        "page_id", "url", _inline_scripts(F.col("clean")).alias("_bodies")
     )
-    rows = inline_scripts(pages).select(
-        "page_id", "url", F.expr(f"explode_outer({endpoints}) AS endpoint")
-    )
-    return rows.filter(F.col("endpoint").isNotNull())
+    named = F.expr(_named_in_scripts_sql("_bodies"))
+    return _exploded(bodies, named, "endpoint").drop("pos")
 
 
 def data_url_endpoints(pages: DataFrame) -> DataFrame:
     """Non-empty `data-url` attributes of any tag."""
-    values = _values(_markup(F.col("html")), _attribute(r"[a-z][a-z0-9-]*", "data-url"))
-    rows = _exploded(pages, values, "endpoint").drop("pos")
-    return rows.filter(F.col("endpoint") != "")
+    return _exploded(_parsed(pages), _data_urls(F.col("markup")), "endpoint").drop("pos")
 
 
 def form_endpoints(pages: DataFrame) -> DataFrame:
     """Non-empty form actions."""
-    values = _values(_markup(F.col("html")), _attribute("form", "action"))
-    rows = _exploded(pages, values, "endpoint").drop("pos")
-    return rows.filter(F.col("endpoint") != "")
-
-
-def all_endpoints(pages: DataFrame) -> DataFrame:
-    """(page_id, url, endpoint) of every kind, duplicates kept."""
-    links = anchor_links(pages)
-    from_links = _link_parts(
-        links,
-        F.array_compact(
-            F.concat(
-                F.transform(
-                    F.array(urls.path(F.col("link"))),
-                    lambda p: F.when(~p.isin("", "/"), p),
-                ),
-                urls.path_prefixes(urls.path(F.col("link"))),
-                F.transform(
-                    urls.query_keys(urls.query(F.col("link"))),
-                    lambda k: F.concat(F.lit("?"), k, F.lit("=")),
-                ),
-            )
-        ),
-    )
-    return (
-        from_links.unionByName(script_endpoints(pages))
-        .unionByName(data_url_endpoints(pages))
-        .unionByName(form_endpoints(pages))
-    )
+    return _exploded(_parsed(pages), _form_actions(F.col("markup")), "endpoint").drop("pos")
+
+
+def distinct_endpoints(pages: DataFrame) -> DataFrame:
+    """(site, endpoint), each once."""
+    rows = _exploded(crawl_pages(pages), F.col("endpoints"), "endpoint")
+    return rows.select(urls.site(F.col("url")).alias("site"), "endpoint").distinct()
 
 
 def site_endpoints(pages: DataFrame) -> DataFrame:
     """(site, endpoint), each once, in order."""
-    return (
-        all_endpoints(pages)
-        .select(urls.site(F.col("url")).alias("site"), "endpoint")
-        .distinct()
-        .orderBy("site", "endpoint")
-    )
+    return distinct_endpoints(pages).orderBy("site", "endpoint")
 
 
 def crawl_rows(pages: DataFrame) -> DataFrame:
@@ -237,11 +255,16 @@ def crawl_rows(pages: DataFrame) -> DataFrame:
 
     The long form of a site's three lists; the key is the whole row, so no site is a hot key.
     """
-    site = urls.site(F.col("url")).alias("site")
-    scripts = script_files(pages).select(site, F.lit("js_file").alias("kind"), "script")
-    links = anchor_links(pages).select(site, F.lit("html_page").alias("kind"), "link")
-    endpoints = all_endpoints(pages).select(site, F.lit("endpoint").alias("kind"), "endpoint")
-    return scripts.union(links).union(endpoints).toDF("site", "kind", "value").distinct()
+    def tagged(name: str, kind: str) -> Column:
+        return F.transform(
+            name, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+        )
+
+    entries = F.concat(
+        tagged("scripts", "js_file"), tagged("links", "html_page"), tagged("endpoints", "endpoint")
+    )
+    rows = _exploded(crawl_pages(pages), entries, "entry")
+    return rows.select(urls.site(F.col("url")).alias("site"), "entry.*").distinct()
 
 
 def crawl_summary(pages: DataFrame) -> DataFrame:
@@ -277,7 +300,13 @@ def page_hosts(pages: DataFrame) -> DataFrame:
 
 
 def risky_query_parameters(pages: DataFrame) -> DataFrame:
-    """(page_id, key): query keys of the page's own URL and of its links that are on the list."""
-    own = pages.select("page_id", F.col("url").alias("link"), "url")
-    links = anchor_links(pages).select("page_id", "link", "url").unionByName(own)
-    return risky_parameters(query_parameters(links)).select("page_id", "key").distinct()
+    """(page_id, key): listed query keys of the page's own URL and of its links, each once."""
+    links = _parsed(pages).select("page_id", "url", _links(F.col("markup")).alias("_links"))
+    keys = F.flatten(
+        F.transform(
+            F.concat(F.array("url"), F.col("_links")),
+            lambda link: urls.query_keys(urls.query(link)),
+        )
+    )
+    risky = F.array_distinct(F.filter(keys, is_risky_parameter))
+    return _exploded(links, risky, "key").select("page_id", "key")

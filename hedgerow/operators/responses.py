@@ -91,6 +91,21 @@ def live_endpoints(responses: DataFrame, statuses=STRICT_STATUSES) -> DataFrame:
     return plain.select(urls.site(F.col("url")).alias("site"), "endpoint").distinct()
 
 
+def _live_kinds(responses: DataFrame) -> DataFrame:
+    """(site, endpoint, _live): strict and lax live endpoints in one pass."""
+    plain = responses.filter(
+        F.col("payload").isNull() & (F.col("method") == "GET")
+        & F.col("status").isin(*LAX_STATUSES)
+    )
+    strict = F.bool_or(F.col("status").isin(*STRICT_STATUSES))
+    kinds = F.when(strict, F.array(F.lit("lax"), F.lit("strict"))).otherwise(F.array(F.lit("lax")))
+    return (
+        plain.groupBy(urls.site(F.col("url")).alias("site"), "endpoint")
+        .agg(kinds.alias("_kinds"))
+        .select("site", "endpoint", F.explode("_kinds").alias("_live"))
+    )
+
+
 def percent_encode_sql(text: str) -> str:
     form = f"url_encode({text})"
     for was, now in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
@@ -457,11 +472,7 @@ def detect(responses: DataFrame, ids=None) -> DataFrame:
     wanted = {d.live for d in detectors} - {""}
     if wanted:
         # Hits are already down to one per scope; live endpoints are read without any body.
-        live = None
-        for kind, statuses in (("strict", STRICT_STATUSES), ("lax", LAX_STATUSES)):
-            if kind in wanted:
-                part = live_endpoints(responses, statuses).withColumn("_live", F.lit(kind))
-                live = part if live is None else live.unionByName(part)
+        live = _live_kinds(responses).filter(F.col("_live").isin(*wanted))
         found = found.withColumn("_needs", needs).alias("h")
         live = live.alias("l")
         found = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedgerow.functions import urls
+from hedgerow.functions.scratch import stage
 from hedgerow.functions.text import preview
 from hedgerow.operators.extract import (
     discovered_endpoints, endpoint_candidates, find_all_in_lines, page_secrets, site_secrets,
@@ -13,7 +14,7 @@ from hedgerow.operators.extract import (
 from hedgerow.operators.findings import stamped, union_findings
 from hedgerow.operators.lookups import owasp
 from hedgerow.operators.matchers import match_files
-from hedgerow.operators.pages import site_endpoints
+from hedgerow.operators.pages import distinct_endpoints
 from hedgerow.operators.responses import detect, live_endpoints
 from hedgerow.operators.rules import MODES, accept_rules, mode_patterns, stock_rules
 from hedgerow.sources.files import read_scanned
@@ -69,7 +70,7 @@ def discovery_findings(
 ) -> DataFrame:
     """Crawled endpoints of each site that are live and not reported yet."""
     found = discovered_endpoints(
-        site_endpoints(pages), reported.select("site", "endpoint").distinct(),
+        distinct_endpoints(pages), reported.select("site", "endpoint").distinct(),
         live_endpoints(responses), "site", "endpoint",
     )
     return found.select(
@@ -101,6 +102,9 @@ def scan_web(pages: DataFrame, responses: DataFrame, mode: str = "7") -> DataFra
     if mode not in MODES:
         raise ValueError(f"{mode!r} is not a scan mode")
     in_lines = endpoint_findings(pages, responses, mode)
+    if mode in ("1", "7"):
+        # Used twice below.
+        in_lines = stage(in_lines, "endpoints")
     parts = [in_lines]
     if mode in ("1", "7"):
         parts.append(discovery_findings(pages, responses, in_lines))

@@ -48,7 +48,8 @@ def findings_table(findings: DataFrame) -> DataFrame:
         "snippet", "status", "severity", "confidence", "description", "timestamp",
         F.coalesce("risk_score", F.lit(0)).alias("risk_score"),
     )
-    order = ("file_path", "line_num", "category", "name", "finding_id", "snippet", "description")
+    lead = ["file_path", "line_num", "category", "name", "finding_id"]
+    order = lead + [c for c in rows.columns if c not in lead]
     numbered = number_rows(rows, *order, column="id", start=1)
     return numbered.select("id", *rows.columns)
 
