@@ -19,10 +19,11 @@ from hedgerow.functions.numbering import number_rows
 from hedgerow.operators import extract, lines, matchers, pages, responses
 from hedgerow.plans import reports
 from hedgerow.sources import files as tree
+from hedgerow.sources.tables import read_table
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select(
+    return read_table(spark, f"{sf}/documents.parquet", "doc_id", "text").select(
         F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py")).alias("path"),
         F.col("text").alias("content"),
     )

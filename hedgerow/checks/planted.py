@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hedgerow.functions.text import sql_text
+from hedgerow.sources.tables import read_table
 
 # Lines of our own, about one per pattern, with plain and noise lines between them.
 SAMPLE_LINES = (
@@ -244,7 +245,8 @@ def _files_columns(spark: bool) -> list[str]:
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """(path, length, content, doc_id): every document as a file with eight lines of our own."""
-    return spark.read.parquet(f"{sf}/documents.parquet").selectExpr(*_files_columns(spark=True))
+    documents = read_table(spark, f"{sf}/documents.parquet", "doc_id", "text")
+    return documents.selectExpr(*_files_columns(spark=True))
 
 
 FILES_SQL = f"files AS (SELECT {', '.join(_files_columns(spark=False))} FROM documents)"
@@ -272,7 +274,8 @@ def _pages_columns(spark: bool) -> list[str]:
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """(page_id, url, html): every page with a tail of our own."""
-    return spark.read.parquet(f"{sf}/pages.parquet").selectExpr(*_pages_columns(spark=True))
+    stored = read_table(spark, f"{sf}/pages.parquet", "page_id", "url", "html")
+    return stored.selectExpr(*_pages_columns(spark=True))
 
 
 PAGES_SQL = f"planted AS (SELECT {', '.join(_pages_columns(spark=False))} FROM pages)"
@@ -394,9 +397,9 @@ _BODY = "e.body || ' ' || event_type || ' ' || props"
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as a captured response."""
-    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
-        "event_id", "user_id", "event_type", "props", f"{_exchange(spark=True)} AS e"
-    )
+    events = read_table(
+        spark, f"{sf}/events.parquet", "event_id", "user_id", "event_type", "props"
+    ).selectExpr("*", f"{_exchange(spark=True)} AS e")
     return events.selectExpr(
         "event_id AS resp_id", "e.endpoint", f"{_URL} AS url", "e.method", "e.parameter",
         "e.payload", "e.payload_ord", f"{_STATUS} AS status",

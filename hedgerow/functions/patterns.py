@@ -101,29 +101,51 @@ def _has_any(folded: str, words) -> list[str]:
 _RARE = "`$@*+{}[]<>=\\_:()/\"-"
 
 
-def can_match_sql(folded: str, patterns) -> str:
-    """SQL condition on the folded text that holds whenever any of the patterns could match.
-
-    First a character test: most patterns need a character that prose does not have, and one class
-    finds any of those. Then one regex over the longest literal run of every pattern.
-    """
-    rare, plain, words = set(), set(), set()
+def _longest_runs(patterns) -> set[str] | None:
+    """The longest literal run of each pattern; None if a pattern has none."""
+    words = set()
     for pattern in dict.fromkeys(patterns):
         runs = literal_runs(pattern)[0]
         if not runs:
-            return "true"
+            return None
         words.add(runs[0])
+    return words
+
+
+def quick_match_sql(folded: str, patterns) -> str:
+    """SQL condition on folded text, cheap on running text, that holds whenever any of the patterns
+    could match.
+
+    Most patterns need a character that prose does not have, and one class finds any of those; the
+    others are looked for by their longest literal run.
+    """
+    if _longest_runs(patterns) is None:
+        return "true"
+    rare, plain = set(), set()
+    for pattern in dict.fromkeys(patterns):
+        runs = literal_runs(pattern)[0]
         held = [c for c in _RARE if any(c in run for run in runs)]
         rare.update(held[:1])
         if not held:
             plain.add(runs[0])
-    if not words:
-        return "false"
-    quick = [f"contains({folded}, {sql_text(word)})" for word in sorted(_shortest(plain))]
+    tests = [f"contains({folded}, {sql_text(word)})" for word in sorted(_shortest(plain))]
     if rare:
         kind = "[" + "".join(re.escape(c) for c in _RARE if c in rare) + "]"
-        quick.insert(0, f"{folded} RLIKE {sql_text(kind)}")
-    return f"(({' OR '.join(quick)}) AND ({' OR '.join(_has_any(folded, words))}))"
+        tests.insert(0, f"{folded} RLIKE {sql_text(kind)}")
+    return f"({' OR '.join(tests or ['false'])})"
+
+
+def can_match_sql(folded: str, patterns) -> str:
+    """SQL condition on the folded text that holds whenever any of the patterns could match.
+
+    The quick test first, then one regex over the longest literal run of every pattern.
+    """
+    words = _longest_runs(patterns)
+    if words is None:
+        return "true"
+    if not words:
+        return "false"
+    return f"({quick_match_sql(folded, patterns)} AND ({' OR '.join(_has_any(folded, words))}))"
 
 
 def matches_sql(text: str, folded: str, pattern: str) -> str:

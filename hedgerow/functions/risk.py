@@ -40,17 +40,34 @@ def _choose(tests, default):
     return chosen.otherwise(default)
 
 
-def risk(category: Column) -> Column:
-    """(severity, confidence) of a category: exact key, else the first key that holds the
-    category or is held by it without regard to case, else the default."""
-    pair = lambda r: F.struct(F.lit(r[0]).alias("severity"), F.lit(r[1]).alias("confidence"))
+def _risk_place(category: Column) -> Column:
+    """Place of the category's entry in the risk table, from 1; one past its end for the default.
+
+    The exact key, else the first key that holds the category or is held by it, in any case.
+    """
+    keys = F.array(*(F.lit(key) for key in CATEGORY_RISK))
     low = F.lower(category)
-    exact = [(category == key, pair(r)) for key, r in CATEGORY_RISK.items()]
-    near = [
-        (F.contains(low, F.lit(key.lower())) | F.contains(F.lit(key.lower()), low), pair(r))
-        for key, r in CATEGORY_RISK.items()
-    ]
-    return _choose(exact + near, pair(DEFAULT_RISK))
+    near = _choose(
+        [
+            (F.contains(low, F.lit(key.lower())) | F.contains(F.lit(key.lower()), low), F.lit(i))
+            for i, key in enumerate(CATEGORY_RISK, 1)
+        ],
+        F.lit(len(CATEGORY_RISK) + 1),
+    )
+    exact = F.array_position(keys, category).cast("int")
+    return F.when(exact > 0, exact).otherwise(near)
+
+
+def risk(category: Column) -> Column:
+    """(severity, confidence) of a category."""
+    table = [*CATEGORY_RISK.values(), DEFAULT_RISK]
+    place = _risk_place(category)
+    severities = F.array(*(F.lit(severity) for severity, _ in table))
+    confidences = F.array(*(F.lit(confidence) for _, confidence in table))
+    return F.struct(
+        F.element_at(severities, place).alias("severity"),
+        F.element_at(confidences, place).alias("confidence"),
+    )
 
 
 def risk_score(severity: Column, confidence: Column) -> Column:

@@ -152,11 +152,13 @@ class Detector:
     id: str
     shape: str  # xss, framework or probe: which fields the finding has
     category: str
-    where_sql: str
+    where_sql: str  # on top of `endpoints` and `method`
     name_sql: str
     description_sql: str
     severity: str
     confidence: int
+    endpoints: tuple[str, ...] = ()
+    method: str | None = None
     scope: tuple[str, ...] = ("endpoint",)
     live: str = ""  # "", strict or lax
     cwe: str | None = None
@@ -208,7 +210,6 @@ def _first_signature() -> str:
 
 
 _REFLECTED = reflected_sql()
-_GET, _POST = "method = 'GET'", "method = 'POST'"
 _SCRIPT = sql_text(QUICK_PAYLOADS[0])
 _JWT = f"regexp_extract(body, {sql_text(JWT_PATTERN)}, 0)"
 _SINK = let_sql(
@@ -219,192 +220,213 @@ _SINK = let_sql(
 DETECTORS: tuple[Detector, ...] = (
     _xss(
         "reflected",
-        f"{_GET} AND {_in('endpoint', TARGETED_ENDPOINTS)} AND "
         f"{_in('parameter', QUICK_PARAMETERS)} AND {_in('payload', QUICK_PAYLOADS)} "
         f"AND {_REFLECTED}",
         "Reflected XSS", 95, live="strict",
+        endpoints=TARGETED_ENDPOINTS, method="GET",
     ),
     _xss(
         "dom_sink",
-        f"endpoint = '/#' AND {_in('payload', FRAGMENT_PAYLOADS)} AND {_SINK}",
+        f"{_in('payload', FRAGMENT_PAYLOADS)} AND {_SINK}",
         "DOM-based XSS", 80, scope=("endpoint", "payload"), parameter_sql="'hash'",
+        endpoints=("/#",),
     ),
     _xss(
         "parameter",
-        f"{_GET} AND {_in('endpoint', TARGETED_ENDPOINTS)} AND "
         f"{_in('parameter', TARGETED_PARAMETERS[:5])} AND "
         f"{_in('payload', REQUEST_SIGNATURES['basic'][:3])} AND {_REFLECTED}",
         "Parameter XSS", 90, live="strict", scope=("endpoint", "parameter"),
+        endpoints=TARGETED_ENDPOINTS, method="GET",
     ),
     _xss(
         "login_reflection",
-        f"{_POST} AND endpoint = '/login' AND {_in('payload', LOGIN_PAYLOADS)} AND {_REFLECTED}",
+        f"{_in('payload', LOGIN_PAYLOADS)} AND {_REFLECTED}",
         "Stored XSS (Login)", 85, live="strict", parameter_sql="'username'",
+        endpoints=("/login",), method="POST",
     ),
     _framework(
         "search_reflection", "XSS",
-        f"{_GET} AND endpoint = '/search' AND {_in('payload', QUICK_PAYLOADS)} "
+        f"{_in('payload', QUICK_PAYLOADS)} "
         "AND contains(body, payload)",
         "'Reflected XSS'", "'XSS via search parameter'", "CRITICAL", 95, "CWE-79",
         "Sanitize user input, use proper encoding",
+        endpoints=("/search",), method="GET",
     ),
     _framework(
         "fragment_reflection", "XSS",
-        f"endpoint = '/#' AND payload = {sql_text(FRAGMENT_PAYLOADS[0])} "
+        f"payload = {sql_text(FRAGMENT_PAYLOADS[0])} "
         "AND contains(body, 'alert(1)')",
         "'DOM XSS'", "'DOM-based XSS via URL fragment'", "CRITICAL", 85, "CWE-79",
         "Avoid document.write(), use safe DOM methods", live="", evidence_sql="''",
+        endpoints=("/#",),
     ),
     _framework(
         "login_script", "XSS",
-        f"{_POST} AND endpoint = '/login' AND payload = {_SCRIPT} AND contains(body, {_SCRIPT})",
+        f"payload = {_SCRIPT} AND contains(body, {_SCRIPT})",
         "'Stored XSS (Login)'", "'XSS in login response message'", "CRITICAL", 90, "CWE-79",
         "HTML escape all user-provided data", evidence_sql="''",
+        endpoints=("/login",), method="POST",
     ),
     _framework(
         "database_error", "SQL Injection",
-        f"{_GET} AND parameter = 'id' AND {_in('endpoint', DATABASE_ENDPOINTS)} "
-        f"AND payload IS NOT NULL "
+        f"parameter = 'id' AND payload IS NOT NULL "
         f"AND {contains_any_sql('low', [s.lower() for s in DATABASE_SIGNATURES])}",
         "concat('SQL Injection in ', endpoint)",
         f"concat('SQL error: ', {_first_signature()})", "CRITICAL", 95, "CWE-89",
         "Use parameterized queries, prepared statements", scope=("endpoint", "payload"),
+        endpoints=DATABASE_ENDPOINTS, method="GET",
     ),
     _framework(
         "login_bypass", "SQL Injection",
-        f"{_GET} AND parameter = 'id' AND endpoint = '/login' AND payload IS NOT NULL "
+        f"parameter = 'id' AND payload IS NOT NULL "
         "AND contains(body, 'Logged in as:')",
         "'Auth Bypass via SQL Injection'", "concat('Login bypass with: ', payload)", "CRITICAL",
         100, "CWE-89", "Use parameterized queries for authentication",
+        endpoints=("/login",), method="GET",
     ),
     _framework(
         "template", "SSTI",
-        f"{_GET} AND endpoint = '/search' AND {_in('payload', TEMPLATE_PAYLOADS)} "
+        f"{_in('payload', TEMPLATE_PAYLOADS)} "
         f"AND {contains_any_sql('body', TEMPLATE_RESULTS)}",
         "'Server-Side Template Injection'",
         f"concat('Template injection with ', {_described('payload', TEMPLATE_PAYLOADS)})",
         "CRITICAL", 90, "CWE-94", "Avoid eval(), use safe template engines",
+        endpoints=("/search",), method="GET",
     ),
     _framework(
         "graphql", "GraphQL",
-        f"{_POST} AND endpoint = '/api/graphql' AND contains(body, 'password')",
+        "contains(body, 'password')",
         "'GraphQL Data Exposure'", "'Sensitive data exposed via GraphQL'", "HIGH", 90, "CWE-200",
         "Implement proper authorization checks",
+        endpoints=("/api/graphql",), method="POST",
     ),
     _framework(
         "command", "Command Injection",
-        f"{_GET} AND endpoint = '/api/webhook' AND {_in('payload', COMMAND_PAYLOADS)} "
+        f"{_in('payload', COMMAND_PAYLOADS)} "
         f"AND {contains_any_sql('low', COMMAND_OUTPUT)}",
         f"concat('Command Injection (', {_described('payload', COMMAND_PAYLOADS)}, ')')",
         "concat('Command execution with: ', payload)", "CRITICAL", 90, "CWE-78",
         "Never use user input in system commands",
+        endpoints=("/api/webhook",), method="GET",
     ),
     _framework(
         "open_redirect", "Open Redirect",
-        f"{_GET} AND parameter = 'redirect' AND {_in('endpoint', REDIRECT_ENDPOINTS)} AND "
+        f"parameter = 'redirect' AND "
         f"status IN ({', '.join(map(str, REDIRECT_STATUSES))}) AND "
         f"contains({_header('location')}, '{REDIRECT_MARKER}')",
         "'Open Redirect'", "'Redirects to attacker.com'", "MEDIUM", 90, "CWE-601",
         "Validate redirect URLs against whitelist", evidence_sql="''",
+        endpoints=REDIRECT_ENDPOINTS, method="GET",
     ),
     _framework(
         "internal_fetch", "SSRF",
-        f"{_GET} AND parameter = 'url' AND endpoint = '/api/users' AND payload IS NOT NULL "
+        f"parameter = 'url' AND payload IS NOT NULL "
         f"AND status = 200 AND length(body) > {MIN_FETCH_CHARS}",
         "'Server-Side Request Forgery'", "concat('SSRF to internal resource: ', payload)", "HIGH",
         85, "CWE-918", "Validate and sanitize URLs, use allowlist",
+        endpoints=("/api/users",), method="GET",
     ),
     _framework(
         "file_read", "Path Traversal",
-        f"{_GET} AND parameter = 'file' AND endpoint = '/download' AND payload IS NOT NULL "
+        f"parameter = 'file' AND payload IS NOT NULL "
         f"AND {contains_any_sql('body', FILE_CONTENTS)}",
         "'Path Traversal'", "concat('File access: ', payload)", "HIGH", 90, "CWE-22",
         "Sanitize file paths, use allowlist",
+        endpoints=("/download",), method="GET",
     ),
     _framework(
         "object_reference", "IDOR",
-        f"{_GET} AND parameter = 'id' AND {_in('endpoint', OBJECT_ENDPOINTS)} "
-        f"AND payload IS NOT NULL AND status = 200 AND {contains_any_sql('low', OBJECT_WORDS)}",
+        f"parameter = 'id' AND payload IS NOT NULL AND status = 200 AND {contains_any_sql('low', OBJECT_WORDS)}",
         "concat('IDOR in ', endpoint)", "concat('Access to resource ID: ', payload)", "HIGH", 85,
         "CWE-639", "Implement proper authorization checks",
+        endpoints=OBJECT_ENDPOINTS, method="GET",
     ),
     _framework(
         "upload_accepted", "File Upload",
-        f"{_POST} AND endpoint = '/upload' AND payload IS NOT NULL "
+        f"payload IS NOT NULL "
         f"AND {contains_any_sql('low', UPLOAD_WORDS)}",
         "'Unrestricted File Upload'", "concat('Uploaded executable file: ', payload)", "HIGH", 85,
         "CWE-434", "Validate file types, use secure storage", evidence_sql="''",
+        endpoints=("/upload",), method="POST",
     ),
     _framework(
         "cors", "CORS Misconfiguration",
-        f"method = 'OPTIONS' AND {_in('endpoint', CORS_ENDPOINTS)} "
-        f"AND {_header('access-control-allow-origin')} = '*'",
+        f"{_header('access-control-allow-origin')} = '*'",
         "'Wildcard CORS'", "concat('CORS allows any origin on ', endpoint)", "MEDIUM", 95,
         "CWE-942", "Restrict CORS to trusted origins", scope=(), payload_sql="'*'",
         evidence_sql="''",
         rank_sql=f"array_position(array({', '.join(map(sql_text, CORS_ENDPOINTS))}), endpoint)",
+        endpoints=CORS_ENDPOINTS, method="OPTIONS",
     ),
     _framework(
         "token", "JWT Weak Secret",
-        f"{_GET} AND endpoint = '/api/users' AND payload IS NULL AND {_JWT} <> ''",
+        f"payload IS NULL AND {_JWT} <> ''",
         "'JWT with Weak Secret'", f"concat('JWT token found: ', substring({_JWT}, 1, 20), '...')",
         "CRITICAL", 90, "CWE-312", "Use strong secrets, rotate regularly", live="",
         payload_sql=f"substring({_JWT}, 1, 50)", evidence_sql="''",
+        endpoints=("/api/users",), method="GET",
     ),
     _framework(
         "admin_panel", "No Authentication",
-        f"{_GET} AND endpoint = '/admin' AND payload IS NULL "
+        f"payload IS NULL "
         f"AND {contains_any_sql('body', ('Admin Panel', 'Dashboard'))}",
         "'Unprotected Admin Panel'", "'Admin panel accessible without authentication'",
         "CRITICAL", 100, "CWE-306", "Implement authentication and authorization",
         payload_sql="''",
+        endpoints=("/admin",), method="GET",
     ),
     _probe(
         "file_read_probe", "file",
-        f"{_GET} AND parameter = 'file' AND endpoint = '/download' AND payload IS NOT NULL "
+        f"parameter = 'file' AND payload IS NOT NULL "
         f"AND {contains_any_sql('body', FILE_CONTENTS)}",
         "'Path Traversal'", "concat('File access: ', payload)", "HIGH", 90,
+        endpoints=("/download",), method="GET",
     ),
     _probe(
         "upload_probe", "file",
-        f"{_POST} AND endpoint = '/upload' AND payload IS NOT NULL "
+        f"payload IS NOT NULL "
         f"AND {contains_any_sql('low', UPLOAD_WORDS)}",
         "'Unrestricted File Upload'", "'Uploaded PHP file successfully'", "HIGH", 85,
+        endpoints=("/upload",), method="POST",
     ),
     _probe(
         "sensitive_api", "api",
-        f"{_GET} AND {_in('endpoint', API_ENDPOINTS)} AND payload IS NULL AND status = 200 "
+        f"payload IS NULL AND status = 200 "
         f"AND {contains_any_sql('body', ('password', 'secret'))}",
         "concat('Sensitive Data Exposure in ', endpoint)", "'API exposes sensitive data'", "HIGH",
         85,
+        endpoints=API_ENDPOINTS, method="GET",
     ),
     _probe(
         "object_probe", "api",
-        f"{_GET} AND {_in('endpoint', OBJECT_PROBES)} AND payload IS NULL AND status = 200 "
+        f"payload IS NULL AND status = 200 "
         "AND contains(low, 'user')",
         "concat('IDOR in ', substring_index(endpoint, '/1', 1))",
         "'Access to user ID 1 without auth'", "HIGH", 80, live="strict",
         endpoint_sql="substring_index(endpoint, '/1', 1)",
+        endpoints=OBJECT_PROBES, method="GET",
     ),
     _probe(
         "cors_probe", "misconfig",
-        "method = 'OPTIONS' AND endpoint = '/api/users' "
-        f"AND {_header('access-control-allow-origin')} = '*'",
+        f"{_header('access-control-allow-origin')} = '*'",
         "'Wildcard CORS'", "'CORS allows any origin'", "MEDIUM", 95,
         evidence="'Access-Control-Allow-Origin: *'",
+        endpoints=("/api/users",), method="OPTIONS",
     ),
     _probe(
         "admin_probe", "misconfig",
-        f"{_GET} AND endpoint = '/admin' AND payload IS NULL AND status = 200 "
+        f"payload IS NULL AND status = 200 "
         f"AND {contains_any_sql('body', ('Admin', 'Dashboard'))}",
         "'Unprotected Admin Panel'", "'Admin panel accessible without auth'", "CRITICAL", 100,
+        endpoints=("/admin",), method="GET",
     ),
     _probe(
         "debug_mode", "misconfig",
-        f"{_GET} AND endpoint = '/' AND payload IS NULL AND contains(low, 'debug') "
+        f"payload IS NULL AND contains(low, 'debug') "
         "AND contains(low, 'true')",
         "'Debug Mode Enabled'", "'Debug mode is enabled in production'", "HIGH", 80,
         evidence="'Debug: True'",
+        endpoints=("/",), method="GET",
     ),
 )
 BY_ID = {d.id: d for d in DETECTORS}
@@ -419,8 +441,9 @@ def _hit_sql(i: int, d: Detector) -> str:
     def scoped(name: str) -> str:
         return f"coalesce({name}, '')" if name in d.scope else "''"
 
+    where = f"method = '{d.method}' AND {d.where_sql}" if d.method else d.where_sql
     return (
-        f"CASE WHEN {d.where_sql} THEN named_struct('ord', {i}, 'rank', int({d.rank_sql}), "
+        f"CASE WHEN {where} THEN named_struct('ord', {i}, 'rank', int({d.rank_sql}), "
         f"'scope_endpoint', {scoped('endpoint')}, 'scope_parameter', {scoped('parameter')}, "
         f"'scope_payload', {scoped('payload')}, 'endpoint', {d.endpoint_sql}, "
         f"'parameter', {d.parameter_sql}, 'name', {d.name_sql}, "
@@ -437,9 +460,17 @@ def hits(responses: DataFrame, detectors=DETECTORS) -> DataFrame:
         "parameter", "payload", F.coalesce("payload_ord", F.lit(0)).alias("payload_ord"),
         "status", "headers", "body", F.lower("body").alias("low"),
     )
-    entries = ", ".join(_hit_sql(i, d) for i, d in enumerate(detectors))
-    found = f"filter(array({entries}), _h -> _h IS NOT NULL)"
-    rows = prepared.select(
+    # A response is only tested by the detectors of its endpoint.
+    at: dict[str, list[str]] = {}
+    for i, d in enumerate(detectors):
+        for endpoint in d.endpoints:
+            at.setdefault(endpoint, []).append(_hit_sql(i, d))
+    cases = " ".join(
+        f"WHEN {sql_text(endpoint)} THEN array({', '.join(tests)})"
+        for endpoint, tests in at.items()
+    )
+    found = f"filter(CASE endpoint {cases} END, _h -> _h IS NOT NULL)"
+    rows = prepared.filter(F.col("endpoint").isin(*at)).select(
         "resp_id", "site", "url", "payload_ord", F.expr(f"explode_outer({found}) AS _hit")
     )
     return rows.filter(F.col("_hit").isNotNull()).select(
