@@ -64,7 +64,7 @@ def _(spark, sf):
     table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").option(
         "maxRecordsPerFile", 200
     ).text(root)
-    files = tree.read_tree(spark, root, extensions=(".txt",))
+    files = tree.read_tree(spark, root, extensions=(".txt",), hidden=False)
     rows = lines.numbered_lines(files, "path", newline_only=True).filter(F.col("text") != "")
     lang = F.regexp_extract("path", r"^lang=([^/]*)/", 1).alias("lang")
     return rows.groupBy(lang).agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hedgerow.functions.text import let
+
 # Category -> (severity, confidence), in lookup order, and the default.
 CATEGORY_RISK = {
     "APPLICATION": ("HIGH", 85),
@@ -33,57 +35,50 @@ DEFAULT_PRIORITY = 3
 SEVERITY_ORDER = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
-def _choose(tests, default):
-    chosen = None
-    for test, value in tests:
-        chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
-    return chosen.otherwise(default)
+def _lookup(value: Column, table: dict, default):
+    """Value of an exact key in a small fixed table."""
+    place = F.array_position(F.lit(list(table)), value).cast("int")
+    values = F.lit([default, *table.values()])
+    return F.element_at(values, F.coalesce(place, F.lit(0)) + 1)
 
 
 def _risk_place(category: Column) -> Column:
-    """Place of the category's entry in the risk table, from 1; one past its end for the default.
+    """Place of the category's entry in the risk table, from 1; 0 for the default.
 
     The exact key, else the first key that holds the category or is held by it, in any case.
     """
-    keys = F.array(*(F.lit(key) for key in CATEGORY_RISK))
-    low = F.lower(category)
-    near = _choose(
-        [
-            (F.contains(low, F.lit(key.lower())) | F.contains(F.lit(key.lower()), low), F.lit(i))
-            for i, key in enumerate(CATEGORY_RISK, 1)
-        ],
-        F.lit(len(CATEGORY_RISK) + 1),
+    exact = F.array_position(F.lit(list(CATEGORY_RISK)), category)
+    near = let(
+        F.lower(category),
+        lambda low: F.array_position(
+            F.transform(
+                F.lit([key.lower() for key in CATEGORY_RISK]),
+                lambda key: F.contains(low, key) | F.contains(key, low),
+            ),
+            F.lit(True),
+        ),
     )
-    exact = F.array_position(keys, category).cast("int")
-    return F.when(exact > 0, exact).otherwise(near)
+    return F.when(exact > 0, exact).otherwise(near).cast("int")
 
 
 def risk(category: Column) -> Column:
     """(severity, confidence) of a category."""
-    table = [*CATEGORY_RISK.values(), DEFAULT_RISK]
-    place = _risk_place(category)
-    severities = F.array(*(F.lit(severity) for severity, _ in table))
-    confidences = F.array(*(F.lit(confidence) for _, confidence in table))
+    table = [DEFAULT_RISK, *CATEGORY_RISK.values()]
+    place = _risk_place(category) + 1
     return F.struct(
-        F.element_at(severities, place).alias("severity"),
-        F.element_at(confidences, place).alias("confidence"),
+        F.element_at(F.lit([severity for severity, _ in table]), place).alias("severity"),
+        F.element_at(F.lit([confidence for _, confidence in table]), place).alias("confidence"),
     )
 
 
 def risk_score(severity: Column, confidence: Column) -> Column:
     """Weight of the severity times confidence in percent, truncated."""
-    weight = _choose(
-        [(F.upper(severity) == s, F.lit(w)) for s, w in SEVERITY_WEIGHT.items()],
-        F.lit(DEFAULT_WEIGHT),
-    )
+    weight = _lookup(F.upper(severity), SEVERITY_WEIGHT, DEFAULT_WEIGHT)
     return (weight * (confidence / F.lit(100.0))).cast("int")
 
 
 def severity_priority(severity: Column) -> Column:
-    return _choose(
-        [(F.upper(severity) == s, F.lit(p)) for s, p in SEVERITY_PRIORITY.items()],
-        F.lit(DEFAULT_PRIORITY),
-    )
+    return _lookup(F.upper(severity), SEVERITY_PRIORITY, DEFAULT_PRIORITY)
 
 
 def classify(findings: DataFrame) -> DataFrame:
@@ -103,8 +98,8 @@ def at_least(findings: DataFrame, minimum: str = "MEDIUM") -> DataFrame:
     if minimum.upper() not in SEVERITY_ORDER:
         raise ValueError(f"{minimum!r} is not a severity")
     level = F.upper(F.coalesce(F.col("severity"), F.lit("MEDIUM")))
-    rank = _choose(
-        [(level == s, F.lit(i)) for i, s in enumerate(SEVERITY_ORDER)],
-        F.raise_error(F.concat(level, F.lit(" is not a severity"))).cast("int"),
+    place = F.array_position(F.lit(list(SEVERITY_ORDER)), level)
+    rank = F.when(place > 0, place).otherwise(
+        F.raise_error(F.concat(level, F.lit(" is not a severity"))).cast("bigint")
     )
-    return findings.filter(rank >= SEVERITY_ORDER.index(minimum.upper()))
+    return findings.filter(rank > SEVERITY_ORDER.index(minimum.upper()))

@@ -77,7 +77,10 @@ def _normal_path(joined: Column) -> Column:
     text = F.array_join(F.when(ends_open, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
     has_dots = joined.rlike(r"(?:^|/)\.\.?(?:/|$)")
     resolved = F.when(has_dots, text).otherwise(joined)
-    return F.when(resolved == "", F.lit("/")).otherwise(resolved)
+    # Dropping the empty first segment loses the leading slash.
+    return F.when(F.startswith(resolved, F.lit("/")), resolved).otherwise(
+        F.concat(F.lit("/"), resolved)
+    )
 
 
 def resolve(base: Column, link: Column) -> Column:

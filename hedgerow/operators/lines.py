@@ -95,6 +95,8 @@ def with_context(lines: DataFrame, *keys: str, block: int = BLOCK_LINES) -> Data
     A text may hold any number of lines, so the window runs over blocks of lines: the few lines at
     a block's edge are also given to its neighbour, and used there as context only.
     """
+    if block < CONTEXT_BEFORE + CONTEXT_AFTER:
+        raise ValueError("a block must be at least as long as the context")
     home = F.floor((F.col("line") - 1) / block)
     before = F.floor((F.col("line") - 1 + CONTEXT_BEFORE) / block)
     after = F.floor((F.col("line") - 1 - CONTEXT_AFTER) / block)

@@ -40,10 +40,9 @@ PLATFORM_ADDRESSES = (
 
 def owasp(category: Column) -> Column:
     """OWASP entry of a category; exact names only."""
-    found = F.lit(UNKNOWN_OWASP)
-    for name, entry in OWASP.items():
-        found = F.when(category == name, F.lit(entry)).otherwise(found)
-    return found
+    place = F.array_position(F.lit(list(OWASP)), category).cast("int")
+    entries = F.lit([UNKNOWN_OWASP, *OWASP.values()])
+    return F.element_at(entries, F.coalesce(place, F.lit(0)) + 1)
 
 
 def platform_address(host: Column) -> Column:

@@ -147,7 +147,8 @@ def _described(column: str, names: dict[str, str]) -> str:
 class Detector:
     """One kind of evidence. Texts ending in `_sql` are SQL over the response's columns and `low`,
     the lower-case body. `scope` names the columns, besides the site, within which only the first
-    hit by (rank, payload_ord, resp_id) is kept."""
+    hit by (rank, payload_ord, resp_id) is kept; hits at endpoints that had to be live and were not
+    do not count."""
 
     id: str
     shape: str  # xss, framework or probe: which fields the finding has
@@ -444,7 +445,7 @@ def _hit_sql(i: int, d: Detector) -> str:
     where = f"method = '{d.method}' AND {d.where_sql}" if d.method else d.where_sql
     return (
         f"CASE WHEN {where} THEN named_struct('ord', {i}, 'rank', int({d.rank_sql}), "
-        f"'scope_endpoint', {scoped('endpoint')}, 'scope_parameter', {scoped('parameter')}, "
+        f"'scope_endpoint', endpoint, 'scope_parameter', {scoped('parameter')}, "
         f"'scope_payload', {scoped('payload')}, 'endpoint', {d.endpoint_sql}, "
         f"'parameter', {d.parameter_sql}, 'name', {d.name_sql}, "
         f"'description', {d.description_sql}, "
@@ -478,15 +479,15 @@ def hits(responses: DataFrame, detectors=DETECTORS) -> DataFrame:
     )
 
 
+_KEYS = ("ord", "site", "scope_endpoint", "scope_parameter", "scope_payload")
+_ORDER = ("rank", "payload_ord", "resp_id")
+_CARRY = ("url", "endpoint", "parameter", "name", "description", "payload", "evidence")
+
+
 def first_hits(found: DataFrame) -> DataFrame:
     """The first hit of each detector in each scope: what leaving a loop at a hit comes to."""
-    scope = ["ord", "site", "scope_endpoint", "scope_parameter", "scope_payload"]
-    carry = ["resp_id", "url", "endpoint", "parameter", "name", "description", "payload",
-             "evidence"]
-    first = F.min(F.struct("rank", "payload_ord", "resp_id", *carry[1:])).alias("_first")
-    return found.groupBy(*scope).agg(first).select(
-        "ord", "site", *(f"_first.{name}" for name in carry)
-    )
+    first = F.min(F.struct(*_ORDER, *_CARRY)).alias("_first")
+    return found.groupBy(*_KEYS).agg(first).select(*_KEYS, "_first.*")
 
 
 def detect(responses: DataFrame, ids=None) -> DataFrame:
@@ -517,6 +518,11 @@ def detect(responses: DataFrame, ids=None) -> DataFrame:
             .filter((F.col("h._needs") == "") | F.col("l._live").isNotNull())
             .select("h.*")
         )
+    if any("endpoint" not in d.scope for d in detectors):
+        # One finding per site: the first among its live endpoints, so only known now.
+        per_endpoint = of_detector(lambda d: int("endpoint" in d.scope)) == 1
+        scope = F.when(per_endpoint, F.col("scope_endpoint")).otherwise(F.lit(""))
+        found = first_hits(found.withColumn("scope_endpoint", scope))
     shape = of_detector(lambda d: d.shape)
     probe = shape == "probe"
     category = of_detector(lambda d: d.category)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.catalogue.noise import MAX_FILE_BYTES, SCAN_EXTENSIONS
+from hedgerow.catalogue.noise import MAX_FILE_BYTES, SCAN_EXTENSIONS, SKIP_DIRS
 from hedgerow.functions.text import decode_utf8
 from hedgerow.operators.noise import (
     fits_size_cap, has_content, has_scanned_extension, in_skipped_dir, is_noise_path, relative_path,
 )
+from hedgerow.sources.hidden import read_hidden
 
 
 def _any_case(extension: str) -> str:
@@ -17,20 +20,32 @@ def _any_case(extension: str) -> str:
 
 
 def read_tree(
-    spark: SparkSession, root: str, extensions=None, max_bytes: int | None = None
+    spark: SparkSession,
+    root: str,
+    extensions=None,
+    max_bytes: int | None = None,
+    hidden: bool = True,
+    skip_dirs=(),
 ) -> DataFrame:
     """(path, length, content) of every file below the root; the path is relative to it.
 
     Extensions narrow the listing and the size cap is pushed into the source, so what they leave
-    out is never opened.
+    out is never opened. Spark lists no names that start with `.` or `_`; those are read by a walk
+    of their own, unless `hidden` is false.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         glob = "{" + ",".join(_any_case(e) for e in extensions) + "}"
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root)
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
+    files = reader.load(root).select("path", "length", "content")
+    wanted = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    files = files.filter(wanted)
+    if hidden:
+        keep = wanted
+        if extensions:
+            ends = "|".join(re.escape(e) for e in extensions)
+            keep = keep & F.lower("path").rlike(f"(?:{ends})$")
+        files = files.unionByName(read_hidden(spark, root, keep, skip_dirs))
     return files.select(
         relative_path(F.col("path"), root).alias("path"),
         "length",
@@ -50,7 +65,9 @@ def scanned(files: DataFrame) -> DataFrame:
 
 def read_scanned(spark: SparkSession, root: str) -> DataFrame:
     """Files of a source tree that a scan looks into."""
-    return scanned(read_tree(spark, root, SCAN_EXTENSIONS, MAX_FILE_BYTES))
+    return scanned(
+        read_tree(spark, root, SCAN_EXTENSIONS, MAX_FILE_BYTES, skip_dirs=SKIP_DIRS)
+    )
 
 
 def scan_counts(files: DataFrame) -> DataFrame:

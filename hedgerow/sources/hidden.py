@@ -1,0 +1,87 @@
+"""Files that Spark's file sources never list: names and folders that start with `.` or `_`.
+
+Code holds many of them (`__init__.py`, `.github/workflows/ci.yml`). The tree is walked one level per
+job, every folder listed by some task, and the files are read in tasks too; the driver holds no
+paths.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hedgerow.functions.scratch import stage
+
+_ENTRY = "path string, is_dir boolean, hidden boolean, length long"
+_FILE = "path string, length long, content binary"
+# Deepest folder looked into.
+MAX_DEPTH = 64
+
+
+def _open(uri: str):
+    """File system and plain path of a URI, and what the URI has in front of that path."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        plain = "/" + uri.removeprefix("file:").lstrip("/")
+        return fs.LocalFileSystem(), plain, ""
+    system, plain = fs.FileSystem.from_uri(uri)
+    return system, plain, uri[: len(uri) - len(plain)] if uri.endswith(plain) else ""
+
+
+def _is_hidden(name: str) -> bool:
+    """Whether Spark's file sources leave the name out."""
+    if name.startswith("_"):
+        return "=" not in name and name not in ("_metadata", "_common_metadata")
+    return name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _list_folders(skip: frozenset[str]):
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder, hidden in zip(batch["path"], batch["hidden"]):
+                system, plain, head = _open(folder)
+                rows = []
+                for info in system.get_file_info(fs.FileSelector(plain)):
+                    is_dir = info.type == fs.FileType.Directory
+                    inside = bool(hidden) or _is_hidden(info.base_name)
+                    if (is_dir and info.base_name.lower() not in skip) or (not is_dir and inside):
+                        rows.append((head + info.path, is_dir, inside, info.size or 0))
+                yield pd.DataFrame(rows, columns=["path", "is_dir", "hidden", "length"])
+
+    return listed
+
+
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, length in zip(batch["path"], batch["length"]):
+            system, plain, _ = _open(path)
+            with system.open_input_stream(plain) as stream:
+                content = stream.read()
+            yield pd.DataFrame({"path": [path], "length": [length], "content": [content]})
+
+
+def read_hidden(
+    spark: SparkSession, root: str, keep=None, skip_dirs=()
+) -> DataFrame:
+    """(path, length, content) of the hidden files below the root for which `keep` holds, a
+    condition on path and length. Folders in `skip_dirs` are not entered."""
+    skip = frozenset(skip_dirs)
+    folders = spark.createDataFrame([(root.rstrip("/"), False)], "path string, hidden boolean")
+    files = None
+    for _ in range(MAX_DEPTH):
+        level = stage(folders.mapInPandas(_list_folders(skip), _ENTRY), "listing")
+        found = level.filter(~F.col("is_dir")).select("path", "length")
+        files = found if files is None else files.unionByName(found)
+        folders = level.filter("is_dir").select("path", "hidden")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition("path")
+    if keep is not None:
+        files = files.filter(keep)
+    return files.repartition("path").mapInPandas(_read_files, _FILE)
