@@ -531,14 +531,14 @@ def _(spark, sf):
     "j9_resolved_hosts",
     f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), r AS (SELECT host, '10.0.0.' || "
     "page_id % 250 AS captured FROM h WHERE page_id % 7 = 6 AND page_id % 2 = 0) "
-    f"SELECT page_id, host, coalesce({_PLATFORM}, captured) AS address FROM h LEFT JOIN r USING (host)",
+    f"SELECT DISTINCT host, coalesce({_PLATFORM}, captured) AS address FROM h LEFT JOIN r USING (host)",
 )
 def _(spark, sf):
     hosts = table(spark, sf, "pages").selectExpr("page_id", f"{_HOST} AS host")
     captured = hosts.filter("page_id % 7 = 6 AND page_id % 2 = 0").selectExpr(
         "host", "'10.0.0.' || page_id % 250 AS address"
     )
-    return lookups.resolve_hosts(hosts, captured).select("page_id", "host", "address")
+    return lookups.resolve_hosts(hosts, captured)
 
 
 # --- matchers -------------------------------------------------------------------------------------------

@@ -131,12 +131,12 @@ ENTITIES = (
 )
 
 
-def unescape_html(text: Column) -> Column:
-    """Character references back to characters; a text without `&` is passed through."""
+def unescape_html_sql(text: str) -> str:
+    """SQL value: character references back to characters; a text without `&` is passed through."""
     decoded = text
     for reference, character in ENTITIES:
-        decoded = F.replace(decoded, F.lit(reference), F.lit(character))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+        decoded = f"replace({decoded}, '{reference}', {sql_text(character)})"
+    return f"CASE WHEN contains({text}, '&') THEN {decoded} ELSE {text} END"
 
 
 def contains_any(text: Column, words) -> Column:

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hedgerow.functions.text import let
+from hedgerow.functions.text import let_sql, sql_text
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 _QUERY = r"^[^?#]*\?([^#]*)"
+_SITE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 
 
 def scheme(url: Column) -> Column:
@@ -45,7 +46,7 @@ def hostname(url: Column) -> Column:
 
 def site(url: Column) -> Column:
     """Scheme and authority: the unit one scan covers."""
-    return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    return F.regexp_extract(url, _SITE, 1)
 
 
 def is_web_url(url: Column) -> Column:
@@ -61,75 +62,93 @@ def drop_trailing_slashes(url: Column) -> Column:
     return F.rtrim(url, F.lit("/"))
 
 
-def _normal_path(joined: Column) -> Column:
+def _part_sql(url: str, pattern: str) -> str:
+    return f"regexp_extract({url}, {sql_text(pattern)}, 1)"
+
+
+def path_sql(url: str) -> str:
+    return f"regexp_replace({_part_sql(url, _PATH)}, ';[^/]*$', '')"
+
+
+def authority_sql(url: str) -> str:
+    return _part_sql(url, _AUTHORITY)
+
+
+def _normal_path_sql(joined: str) -> str:
     """`.` and `..` segments resolved; `..` above the root is dropped."""
-    def step(done, segment):
-        return (
-            F.when(segment == ".", done)
-            .when((segment == "..") & (F.size(done) > 0), F.slice(done, F.lit(1), F.size(done) - 1))
-            .when(segment == "..", done)
-            .otherwise(F.array_append(done, segment))
-        )
-
-    segments = F.split(joined, "/")
-    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-    ends_open = F.element_at(segments, -1).isin(".", "..")
-    text = F.array_join(F.when(ends_open, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
-    has_dots = joined.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    resolved = F.when(has_dots, text).otherwise(joined)
+    kept = (
+        "aggregate(_segments, CAST(array() AS ARRAY<STRING>), (_done, _s) -> CASE "
+        "WHEN _s = '.' THEN _done "
+        "WHEN _s = '..' THEN slice(_done, 1, greatest(size(_done) - 1, 0)) "
+        "ELSE array_append(_done, _s) END)"
+    )
+    resolved = let_sql(
+        f"split({joined}, '/')", "_segments",
+        f"array_join(CASE WHEN element_at(_segments, -1) IN ('.', '..') "
+        f"THEN array_append({kept}, '') ELSE {kept} END, '/')",
+    )
+    dots = sql_text(r"(?:^|/)\.\.?(?:/|$)")
     # Dropping the empty first segment loses the leading slash.
-    return F.when(F.startswith(resolved, F.lit("/")), resolved).otherwise(
-        F.concat(F.lit("/"), resolved)
+    return let_sql(
+        f"CASE WHEN {joined} RLIKE {dots} THEN {resolved} ELSE {joined} END", "_p",
+        "CASE WHEN startswith(_p, '/') THEN _p ELSE concat('/', _p) END",
     )
 
 
-def resolve(base: Column, link: Column) -> Column:
-    """`urllib.parse.urljoin(base, link)` for an http(s) base."""
-    own_scheme = scheme(link)
-    origin = site(base)
-    base_path = path(base)
-    tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
-    link_path = F.regexp_extract(link, r"^([^?#]*)", 1)
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    merged = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), link_path)
-    merged = F.regexp_replace(merged, r"(?<=.)/{2,}(?=.)", "/")
-    base_without_fragment = F.regexp_extract(base, r"^([^#]*)", 1)
-    base_without_query = F.regexp_extract(base, r"^([^?#]*)", 1)
-    return (
-        F.when(link == "", base)
-        .when((own_scheme != "") & (F.lower(own_scheme) != F.lower(scheme(base))), link)
-        .when(F.startswith(F.lower(link), F.concat(F.lower(scheme(base)), F.lit("://"))), link)
-        .when(F.startswith(link, F.lit("//")), F.concat(scheme(base), F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(origin, _normal_path(link_path), tail))
-        .when(F.startswith(link, F.lit("?")), F.concat(base_without_query, link))
-        .when(F.startswith(link, F.lit("#")), F.concat(base_without_fragment, link))
-        .otherwise(F.concat(origin, _normal_path(merged), tail))
+def resolve_sql(base: str, link: str) -> str:
+    """SQL form of `urllib.parse.urljoin(base, link)` for an http(s) base."""
+    parts = (
+        f"named_struct('link', {link}, 'base', {base}, "
+        f"'scheme', lower({_part_sql(base, _SCHEME)}), 'own', lower({_part_sql(link, _SCHEME)}), "
+        f"'origin', {_part_sql(base, _SITE)}, 'path', regexp_extract({link}, '^([^?#]*)', 1), "
+        f"'tail', regexp_extract({link}, '^[^?#]*(.*)$', 1))"
+    )
+    folder = f"regexp_replace({path_sql('_u.base')}, '[^/]*$', '')"
+    merged = let_sql(
+        folder, "_f",
+        "regexp_replace(concat(CASE WHEN _f = '' THEN '/' ELSE _f END, _u.path), "
+        "'(?<=.)/{2,}(?=.)', '/')",
+    )
+    joined = let_sql(merged, "_m", _normal_path_sql("_m"))
+    return let_sql(
+        parts, "_u",
+        "CASE WHEN _u.link = '' THEN _u.base "
+        "WHEN _u.own <> '' AND _u.own <> _u.scheme THEN _u.link "
+        "WHEN startswith(lower(_u.link), concat(_u.scheme, '://')) THEN _u.link "
+        "WHEN startswith(_u.link, '//') THEN concat(_u.scheme, ':', _u.link) "
+        f"WHEN startswith(_u.link, '/') THEN concat(_u.origin, {_normal_path_sql('_u.path')}, _u.tail) "
+        "WHEN startswith(_u.link, '?') "
+        "THEN concat(regexp_extract(_u.base, '^([^?#]*)', 1), _u.link) "
+        "WHEN startswith(_u.link, '#') THEN concat(regexp_extract(_u.base, '^([^#]*)', 1), _u.link) "
+        f"ELSE concat(_u.origin, {joined}, _u.tail) END",
     )
 
 
-def path_prefixes(url_path: Column) -> Column:
-    """Every non-empty prefix of the path, each with one more `/` in front (`/a/b` gives `//a`)."""
-    return let(
-        F.split(url_path, "/"),
-        lambda parts: F.transform(
-            F.filter(
-                F.transform(
-                    F.sequence(F.lit(1), F.size(parts)),
-                    lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
-                ),
-                lambda prefix: prefix != "",
-            ),
-            lambda prefix: F.concat(F.lit("/"), prefix),
-        ),
-    )
+def resolve(base: str, link: str) -> Column:
+    """`urllib.parse.urljoin` of two columns, given as SQL."""
+    return F.expr(resolve_sql(base, link))
 
 
-def query_keys(url_query: Column) -> Column:
-    """Keys of `key=value` parts, in order."""
-    return F.transform(
-        F.filter(F.split(url_query, "&"), lambda part: F.contains(part, F.lit("="))),
-        lambda part: F.substring_index(part, "=", 1),
+def path_prefixes_sql(url_path: str) -> str:
+    prefixes = (
+        "transform(sequence(1, size(_s)), _n -> concat('/', array_join(slice(_s, 1, _n), '/')))"
     )
+    return let_sql(f"split({url_path}, '/')", "_s", f"filter({prefixes}, _p -> _p <> '/')")
+
+
+def path_prefixes(url_path: str) -> Column:
+    """Every non-empty prefix of the path, each with one more `/` in front (`/a/b` gives `//a`)."""
+    return F.expr(path_prefixes_sql(url_path))
+
+
+def query_keys_sql(url: str) -> str:
+    parts = f"filter(split({_part_sql(url, _QUERY)}, '&'), _q -> contains(_q, '='))"
+    return f"transform({parts}, _q -> substring_index(_q, '=', 1))"
+
+
+def query_keys(url: str) -> Column:
+    """Keys of the `key=value` parts of a URL's query, in order."""
+    return F.expr(query_keys_sql(url))
 
 
 def basename(url_or_path: Column) -> Column:

@@ -90,7 +90,9 @@ def candidate_lines(
 
 
 def with_context(lines: DataFrame, *keys: str, block: int = BLOCK_LINES) -> DataFrame:
-    """Add `sanitised` to stored lines (keys, line, folded): the same sliding frame as a window.
+    """Add `sanitised` to stored lines (keys, line, folded).
+
+    The frame goes by line number, so lines that cannot matter may be left out before.
 
     A text may hold any number of lines, so the window runs over blocks of lines: the few lines at
     a block's edge are also given to its neighbour, and used there as context only.
@@ -102,7 +104,7 @@ def with_context(lines: DataFrame, *keys: str, block: int = BLOCK_LINES) -> Data
     after = F.floor((F.col("line") - 1 - CONTEXT_AFTER) / block)
     blocks = F.array_distinct(F.array(home, before, after))
     spread = lines.withColumn("_block", F.explode(blocks)).withColumn("_home", home)
-    frame = Window.partitionBy(*keys, "_block").orderBy("line").rowsBetween(
+    frame = Window.partitionBy(*keys, "_block").orderBy("line").rangeBetween(
         -CONTEXT_BEFORE, CONTEXT_AFTER
     )
     flagged = spread.withColumn("sanitised", F.max(F.expr(sanitiser_sql("folded"))).over(frame))

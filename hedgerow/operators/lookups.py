@@ -57,14 +57,15 @@ def platform_hosts(hosts: DataFrame, host: str = "host") -> DataFrame:
 
 
 def resolve_hosts(hosts: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Hosts (host) with their captured address (host, address); null when there is none.
+    """(host, address): each host once, with its captured address, or null when there is none.
 
     The platform's address goes first, as it needs no resolution.
     """
-    joined = hosts.join(resolutions.withColumnRenamed("address", "_captured"), "host", "left")
-    return joined.withColumn(
-        "address", F.coalesce(platform_address(F.col("host")), F.col("_captured"))
-    ).drop("_captured")
+    captured = resolutions.select("host", F.col("address").alias("_captured"))
+    joined = hosts.select("host").distinct().join(captured, "host", "left")
+    return joined.select(
+        "host", F.coalesce(platform_address(F.col("host")), F.col("_captured")).alias("address")
+    )
 
 
 def literal_presence(files: DataFrame, expected: DataFrame) -> DataFrame:
@@ -117,6 +118,6 @@ def signature_matches(requests: DataFrame, *keys: str, text: str) -> DataFrame:
     return rows.filter(F.col("_sig").isNotNull()).select(*keys, "_sig.*")
 
 
-def is_risky_parameter(key: Column) -> Column:
-    """Whether a parameter name is on the list of names worth a review."""
-    return key.isin(*dict.fromkeys(RISKY_PARAMETERS))
+def risky_parameter_sql(key: str) -> str:
+    """SQL condition: the parameter name is on the list of names worth a review."""
+    return f"{key} IN ({', '.join(sql_text(name) for name in dict.fromkeys(RISKY_PARAMETERS))})"

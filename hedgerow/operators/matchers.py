@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.functions.patterns import any_matches_sql, first_label_sql, matches_sql
-from hedgerow.functions.text import fold, let_sql, preview, sql_text
+from hedgerow.functions.patterns import (
+    any_matches_sql, can_match_sql, first_label_sql, matches_sql,
+)
+from hedgerow.functions.text import fold_sql, let_sql, preview, sql_text
 from hedgerow.functions.urls import extension
-from hedgerow.operators.lines import candidate_lines, with_context
+from hedgerow.operators.lines import candidate_lines, sanitiser_sql, with_context
 from hedgerow.operators.noise import noise_line_sql
 from hedgerow.operators.rules import Rule, applies_sql, category_rules, stock_rules
 
@@ -116,9 +118,22 @@ def category_matches(files: DataFrame, categories=None, severity: str = "HIGH")
 
 
 def category_matches_of_lines(lines: DataFrame, categories=None) -> DataFrame:
-    """Category matcher over lines that are stored as rows (path, line, text)."""
-    folded = lines.withColumn("folded", fold(F.col("text")))
-    return match_lines(with_context(folded, "path"), category_rules(categories))
+    """Category matcher over lines that are stored as rows (path, line, text).
+
+    Only lines that could match and lines that hold a sanitiser word are shuffled.
+    """
+    rules = category_rules(categories)
+    patterns = [p for r in rules for p in r.patterns]
+    tested = lines.select(
+        "path", "line", "text",
+        F.expr(let_sql(
+            fold_sql("text"), "_f",
+            f"named_struct('folded', _f, 'candidate', {can_match_sql('_f', patterns)}, "
+            f"'sanitiser', {sanitiser_sql('_f')})",
+        )).alias("_t"),
+    ).filter("_t.candidate OR _t.sanitiser")
+    near = with_context(tested.select("path", "line", "text", "_t.folded", "_t.candidate"), "path")
+    return match_lines(near.filter("candidate").drop("candidate"), rules)
 
 
 def rule_trace(files: DataFrame, name_part: str, rules: list[Rule] | None = None) -> DataFrame:

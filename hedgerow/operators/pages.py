@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from hedgerow.functions import urls
 from hedgerow.functions.numbering import first_per
 from hedgerow.functions.patterns import can_match_sql, java_pattern
-from hedgerow.functions.text import fold_sql, let, let_sql, sql_text, strip, unescape_html
-from hedgerow.operators.lookups import is_risky_parameter
+from hedgerow.functions.text import fold_sql, let_sql, sql_text, strip_sql, unescape_html_sql
+from hedgerow.operators.lookups import risky_parameter_sql
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _COMMENTS = r"(?s)<!--.*?-->"
@@ -49,77 +49,74 @@ def _attribute(tag: str, name: str) -> str:
     return rf"(?is)<{tag}(?=[\s/])[^>]*?\s{name}\s*=\s*{_VALUE}"
 
 
-def _values(markup: Column, pattern: str) -> Column:
-    """Attribute values in page order, without quotes and references."""
-    return F.transform(
-        F.regexp_extract_all(markup, F.lit(pattern), F.lit(1)),
-        lambda v: unescape_html(
-            F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-        ),
+def _values(pattern: str, word: str) -> str:
+    """SQL array of attribute values in page order, without quotes and references.
+
+    `word` is a text every such tag holds; a page without it is not searched.
+    """
+    plain = let_sql(
+        "CASE WHEN _v RLIKE '^[\"\\']' THEN substring(_v, 2, length(_v) - 2) ELSE _v END", "_w",
+        unescape_html_sql("_w"),
+    )
+    found = f"transform(regexp_extract_all(markup, {sql_text(pattern)}, 1), _v -> {plain})"
+    return (
+        f"CASE WHEN contains(lower(markup), '{word}') THEN {found} "
+        "ELSE CAST(array() AS ARRAY<STRING>) END"
     )
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, clean, markup): the page without comments, and without script bodies too."""
+    """(page_id, url, base, clean, markup): the page without comments, and without script bodies
+    too."""
     clean = pages.select(
-        "page_id", "url", F.regexp_replace("html", _COMMENTS, "").alias("clean")
+        "page_id", "url", F.rtrim("url", F.lit("/")).alias("base"),
+        F.regexp_replace("html", _COMMENTS, "").alias("clean"),
     )
     return clean.withColumn("markup", F.regexp_replace("clean", _SCRIPT_BODIES, "$1"))
 
 
-def _exploded(rows: DataFrame, values: Column, name: str) -> DataFrame:
-    """(page_id, url, pos, name): one row per array element."""
-    spread = rows.select("page_id", "url", F.posexplode_outer(values).alias("pos", name))
+def _exploded(rows: DataFrame, values: str, name: str) -> DataFrame:
+    """(page_id, url, pos, name): one row per element of the SQL array."""
+    spread = rows.select("page_id", "url", F.expr(f"posexplode_outer({values}) AS (pos, {name})"))
     return spread.filter(F.col("pos").isNotNull())
 
 
-def _base() -> Column:
-    return urls.drop_trailing_slashes(F.col("url"))
-
-
-def _links(markup: Column) -> Column:
-    """Targets of the page's anchors on its own domain, each once.
+def _links() -> str:
+    """SQL array: targets of the page's anchors on its own domain, each once.
 
     Links without an authority, such as `mailto:`, count as own. Whitespace around a link is
     dropped, as browsers and URL parsers do.
     """
-    resolved = F.transform(
-        F.array_distinct(_values(markup, _attribute("a", "href"))),
-        lambda href: let(strip(href), lambda link: urls.resolve(_base(), link)),
-    )
-    own = F.filter(resolved, lambda link: urls.same_domain(link, urls.authority(F.col("url"))))
-    return F.array_distinct(own)
-
-
-def _scripts(markup: Column) -> Column:
-    """External scripts that end in `.js` once the query is cut, each once, in page order."""
-    def absolute(src):
-        return (
-            F.when(F.startswith(src, F.lit("//")), F.concat(F.lit("https:"), src))
-            .when(F.startswith(src, F.lit("http")), src)
-            .otherwise(urls.resolve(_base(), src))
-        )
-
-    cut = F.transform(
-        F.array_distinct(_values(markup, _attribute("script", "src"))),
-        lambda src: F.substring_index(absolute(src), "?", 1),
+    hrefs = f"array_distinct({_values(_attribute('a', 'href'), 'href')})"
+    resolved = f"transform({hrefs}, _h -> {urls.resolve_sql('base', strip_sql('_h'))})"
+    own = let_sql(
+        urls.authority_sql("_l"), "_a", f"_a = '' OR _a = {urls.authority_sql('url')}"
     )
-    return F.array_distinct(F.filter(cut, lambda url: F.endswith(url, F.lit(".js"))))
+    return f"array_distinct(filter({resolved}, _l -> {own}))"
 
 
-def _inline_scripts(clean: Column) -> Column:
-    """Bodies of the page's scripts that have no source."""
-    blocks = F.transform(
-        F.regexp_extract_all(clean, F.lit(_SCRIPTS), F.lit(0)),
-        lambda block: F.struct(
-            F.regexp_extract(block, _SCRIPTS, 1).alias("head"),
-            F.regexp_extract(block, _SCRIPTS, 2).alias("body"),
-        ),
+def _scripts() -> str:
+    """SQL array: external scripts that end in `.js` once the query is cut, each once, in page
+    order."""
+    sources = f"array_distinct({_values(_attribute('script', 'src'), '<script')})"
+    absolute = (
+        "CASE WHEN startswith(_s, '//') THEN concat('https:', _s) "
+        f"WHEN startswith(_s, 'http') THEN _s ELSE {urls.resolve_sql('base', '_s')} END"
     )
-    inline = F.filter(
-        blocks, lambda b: ~b["head"].rlike(r"(?i)(?:^|\s)src\s*=") & (b["body"] != "")
+    cut = f"transform({sources}, _s -> substring_index({absolute}, '?', 1))"
+    return f"array_distinct(filter({cut}, _j -> endswith(_j, '.js')))"
+
+
+def _inline_scripts() -> str:
+    """SQL array: bodies of the page's scripts that have no source."""
+    tag = sql_text(_SCRIPTS)
+    blocks = (
+        f"transform(regexp_extract_all(clean, {tag}, 0), _b -> named_struct("
+        f"'head', regexp_extract(_b, {tag}, 1), 'body', regexp_extract(_b, {tag}, 2)))"
     )
-    return F.transform(inline, lambda b: b["body"])
+    source = sql_text(r"(?i)(?:^|\s)src\s*=")
+    inline = f"filter({blocks}, _b -> NOT _b.head RLIKE {source} AND _b.body <> '')"
+    return f"transform({inline}, _b -> _b.body)"
 
 
 def _named_in_scripts_sql(bodies: str) -> str:
@@ -138,51 +135,40 @@ def _named_in_scripts_sql(bodies: str) -> str:
     return f"flatten(transform({bodies}, _body -> {per_body}))"
 
 
-def _not_empty(values: Column) -> Column:
-    return F.filter(values, lambda v: v != "")
-
-
-def _data_urls(markup: Column) -> Column:
-    return _not_empty(_values(markup, _attribute(r"[a-z][a-z0-9-]*", "data-url")))
+def _data_urls() -> str:
+    values = _values(_attribute(r"[a-z][a-z0-9-]*", "data-url"), "data-url")
+    return f"filter({values}, _d -> _d <> '')"
 
 
-def _form_actions(markup: Column) -> Column:
-    return _not_empty(_values(markup, _attribute("form", "action")))
+def _form_actions() -> str:
+    return f"filter({_values(_attribute('form', 'action'), '<form')}, _d -> _d <> '')"
 
 
-def _link_endpoints(link: Column) -> Column:
-    """Path, path prefixes and query keys of a link, as endpoints."""
-    path = urls.path(link)
-    keys = urls.query_keys(urls.query(link))
-    return F.concat(
-        F.filter(F.array(path), lambda p: ~p.isin("", "/")),
-        urls.path_prefixes(path),
-        F.transform(keys, lambda key: F.concat(F.lit("?"), key, F.lit("="))),
+def _link_endpoints(link: str) -> str:
+    """SQL array: path, path prefixes and query keys of a link, as endpoints."""
+    endpoints = (
+        f"concat(filter(array(_path), _e -> _e NOT IN ('', '/')), {urls.path_prefixes_sql('_path')}, "
+        f"transform({urls.query_keys_sql(link)}, _q -> concat('?', _q, '=')))"
     )
+    return let_sql(urls.path_sql(link), "_path", endpoints)
 
 
 def crawl_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, scripts, links, endpoints): everything a page names, as arrays."""
-    parts = _parsed(pages).select(
-        "page_id", "url",
-        _scripts(F.col("markup")).alias("scripts"),
-        _links(F.col("markup")).alias("links"),
-        _inline_scripts(F.col("clean")).alias("_bodies"),
-        F.concat(_data_urls(F.col("markup")), _form_actions(F.col("markup"))).alias("_named"),
+    parts = _parsed(pages).selectExpr(
+        "page_id", "url", f"{_scripts()} AS scripts", f"{_links()} AS links",
+        f"{_inline_scripts()} AS _bodies", f"concat({_data_urls()}, {_form_actions()}) AS _named",
     )
-    endpoints = F.array_distinct(
-        F.concat(
-            F.flatten(F.transform("links", _link_endpoints)),
-            F.expr(_named_in_scripts_sql("_bodies")),
-            F.col("_named"),
-        )
+    endpoints = (
+        f"array_distinct(concat(flatten(transform(links, _t -> {_link_endpoints('_t')})), "
+        f"{_named_in_scripts_sql('_bodies')}, _named))"
     )
-    return parts.select("page_id", "url", "scripts", "links", endpoints.alias("endpoints"))
+    return parts.selectExpr("page_id", "url", "scripts", "links", f"{endpoints} AS endpoints")
 
 
 def anchor_links(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, link): anchors' absolute targets on the page's own domain, each once."""
-    return _exploded(_parsed(pages), _links(F.col("markup")), "link")
+    return _exploded(_parsed(pages), _links(), "link")
 
 
 def path_endpoints(links: DataFrame) -> DataFrame:
@@ -195,13 +181,13 @@ def path_endpoints(links: DataFrame) -> DataFrame:
 
 def prefix_endpoints(links: DataFrame) -> DataFrame:
     """Every prefix of each link's path, with one more slash in front."""
-    prefixes = urls.path_prefixes(urls.path(F.col("link")))
+    prefixes = urls.path_prefixes_sql(urls.path_sql("link"))
     return _exploded(links, prefixes, "endpoint").drop("pos")
 
 
 def query_parameters(links: DataFrame) -> DataFrame:
     """(page_id, url, key): query keys of each link."""
-    return _exploded(links, urls.query_keys(urls.query(F.col("link"))), "key").drop("pos")
+    return _exploded(links, urls.query_keys_sql("link"), "key").drop("pos")
 
 
 def query_endpoints(links: DataFrame) -> DataFrame:
@@ -212,36 +198,33 @@ def query_endpoints(links: DataFrame) -> DataFrame:
 
 def script_files(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, script): external scripts, each once per page."""
-    return _exploded(_parsed(pages), _scripts(F.col("markup")), "script")
+    return _exploded(_parsed(pages), _scripts(), "script")
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, script): bodies of scripts that have no source."""
-    return _exploded(_parsed(pages), _inline_scripts(F.col("clean")), "script")
+    return _exploded(_parsed(pages), _inline_scripts(), "script")
 
 
 def script_endpoints(pages: DataFrame) -> DataFrame:
     """(page_id, url, endpoint): endpoints named in inline scripts that start with `/`."""
-    bodies = _parsed(pages).select(
-        "page_id", "url", _inline_scripts(F.col("clean")).alias("_bodies")
-    )
-    named = F.expr(_named_in_scripts_sql("_bodies"))
-    return _exploded(bodies, named, "endpoint").drop("pos")
+    bodies = _parsed(pages).selectExpr("page_id", "url", f"{_inline_scripts()} AS _bodies")
+    return _exploded(bodies, _named_in_scripts_sql("_bodies"), "endpoint").drop("pos")
 
 
 def data_url_endpoints(pages: DataFrame) -> DataFrame:
     """Non-empty `data-url` attributes of any tag."""
-    return _exploded(_parsed(pages), _data_urls(F.col("markup")), "endpoint").drop("pos")
+    return _exploded(_parsed(pages), _data_urls(), "endpoint").drop("pos")
 
 
 def form_endpoints(pages: DataFrame) -> DataFrame:
     """Non-empty form actions."""
-    return _exploded(_parsed(pages), _form_actions(F.col("markup")), "endpoint").drop("pos")
+    return _exploded(_parsed(pages), _form_actions(), "endpoint").drop("pos")
 
 
 def distinct_endpoints(pages: DataFrame) -> DataFrame:
     """(site, endpoint), each once."""
-    rows = _exploded(crawl_pages(pages), F.col("endpoints"), "endpoint")
+    rows = _exploded(crawl_pages(pages), "endpoints", "endpoint")
     return rows.select(urls.site(F.col("url")).alias("site"), "endpoint").distinct()
 
 
@@ -255,15 +238,11 @@ def crawl_rows(pages: DataFrame) -> DataFrame:
 
     The long form of a site's three lists; the key is the whole row, so no site is a hot key.
     """
-    def tagged(name: str, kind: str) -> Column:
-        return F.transform(
-            name, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-        )
-
-    entries = F.concat(
-        tagged("scripts", "js_file"), tagged("links", "html_page"), tagged("endpoints", "endpoint")
+    tagged = ", ".join(
+        f"transform({name}, _x -> named_struct('kind', '{kind}', 'value', _x))"
+        for name, kind in (("scripts", "js_file"), ("links", "html_page"), ("endpoints", "endpoint"))
     )
-    rows = _exploded(crawl_pages(pages), entries, "entry")
+    rows = _exploded(crawl_pages(pages), f"concat({tagged})", "entry")
     return rows.select(urls.site(F.col("url")).alias("site"), "entry.*").distinct()
 
 
@@ -301,12 +280,7 @@ def page_hosts(pages: DataFrame) -> DataFrame:
 
 def risky_query_parameters(pages: DataFrame) -> DataFrame:
     """(page_id, key): listed query keys of the page's own URL and of its links, each once."""
-    links = _parsed(pages).select("page_id", "url", _links(F.col("markup")).alias("_links"))
-    keys = F.flatten(
-        F.transform(
-            F.concat(F.array("url"), F.col("_links")),
-            lambda link: urls.query_keys(urls.query(link)),
-        )
-    )
-    risky = F.array_distinct(F.filter(keys, is_risky_parameter))
+    links = _parsed(pages).selectExpr("page_id", "url", f"concat(array(url), {_links()}) AS _all")
+    keys = f"flatten(transform(_all, _t -> {urls.query_keys_sql('_t')}))"
+    risky = f"array_distinct(filter({keys}, _k -> {risky_parameter_sql('_k')}))"
     return _exploded(links, risky, "key").select("page_id", "key")

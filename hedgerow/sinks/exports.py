@@ -126,6 +126,11 @@ def html_lines(findings: DataFrame) -> DataFrame:
 
 def write_html(findings: DataFrame, path: str) -> str:
     """HTML report; its part files in name order are the page."""
+    # Counted for the head and listed for the body.
+    return _write_html(stage(conform(findings), "report"), path)
+
+
+def _write_html(findings: DataFrame, path: str) -> str:
     ordered = html_lines(findings).orderBy("part", *FINDING_ORDER)
     ordered.select("value").write.mode("overwrite").text(path)
     return path
@@ -143,8 +148,9 @@ def envelope_metadata(findings: DataFrame, target: str) -> DataFrame:
 
 def write_envelope(findings: DataFrame, path: str, target: str) -> str:
     """`metadata` and `findings` side by side below the path."""
-    write_json(findings, f"{path}/findings")
-    envelope_metadata(findings, target).write.mode("overwrite").json(f"{path}/metadata")
+    kept = stage(conform(findings), "envelope")
+    write_json(kept, f"{path}/findings")
+    envelope_metadata(kept, target).write.mode("overwrite").json(f"{path}/metadata")
     return path
 
 
@@ -155,7 +161,7 @@ def write_all(findings: DataFrame, folder: str, table: str = "security_findings"
         "json": write_json(kept, f"{folder}/findings.json"),
         "table": write_table(kept, table, f"{folder}/findings.table"),
         "csv": write_csv(kept, f"{folder}/findings.csv"),
-        "html": write_html(kept, f"{folder}/report.html"),
+        "html": _write_html(kept, f"{folder}/report.html"),
     }
 
 
