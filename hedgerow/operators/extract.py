@@ -104,14 +104,17 @@ def mode_matches(texts: DataFrame, *keys: str, content: str = "content") -> Data
     )
 
 
-def endpoint_candidates(matches: DataFrame, *site: str, base_url: str) -> DataFrame:
-    """Values that look like a path, once per site: the first by (line, pattern, match)."""
+def endpoint_candidates(
+    matches: DataFrame, *site: str, base_url: str, file: str | None = None
+) -> DataFrame:
+    """Values that look like a path, once per site: the first by (file, line, pattern, match)."""
     paths = matches.filter(
         (F.length("value") > MIN_ENDPOINT_CHARS) & F.startswith(F.col("value"), F.lit("/"))
     ).withColumn("snippet", preview(F.col("text"), 200))
+    order = ([file] if file else []) + ["line", "pat_ord", "match_pos"]
+    carry = [*order[:-1], "snippet", base_url]
     first = first_per(
-        paths, [*site, "value"], ["line", "pat_ord", "match_pos"],
-        [c for c in ("line", "pat_ord", "snippet", base_url) if c not in site],
+        paths, [*site, "value"], order, [c for c in dict.fromkeys(carry) if c not in site]
     )
     full = F.concat(drop_trailing_slashes(F.col(base_url)), F.col("value"))
     return first.withColumn("full_url", full)

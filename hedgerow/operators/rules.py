@@ -63,30 +63,31 @@ class Rule:
         return self.vuln_patterns
 
 
+# What a raw rule that leaves a field out gets.
+RAW_DEFAULTS = {
+    "file_exts": (), "vuln_patterns": (), "sanitizer_patterns": (), "vuln_desc": "",
+    "safe_desc": "", "severity": "MEDIUM", "confidence": 70, "cwe": "N/A",
+}
+
+
 def build_rules(raw_rules, pack: str) -> list[Rule]:
     """Raw rule entries to rules of a pack, with defaults for what is missing.
 
     The pack name becomes the category. The raw `description` is kept as `summary` only: findings
     describe themselves by `vuln_desc`, which stock rules do not have.
     """
-    return [
-        Rule(
-            category=pack,
-            name=raw.get("name", pack),
-            file_exts=tuple(raw.get("file_exts", ())),
-            vuln_patterns=tuple(raw.get("vuln_patterns", ())),
-            sanitizer_patterns=tuple(raw.get("sanitizer_patterns", ())),
-            vuln_desc=raw.get("vuln_desc", ""),
-            safe_desc=raw.get("safe_desc", ""),
-            severity=raw.get("severity", "MEDIUM"),
-            confidence=raw.get("confidence", 70),
-            cwe=raw.get("cwe", "N/A"),
-            rule_id=raw.get("id", "N/A"),
-            surface=raw.get("category", ""),
-            summary=raw.get("description", ""),
-        )
-        for raw in raw_rules
-    ]
+    def lists_fixed(value):
+        return tuple(value) if isinstance(value, list) else value
+
+    built = []
+    for raw in raw_rules:
+        fields = {key: lists_fixed(raw.get(key, default)) for key, default in RAW_DEFAULTS.items()}
+        extra = {
+            "name": raw.get("name", pack), "rule_id": raw.get("id", "N/A"),
+            "surface": raw.get("category", ""), "summary": raw.get("description", ""),
+        }
+        built.append(Rule(category=pack, **extra, **fields))
+    return built
 
 
 # The secrets pack, whose rule table is not public: the secret patterns of the category catalogue

@@ -33,38 +33,58 @@ FRAMEWORK_DETECTORS = (
 )
 
 
-def scan_tree(spark: SparkSession, root: str, rules=None) -> DataFrame:
-    """Findings in the files below the root. Patterns that do not compile are left out."""
+def scan_tree(spark: SparkSession, root: str, rules=None, hidden: bool = True) -> DataFrame:
+    """Findings in the files below the root. Patterns that do not compile are left out.
+
+    `hidden` files need a file system that pyarrow can open; the others only one Spark can.
+    """
     accepted, _ = accept_rules(spark, stock_rules() if rules is None else rules)
-    return stamped(match_files(read_scanned(spark, root), accepted))
+    return stamped(match_files(read_scanned(spark, root, hidden), accepted))
 
 
-def endpoint_findings(
-    pages: DataFrame, responses: DataFrame, mode: str, patterns=None
-) -> DataFrame:
-    """Paths that the mode's patterns find in page lines and that were captured live."""
-    patterns = mode_patterns(mode) if patterns is None else list(patterns)
-    sited = pages.withColumn("site", urls.site(F.col("url")))
-    matches = find_all_in_lines(
-        sited, "page_id", "site", "url", patterns=patterns, content="html"
-    )
-    candidates = endpoint_candidates(matches, "site", base_url="url")
+def _verified(candidates: DataFrame, responses: DataFrame, mode: str, name: str, file: str,
+              confidence: int) -> DataFrame:
+    """Findings for candidate endpoints (site, value, line, snippet) that were captured live."""
     live = live_endpoints(responses).withColumnRenamed("endpoint", "value")
     return candidates.join(live, ["site", "value"], "left_semi").select(
         "site",
         F.col("value").alias("endpoint"),
         F.lit("N/A").alias("cwe"),
         F.lit(mode).alias("category"),
-        F.lit("Verified Endpoint Found").alias("name"),
-        F.col("url").alias("file"),
+        F.lit(name).alias("name"),
+        F.col(file).alias("file"),
         "line", "snippet",
         F.lit("VULNERABLE").alias("status"),
         F.lit(MODES[mode][2]).alias("severity"),
-        F.lit(95).alias("confidence"),
+        F.lit(confidence).alias("confidence"),
         F.concat(F.lit("Verified: "), F.col("value"), F.lit(" (200 OK)")).alias("description"),
     )
 
 
+def endpoint_findings(pages: DataFrame, responses: DataFrame, mode: str, patterns=None) -> DataFrame:
+    """Paths that the mode's patterns find in page lines and that were captured live."""
+    patterns = mode_patterns(mode) if patterns is None else list(patterns)
+    sited = pages.withColumn("site", urls.site(F.col("url")))
+    matches = find_all_in_lines(
+        sited, "page_id", "site", "url", patterns=patterns, content="html"
+    )
+    candidates = endpoint_candidates(matches, "site", base_url="url")
+    return _verified(candidates, responses, mode, "Verified Endpoint Found", "url", 95)
+
+
+def script_endpoint_findings(
+    scripts: DataFrame, responses: DataFrame, reported: DataFrame, mode: str, patterns=None
+) -> DataFrame:
+    """The same for lines of stored scripts (site, name, content), less what pages reported."""
+    patterns = mode_patterns(mode) if patterns is None else list(patterns)
+    matches = find_all_in_lines(scripts, "site", "name", patterns=patterns, script=True)
+    seen = reported.select("site", F.col("endpoint").alias("value")).distinct()
+    candidates = endpoint_candidates(
+        matches.withColumnRenamed("name", "script"), "site", base_url="site", file="script"
+    ).join(seen, ["site", "value"], "left_anti")
+    return _verified(candidates, responses, mode, "Verified Endpoint in JS", "script", 90)
+
+
 def discovery_findings(
     pages: DataFrame, responses: DataFrame, reported: DataFrame
 ) -> DataFrame:
@@ -97,17 +117,25 @@ def scan_framework(pages: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
-def scan_web(pages: DataFrame, responses: DataFrame, mode: str = "7") -> DataFrame:
-    """Web scan of stored pages and captured responses in one of the modes 1 to 7."""
+def scan_web(
+    pages: DataFrame, responses: DataFrame, mode: str = "7", scripts: DataFrame | None = None
+) -> DataFrame:
+    """Web scan of stored pages, captured responses and, if there are any, stored scripts (site,
+    name, content) in one of the modes 1 to 7."""
     if mode not in MODES:
         raise ValueError(f"{mode!r} is not a scan mode")
-    in_lines = endpoint_findings(pages, responses, mode)
+    reported = endpoint_findings(pages, responses, mode)
+    if scripts is not None:
+        reported = stage(reported, "endpoints")
+        reported = reported.unionByName(
+            script_endpoint_findings(scripts, responses, reported, mode)
+        )
     if mode in ("1", "7"):
         # Used twice below.
-        in_lines = stage(in_lines, "endpoints")
-    parts = [in_lines]
+        reported = stage(reported, "endpoints")
+    parts = [reported]
     if mode in ("1", "7"):
-        parts.append(discovery_findings(pages, responses, in_lines))
+        parts.append(discovery_findings(pages, responses, reported))
     if mode == "2":
         parts.append(page_secrets(pages, "page_id", content="html", url="url"))
     if mode in MODE_DETECTORS:

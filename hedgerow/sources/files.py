@@ -63,10 +63,10 @@ def scanned(files: DataFrame) -> DataFrame:
     )
 
 
-def read_scanned(spark: SparkSession, root: str) -> DataFrame:
+def read_scanned(spark: SparkSession, root: str, hidden: bool = True) -> DataFrame:
     """Files of a source tree that a scan looks into."""
     return scanned(
-        read_tree(spark, root, SCAN_EXTENSIONS, MAX_FILE_BYTES, skip_dirs=SKIP_DIRS)
+        read_tree(spark, root, SCAN_EXTENSIONS, MAX_FILE_BYTES, hidden, skip_dirs=SKIP_DIRS)
     )
 
 

@@ -93,12 +93,9 @@ def test_relative_path(spark, root):
 
 
 def python_risk(category):
-    if category in risk.CATEGORY_RISK:
-        return risk.CATEGORY_RISK[category]
-    for key, value in risk.CATEGORY_RISK.items():
-        if key.lower() in category.lower() or category.lower() in key.lower():
-            return value
-    return risk.DEFAULT_RISK
+    low = category.lower()
+    near = [v for k, v in risk.CATEGORY_RISK.items() if k.lower() in low or low in k.lower()]
+    return risk.CATEGORY_RISK.get(category) or [*near, risk.DEFAULT_RISK][0]
 
 
 def test_risk(spark):

@@ -152,6 +152,27 @@ def test_web_scan(spark, mode):
         scans.scan_web(pages, captured, "8")
 
 
+def test_scripts_add_what_pages_did_not_report(spark):
+    pages = spark.createDataFrame(
+        [(1, "https://s.example", "<p>see /api/ for more</p>")], "page_id long, url string, html string")
+    scripts = spark.createDataFrame([
+        ("https://s.example", "b.js", "call('/api/x')\nopen('/v1/thing')"),
+        ("https://s.example", "a.js", "\n\nopen('/v1/other', '/rest/x')"),
+        ("https://t.example", "c.js", "open('/v1/thing')"),
+    ], "site string, name string, content string")
+    captured = spark.createDataFrame([
+        (i, e, f"https://s.example{e}", "GET", None, None, 0, 200, {}, "x")
+        for i, e in enumerate(["/api/", "/v1/", "/none/"])
+    ], RESPONSES)
+    found = scans.scan_web(pages, captured, "4", scripts)
+    got = {(r.name, r.file, r.line, r.confidence, r.description) for r in found.collect()
+           if r.name.startswith("Verified")}
+    assert got == {
+        ("Verified Endpoint Found", "https://s.example", 1, 95, "Verified: /api/ (200 OK)"),
+        ("Verified Endpoint in JS", "a.js", 3, 90, "Verified: /v1/ (200 OK)"),
+    }
+
+
 def test_every_detector_belongs_to_a_mode():
     used = {d for ids in scans.MODE_DETECTORS.values() for d in ids} | set(scans.FRAMEWORK_DETECTORS)
     assert used == set(BY_ID)
