@@ -51,7 +51,7 @@ QUERIES = {
         risk.classify(planted.findings(spark, sf))
     ),
     "number_findings": lambda spark, sf: number_rows(
-        planted.findings(spark, sf), "file", "event_id"
+        planted.findings(spark, sf), "file", "event_id", staged=True
     ),
 }
 

@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 from hedgerow.functions.scratch import stage
 
 
-def number_rows(df: DataFrame, *order: str, column: str = "row_no", start: int = 0) -> DataFrame:
+def number_rows(
+    df: DataFrame, *order: str, column: str = "row_no", start: int = 0, staged: bool = False
+) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the given total order.
 
-    Rows are range-partitioned and sorted in parallel and staged, which pins each row to its range.
+    Finding the ranges samples the rows, which would run the work behind them a second time; so they
+    are staged first, unless they come from a table (`staged`). Rows are range-partitioned and sorted in parallel and staged, which pins each row to its range.
     The number is the rows of all ranges before plus the place inside the range; only one count
     per range is brought together. `order` has to be total, or equal rows may swap numbers.
     """
+    rows = df if staged else stage(df, "unnumbered")
     ranged = stage(
-        df.repartitionByRange(*order)
+        rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),

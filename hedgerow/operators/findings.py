@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from hedgerow.catalogue import noise
 from hedgerow.functions.numbering import first_per, number_rows
+from hedgerow.functions.scratch import stage
 from hedgerow.functions.text import contains_any
 
 _FIELDS = {
@@ -68,8 +69,11 @@ def category_prefix():
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    """Stable result order of a file scan."""
-    return findings.orderBy("file", "rule_ord", "line")
+    """Stable result order of a file scan.
+
+    Sorting samples its input, so the findings are staged rather than scanned for twice.
+    """
+    return stage(findings, "findings").orderBy("file", "rule_ord", "line")
 
 
 def keep_first(findings: DataFrame, keys, *order: str) -> DataFrame:

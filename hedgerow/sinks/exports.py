@@ -40,7 +40,7 @@ def write_json(findings: DataFrame, path: str) -> str:
     return path
 
 
-def findings_table(findings: DataFrame) -> DataFrame:
+def findings_table(findings: DataFrame, staged: bool = False) -> DataFrame:
     """Rows of the findings table: running id from 1, `file_path`, `line_num`, score 0 if none."""
     rows = _stored(findings).select(
         "finding_id", "cwe", "category", "name",
@@ -50,13 +50,16 @@ def findings_table(findings: DataFrame) -> DataFrame:
     )
     lead = ["file_path", "line_num", "category", "name", "finding_id"]
     order = lead + [c for c in rows.columns if c not in lead]
-    numbered = number_rows(rows, *order, column="id", start=1)
+    numbered = number_rows(rows, *order, column="id", start=1, staged=staged)
     return numbered.select("id", *rows.columns)
 
 
-def write_table(findings: DataFrame, table: str = "security_findings", path: str | None = None):
+def write_table(
+    findings: DataFrame, table: str = "security_findings", path: str | None = None,
+    staged: bool = False,
+) -> str:
     """Replace the findings table."""
-    writer = findings_table(findings).write.mode("overwrite")
+    writer = findings_table(findings, staged).write.mode("overwrite")
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
@@ -159,7 +162,7 @@ def write_all(findings: DataFrame, folder: str, table: str = "security_findings"
     kept = stage(conform(findings), "findings")
     return {
         "json": write_json(kept, f"{folder}/findings.json"),
-        "table": write_table(kept, table, f"{folder}/findings.table"),
+        "table": write_table(kept, table, f"{folder}/findings.table", staged=True),
         "csv": write_csv(kept, f"{folder}/findings.csv"),
         "html": _write_html(kept, f"{folder}/report.html"),
     }

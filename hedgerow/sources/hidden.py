@@ -7,6 +7,8 @@ paths.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +19,6 @@ from hedgerow.functions.scratch import stage
 
 _ENTRY = "path string, is_dir boolean, hidden boolean, length long"
 _FILE = "path string, length long, content binary"
-# Deepest folder looked into.
-MAX_DEPTH = 64
 
 
 def _open(uri: str):
@@ -28,7 +28,7 @@ def _open(uri: str):
     if uri.startswith("file:") or "://" not in uri:
         plain = "/" + uri.removeprefix("file:").lstrip("/")
         return fs.LocalFileSystem(), plain, ""
-    system, plain = fs.FileSystem.from_uri(uri)
+    system, plain = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
     return system, plain, uri[: len(uri) - len(plain)] if uri.endswith(plain) else ""
 
 
@@ -46,9 +46,12 @@ def _list_folders(skip: frozenset[str]):
         for batch in batches:
             for folder, hidden in zip(batch["path"], batch["hidden"]):
                 system, plain, head = _open(folder)
+                local = isinstance(system, fs.LocalFileSystem)
                 rows = []
                 for info in system.get_file_info(fs.FileSelector(plain)):
                     is_dir = info.type == fs.FileType.Directory
+                    if is_dir and local and os.path.islink(info.path):
+                        continue  # as a walk of the tree would
                     inside = bool(hidden) or _is_hidden(info.base_name)
                     if (is_dir and info.base_name.lower() not in skip) or (not is_dir and inside):
                         rows.append((head + info.path, is_dir, inside, info.size or 0))
@@ -74,7 +77,7 @@ def read_hidden(
     skip = frozenset(skip_dirs)
     folders = spark.createDataFrame([(root.rstrip("/"), False)], "path string, hidden boolean")
     files = None
-    for _ in range(MAX_DEPTH):
+    while True:
         level = stage(folders.mapInPandas(_list_folders(skip), _ENTRY), "listing")
         found = level.filter(~F.col("is_dir")).select("path", "length")
         files = found if files is None else files.unionByName(found)
