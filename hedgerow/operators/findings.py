@@ -29,14 +29,15 @@ _TYPES = {name: kind for kind, names in _FIELDS.items() for name in names.split(
 FINDINGS_SCHEMA = T.StructType([T.StructField(name, _TYPES[name]) for name in _ORDER.split()])
 
 
-def conform(findings: DataFrame) -> DataFrame:
-    """The fixed findings columns; what a producer does not have is null."""
+def conform(findings: DataFrame, *more: str) -> DataFrame:
+    """The fixed findings columns, and `more`; what a producer does not have is null."""
     present = set(findings.columns)
     return findings.select(
         *(
             (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in FINDINGS_SCHEMA
-        )
+        ),
+        *more,
     )
 
 

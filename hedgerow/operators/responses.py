@@ -529,7 +529,7 @@ def detect(responses: DataFrame, ids=None) -> DataFrame:
     field = lambda test, value: F.when(test, value)
     return found.select(
         of_detector(lambda d: d.id).alias("detector"),
-        "site", "resp_id",
+        F.col("ord").alias("detector_ord"), "site", "resp_id",
         category.alias("category"), "name", "description",
         of_detector(lambda d: d.severity).alias("severity"),
         of_detector(lambda d: d.confidence).alias("confidence"),

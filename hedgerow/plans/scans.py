@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from hedgerow.functions.text import preview
 from hedgerow.operators.extract import (
     discovered_endpoints, endpoint_candidates, find_all_in_lines, page_secrets, site_secrets,
 )
-from hedgerow.operators.findings import stamped, union_findings
+from hedgerow.operators.findings import (
+    category_prefix, conform, stamped, union_findings, with_running_ids,
+)
 from hedgerow.operators.lookups import owasp
 from hedgerow.operators.matchers import match_files
 from hedgerow.operators.pages import distinct_endpoints
@@ -108,12 +112,43 @@ def discovery_findings(
     )
 
 
+# Place of a finding in its scan: the part of the scan, then up to four values.
+_PLACE = ("_part", "_a", "_b", "_c", "_d")
+
+
+def _placed(findings: DataFrame, part: int, a, b, c, d) -> DataFrame:
+    """The fixed columns with the place of each finding, for numbering."""
+    place = [F.lit(part), a.cast("int"), b.cast("string"), c.cast("string"), d.cast("bigint")]
+    columns = [v.alias(name) for v, name in zip(place, _PLACE)]
+    kept = findings.select("*", *columns)
+    return conform(kept, *_PLACE)
+
+
+def _identified(prefix, *parts: DataFrame, width: int = 0) -> DataFrame:
+    """All parts, numbered in order of place."""
+    rows = reduce(DataFrame.unionByName, parts)
+    return with_running_ids(rows, prefix, *_PLACE, width=width).drop(*_PLACE)
+
+
+def _placed_detections(findings: DataFrame, part: int = 0) -> DataFrame:
+    return _placed(
+        findings, part, F.col("detector_ord"), F.col("site"), F.lit(""), F.col("resp_id")
+    )
+
+
 def scan_framework(pages: DataFrame, responses: DataFrame) -> DataFrame:
     """Framework scan: secrets of front pages and all framework detectors."""
-    secrets = site_secrets(pages, "page_id", "url", content="html")
-    return union_findings(
-        secrets.withColumn("owasp", owasp(F.col("category"))),
-        detect(responses, FRAMEWORK_DETECTORS),
+    secrets = site_secrets(pages, "page_id", "url", content="html").withColumn(
+        "owasp", owasp(F.col("category"))
+    )
+    return _identified(
+        category_prefix(),
+        _placed(
+            secrets, 0, F.col("pat_ord"), F.col("url"), F.lpad(F.col("page_id"), 20, "0"),
+            F.col("match_pos"),
+        ),
+        _placed_detections(detect(responses, FRAMEWORK_DETECTORS), 1),
+        width=3,
     )
 
 
@@ -121,25 +156,42 @@ def scan_web(
     pages: DataFrame, responses: DataFrame, mode: str = "7", scripts: DataFrame | None = None
 ) -> DataFrame:
     """Web scan of stored pages, captured responses and, if there are any, stored scripts (site,
-    name, content) in one of the modes 1 to 7."""
+    name, content) in one of the modes 1 to 7. Findings are numbered per kind, as `EP-0`."""
     if mode not in MODES:
         raise ValueError(f"{mode!r} is not a scan mode")
+
+    def placed(found: DataFrame, part: int) -> DataFrame:
+        return _placed(
+            found, part, F.lit(0), F.col("site"),
+            F.concat_ws(" ", F.col("file"), F.col("endpoint")), F.col("line"),
+        )
+
     reported = endpoint_findings(pages, responses, mode)
-    if scripts is not None:
+    if scripts is not None or mode in ("1", "7"):
+        # Used again below.
         reported = stage(reported, "endpoints")
-        reported = reported.unionByName(
-            script_endpoint_findings(scripts, responses, reported, mode)
+    endpoints = [placed(reported, 0)]
+    if scripts is not None:
+        in_scripts = stage(
+            script_endpoint_findings(scripts, responses, reported, mode), "endpoints"
         )
+        endpoints.append(placed(in_scripts, 1))
+        reported = reported.unionByName(in_scripts)
     if mode in ("1", "7"):
-        # Used twice below.
-        reported = stage(reported, "endpoints")
-    parts = [reported]
-    if mode in ("1", "7"):
-        parts.append(discovery_findings(pages, responses, reported))
+        endpoints.append(placed(discovery_findings(pages, responses, reported), 2))
+    parts = [_identified("EP", *endpoints)]
     if mode == "2":
-        parts.append(page_secrets(pages, "page_id", content="html", url="url"))
-    if mode in MODE_DETECTORS:
-        parts.append(detect(responses, MODE_DETECTORS[mode]))
+        secrets = page_secrets(pages, "page_id", content="html", url="url")
+        parts.append(_identified("SEC", _placed(
+            secrets, 0, F.col("pat_ord"), F.col("file"), F.lpad(F.col("page_id"), 20, "0"),
+            F.col("match_pos"),
+        )))
+    if mode in ("3", "4", "5"):
+        prefix = F.upper(F.substring("category", 1, 3))
+        parts.append(_identified(prefix, _placed_detections(detect(responses, MODE_DETECTORS[mode]))))
+    if mode == "6":
+        found = _placed_detections(detect(responses, MODE_DETECTORS[mode]))
+        parts.append(_identified("XSS", found, width=3))
     if mode == "7":
         parts.append(scan_framework(pages, responses))
     return stamped(union_findings(*parts))

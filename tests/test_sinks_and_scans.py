@@ -136,7 +136,14 @@ def test_web_scan(spark, mode):
     ]
     captured = spark.createDataFrame(
         [(i, e, f"https://s.example{e}", *rest) for i, e, *rest in rows], RESPONSES)
-    names = {r.name for r in scans.scan_web(pages, captured, mode).collect()}
+    found = scans.scan_web(pages, captured, mode).collect()
+    names = {r.name for r in found}
+    kinds = {}
+    for r in found:
+        prefix, number = r.finding_id.rsplit("-", 1)
+        kinds.setdefault("framework" if r.owasp and r.category != "xss" else prefix, []).append(int(number))
+    # Every kind is numbered from 0 without gaps.
+    assert all(sorted(numbers) == list(range(len(numbers))) for numbers in kinds.values())
     expected = {
         "1": {"Verified Endpoint Found", "Verified Discovered Endpoint"},
         "2": {"Hardcoded API Key"},
