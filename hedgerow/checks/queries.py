@@ -283,7 +283,7 @@ def _(spark, sf):
 
 @check("p14_relative_path", f"WITH {planted.FILES_SQL} SELECT doc_id, path AS relative FROM files")
 def _(spark, sf):
-    full = F.concat(F.lit("file:/data/trees/one/"), F.col("path"))
+    full = "'file:/data/trees/one/' || path"
     return planted.files(spark, sf).select(
         "doc_id", noise.relative_path(full, "/data/trees/one").alias("relative")
     )

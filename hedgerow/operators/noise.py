@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hedgerow.catalogue import noise
 from hedgerow.functions.patterns import any_matches, any_matches_sql, java_pattern
-from hedgerow.functions.text import contains_any, sql_text, strip
+from hedgerow.functions.text import contains_any, let_sql, sql_text, strip
 from hedgerow.functions.urls import basename, extension
 
 
@@ -25,11 +25,14 @@ def in_skipped_dir(path: Column) -> Column:
 
 
 def is_noise_path(path: str) -> Column:
-    """Libraries, bundles, build output and hashed scripts, by path and by basename."""
+    """Libraries, bundles, build output and hashed scripts, by path and by basename.
+
+    `path` is a column name or SQL.
+    """
     bundle = "|".join(f"(?:{pattern})" for pattern in noise.SKIP_BASENAME_PATTERNS)
     return (
-        basename(F.lower(path)).rlike(java_pattern(bundle))
-        | in_skipped_dir(F.col(path))
+        basename(F.lower(F.expr(path))).rlike(java_pattern(bundle))
+        | in_skipped_dir(F.expr(path))
         | any_matches(f"lower({path})", noise.SKIP_PATH_PATTERNS)
     )
 
@@ -76,13 +79,19 @@ def is_build_artifact(endpoint: str) -> Column:
     return any_matches(endpoint, noise.BUILD_ARTIFACT_PATTERNS)
 
 
-def relative_path(path: Column, root: str) -> Column:
-    """Path below the root; both may carry a scheme such as `file:`."""
-    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?(?=/)", "")
+def relative_path_sql(path: str, root: str) -> str:
+    """SQL value: path below the root; both may carry a scheme such as `file:`."""
     plain = root.split(":", 1)[1] if ":/" in root else root
     if plain.startswith("//"):
         plain = "/" + plain[2:].partition("/")[2]
-    plain = plain.rstrip("/")
-    return F.when(
-        F.startswith(bare, F.lit(plain + "/")), F.substring(bare, len(plain) + 2, 1 << 30)
-    ).otherwise(bare)
+    below = plain.rstrip("/") + "/"
+    scheme = sql_text(r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?(?=/)")
+    return let_sql(
+        f"regexp_replace({path}, {scheme}, '')", "_bare",
+        f"CASE WHEN startswith(_bare, {sql_text(below)}) "
+        f"THEN substring(_bare, {len(below) + 1}) ELSE _bare END",
+    )
+
+
+def relative_path(path: str, root: str) -> Column:
+    return F.expr(relative_path_sql(path, root))

@@ -11,6 +11,7 @@ from hedgerow.catalogue.noise import MAX_FILE_BYTES, SCAN_EXTENSIONS, SKIP_DIRS
 from hedgerow.functions.text import decode_utf8
 from hedgerow.operators.noise import (
     fits_size_cap, has_content, has_scanned_extension, in_skipped_dir, is_noise_path, relative_path,
+    relative_path_sql,
 )
 from hedgerow.sources.hidden import read_hidden
 
@@ -25,19 +26,24 @@ def read_tree(
     extensions=None,
     max_bytes: int | None = None,
     hidden: bool = True,
-    skip_dirs=(),
+    prune: bool = False,
 ) -> DataFrame:
     """(path, length, content) of every file below the root; the path is relative to it.
 
-    Extensions narrow the listing and the size cap is pushed into the source, so what they leave
-    out is never opened. Spark lists no names that start with `.` or `_`; those are read by a walk
+    Extensions narrow the listing, the size cap is pushed into the source, and `prune` leaves noise
+    paths out by the files' metadata: what they leave out is never opened. Spark lists no names that start with `.` or `_`; those are read by a walk
     of their own, unless `hidden` is false.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         glob = "{" + ",".join(_any_case(e) for e in extensions) + "}"
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).select("path", "length", "content")
+    files = reader.load(root)
+    if prune:
+        # The metadata path is percent-encoded; a plus sign is a plus sign.
+        listed = "url_decode(replace(_metadata.file_path, '+', '%2B'))"
+        files = files.filter(~is_noise_path(relative_path_sql(listed, root)))
+    files = files.select("path", "length", "content")
     wanted = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     files = files.filter(wanted)
     if hidden:
@@ -45,9 +51,11 @@ def read_tree(
         if extensions:
             ends = "|".join(re.escape(e) for e in extensions)
             keep = keep & F.lower("path").rlike(f"(?:{ends})$")
-        files = files.unionByName(read_hidden(spark, root, keep, skip_dirs))
+        if prune:
+            keep = keep & ~is_noise_path(relative_path_sql("path", root))
+        files = files.unionByName(read_hidden(spark, root, keep, SKIP_DIRS if prune else ()))
     return files.select(
-        relative_path(F.col("path"), root).alias("path"),
+        relative_path("path", root).alias("path"),
         "length",
         decode_utf8(F.col("content")).alias("content"),
     )
@@ -66,7 +74,7 @@ def scanned(files: DataFrame) -> DataFrame:
 def read_scanned(spark: SparkSession, root: str, hidden: bool = True) -> DataFrame:
     """Files of a source tree that a scan looks into."""
     return scanned(
-        read_tree(spark, root, SCAN_EXTENSIONS, MAX_FILE_BYTES, hidden, skip_dirs=SKIP_DIRS)
+        read_tree(spark, root, SCAN_EXTENSIONS, MAX_FILE_BYTES, hidden, prune=True)
     )
 
 

@@ -84,7 +84,7 @@ def test_build_artifacts(spark):
 @pytest.mark.parametrize("root", ["/data/x", "/data/x/", "file:/data/x", "hdfs://h:1/data/x"])
 def test_relative_path(spark, root):
     paths = ["file:/data/x/a/b.py", "file:///data/x/c.py", "hdfs://h:1/data/x/d", "/elsewhere/e"]
-    assert values(spark, paths, noise.relative_path(F.col("t"), root)) == [
+    assert values(spark, paths, noise.relative_path("t", root)) == [
         "a/b.py", "c.py", "d", "/elsewhere/e"
     ]
 

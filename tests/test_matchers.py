@@ -164,6 +164,22 @@ def test_matching_is_one_narrow_pass(files, tmp_path):
     ]
 
 
+def test_rules_without_literal_text(spark):
+    rows = spark.createDataFrame(
+        [("a", "call 1234567"), ("b", "say 'x' or \"x'"), ("c", "naïve café"), ("d", "12345 ascii"),
+         ("e", "aXbXc")],
+        "path string, content string",
+    )
+    patterns = (r"\d{6,}", r"(?P<q>['\"])x(?P=q)", r"[^\x00-\x7f]", r"(.)b\1")
+    for pattern in patterns:
+        rule = Rule("C", "n", ("",), (pattern,))
+        got = {r.file for r in matchers.match_files(rows, [rule]).collect()}
+        assert got == {r.path for r in rows.collect() if re.search(pattern, r.content, re.I)}, pattern
+    every = Rule("C", "n", ("",), patterns)
+    assert {r.file for r in matchers.match_files(rows, [every]).collect()} == {"a", "b", "c", "e"}
+    assert matchers.match_files(rows, [Rule("C", "n", ("",), ())]).count() == 0
+
+
 # --- rule table ---
 
 

@@ -118,6 +118,11 @@ def test_tree_source_prunes_before_reading(spark, root):
     }
     plan = files._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length" in plan
+    pruned = tree.read_tree(spark, root, (".py",), MAX_FILE_BYTES, hidden=False, prune=True)
+    assert {r.path for r in pruned.collect()} == {"src/app.py", "src/UP.PY", "src/blank.py"}
+    leaf = pruned._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    # node_modules/m.py is not among the files read; big.py is dropped by the source.
+    assert leaf.metrics().apply("numFiles").value() == 4
 
 
 @pytest.mark.parametrize("mode", list("1234567"))
