@@ -181,13 +181,6 @@ def any_matches(text: str, patterns) -> Column:
     return F.expr(f"exists({bound}, p -> {any_matches_sql('p.t', 'p.f', patterns)})")
 
 
-def find_all(text: Column, pattern: str, flags: str = FLAGS, group: int | None = None) -> Column:
-    """`re.findall` as an array: the first group if the pattern has one, else the whole match."""
-    if group is None:
-        group = 1 if re.compile(pattern).groups else 0
-    return F.regexp_extract_all(text, F.lit(java_pattern(pattern, flags)), F.lit(group))
-
-
 def check_patterns(spark: SparkSession, patterns) -> dict[str, str]:
     """Patterns that do not compile, with the reason. Small input: run when rules are loaded."""
     rejected: dict[str, str] = {}

@@ -82,11 +82,6 @@ def split_lines_sql(text: str) -> str:
     )
 
 
-def split_newlines(text: str) -> Column:
-    """`str.split` of a column on line feeds only."""
-    return F.expr(split_newlines_sql(text))
-
-
 def split_newlines_sql(text: str) -> str:
     return f"split({text}, {sql_text(chr(10))})"
 

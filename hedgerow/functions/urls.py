@@ -18,10 +18,6 @@ _QUERY = r"^[^?#]*\?([^#]*)"
 _SITE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 
 
-def scheme(url: Column) -> Column:
-    return F.regexp_extract(url, _SCHEME, 1)
-
-
 def authority(url: Column) -> Column:
     """Host with port and user part; empty if the URL names none."""
     return F.regexp_extract(url, _AUTHORITY, 1)
@@ -32,10 +28,6 @@ def path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, _PATH, 1), r";[^/]*$", "")
 
 
-def query(url: Column) -> Column:
-    return F.regexp_extract(url, _QUERY, 1)
-
-
 def hostname(url: Column) -> Column:
     """Lower-case host of a URL; raises if there is none."""
     host = F.lower(F.regexp_extract(authority(url), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
