@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.llm import chat
-from hedgerow.llm.common import table
+from hedgerow.llm import chat, html_cut, secret_scan, simhash
+from hedgerow.llm.common import staged, table
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,57 @@ SELECT conv_id, count(*) AS n_turns,
 FROM summed GROUP BY conv_id
 """
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_cut.extract(pages).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
+    )
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets in every document."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def spans(keep) -> F.Column:
+        kept = F.filter("secrets", keep)
+        return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secret_scan.KINDS]
+    return found.select(
+        "doc_id", *counts[:3], F.sha2(F.encode(spans(lambda s: s["kind"] != "guess"), "UTF-8"), 256).alias("base_sha256"),
+        spans(lambda s: F.lit(True)).alias("spans"), counts[3],
+        F.array_max(F.transform("secrets", lambda s: s["cost"])).alias("max_guess_cost"),
+    )
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and the next document.
+
+    `n_near`: for documents whose id is divisible by 100, how many other documents' fingerprints lie within 3 bits.
+    """
+    rows = staged(simhash.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
+    queries = rows.where("doc_id % 100 = 0")
+    pairs = simhash.within_radius(queries, rows)
+    sizes = rows.groupBy(F.col("f").alias("found")).agg(F.count("*").alias("size"))
+    near = pairs.join(sizes, "found").groupBy(F.col("query").alias("f")).agg((F.sum("size") - 1).alias("n_near"))
+    counted = queries.join(near, "f").select(F.col("doc_id"), F.col("f"), "n_near").distinct()
+    return rows.join(counted, ["doc_id", "f"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", simhash.as_hex(F.col("f")).alias("fingerprint"),
+        simhash.as_hex(F.col("edited_f")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("f"), F.col("edited_f")).alias("near_edited"),
+        simhash.likeness(F.col("f"), F.col("next_f")).alias("near_next"), "n_near",
+    )
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
+    "op7_html_extract": op7_html_extract,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE = {
