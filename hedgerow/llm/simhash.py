@@ -57,8 +57,8 @@ def as_hex(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal fingerprints, falling to 0 where half the bits or more differ (the cosine the bits estimate)."""
-    return F.greatest(F.lit(0.0), F.cos(F.bit_count(a.bitwiseXOR(b)) * (3.141592653589793 / BITS)))
+    """Share of equal bits: 1 for equal fingerprints, about 0.5 for unrelated texts."""
+    return 1.0 - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
