@@ -144,12 +144,9 @@ def may_have(df: DataFrame, column: str, bitmaps: DataFrame, negate: bool = Fals
         .withColumn("key_bucket", F.expr("bitmap_bucket_number(key_place)"))
         .join(F.broadcast(bitmaps), "key_bucket", "left")
     )
-    byte = F.ascii(F.expr("decode(substring(key_bits, cast(bitmap_bit_position(key_place) div 8 as int) + 1, 1), 'ISO-8859-1')"))
-    has = F.coalesce(
-        F.expr("bitmap_bit_position(key_place) % 8").cast("int").isNotNull()
-        & (F.shiftright(byte, F.expr("cast(bitmap_bit_position(key_place) % 8 as int)")).bitwiseAND(F.lit(1)) == 1),
-        F.lit(False),
-    ) & F.col(column).isNotNull()
+    byte = "ascii(decode(substring(key_bits, cast(bitmap_bit_position(key_place) div 8 as int) + 1, 1), 'ISO-8859-1'))"
+    has = F.expr(f"coalesce(shiftright({byte}, cast(bitmap_bit_position(key_place) % 8 as int)) & 1 = 1, false)")
+    has = has & F.col(column).isNotNull()
     return with_bits.where(~has if negate else has).select(*[F.col(f"`{c}`") for c in columns])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.llm import chat, html_cut, secret_scan, simhash, toxicity
+from hedgerow.llm import chat, decontaminate, html_cut, secret_scan, simhash, toxicity
 from hedgerow.llm.common import staged, table
 
 
@@ -85,6 +85,13 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of the secrets in every document."""
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -127,6 +134,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_html_extract": op7_html_extract,
+    "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
 }
