@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.llm import chat, decontaminate, html_cut, secret_scan, simhash, toxicity
+from hedgerow.llm import bpe, chat, decontaminate, html_cut, secret_scan, simhash, toxicity
 from hedgerow.llm.common import staged, table
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = [hashlib.sha256(np.asarray(ids.values, "<u4").tobytes()).hexdigest() for ids in batch.column("ids")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("ids").value_lengths().cast(pa.int64()), pa.array(digests), batch.column("decoded")],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded"],
+        )
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Digests of every document's token ids and of the text that they decode to."""
+    tokenizer = bpe.read_tokenizer(tokenizer_path or public_tokenizers.path(TOKENIZER))
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    back = bpe.decode(encoded, tokenizer)
+    digests = back.mapInArrow(_ids_digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded string")
+    return digests.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all conversations' examples, read back from the formatted texts."""
     planted = spark.sql(
@@ -131,6 +158,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op3_chat_format": op3_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_html_extract": op7_html_extract,
