@@ -216,10 +216,11 @@ def train(pages: DataFrame, html_column: str = "html", sample: int = 300) -> tup
     A block under a telling element or name is an example of boilerplate, one under a content element of content;
     others are not used.
     """
-    picked = (
-        pages.where(F.col(html_column).isNotNull()).select(F.col(html_column).alias("h"))
-        .select("h", F.xxhash64("h").alias("o")).orderBy("o").limit(sample).select("h").collect()
-    )
+    hashed = pages.where(F.col(html_column).isNotNull()).select(F.col(html_column).alias("h"), F.xxhash64(html_column).alias("o"))
+    smallest = hashed.select("o").orderBy("o").limit(sample).agg(F.max("o")).first()[0]  # numbers alone meet on the driver
+    if smallest is None:
+        return DEFAULT_WEIGHTS
+    picked = hashed.where(F.col("o") <= smallest).groupBy("o").agg(F.min("h").alias("h")).orderBy("o").select("h").collect()
     rows, labels = [], []
     for (page,) in picked:
         blocks = blocks_of(page)
