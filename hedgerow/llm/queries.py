@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.llm import bpe, chat, decontaminate, html_cut, secret_scan, simhash, toxicity
+from hedgerow.llm import bpe, chat, decontaminate, html_cut, jaccard, secret_scan, simhash, toxicity
 from hedgerow.llm.common import staged, table
 
 
@@ -36,6 +36,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None)
     return digests.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents under links of 4-word shingle sets with a similarity of 0.85."""
+    return jaccard.components_of(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, num=85, den=100)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all conversations' examples, read back from the formatted texts."""
     planted = spark.sql(
@@ -159,6 +164,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_jaccard": op2_jaccard,
     "op3_chat_format": op3_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_html_extract": op7_html_extract,
