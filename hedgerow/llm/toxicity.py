@@ -230,7 +230,7 @@ def _logistic(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def fit(texts: list[str], labels: list[int], *, landmarks: int = 300, negatives: int = 20_000, rounds: int = 3, seed: int = 5) -> Model:
+def fit(texts: list[str], labels: list[int], *, landmarks: int = 250, negatives: int = 20_000, rounds: int = 3, seed: int = 5) -> Model:
     """The machine from labelled texts (1 toxic, 0 not)."""
     y = np.array(labels)
     if len(y) == 0 or y.min() == y.max():
@@ -244,24 +244,21 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = 300, negatives:
         df[label, bag] += 1
     n0, n1 = (y == 0).sum(), (y == 1).sum()
 
-    # log odds of subsequences over documents of either kind
-    characters, lengths, word = _pieces(distinct)
+    # log odds of subsequences over the documents' words, a chunk of words at a time
     seen = np.zeros((2, 1 << TABLE_BITS))
-    places = [place for place, _, _ in _subsequences(characters)]
-    reals = [real for _, real, _ in _subsequences(characters)]
-    first = np.full(len(names), -1)
-    first[word[::-1]] = np.arange(len(word))[::-1]
-    for bag, label in zip(bags, y, strict=True):
-        rows = first[bag]
-        own = np.unique(np.concatenate([place[rows][real[rows]] for place, real in zip(places, reals, strict=True)]))
-        seen[label, own] += 1
+    chunks = range(0, len(names), 20_000)
+    for begin in chunks:
+        characters, _, word = _pieces(distinct.slice(begin, 20_000))
+        for place, real, _ in _subsequences(characters):
+            for label in (0, 1):
+                times = np.broadcast_to(df[label, word + begin][:, None], place.shape)[real]
+                seen[label] += np.bincount(place[real], weights=times, minlength=1 << TABLE_BITS)
     odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
-    telling = np.zeros(len(names))
-    total = np.zeros(len(characters))
-    for (a, b, weight), place, real in zip(_STEPS, places, reals, strict=True):
-        total += weight * (odds[place] * real).sum(axis=1)
-    total /= _norm(lengths) * np.sqrt(np.maximum(lengths, 1))
-    np.maximum.at(telling, word, total)
+    telling = np.full(len(names), -np.inf)
+    for begin in chunks:
+        characters, lengths, word = _pieces(distinct.slice(begin, 20_000))
+        total = sum(weight * (odds[place] * real).sum(axis=1) for place, real, weight in _subsequences(characters))
+        np.maximum.at(telling, word + begin, total / (_norm(lengths) * np.sqrt(np.maximum(lengths, 1))))
     telling += np.log((df[1] + 0.5) / (n1 + 1)) - np.log((df[0] + 0.5) / (n0 + 1))
 
     # words that lean to toxic documents beyond chance (a bound on the binomial tail, over all words)
@@ -345,7 +342,7 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = 300, negatives:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 3_000,
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2_000,
 ) -> Model:
     """A machine from at most `sample` labelled documents of each kind (1 and 0), those of the smallest hash of their id.
 
