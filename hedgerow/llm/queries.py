@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.llm import bpe, chat, decontaminate, html_cut, jaccard, secret_scan, simhash, toxicity
+from hedgerow.llm import bpe, chat, decontaminate, html_cut, jaccard, licenses, secret_scan, simhash, token_counts, toxicity
+from hedgerow.functions.scratch import fresh_path
 from hedgerow.llm.common import staged, table
 
 
@@ -98,6 +99,39 @@ SELECT conv_id, count(*) AS n_turns,
 FROM summed GROUP BY conv_id
 """
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in the documents."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over all documents: inserts by words, revision to byte pairs, deletion of exact copies.
+
+    Each batch is sent twice; the second time changes nothing.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    tokenizer = bpe.read_tokenizer(public_tokenizers.path(TOKENIZER))
+    words, pairs = token_counts.word_count(F.col("text")), token_counts.bpe_count(tokenizer, spark)
+    counted = staged(
+        docs.select("doc_id", "source", "lang", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("key"),
+                    words.alias("words"), pairs(F.col("text")).alias("pairs")), "counts",
+    )
+    first = counted.groupBy("key").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, "key").where("doc_id != first")
+    version = TOKENIZER.removesuffix(".json")
+    state = fresh_path(spark, "token-counts")
+    batches = {
+        "1-insert": token_counts.inserts(counted, F.col("words"), token_counts.WORDS),
+        "2-revise": token_counts.revisions(counted, F.col("words"), token_counts.WORDS, F.col("pairs"), version),
+        "3-delete": token_counts.deletes(copies, F.col("pairs"), version),
+        "4-insert-words": token_counts.inserts(counted, F.col("words"), token_counts.WORDS),
+    }
+    for name, changes in batches.items():
+        token_counts.apply_batch(spark, state, name, changes)
+        token_counts.apply_batch(spark, state, name, changes)
+    return token_counts.totals(spark, state)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -166,6 +200,8 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
     "op3_chat_format": op3_chat_format,
+    "op4_license_scan": op4_license_scan,
+    "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_html_extract": op7_html_extract,
     "op8_decontaminate": op8_decontaminate,
