@@ -184,6 +184,8 @@ class Model:
     bias: float
     slope: float
     offset: float
+    #: What a text without words decides as: the least that a learnt word showed.
+    lowest: float
 
     def score(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -40, 40)))
@@ -191,9 +193,8 @@ class Model:
 
 #: Penalty of the machine, and the weight of changed and of clean examples against that of witnesses (1).
 RIDGE, CHANGED, CLEAN = 0.02, 0.3, 5.0
-#: What a text without words decides as, and the model where labels of one kind are missing.
-EMPTY_DECISION = -3.0
-FLAT = Model(np.zeros(1 << TABLE_BITS, np.float32), EMPTY_DECISION, 1.0, 0.0)
+#: The model where labels of one kind are missing.
+FLAT = Model(np.zeros(1 << TABLE_BITS, np.float32), -3.0, 1.0, 0.0, -3.0)
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
@@ -336,9 +337,10 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = 250, negatives:
         table[known] = (matrix[: len(known)] @ (whiten @ w[:-1])).astype(np.float32)
         decision = decide(distinct, table, float(w[-1])).astype(float)
         model = (table, float(w[-1]))
-    tops = np.array([decision[bag].max() if len(bag) else EMPTY_DECISION for bag in bags])
+    lowest = min((float(decision[bag].min()) for bag in bags if len(bag)), default=-3.0)
+    tops = np.array([decision[bag].max() if len(bag) else lowest for bag in bags])
     slope, offset = _logistic(tops, y.astype(float))
-    return Model(model[0], model[1], slope, offset)
+    return Model(model[0], model[1], slope, offset, lowest)
 
 
 def train(
@@ -386,12 +388,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 distinct, counts, codes = words_of(part.column(at))
-                top = np.full(part.num_rows, EMPTY_DECISION)
+                top = np.full(part.num_rows, machine.lowest)
                 if len(codes):
                     own = decide(distinct, machine.table, machine.bias)[codes]
                     full = np.flatnonzero(counts > 0)
                     starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
-                    top[full] = np.maximum(np.maximum.reduceat(own, starts[full]), EMPTY_DECISION)
+                    top[full] = np.maximum.reduceat(own, starts[full])
                 scores = machine.score(top)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*names, "toxicity"])
 
