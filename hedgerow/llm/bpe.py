@@ -6,9 +6,9 @@ order of place. The block's distinct words go to the partition of their hash, wh
 word is encoded once, whatever the number of blocks that hold it. The ids go back to the block, and the join by position
 puts them in the place of the numbers.
 
-What moves: for each word of a text, about two bytes, once; for each distinct word of a block, its letters and its ids,
-packed into one row for each block and partition. Texts never move. A plain join of (text, place, word) rows would move
-each word's letters and place twice.
+What is written or moves: for each word of a text about a byte and a half, once, to a table bucketed by block; for each
+distinct word of a block its letters and its ids, packed into one row for each block and partition. Texts never move. A
+plain join of (text, place, word) rows would move each word's letters and place twice.
 
 Decoding joins ids with the id-to-piece table (as many rows as the vocabulary, so it is broadcast and read as arrays) and
 joins a text's pieces in order; bytes that are not UTF-8 become U+FFFD, as the tokenizers library has it.
@@ -23,16 +23,19 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hedgerow.llm.common import staged
+from hedgerow.llm.common import staged_by
 
 #: Fixed value: the pattern by which byte-level tokenizers of this family split words.
 WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of a block; more texts make another block. A single longer text is a block of its own.
-BLOCK_WORDS = 6_000_000
+BLOCK_WORDS = 4_000_000
+#: Texts whose numbers are packed together.
+CHUNK_TEXTS = 256
 #: Words that a partition's table holds at a time; beyond, it begins anew (a word may then be encoded again).
 TABLE_WORDS = 2_000_000
 
@@ -85,10 +88,9 @@ def _expand(packed: bytes) -> bytes:
     return pa.decompress(packed[8:], decompressed_size=int(np.frombuffer(packed, np.uint64, 1)[0]), codec="zstd", asbytes=True)
 
 
-def _planes(numbers: np.ndarray) -> list[np.ndarray]:
-    """Low, middle and high bytes of word numbers, apart: frequent words have small numbers, so two are mostly zero."""
-    raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return [np.ascontiguousarray(raw[:, k]) for k in range(4)]
+def _planes(numbers: np.ndarray) -> bytes:
+    """Word numbers with all low bytes first and all high bytes last: frequent words have small numbers, so that packs well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def _numbers(planes: bytes) -> np.ndarray:
@@ -97,65 +99,67 @@ def _numbers(planes: bytes) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, words: Column, keep: Sequence[str], buckets: int) -> DataFrame:
-    """Rows of two kinds: a block's texts as word numbers (bucket null), and its distinct words by bucket."""
+    """Rows of two kinds: a block's texts as word numbers (bucket null), and its distinct words by bucket.
+
+    A row of the first kind has CHUNK_TEXTS texts: their numbers' planes in `packed`, the numbers' counts in `sizes`, and
+    the kept columns as arrays. Words are numbered by falling frequency.
+    """
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], words.alias("__words"))
-    kept_fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     schema = T.StructType([
         T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("packed", T.BinaryType()),
-        *kept_fields,
+        T.StructField("sizes", T.ArrayType(T.IntegerType())), *[T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in keep],
     ])
+    width = len(keep)
 
-    def emit(batches: list[pa.RecordBatch], block: str) -> Iterator[pa.RecordBatch]:
-        lists = pa.chunked_array([b.column(len(keep)) for b in batches]).combine_chunks()
+    def batch_of(block: str, bucket: pa.Array, packed: list[bytes], sizes: pa.Array, kept: list[pa.Array]) -> pa.RecordBatch:
+        n = len(packed)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block] * n, pa.string()), bucket, pa.array(packed, pa.binary()), sizes, *kept], names=schema.names
+        )
+
+    def texts(block: str, batch: pa.RecordBatch, numbers: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        for begin in range(0, len(sizes), CHUNK_TEXTS):
+            end = min(begin + CHUNK_TEXTS, len(sizes))
+            whole = pa.array([0, end - begin], pa.int32())
+            yield batch_of(
+                block, pa.nulls(1, pa.int32()), [_squeeze(_planes(numbers[ends[begin]: ends[end]]))],
+                pa.ListArray.from_arrays(whole, pa.array(sizes[begin:end].astype(np.int32))),
+                [pa.ListArray.from_arrays(whole, batch.column(k).slice(begin, end - begin)) for k in range(width)],
+            )
+
+    def emit(batch: pa.RecordBatch, block: str) -> Iterator[pa.RecordBatch]:
+        lists = batch.column(width)
         encoded = lists.flatten().dictionary_encode()
         numbers = encoded.indices.to_numpy(zero_copy_only=False)
-        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
         names = encoded.dictionary.to_pylist()
-        order = np.argsort(-np.bincount(numbers, minlength=len(names)), kind="stable") if len(names) else np.zeros(0, int)
-        place = np.empty(len(names), np.int64)
-        place[order] = np.arange(len(names))
-        planes = _planes(place[numbers])
-        ends = np.cumsum(counts)
-        texts = [b"".join(p[e - c: e].tobytes() for p in planes) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-        kept = [pa.chunked_array([b.column(k) for b in batches]).combine_chunks() for k in range(len(keep))]
-        n = len(texts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * n), pa.nulls(n, pa.int32()), pa.array(texts, pa.binary()), *kept], names=schema.names
-        )
-        ordered = [names[i] for i in order.tolist()]
-        of = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in ordered], np.int64)
-        by_bucket = np.argsort(of, kind="stable")
-        bounds = np.searchsorted(of[by_bucket], np.arange(buckets + 1))
-        numbered = []
-        for k in range(buckets):
-            own = by_bucket[bounds[k]: bounds[k + 1]]
-            if len(own):
-                own = sorted(own.tolist(), key=ordered.__getitem__)
-                places = _squeeze(np.array(own, "<u4").tobytes())
-                numbered.append((k, places, _pack_words([ordered[i] for i in own])))
-        n = len(numbered)
-        packed = [np.uint64(len(a)).tobytes() + a + b for _, a, b in numbered]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * n), pa.array([k for k, _, _ in numbered], pa.int32()), pa.array(packed, pa.binary()),
-             *[pa.nulls(n, c.type) for c in kept]], names=schema.names
+        order = np.argsort(-np.bincount(numbers, minlength=len(names)), kind="stable")
+        place = np.empty(len(names), np.uint32)
+        place[order] = np.arange(len(names), dtype=np.uint32)
+        yield from texts(block, batch, place[numbers], lists.value_lengths().to_numpy(zero_copy_only=False))
+        own: dict[int, list[tuple[str, int]]] = {}
+        for word, number in zip(names, place.tolist(), strict=True):
+            own.setdefault(xxhash.xxh64_intdigest(word.encode()) % buckets, []).append((word, number))
+        packed = []
+        for pairs in own.values():
+            pairs.sort()
+            numbered = _squeeze(_planes(np.array([n for _, n in pairs], np.uint32)))
+            packed.append(np.uint64(len(numbered)).tobytes() + numbered + _pack_words([w for w, _ in pairs]))
+        yield batch_of(
+            block, pa.array(list(own), pa.int32()), packed, pa.nulls(len(own), pa.list_(pa.int32())),
+            [pa.nulls(len(own), pa.list_(batch.column(k).type)) for k in range(width)],
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        held: list[pa.RecordBatch] = []
-        size = number = 0
+        partition, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            held.append(batch)
-            size += len(batch.column(len(keep)).flatten())
-            if size >= BLOCK_WORDS:
-                yield from emit(held, f"{context.partitionId()}-{number}")
-                held, size, number = [], 0, number + 1
-        if held:
-            yield from emit(held, f"{context.partitionId()}-{number}")
+            ends = np.cumsum(batch.column(width).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            begin = 0
+            while begin < batch.num_rows:
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + BLOCK_WORDS, side="right")))
+                yield from emit(batch.slice(begin, end - begin), f"{partition}-{number}")
+                begin, number = end, number + 1
 
     return rows.mapInArrow(work, schema)
 
@@ -189,8 +193,8 @@ def _encoded_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
                         table[word] = np.array(code.ids, "<u4").tobytes()
                 ids = [table[w] for w in own]
                 sizes = np.array([len(i) // 4 for i in ids], "<u4")
-                raw = _expand(numbers) + sizes.tobytes() + b"".join(ids)
-                answers.append(_squeeze(np.uint64(len(ids)).tobytes() + raw))
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                answers.append(_squeeze(np.uint64(len(ids)).tobytes() + _expand(numbers) + _planes(sizes) + _planes(flat)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.binary())], names=schema.names)
 
     return words.select("block", "packed", "bucket").repartition(buckets, "bucket").select("block", "packed").mapInArrow(work, schema)
@@ -206,11 +210,12 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[s
     """(keep..., ids): the token ids of every whole text, without special tokens added; one row for each row.
 
     A null or empty text has no ids; repeated rows are each given; a table without rows gives none. Columns not in `keep`
-    are left behind, `keep` may hold any names but block, bucket, packed and ids. `docs` has to give the same rows in the
+    are left behind, `keep` may hold any names but block, bucket, packed, sizes and ids. `docs` has to give the same rows in the
     same partitions when a lost task is run again, as a stored table does; the blocks are staged once in the shared folder.
     """
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = staged(_blocks(docs, split_words(F.col(text), _special_strings(tokenizer)), keep, buckets), "blocks")
+    blocks = _blocks(docs, split_words(F.col(text), _special_strings(tokenizer)), keep, buckets)
+    tagged = staged_by(blocks, "blocks", "block", buckets)  # texts are read by block again, and so need no shuffle
     answers = _encoded_words(tagged.where("bucket IS NOT NULL"), tokenizer, buckets)
     texts = tagged.where("bucket IS NULL").drop("bucket")
     fields = [docs.schema[c] for c in keep]
@@ -221,9 +226,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[s
         for answer in found.column("answer").to_pylist():
             raw = _expand(answer)
             n = int(np.frombuffer(raw, np.uint64, 1)[0])
-            numbers = np.frombuffer(raw, "<u4", n, 8)
-            sizes = np.frombuffer(raw, "<u4", n, 8 + 4 * n)
-            parts.append((numbers, sizes, np.frombuffer(raw, "<u4", int(sizes.sum()), 8 + 8 * n)))
+            numbers, sizes, ids = _numbers(raw[8: 8 + 4 * n]), _numbers(raw[8 + 4 * n: 8 + 8 * n]), _numbers(raw[8 + 8 * n:])
+            parts.append((numbers, sizes, ids))
         total = sum(len(p[0]) for p in parts)
         length, start = np.zeros(total, np.int64), np.zeros(total, np.int64)
         at = 0
@@ -233,15 +237,16 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[s
             at += len(ids)
         table = np.concatenate([p[2] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
         rows, sizes = [], []
-        for planes in own.column("packed").to_pylist():
-            numbers = _numbers(planes)
+        for packed, counts in zip(own.column("packed"), own.column("sizes"), strict=True):
+            numbers = _numbers(_expand(packed.as_py()))
             lengths = length[numbers]
-            ids = table[_lengths_to_places(lengths, start[numbers])]
-            rows.append(ids)
-            sizes.append(len(ids))
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else table))
-        return pa.Table.from_arrays([*[own.column(c) for c in keep], lists], names=[*keep, "ids"])
+            rows.append(table[_lengths_to_places(lengths, start[numbers])])
+            ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts.values.to_numpy())))]
+            sizes.append(np.diff(ends))
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+        kept = [own.column(c).combine_chunks().flatten() for c in keep]
+        return pa.Table.from_arrays([*kept, lists], names=[*keep, "ids"])
 
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(place, schema)
 
@@ -259,26 +264,19 @@ def piece_table(tokenizer: str) -> list[bytes]:
     return out
 
 
-def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """The rows with the text of their ids in column `into`, special tokens shown.
-
-    A null or empty row of ids gives an empty text; ids that the vocabulary lacks, and null ids, give nothing.
-    """
+def decoder(spark: SparkSession, tokenizer: str, ids: str = "ids", into: str = "decoded"):
+    """A function for mapInArrow: batches with a column of ids get one with their text, as the last column."""
     pieces = piece_table(tokenizer)
     lengths = np.array([*map(len, pieces), 0], np.int64)  # the last stands for ids that are not there
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    shared = rows.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), starts, lengths))
-    names = [c for c in rows.columns if c != into]
-    kept = rows.select(*[F.col(f"`{c}`") for c in names])
-    at = names.index(ids)
-    schema = T.StructType([*kept.schema.fields, T.StructField(into, T.StringType())])
+    shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), starts, lengths))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, begins, sizes = shared.value
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 batch = whole.slice(begin, 500)
-                lists = batch.column(at)
+                lists = batch.column(ids)
                 flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat[(flat < 0) | (flat >= len(sizes))] = len(sizes) - 1
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -286,6 +284,17 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decod
                 text = data[_lengths_to_places(size, begins[flat])].tobytes()
                 ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]
                 texts = [text[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                names = batch.schema.names
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, into])
 
-    return kept.mapInArrow(work, schema)
+    return work
+
+
+def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """The rows with the text of their ids in column `into`, special tokens shown.
+
+    A null or empty row of ids gives an empty text; ids that the vocabulary lacks, and null ids, give nothing.
+    """
+    kept = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != into])
+    schema = T.StructType([*kept.schema.fields, T.StructField(into, T.StringType())])
+    return kept.mapInArrow(decoder(rows.sparkSession, tokenizer, ids, into), schema)

@@ -25,6 +25,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def staged_by(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Like `staged`, bucketed by a column, so that grouping or joining by it shuffles the other side only.
+
+    The folder is an external table of the session's catalogue: dropping the table leaves the files.
+    """
+    spark, target = df.sparkSession, fresh_path(df.sparkSession, name)
+    table_name = f"{name}_{target.rsplit('-', 1)[1]}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", target).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 # ---------------------------------------------------------------------------------------------
 # Byte-wise words of Arrow text columns, without one Python object per word
 

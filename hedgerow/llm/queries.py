@@ -19,22 +19,23 @@ from hedgerow.llm.common import staged, table
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = [hashlib.sha256(np.asarray(ids.values, "<u4").tobytes()).hexdigest() for ids in batch.column("ids")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("ids").value_lengths().cast(pa.int64()), pa.array(digests), batch.column("decoded")],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded"],
-        )
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """Digests of every document's token ids and of the text that they decode to."""
     tokenizer = bpe.read_tokenizer(tokenizer_path or public_tokenizers.path(TOKENIZER))
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
-    back = bpe.decode(encoded, tokenizer)
-    digests = back.mapInArrow(_ids_digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded string")
-    return digests.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    decoded = bpe.decoder(spark, tokenizer)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decoded(batches):
+            ids = [hashlib.sha256(np.asarray(own.values, "<u4").tobytes()).hexdigest() for own in batch.column("ids")]
+            texts = [hashlib.sha256(text.as_py().encode()).hexdigest() for text in batch.column("decoded")]
+            sizes = batch.column("ids").value_lengths().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), sizes, pa.array(ids, pa.string()), pa.array(texts, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return encoded.mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
