@@ -58,21 +58,21 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     distinct = encoded.dictionary.cast(pa.large_string())
     sizes = pc.utf8_length(distinct).to_numpy(zero_copy_only=False)
-    single = sizes[codes] == 1 if len(codes) else np.zeros(0, bool)
     row = np.repeat(np.arange(len(counts)), counts)
+    full = sizes[codes] > 0 if len(codes) else np.zeros(0, bool)  # punctuation alone is no word, and does not break a run
+    codes, row = codes[full], row[full]
+    counts = np.bincount(row, minlength=len(counts))
+    single = sizes[codes] == 1 if len(codes) else np.zeros(0, bool)
     extra: dict[int, list[str]] = {}
     if single.sum() >= 4:
-        # empty tokens (punctuation alone) do not break a run
-        real = np.flatnonzero(sizes[codes] > 0)
-        s, r = single[real], row[real]
-        new = np.ones(len(real), bool)
-        new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
+        new = np.ones(len(codes), bool)
+        new[1:] = (row[1:] != row[:-1]) | (single[1:] != single[:-1])
         heads = np.flatnonzero(new)
-        runs = np.diff(np.append(heads, len(real)))
+        runs = np.diff(np.append(heads, len(codes)))
         names = None
-        for head, run in zip(heads[s[heads] & (runs >= 4)], runs[s[heads] & (runs >= 4)], strict=True):
+        for head, run in zip(heads[single[heads] & (runs >= 4)], runs[single[heads] & (runs >= 4)], strict=True):
             names = names if names is not None else distinct.to_pylist()
-            extra.setdefault(int(r[head]), []).append("".join(names[codes[k]] for k in real[head: head + run]))
+            extra.setdefault(int(row[head]), []).append("".join(names[k] for k in codes[head: head + run]))
     if extra:
         joined = sorted({w for ws in extra.values() for w in ws})
         at = {w: len(distinct) + i for i, w in enumerate(joined)}
@@ -192,7 +192,7 @@ class Model:
 
 
 #: Penalty of the machine, and the weight of changed and of clean examples against that of witnesses (1).
-RIDGE, CHANGED, CLEAN = 0.02, 0.3, 5.0
+RIDGE, CHANGED, CLEAN = 0.02, 0.3, 15.0
 #: The model where labels of one kind are missing.
 FLAT = Model(np.zeros(1 << TABLE_BITS, np.float32), -3.0, 1.0, 0.0, -3.0)
 
