@@ -124,7 +124,7 @@ def spaced_words(column: pa.Array) -> tuple[Words, int]:
 # ---------------------------------------------------------------------------------------------
 # A filter of bounded size that lets all wanted keys pass, and few others
 
-_FILTER_BITS = 26
+_FILTER_BITS = 24
 
 
 def _filter_place(key) -> F.Column:
@@ -132,7 +132,7 @@ def _filter_place(key) -> F.Column:
 
 
 def key_filter(keys: DataFrame, column: str) -> DataFrame:
-    """Bitmaps of the keys: at most 2,048 rows of 4 KB (2**26 bits), whatever the number of keys."""
+    """Bitmaps of the keys: at most 513 rows of 4 KB (2**24 bits), whatever the number of keys."""
     place = _filter_place(F.col(column)).alias("place")
     return (
         keys.where(F.col(column).isNotNull()).select(place)
@@ -146,7 +146,7 @@ def may_have(df: DataFrame, column: str, bitmaps: DataFrame, negate: bool = Fals
     """Rows whose key may be among the keys of `key_filter` (all that are, and few that are not).
 
     `negate` gives the others: rows whose key is surely none of them; a null key is one of those.
-    The forced broadcast is bounded by 8 MB.
+    The forced broadcast is bounded by 2 MB; with more keys than bits all rows pass, and the exact join that follows does the work.
     """
     place = _filter_place(F.col(column))
     columns = df.columns

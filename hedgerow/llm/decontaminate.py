@@ -239,8 +239,8 @@ def _hits(docs: DataFrame, text: str, marks: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1_000):
-                rows = list(part_hits(batch.column(0).slice(begin, 1_000), shared.value))
+            for begin in range(0, batch.num_rows, 250):
+                rows = list(part_hits(batch.column(0).slice(begin, 250), shared.value))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

@@ -159,7 +159,7 @@ _SIGNATURES = T.StructType([
     T.StructField("size", T.LongType()),
 ])
 #: Texts that one pass of array operations holds.
-_TEXTS = 1_000
+_TEXTS = 250
 
 
 def _signatures(docs: DataFrame, node: str, text: str, width: int, num: int, den: int) -> DataFrame:

@@ -385,8 +385,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, 250):
+                part = batch.slice(begin, 250)
                 distinct, counts, codes = words_of(part.column(at))
                 top = np.full(part.num_rows, machine.lowest)
                 if len(codes):
