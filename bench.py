@@ -23,7 +23,10 @@ from hedgerow.sources.tables import read_table
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, f"{sf}/documents.parquet", "doc_id", "text").select(
+    return read_table(
+        spark, f"{sf}/documents.parquet", "doc_id", "text",
+        partitions=spark.sparkContext.defaultParallelism,
+    ).select(
         F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py")).alias("path"),
         F.col("text").alias("content"),
     )

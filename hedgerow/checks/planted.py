@@ -245,7 +245,7 @@ def _files_columns(spark: bool) -> list[str]:
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """(path, length, content, doc_id): every document as a file with eight lines of our own."""
-    documents = read_table(spark, f"{sf}/documents.parquet", "doc_id", "text")
+    documents = read_table(spark, f"{sf}/documents.parquet", "doc_id", "text", partitions=_cores(spark))
     return documents.selectExpr(*_files_columns(spark=True))
 
 
@@ -274,7 +274,7 @@ def _pages_columns(spark: bool) -> list[str]:
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """(page_id, url, html): every page with a tail of our own."""
-    stored = read_table(spark, f"{sf}/pages.parquet", "page_id", "url", "html")
+    stored = read_table(spark, f"{sf}/pages.parquet", "page_id", "url", "html", partitions=_cores(spark))
     return stored.selectExpr(*_pages_columns(spark=True))
 
 
@@ -395,10 +395,15 @@ _URL = "'https://s' || user_id % 7 || '.example.com' || e.endpoint"
 _BODY = "e.body || ' ' || event_type || ' ' || props"
 
 
+def _cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as a captured response."""
     events = read_table(
-        spark, f"{sf}/events.parquet", "event_id", "user_id", "event_type", "props"
+        spark, f"{sf}/events.parquet", "event_id", "user_id", "event_type", "props",
+        partitions=_cores(spark),
     ).selectExpr("*", f"{_exchange(spark=True)} AS e")
     return events.selectExpr(
         "event_id AS resp_id", "e.endpoint", f"{_URL} AS url", "e.method", "e.parameter",

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hedgerow.catalogue import noise as catalogue_noise
 from hedgerow.catalogue import web
 from hedgerow.catalogue.categories import CATEGORY_PATTERNS
 from hedgerow.checks import planted, sql
@@ -50,6 +51,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# What a live scan leaves out of scripts.
+CUTS = {"min_chars": catalogue_noise.MIN_LINE_CHARS, "skip_minified": True}
+
+
 # --- sources -------------------------------------------------------------------------------------
 
 
@@ -57,7 +62,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     "s1_source_tree",
     "WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS raw FROM documents) "
     f"SELECT lang, count(*) AS lines, CAST(sum(length({sql.strip('raw')})) AS BIGINT) AS chars "
-    f"FROM l WHERE {sql.strip('raw')} <> '' GROUP BY lang",
+    "FROM l GROUP BY lang",
 )
 def _(spark, sf):
     root = fresh_path(spark, "tree")
@@ -65,19 +70,21 @@ def _(spark, sf):
         "maxRecordsPerFile", 200
     ).text(root)
     files = tree.read_tree(spark, root, extensions=(".txt",), hidden=False)
-    rows = lines.numbered_lines(files, "path", newline_only=True).filter(F.col("text") != "")
+    rows = lines.numbered_lines(files, "path", newline_only=True)
     lang = F.regexp_extract("path", r"^lang=([^/]*)/", 1).alias("lang")
     return rows.groupBy(lang).agg(
-        F.count("*").alias("lines"), F.sum(F.length("text")).cast("bigint").alias("chars")
+        # each written file ends in a line end, after which there is one more empty line
+        (F.count("*") - F.count_distinct("path")).alias("lines"), F.sum(F.length("text")).cast("bigint").alias("chars")
     )
 
 
 @check(
     "s2_decode",
-    "SELECT doc_id, md5(replace(text, chr(65533), '') || 'tail') AS digest FROM documents",
+    "SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN chr(65533) WHEN 1 THEN chr(57344) ELSE '' END || text || 'tail') AS digest FROM documents",
 )
 def _(spark, sf):
-    broken = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFC3")), F.encode(F.lit("tail"), "UTF-8"))
+    head = F.expr("CASE doc_id % 3 WHEN 0 THEN '\ufffd' WHEN 1 THEN '\ue000' ELSE '' END")
+    broken = F.concat(F.encode(F.concat(head, "text"), "UTF-8"), F.unhex(F.lit("FFC3")), F.encode(F.lit("tail"), "UTF-8"))
     decoded = table(spark, sf, "documents").select("doc_id", text.decode_utf8(broken).alias("t"))
     return decoded.select("doc_id", F.md5("t").alias("digest"))
 
@@ -444,7 +451,7 @@ def _(spark, sf):
     f"SELECT * FROM ({sql.mode_counts(mode, rules.mode_patterns(mode))})" for mode in rules.MODES
 ))
 def _(spark, sf):
-    found = extract.mode_matches(planted.files(spark, sf), "path")
+    found = extract.mode_matches(planted.files(spark, sf), "path", **CUTS)
     counts = found.groupBy("mode").agg(F.count("*").alias("matches"))
     sizes = rules.mode_table(spark).groupBy("mode", "severity").agg(F.count("*").alias("patterns"))
     return sizes.join(counts, "mode", "left").select(
@@ -480,12 +487,11 @@ _RESPONSES = f"WITH {planted.RESPONSES_SQL}, {sql.LIVE} "
 
 @check(
     "j5_live_endpoints",
-    _RESPONSES + "SELECT resp_id, endpoint FROM responses SEMI JOIN live_strict USING (site, endpoint) "
-    "WHERE payload IS NOT NULL",
+    _RESPONSES + "SELECT resp_id, endpoint FROM responses SEMI JOIN live_strict USING (site, endpoint)",
 )
 def _(spark, sf):
     captured = planted.responses(spark, sf)
-    probes = captured.filter(F.col("payload").isNotNull()).withColumn("site", urls.site(F.col("url")))
+    probes = captured.withColumn("site", urls.site(F.col("url")))
     live = responses.live_endpoints(captured)
     return probes.join(live, ["site", "endpoint"], "left_semi").select("resp_id", "endpoint")
 
@@ -563,7 +569,7 @@ def _(spark, sf):
 @check("m4_find_all", sql.find_all_lines(rules.mode_patterns("2"), script=True))
 def _(spark, sf):
     return extract.find_all_in_lines(
-        planted.files(spark, sf), "path", patterns=rules.mode_patterns("2"), script=True
+        planted.files(spark, sf), "path", patterns=rules.mode_patterns("2"), script=True, **CUTS
     ).select("path", "line", "pat_ord", "match_pos", "value")
 
 
@@ -571,9 +577,12 @@ def _(spark, sf):
 def _(spark, sf):
     sited = planted.pages(spark, sf).withColumn("site", urls.site(F.col("url")))
     matches = extract.find_all_in_lines(
-        sited, "page_id", "site", "url", patterns=rules.mode_patterns("1"), content="html"
+        sited, "page_id", "site", "url", patterns=rules.mode_patterns("1"), content="html",
+        min_chars=catalogue_noise.MIN_LINE_CHARS,
     )
-    return extract.endpoint_candidates(matches, "site", base_url="site").select(
+    return extract.endpoint_candidates(
+        matches, "site", base_url="site", longer_than=extract.MIN_ENDPOINT_CHARS
+    ).select(
         "site", "value", "line", "pat_ord", "full_url"
     )
 
@@ -803,7 +812,7 @@ def _(spark, sf):
 
 @check("a24_signatures", sql.signatures())
 def _(spark, sf):
-    requests = planted.responses(spark, sf).filter(F.col("payload").isNotNull()).withColumn(
+    requests = planted.responses(spark, sf).withColumn(
         "request", F.concat_ws(" ", "method", "url", "payload")
     )
     return lookups.signature_matches(requests, "resp_id", text="request")
@@ -812,16 +821,16 @@ def _(spark, sf):
 # --- scalar functions -------------------------------------------------------------------------------------------
 
 
-@check("f1_risk", _FINDINGS + f"SELECT event_id, category, ({sql.risk('category')})[1] AS severity, CAST(({sql.risk('category')})[2] AS INTEGER) AS confidence FROM findings WHERE category IS NOT NULL")
+@check("f1_risk", _FINDINGS + f"SELECT event_id, category, ({sql.risk('category')})[1] AS severity, CAST(({sql.risk('category')})[2] AS INTEGER) AS confidence FROM findings")
 def _(spark, sf):
-    rows = planted.findings(spark, sf).filter(F.col("category").isNotNull())
+    rows = planted.findings(spark, sf)
     found = risk.risk(F.col("category"))
     return rows.select("event_id", "category", found["severity"].alias("severity"), found["confidence"].alias("confidence"))
 
 
-@check("f2_risk_score", _FINDINGS + f"SELECT event_id, {sql.score('severity', 'confidence')} AS risk_score FROM findings WHERE severity IS NOT NULL")
+@check("f2_risk_score", _FINDINGS + f"SELECT event_id, {sql.score('severity', 'confidence')} AS risk_score FROM findings")
 def _(spark, sf):
-    rows = planted.findings(spark, sf).filter(F.col("severity").isNotNull())
+    rows = planted.findings(spark, sf)
     return rows.select("event_id", risk.risk_score(F.col("severity"), F.col("confidence")).alias("risk_score"))
 
 
@@ -921,7 +930,15 @@ def _(spark, sf):
 
 
 XSS_IDS = ["reflected", "dom_sink", "parameter", "login_reflection"]
-_XSS = _RESPONSES + f", x AS ({sql.detections(XSS_IDS)}) "
+_XSS = _RESPONSES + (
+    f", hits AS ({sql.detections(XSS_IDS)}), x AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY site, "
+    f"endpoint, parameter, payload ORDER BY list_position({XSS_IDS}, detector), resp_id) = 1) "
+)
+
+
+def _first_xss(captured):
+    """Findings of the XSS detectors, without repeats of a (site, endpoint, parameter, payload)."""
+    return findings.deduplicate_xss(responses.detect(captured, XSS_IDS), "detector_ord", "resp_id")
 
 
 @check(
@@ -934,7 +951,7 @@ _XSS = _RESPONSES + f", x AS ({sql.detections(XSS_IDS)}) "
 def _(spark, sf):
     captured = planted.responses(spark, sf)
     tested = captured.filter(F.col("payload").isNotNull()).select("endpoint", "parameter")
-    return reports.xss_summary(responses.detect(captured, XSS_IDS), tested)
+    return reports.xss_summary(_first_xss(captured), tested)
 
 
 @check(
@@ -957,7 +974,7 @@ _TAKEN = f"({sql.scanned_extension('path')} AND NOT {sql.noise_path('path')} AND
 )
 def _(spark, sf):
     files = planted.files(spark, sf)
-    return reports.scan_counters(tree.scan_counts(files), matchers.rule_matches(files))
+    return reports.scan_counters(tree.scan_counts(files, catalogue_noise.MAX_FILE_BYTES), matchers.rule_matches(files))
 
 
 @check(
@@ -982,7 +999,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = planted.findings(spark, sf).withColumn("finding_id", F.lit(None).cast("string"))
-    return reports.listing(rows, "event_id")
+    return reports.listing(rows, "event_id", rows=reports.LISTING_ROWS)
 
 
 @check(
@@ -993,7 +1010,7 @@ def _(spark, sf):
     "(ORDER BY detector, resp_id) - 1 AS n FROM x)",
 )
 def _(spark, sf):
-    found = responses.detect(planted.responses(spark, sf), XSS_IDS)
+    found = _first_xss(planted.responses(spark, sf))
     return reports.xss_listing(
         findings.with_running_ids(found, "XSS", "detector", "resp_id", width=3)
     )
@@ -1016,11 +1033,13 @@ def _(spark, sf):
 
 @check(
     "o5_keep_first",
-    _RESPONSES + "SELECT endpoint, parameter, payload, resp_id, status FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY endpoint, parameter, payload ORDER BY resp_id) AS rn FROM responses) WHERE rn = 1",
+    _RESPONSES + "SELECT site, endpoint, parameter, payload, resp_id, status FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY site, endpoint, parameter, payload ORDER BY resp_id) AS rn FROM responses) WHERE rn = 1",
 )
 def _(spark, sf):
-    rows = planted.responses(spark, sf).select("endpoint", "parameter", "payload", "resp_id", "status")
+    rows = planted.responses(spark, sf).select(
+        urls.site(F.col("url")).alias("site"), "endpoint", "parameter", "payload", "resp_id", "status"
+    )
     return findings.deduplicate_xss(rows, "resp_id")
 
 

@@ -704,8 +704,8 @@ def signatures() -> str:
     )
     return (
         f"WITH {RESPONSES_SQL}, s(family, sig_ord, signature) AS (VALUES {items}) SELECT resp_id, "
-        "family, CAST(sig_ord AS INTEGER) AS sig_ord, signature FROM responses, s WHERE payload IS "
-        "NOT NULL AND contains(method || ' ' || url || ' ' || payload, signature)"
+        "family, CAST(sig_ord AS INTEGER) AS sig_ord, signature FROM responses, s WHERE "
+        "contains(concat_ws(' ', method, url, payload), signature)"
     )
 
 

@@ -89,9 +89,17 @@ def split_newlines_sql(text: str) -> str:
 def decode_utf8(content: Column) -> Column:
     """Bytes to text, leaving out what is not UTF-8.
 
-    Bytes that spell U+FFFD themselves are left out too: they cannot be told from the marks.
+    A U+FFFD that the bytes spell themselves stays. It is written as two private-use characters while
+    the marks of broken bytes are taken out; the first of them, where the bytes hold it, is doubled.
     """
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+    text = content.cast("string")
+    doubled = F.replace(text, F.lit("\ue000"), F.lit("\ue000\ue000"))
+    kept = F.replace(doubled, F.lit("\ufffd"), F.lit("\ue000\ue001"))
+    valid = F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit(""))
+    return F.when(
+        F.contains(text, F.lit("\ufffd")) | F.contains(text, F.lit("\ue000")),
+        F.regexp_replace(F.regexp_replace(valid, "(?<!\ue000)((?:\ue000\ue000)*)\ue000\ue001", "$1\ufffd"), "\ue000\ue000", "\ue000"),
+    ).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
 
 
 def percent_encode(text: Column) -> Column:

@@ -14,7 +14,7 @@ from hedgerow.functions.urls import drop_trailing_slashes
 from hedgerow.operators.lines import candidate_lines
 from hedgerow.operators.rules import MODES, mode_patterns
 from hedgerow.operators.noise import (
-    is_build_artifact, is_minified, is_short_line, is_skipped_script_line,
+    is_build_artifact, is_minified, is_skipped_script_line,
 )
 
 # Secrets looked for in one page, in order.
@@ -36,7 +36,7 @@ SITE_SECRETS = (
     ("Private Key", r"BEGIN\s+(?:RSA|DSA|EC|OPENSSH)\s+PRIVATE\s+KEY"),
     ("Webhook Secret", r"""webhook_secret[_\s]*[:=][_\s]*["\']([^"\']+)["\']"""),
 )
-# Shortest endpoint kept is one character longer than this.
+# Fixed value: endpoints of a live scan are longer than this.
 MIN_ENDPOINT_CHARS = 3
 
 
@@ -72,31 +72,35 @@ def find_all(texts: DataFrame, *keys: str, content: str, patterns) -> DataFrame:
 
 
 def find_all_in_lines(
-    texts: DataFrame, *keys: str, patterns, content: str = "content", script: bool = False
+    texts: DataFrame, *keys: str, patterns, content: str = "content", script: bool = False,
+    min_chars: int = 0, skip_minified: bool = False,
 ) -> DataFrame:
-    """(keys, line, text, pat_ord, match_pos, value) over lines of at least ten characters.
+    """(keys, line, text, pat_ord, match_pos, value) over the lines of the texts.
 
-    For scripts, minified files and module or console lines are left out as well.
+    Lines of fewer than `min_chars` characters are left out. For scripts, so are module and console
+    lines and, with `skip_minified`, minified files.
     """
     patterns = list(patterns)
-    if script:
+    if script and skip_minified:
         texts = texts.filter(~is_minified(F.col(content)))
     lines = candidate_lines(
         texts, *keys, patterns=patterns, content=content, newline_only=True
-    ).filter(~is_short_line(F.col("text")))
+    )
+    if min_chars:
+        lines = lines.filter(F.length("text") >= min_chars)
     if script:
         lines = lines.filter(~is_skipped_script_line(F.col("text")))
     return _exploded(lines, _find_all_sql("text", "folded", patterns), *keys, "line", "text")
 
 
-def mode_matches(texts: DataFrame, *keys: str, content: str = "content") -> DataFrame:
+def mode_matches(texts: DataFrame, *keys: str, content: str = "content", **cuts) -> DataFrame:
     """(mode, keys, line, text, pat_ord, match_pos, value): script lines against all scan modes.
 
-    The patterns of all modes are matched in one pass; a match then belongs to each mode that has
+    `cuts` are those of `find_all_in_lines`. The patterns of all modes are matched in one pass; a match then belongs to each mode that has
     its pattern, a lookup in a table of a few patterns.
     """
     patterns = mode_patterns("7")
-    found = find_all_in_lines(texts, *keys, patterns=patterns, content=content, script=True)
+    found = find_all_in_lines(texts, *keys, patterns=patterns, content=content, script=True, **cuts)
     modes = [[m for m in MODES if p in mode_patterns(m)] for p in patterns]
     lists = ", ".join("array(" + ", ".join(sql_text(m) for m in ms) + ")" for ms in modes)
     return found.select(
@@ -105,11 +109,14 @@ def mode_matches(texts: DataFrame, *keys: str, content: str = "content") -> Data
 
 
 def endpoint_candidates(
-    matches: DataFrame, *site: str, base_url: str, file: str | None = None
+    matches: DataFrame, *site: str, base_url: str, file: str | None = None, longer_than: int = 0
 ) -> DataFrame:
-    """Values that look like a path, once per site: the first by (file, line, pattern, match)."""
+    """Values that look like a path, once per site: the first by (file, line, pattern, match).
+
+    Values of `longer_than` characters or fewer are left out.
+    """
     paths = matches.filter(
-        (F.length("value") > MIN_ENDPOINT_CHARS) & F.startswith(F.col("value"), F.lit("/"))
+        (F.length("value") > longer_than) & F.startswith(F.col("value"), F.lit("/"))
     ).withColumn("snippet", preview(F.col("text"), 200))
     order = ([file] if file else []) + ["line", "pat_ord", "match_pos"]
     carry = [*order[:-1], "snippet", base_url]

@@ -84,8 +84,8 @@ def keep_first(findings: DataFrame, keys, *order: str) -> DataFrame:
 
 
 def deduplicate_xss(findings: DataFrame, *order: str) -> DataFrame:
-    """First finding per (endpoint, parameter, payload)."""
-    return keep_first(findings, ["endpoint", "parameter", "payload"], *order)
+    """First finding per (site, endpoint, parameter, payload)."""
+    return keep_first(findings, ["site", "endpoint", "parameter", "payload"], *order)
 
 
 def likely_real(findings: DataFrame) -> DataFrame:

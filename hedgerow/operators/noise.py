@@ -37,8 +37,9 @@ def is_noise_path(path: str) -> Column:
     )
 
 
-def fits_size_cap(length: Column) -> Column:
-    return length <= noise.MAX_FILE_BYTES
+def fits_size_cap(length: Column, max_bytes: int | None = noise.MAX_FILE_BYTES) -> Column:
+    """Whether a file is scanned for its size; without a cap every file is."""
+    return F.lit(True) if max_bytes is None else length <= max_bytes
 
 
 def has_content(content: Column) -> Column:

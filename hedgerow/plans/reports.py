@@ -104,31 +104,29 @@ def scan_counters(counts: DataFrame, findings: DataFrame) -> DataFrame:
     return counts.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
 
 
-def listing(findings: DataFrame, *order: str, rows: int = LISTING_ROWS) -> DataFrame:
-    """The first hundred findings with shortened fields."""
+def listing(findings: DataFrame, *order: str, rows: int | None = None) -> DataFrame:
+    """Findings with shortened fields, in order: all of them, or the first `rows`."""
     place = F.coalesce(F.col("file"), F.lit(""))
     place = F.when(
         F.coalesce(F.col("line"), F.lit(0)) > 0,
         F.concat(place, F.lit(":"), F.col("line").cast("string")),
     ).otherwise(place)
     short = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("N/A")), 1, n)
-    return (
-        findings.orderBy(*order)
-        .limit(rows)
-        .select(
-            short("finding_id", 6).alias("id"),
-            F.coalesce(F.col("severity"), F.lit("MEDIUM")).alias("severity"),
-            short("category", 10).alias("category"),
-            F.substring(place, 1, 23).alias("location"),
-            short("description", 48).alias("description"),
-        )
+    shown = findings.orderBy(*order)
+    return (shown if rows is None else shown.limit(rows)).select(
+        short("finding_id", 6).alias("id"),
+        F.coalesce(F.col("severity"), F.lit("MEDIUM")).alias("severity"),
+        short("category", 10).alias("category"),
+        F.substring(place, 1, 23).alias("location"),
+        short("description", 48).alias("description"),
     )
 
 
 def xss_listing(findings: DataFrame) -> DataFrame:
-    """Cross-site scripting findings with shortened fields, in id order."""
+    """Cross-site scripting findings with shortened fields, in order of the id's number."""
+    number = F.regexp_extract("finding_id", r"(\d+)$", 1).try_cast("bigint")
     short = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("N/A")), 1, n).alias(c)
-    return findings.orderBy("finding_id").select(
+    return findings.orderBy(number, "finding_id").select(
         F.substring("finding_id", 1, 6).alias("id"), short("technique", 16),
         short("endpoint", 13), short("parameter", 10), short("payload", 33),
         F.concat(F.coalesce("confidence", F.lit(0)).cast("string"), F.lit("%")).alias("confidence"),

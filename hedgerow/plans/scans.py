@@ -14,7 +14,7 @@ from hedgerow.operators.extract import (
     discovered_endpoints, endpoint_candidates, find_all_in_lines, page_secrets, site_secrets,
 )
 from hedgerow.operators.findings import (
-    category_prefix, conform, stamped, union_findings, with_running_ids,
+    category_prefix, conform, deduplicate_xss, stamped, union_findings, with_running_ids,
 )
 from hedgerow.operators.lookups import owasp
 from hedgerow.operators.matchers import match_files
@@ -37,13 +37,21 @@ FRAMEWORK_DETECTORS = (
 )
 
 
-def scan_tree(spark: SparkSession, root: str, rules=None, hidden: bool = True) -> DataFrame:
-    """Findings in the files below the root. Patterns that do not compile are left out.
+def scan_tree(
+    spark: SparkSession, root: str, rules=None, hidden: bool = True, max_bytes: int | None = None
+) -> DataFrame:
+    """Findings in the files below the root. Patterns that do not compile are left out;
+    `rejected_patterns` gives them. Files of any size are scanned unless `max_bytes` is given.
 
     `hidden` files need a file system that pyarrow can open; the others only one Spark can.
     """
     accepted, _ = accept_rules(spark, stock_rules() if rules is None else rules)
-    return stamped(match_files(read_scanned(spark, root, hidden), accepted))
+    return stamped(match_files(read_scanned(spark, root, hidden, max_bytes), accepted))
+
+
+def rejected_patterns(spark: SparkSession, rules=None) -> DataFrame:
+    """The patterns that a scan with these rules leaves out, with the reason."""
+    return accept_rules(spark, stock_rules() if rules is None else rules)[1]
 
 
 def _verified(candidates: DataFrame, responses: DataFrame, mode: str, name: str, file: str,
@@ -190,8 +198,8 @@ def scan_web(
         prefix = F.upper(F.substring("category", 1, 3))
         parts.append(_identified(prefix, _placed_detections(detect(responses, MODE_DETECTORS[mode]))))
     if mode == "6":
-        found = _placed_detections(detect(responses, MODE_DETECTORS[mode]))
-        parts.append(_identified("XSS", found, width=3))
+        once = deduplicate_xss(detect(responses, MODE_DETECTORS[mode]), "detector_ord", "resp_id")
+        parts.append(_identified("XSS", _placed_detections(once), width=3))
     if mode == "7":
         parts.append(scan_framework(pages, responses))
     return stamped(union_findings(*parts))

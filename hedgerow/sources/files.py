@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.catalogue.noise import MAX_FILE_BYTES, SCAN_EXTENSIONS, SKIP_DIRS
+from hedgerow.catalogue.noise import SCAN_EXTENSIONS, SKIP_DIRS
 from hedgerow.functions.text import decode_utf8
 from hedgerow.operators.noise import (
     fits_size_cap, has_content, has_scanned_extension, in_skipped_dir, is_noise_path, relative_path,
@@ -61,30 +61,32 @@ def read_tree(
     )
 
 
-def scanned(files: DataFrame) -> DataFrame:
-    """Files (path, length, content) that a scan looks into."""
+def scanned(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files (path, length, content) that a scan looks into; larger ones than `max_bytes` are left out if it is given."""
     return files.filter(
         has_scanned_extension(F.col("path"))
         & ~is_noise_path("path")
-        & fits_size_cap(F.col("length"))
+        & fits_size_cap(F.col("length"), max_bytes)
         & has_content(F.col("content"))
     )
 
 
-def read_scanned(spark: SparkSession, root: str, hidden: bool = True) -> DataFrame:
+def read_scanned(
+    spark: SparkSession, root: str, hidden: bool = True, max_bytes: int | None = None
+) -> DataFrame:
     """Files of a source tree that a scan looks into."""
     return scanned(
-        read_tree(spark, root, SCAN_EXTENSIONS, MAX_FILE_BYTES, hidden, prune=True)
+        read_tree(spark, root, SCAN_EXTENSIONS, max_bytes, hidden, prune=True), max_bytes
     )
 
 
-def scan_counts(files: DataFrame) -> DataFrame:
+def scan_counts(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(scanned, skipped) over listed files (path, length); contents are not read."""
     open_dirs = files.filter(~in_skipped_dir(F.col("path")))
     taken = (
         has_scanned_extension(F.col("path"))
         & ~is_noise_path("path")
-        & fits_size_cap(F.col("length"))
+        & fits_size_cap(F.col("length"), max_bytes)
     )
     return open_dirs.agg(
         F.count_if(taken).alias("scanned"), F.count_if(~taken).alias("skipped")

@@ -5,17 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small source before heavy work on each row.
+def read_table(spark: SparkSession, path: str, *columns: str, partitions: int | None = None) -> DataFrame:
+    """Columns of a Parquet table, dealt to `partitions` if a number is given.
 
-    A large table has far more partitions than the cluster has cores and is passed through as it
-    is; only a table of a few files is shuffled.
+    A table of few row groups and heavy work on each row gains from it; others are read as they lie.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Columns of a Parquet table, spread over the cores if it is small."""
     table = spark.read.parquet(path)
-    return spread(table.select(*columns) if columns else table)
+    table = table.select(*columns) if columns else table
+    return table.repartition(partitions) if partitions else table

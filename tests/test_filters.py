@@ -144,14 +144,15 @@ def test_likely_real_emits_twice(spark):
 
 def test_ids_dedup_and_union(spark):
     rows = spark.createDataFrame(
-        [(3, "SQL Injection", "/a", "q", "p"), (1, "XSS", "/a", "q", "p"), (2, "XSS", "/b", None, "p")],
-        "n int, category string, endpoint string, parameter string, payload string",
+        [(3, "SQL Injection", "s", "/a", "q", "p"), (1, "XSS", "s", "/a", "q", "p"), (2, "XSS", "s", "/b", None, "p"),
+         (4, "XSS", "t", "/a", "q", "p")],
+        "n int, category string, site string, endpoint string, parameter string, payload string",
     )
     ids = findings.with_running_ids(rows, findings.category_prefix(), "n", width=3)
-    assert {r.n: r.finding_id for r in ids.collect()} == {1: "XSS-000", 2: "XSS-001", 3: "SQL -002"}
-    assert {r.n for r in findings.deduplicate_xss(rows, "n").collect()} == {1, 2}
+    assert {r.n: r.finding_id for r in ids.collect()} == {1: "XSS-000", 2: "XSS-001", 3: "SQL -002", 4: "XSS-003"}
+    assert {r.n for r in findings.deduplicate_xss(rows, "n").collect()} == {1, 2, 4}
     both = findings.union_findings(rows, rows)
-    assert both.count() == 6 and both.schema == findings.FINDINGS_SCHEMA
+    assert both.count() == 8 and both.schema == findings.FINDINGS_SCHEMA
 
 
 def test_lookups(spark):

@@ -103,7 +103,10 @@ def test_lines_and_candidates(spark):
         ("s", "u", "0123456789 /v2/q"),
     ], "site string, url string, content string")
     patterns = ["/api/", r"/v\d+/"]
-    plain = extract.find_all_in_lines(rows, "site", "url", patterns=patterns)
+    every = extract.find_all_in_lines(rows, "site", "url", patterns=["or[t]"])
+    assert [r.line for r in every.collect()] == [1]
+    plain = extract.find_all_in_lines(rows, "site", "url", patterns=patterns, min_chars=10)
+    assert extract.find_all_in_lines(rows, "site", "url", patterns=["or[t]"], min_chars=10).count() == 0
     assert sorted((r.line, r.pat_ord, r.match_pos, r.value) for r in plain.collect()) == [
         (1, 1, 0, "/v2/"), (2, 0, 0, "/api/"), (2, 0, 1, "/api/"), (3, 0, 0, "/api/"),
         (4, 1, 0, "/v1/"), (4, 1, 1, "/v2/"),

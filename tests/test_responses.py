@@ -142,7 +142,8 @@ def test_listing(spark):
         [(i, f"AS-IAM-{i}", "category long", "some/long/path/to/a/file.py", i, "d" * 60) for i in range(150)],
         "n int, finding_id string, category string, file string, line int, description string",
     ).withColumn("severity", F.lit(None).cast("string"))
-    got = reports.listing(rows, "n").collect()
+    assert reports.listing(rows, "n").count() == 150
+    got = reports.listing(rows, "n", rows=reports.LISTING_ROWS).collect()
     assert len(got) == 100
     assert tuple(got[0]) == ("AS-IAM", "MEDIUM", "category l", "some/long/path/to/a/fil", "d" * 48)
 

@@ -98,7 +98,7 @@ def root(tmp_path_factory):
 
 
 def test_tree_scan(spark, root):
-    got = {(r.file, r.line, r.name) for r in scans.scan_tree(spark, root).collect()}
+    got = {(r.file, r.line, r.name) for r in scans.scan_tree(spark, root, max_bytes=MAX_FILE_BYTES).collect()}
     assert got == {
         ("src/app.py", 2, "Dynamic Code Execution"), ("src/UP.PY", 1, "Dynamic Code Execution"),
         ("src/s.js", 1, "DOM XSS - Unsafe DOM Manipulation"),
@@ -106,7 +106,7 @@ def test_tree_scan(spark, root):
         ("src/_parts/.x/p.py", 2, "Dynamic Code Execution"),
         (".github/workflows/ci.yml", 1, "Hardcoded Tokens in CI/CD"),
     }
-    counts = tree.scan_counts(tree.read_tree(spark, root)).first()
+    counts = tree.scan_counts(tree.read_tree(spark, root), MAX_FILE_BYTES).first()
     # node_modules, .git and _next are not entered; blank.py is read, and empty.
     assert (counts.scanned, counts.skipped) == (7, 5)
 
