@@ -265,6 +265,9 @@ PAGE_TAILS = (
     "<form action=\"\"></form><form action=\"/search?q=1\"></form><a href=\"/deep/er/path;v=1?a=b\">d</a>",
     "<script src=\"/static/style.css\"></script><script>var API_KEY = 'page-key-1';</script>",
     "<script>\nvar u = \"/api/v1/long/line\";\nsk-abcdefghijklmnopqrstuvwx\n</script>",
+    "<a title=\"a>b\" href=\"/kept/one\">k</a><a data-x='>' class=y href='/kept/two'>k</a><form name='f>g' action=\"/kept/form\"></form>"
+    "<script data-q=\">\" src=\"/kept/file.js\"></script><b title='>' data-url=\"/kept/data\"></b>",
+    "<script><!-- fetch(\"/api/kept\") //--></script><!-- <script>fetch('/api/hidden')</script> --><script title='>'>go('/login')</script>",
 )
 
 

@@ -338,7 +338,9 @@ _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def _attribute(tag: str, name: str, alias: str) -> str:
-    pattern = rf"<{tag}(?:[\s/][^>]*?)?\s{name}\s*=\s*{_VALUE}"
+    # RE2 has no lookahead: a blank or slash, or nothing before the blank of the name
+    inner = rf"""(?:[\s/](?:[^>"']*(?:"[^"]*"|'[^']*'))*?[^>"']*?)?"""
+    pattern = rf"<{tag}{inner}\s{name}\s*=\s*{_VALUE}"
     raw = "regexp_replace(v, '^[\"''](.*)[\"'']$', '\\1', 's')"
     return (
         f"(SELECT page_id, url, CAST(generate_subscripts(vs, 1) - 1 AS INTEGER) AS pos, "
@@ -372,12 +374,14 @@ def _script_endpoints() -> str:
     return f"list_filter({parts}, lambda e: starts_with(e, '/'))"
 
 
-_SCRIPT_TAG = r"<script\b([^>]*)>(.*?)</script\s*>"
+_IN_TAG = r"""(?:"[^"]*"|'[^']*'|[^>"'])*"""
+_SCRIPT_TAG = rf"<script\b({_IN_TAG})>(.*?)</script\s*>"
+_SCRIPT_OR_COMMENT = rf"(<script\b{_IN_TAG}>.*?</script\s*>)|<!--.*?-->"
+_SCRIPT_BODY = rf"(<script\b{_IN_TAG}>).*?</script\s*>"
 PAGE_PARTS = (
-    "clean AS (SELECT page_id, url, rtrim(url, '/') AS base, regexp_replace(html, '<!--.*?-->', '', "
-    "'gs') AS html FROM planted), "
-    "marked AS (SELECT page_id, url, base, regexp_replace(html, "
-    "'(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'gis') AS markup FROM clean), "
+    "clean AS (SELECT page_id, url, rtrim(url, '/') AS base, "
+    f"regexp_replace(html, {quote(_SCRIPT_OR_COMMENT)}, '\\1', 'gis') AS html FROM planted), "
+    f"marked AS (SELECT page_id, url, base, regexp_replace(html, {quote(_SCRIPT_BODY)}, '\\1', 'gis') AS markup FROM clean), "
     f"hrefs AS (SELECT * FROM {_attribute('a', 'href', 'href')}), "
     f"targets AS (SELECT page_id, url, {_resolved(strip('href'))} AS link FROM "
     "(SELECT *, rtrim(url, '/') AS base FROM hrefs)), "

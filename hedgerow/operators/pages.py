@@ -2,8 +2,8 @@
 
 Accepted HTML: tags and attribute names in any case; attribute values in double quotes, single
 quotes or bare; comments and script bodies hold no tags. Character references in attribute values
-are decoded for the names in `functions.text.ENTITIES`. A tag whose quoted attribute holds `>` is
-cut there, which a tolerant parser would not do.
+are decoded for the names in `functions.text.ENTITIES`. A quoted attribute may hold `>`, and a comment
+mark inside a script belongs to the script.
 
 What a page names is worked out inside the page's row, as arrays, and repeats within the page go
 there too: one narrow pass over the pages for all kinds. Only what has to be distinct across pages is
@@ -23,9 +23,13 @@ from hedgerow.functions.text import fold_sql, let_sql, sql_text, strip_sql, unes
 from hedgerow.operators.lookups import risky_parameter_sql
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_COMMENTS = r"(?s)<!--.*?-->"
-_SCRIPTS = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
-_SCRIPT_BODIES = r"(?is)(<script\b[^>]*>).*?</script\s*>"
+# Up to a quoted attribute and over it; what is left of a tag after the last one.
+_OVER_QUOTED, _UNQUOTED = r"""[^>"']*+(?:"[^"]*+"|'[^']*+')""", r"""[^>"']*"""
+_TAG_REST = f"(?:{_OVER_QUOTED})*+{_UNQUOTED}+"
+# Comments, and scripts whole, in page order.
+_COMMENTS = rf"(?is)(<script\b{_TAG_REST}>.*?</script\s*>)|<!--.*?-->"
+_SCRIPTS = rf"(?is)<script\b({_TAG_REST})>(.*?)</script\s*>"
+_SCRIPT_BODIES = rf"(?is)(<script\b{_TAG_REST}>).*?</script\s*>"
 
 # Endpoint patterns in inline scripts, in order; the last group is the endpoint.
 SCRIPT_ENDPOINT_PATTERNS = (
@@ -46,7 +50,7 @@ SCRIPT_ENDPOINT_PATTERNS = (
 
 
 def _attribute(tag: str, name: str) -> str:
-    return rf"(?is)<{tag}(?=[\s/])[^>]*?\s{name}\s*=\s*{_VALUE}"
+    return rf"(?is)<{tag}(?=[\s/])(?:{_OVER_QUOTED})*?{_UNQUOTED}?\s{name}\s*=\s*{_VALUE}"
 
 
 def _values(pattern: str, word: str) -> str:
@@ -70,7 +74,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
     too."""
     clean = pages.select(
         "page_id", "url", F.rtrim("url", F.lit("/")).alias("base"),
-        F.regexp_replace("html", _COMMENTS, "").alias("clean"),
+        F.regexp_replace("html", _COMMENTS, "$1").alias("clean"),
     )
     return clean.withColumn("markup", F.regexp_replace("clean", _SCRIPT_BODIES, "$1"))
 
