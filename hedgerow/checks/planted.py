@@ -330,6 +330,10 @@ EXCHANGES = (
     ("/search", "GET", "id", "' UNION SELECT NULL--", 2, 500, None, None, "ORA-00933 raised"),
     ("/login", "GET", "id", "admin' --", 4, 200, None, None, "Logged in as: ann"),
     ("/login", "GET", "id", "' OR 1=1--", 1, 200, None, None, "Logged in as: bob query"),
+    ("/login", "GET", "id", "' UNION SELECT NULL--", 2, 500, None, None, "SQL syntax near NULL"),
+    ("/login", "GET", "id", "' OR '1'='1", 0, 500, None, None, "SQLite says no"),
+    ("/search", "GET", "user", "<script>alert(1)</script>", 0, 200, None, None, "<script>alert(1)</script>"),
+    ("/search", "GET", "search", "<script>alert(1)</script>", 0, 200, None, None, "<script>alert(1)</script>"),
     ("/api/graphql", "GET", "id", "'; DROP TABLE users--", 3, 500, None, None, "where clause"),
     ("/search", "GET", "id", "admin' --", 4, 200, None, None, "all fine"),
     ("/search", "GET", "q", "{{7*7}}", 0, 200, None, None, "result 49"),

@@ -664,6 +664,19 @@ _DETECTIONS = {
 }
 
 
+_DETECTIONS["reflected"]["first"] = (
+    f"list_position([{', '.join(map(quote, _QUICK))}], payload), "
+    "list_position(['q', 'search', 'query', 'id', 'page', 'user'], parameter), "
+)
+# The probes of a site's login end at the first bypass.
+_DETECTIONS["database_error"]["where"] += (
+    " AND NOT (endpoint = '/login' AND (site, endpoint) IN (SELECT (site, endpoint) FROM live_lax) AND (site, payload_ord) IN "
+    "(SELECT (l.site, l.payload_ord) FROM responses l JOIN (SELECT site, min(payload_ord) AS bypass FROM responses WHERE "
+    "method = 'GET' AND parameter = 'id' AND endpoint = '/login' AND contains(body, 'Logged in as:') GROUP BY site) m "
+    "ON l.site = m.site AND l.payload_ord > m.bypass))"
+)
+
+
 def _detection(id: str) -> str:
     d = _DETECTIONS[id]
     scope = ", ".join(["site", *d["scope"]])

@@ -210,6 +210,10 @@ def _first_signature() -> str:
     return f"CASE {cases} END"
 
 
+def _place(column: str, values) -> str:
+    return f"array_position(array({', '.join(map(sql_text, values))}), {column})"
+
+
 _REFLECTED = reflected_sql()
 _SCRIPT = sql_text(QUICK_PAYLOADS[0])
 _JWT = f"regexp_extract(body, {sql_text(JWT_PATTERN)}, 0)"
@@ -224,6 +228,8 @@ DETECTORS: tuple[Detector, ...] = (
         f"{_in('parameter', QUICK_PARAMETERS)} AND {_in('payload', QUICK_PAYLOADS)} "
         f"AND {_REFLECTED}",
         "Reflected XSS", 95, live="strict",
+        # payload by payload, and for each parameter by parameter, whatever the order of capture
+        rank_sql=f"{_place('payload', QUICK_PAYLOADS)} * {len(QUICK_PARAMETERS)} + {_place('parameter', QUICK_PARAMETERS)}",
         endpoints=TARGETED_ENDPOINTS, method="GET",
     ),
     _xss(
@@ -493,13 +499,37 @@ def first_hits(found: DataFrame) -> DataFrame:
 def detect(responses: DataFrame, ids=None) -> DataFrame:
     """Findings of the named detectors (all by default), with `detector`, `site` and `resp_id`."""
     detectors = [BY_ID[i] for i in ids] if ids else list(DETECTORS)
-    found = first_hits(hits(responses, detectors))
+    found = _first_live(responses, detectors)
+    of_detector = _of_detector(detectors)
+    if BY_ID["database_error"] in detectors:
+        # a probe of the login ends at the first bypass of a site: what came after is not looked at
+        bypass = _first_live(responses, [BY_ID["login_bypass"]]).select(
+            F.col("site").alias("_site"), F.col("payload_ord").alias("_bypass")
+        )
+        number = detectors.index(BY_ID["database_error"])
+        late = (F.col("ord") == number) & (F.col("scope_endpoint") == "/login") & (F.col("payload_ord") > F.col("_bypass"))
+        found = (
+            found.join(bypass, F.col("site") == F.col("_site"), "left")
+            .filter(~F.coalesce(late, F.lit(False))).drop("_site", "_bypass")
+        )
+    return _as_findings(found, of_detector)
+
+
+def _of_detector(detectors):
+    """A value of each row's detector, as an expression."""
 
     def of_detector(value):
         items = ", ".join("CAST(NULL AS STRING)" if v is None else sql_text(v) if
                           isinstance(v, str) else str(v) for v in map(value, detectors))
         return F.expr(f"element_at(array({items}), ord + 1)")
 
+    return of_detector
+
+
+def _first_live(responses: DataFrame, detectors) -> DataFrame:
+    """First hits of each scope, where the endpoint is as live as the detector asks."""
+    found = first_hits(hits(responses, detectors))
+    of_detector = _of_detector(detectors)
     needs = of_detector(lambda d: d.live)
     wanted = {d.live for d in detectors} - {""}
     if wanted:
@@ -523,6 +553,10 @@ def detect(responses: DataFrame, ids=None) -> DataFrame:
         per_endpoint = of_detector(lambda d: int("endpoint" in d.scope)) == 1
         scope = F.when(per_endpoint, F.col("scope_endpoint")).otherwise(F.lit(""))
         found = first_hits(found.withColumn("scope_endpoint", scope))
+    return found
+
+
+def _as_findings(found: DataFrame, of_detector) -> DataFrame:
     shape = of_detector(lambda d: d.shape)
     probe = shape == "probe"
     category = of_detector(lambda d: d.category)
