@@ -12,7 +12,7 @@ and differ in at most m - 1 elements, differ by one element in one of any z othe
 neighbourhoods of its first 2 h segments instead, in which two sets that differ by one element meet. Sets that are hot in
 more than half of their segments (large groups of near copies) keep all signatures and index all deletions.
 
-Verification is exact, on the sets. What is wanted are components, so sets that are already connected need no comparison:
+Verification is exact: first the number of equal segments, which bounds the difference, then the sets themselves. What is wanted are components, so sets that are already connected need no comparison:
 first each set is compared with its most promising pivot (smallest set of a shared signature), then with all its pivots,
 smallest and largest, and last all remaining pairs of one signature whose components differ are compared. A group of
 thousands of near copies costs a few comparisons a set, not a pair each.
@@ -250,6 +250,37 @@ def _with_sets(rows: DataFrame, text: str, width: int, into: str) -> DataFrame:
 # The join
 
 
+def _profiles(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, size, many, own, every): a set's size, its own band's segments, and its shared signatures."""
+    largest = shared.agg(F.max("size")).first()[0] or 1
+    low, segments = bands(num, den, int(largest))  # as many as the logarithm of the largest size
+    band = F.size(F.filter(F.array(*map(F.lit, low.tolist())), lambda x: x <= F.col("size")))
+    return (
+        shared.groupBy("node").agg(
+            F.max("size").alias("size"), F.collect_set(F.when(F.col("size").isNull() & F.col("own"), F.col("signature"))).alias("own"),
+            F.collect_set(F.when(F.col("size").isNull(), F.col("signature"))).alias("every"),
+        )
+        .where("size(every) > 0").withColumn("many", F.element_at(F.array(*map(F.lit, segments.tolist())), band))
+    )
+
+
+def _promising(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and numbers of equal segments allow a link; none that links is lost.
+
+    Two sets that differ in d elements differ in at most d segments, and d is bounded by their sizes.
+    """
+    def side(name: str) -> DataFrame:
+        return profiles.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "many", "own", "every")])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    equal = F.when(F.col("size_a") <= F.col("size_b"), F.size(F.array_intersect("own_a", "every_b"))).otherwise(
+        F.size(F.array_intersect("own_b", "every_a")))
+    many = F.when(F.col("size_a") <= F.col("size_b"), F.col("many_a")).otherwise(F.col("many_b"))
+    allowed = F.floor((F.col("size_a") + F.col("size_b")) * (den - num) / F.lit(den + num))
+    near = F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num
+    return both.where(near & (equal >= many - allowed)).select("a", "b")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b) of the pairs whose sets are similar; `docs` has (node, text), one row a node."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
@@ -285,6 +316,8 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
     sizes = shared.where("size IS NOT NULL").select("node", "size")
     buckets = shared.where("size IS NULL")
 
+    profiles = staged(_profiles(shared, num, den), "profiles")
+
     # allocation
     hot_segments = (
         buckets.where(F.col("count") > hot).groupBy("node")
@@ -321,7 +354,7 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
         candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             candidates = _apart(candidates, labels).join(tried, ["a", "b"], "left_anti")
-        candidates = staged(candidates, "candidates")
+        candidates = staged(_promising(candidates, profiles, num, den), "candidates")
         tried = candidates if tried is None else tried.union(candidates)
         if candidates.isEmpty():
             continue
