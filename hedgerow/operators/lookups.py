@@ -71,13 +71,14 @@ def resolve_hosts(hosts: DataFrame, resolutions: DataFrame) -> DataFrame:
 def literal_presence(files: DataFrame, expected: DataFrame) -> DataFrame:
     """Expected literals (path, literal) with `found`: whether the file holds the literal.
 
-    A missing file counts as not found. Only the files named are looked at, and of each only the
-    answers leave the scan, not its content.
+    A missing file counts as not found. A file's literals are one array, so that its content meets
+    them in one row: it moves once at most (and not at all if the paths asked for are broadcast),
+    whatever their number, and only the answers go on.
     """
+    asked = expected.groupBy("path").agg(F.collect_set("literal").alias("_literals"))
     held = (
-        expected.join(files.select("path", "content"), "path")
-        .filter(F.contains(F.col("content"), F.col("literal")))
-        .select("path", "literal")
+        files.select("path", "content").join(asked, "path")
+        .select("path", F.explode(F.filter("_literals", lambda one: F.contains(F.col("content"), one))).alias("literal"))
         .distinct()
         .withColumn("_held", F.lit(True))
     )

@@ -80,19 +80,24 @@ def xss_summary(findings: DataFrame, tested: DataFrame) -> DataFrame:
 def endpoints_with_hit(endpoints: DataFrame, vulnerable: DataFrame) -> DataFrame:
     """(endpoint, hit): whether some vulnerable `endpoint:parameter` starts with the endpoint.
 
-    Every prefix of a vulnerable pair is a key, so this is an equi-join: as many rows as the pairs
-    have characters, and none for pairs no endpoint asks about.
+    A pair is cut at the lengths that endpoints have, and nowhere else; its cuts are keys of an
+    equi-join. The lengths are one row, as many numbers as endpoints have different lengths.
     """
+    asked = endpoints.select("endpoint").distinct()
+    lengths = asked.select(F.length("endpoint").alias("n")).distinct().agg(
+        F.collect_set("n").alias("_lengths")
+    )
     pairs = vulnerable.select(F.col("parameter").alias("_pair")).distinct()
-    prefixes = pairs.select(
+    prefixes = pairs.withColumn("_one", F.lit(1)).join(
+        F.broadcast(lengths.withColumn("_one", F.lit(1))), "_one"
+    ).select(
         F.explode(
             F.transform(
-                F.sequence(F.lit(0), F.length("_pair")),
+                F.filter("_lengths", lambda n: n <= F.length("_pair")),
                 lambda n: F.substring(F.col("_pair"), F.lit(1), n),
             )
         ).alias("endpoint")
     ).distinct()
-    asked = endpoints.select("endpoint").distinct()
     return asked.join(prefixes.withColumn("_hit", F.lit(True)), "endpoint", "left").select(
         "endpoint", F.coalesce("_hit", F.lit(False)).alias("hit")
     )
