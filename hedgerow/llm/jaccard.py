@@ -464,15 +464,23 @@ def _nameless_sizes(rows: DataFrame, key: Column, width: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of one document for each component: the one with the smallest id. Rows without an id stay.
+    """One document for each component: the one with the smallest id.
 
-    Only rows that a bitmap of the others' ids lets through are shuffled. Texts without words are not alike: all stay.
+    Of repeated rows of that id one stays, the smallest by its columns in order. Rows without an id stay, and so do texts
+    without words, which are like nothing. Only rows that a bitmap of copies' ids lets through are shuffled.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     found = components_of(docs, doc_id, text, **options)
-    others = staged(found.where("doc_id != component_id").select(F.col("doc_id").alias("other_id")).distinct(), "others")
-    bitmap = common.key_filter(others, "other_id")
-    keyed = docs.withColumn("other_id", F.col(doc_id).cast("long"))
-    sure = common.may_have(keyed, "other_id", bitmap, negate=True)
-    rest = common.may_have(keyed, "other_id", bitmap).join(others, "other_id", "left_anti")
-    return sure.select(*columns).unionByName(rest.select(*columns))
+    by_id = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("copy_id")).agg(
+        F.count("*").alias("copy_rows"), F.max("component_id").alias("copy_of")
+    )
+    copies = staged(by_id.where("copy_rows > 1 OR copy_id != copy_of"), "copies")
+    bitmap = common.key_filter(copies, "copy_id")
+    keyed = docs.select(F.struct(*columns).alias("copy_row"), F.col(doc_id).cast("long").alias("copy_id"))
+    sure = common.may_have(keyed, "copy_id", bitmap, negate=True).select("copy_row.*")
+    rest = common.may_have(keyed, "copy_id", bitmap).join(copies, "copy_id", "left")
+    single = rest.where("copy_rows IS NULL OR (copy_rows = 1 AND copy_id = copy_of)").select("copy_row.*")
+    repeated = (
+        rest.where("copy_rows > 1 AND copy_id = copy_of").groupBy("copy_id").agg(F.min("copy_row").alias("copy_row")).select("copy_row.*")
+    )
+    return sure.unionByName(single).unionByName(repeated)

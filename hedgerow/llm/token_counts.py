@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 KEYS = ("source", "lang", "version")
 _STATE = "source string, lang string, version string, n_docs bigint, n_tokens bigint"
@@ -110,10 +109,9 @@ def apply_batch(spark: SparkSession, state: str, batch: str, changes: DataFrame)
 def totals(spark: SparkSession, state: str) -> DataFrame:
     """(source, lang, version, n_docs, n_tokens) over all committed batches; keys that came to nothing are left out."""
     names = committed(spark, state)
-    schema = T._parse_datatype_string(_STATE)
     if not names:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(*[f"{state}/batches/{n}" for n in names])
+        return spark.createDataFrame([], _STATE)
+    rows = spark.read.schema(_STATE).parquet(*[f"{state}/batches/{n}" for n in names])
     return (
         rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         .where("n_docs != 0 OR n_tokens != 0")

@@ -78,8 +78,9 @@ def test_jaccard_of_odd_rows(documents):
     assert by_id[5] == by_id[3] == {(5, 3)} and by_id[7] == {(3, 7)} and by_id[None] == {(5, None), (0, None)}
     assert {c for _, c in by_id[9]} == {3}
     assert jaccard.components_of(documents([]), width=4, num=85, den=100).count() == 0
-    kept = jaccard.keep_one(documents([(1, long), (2, long), (3, "other words are here today"), (4, None), (None, long)], extra=True))
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 3, 4] and "signature" in kept.columns
+    rows = [(1, long), (2, long), (3, "other words are here today"), (3, "other words are here today"), (4, None), (None, long), (None, long)]
+    kept = jaccard.keep_one(documents(rows, extra=True))
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 3, 4] and "signature" in kept.columns
 
 
 def test_components_of_chains(spark):
