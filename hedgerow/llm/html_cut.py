@@ -94,9 +94,11 @@ def _telling(tag: str, attributes: str, above: Sequence[_Open]) -> tuple[int, in
         for value in _NAMES.findall(attributes):
             spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value.strip("\"'"))
             names.update(_WORD.findall(spaced.lower()))
-    boiler = tag in _BOILER_TAGS or bool(names & _BOILER_NAMES)
-    if tag == "header":
-        boiler = boiler or not any(o.tag in _CONTENT_TAGS for o in above)
+    inside = any(o.tag in _CONTENT_TAGS for o in above)
+    told = names & _BOILER_NAMES
+    if told == {"header"} and (inside or names & _CONTENT_NAMES):
+        told = set()  # such as `entry-header`
+    boiler = tag in _BOILER_TAGS or bool(told) or (tag == "header" and not inside)
     if tag in ("body", "html") or (tag in _CONTENT_TAGS and "comment" not in names):
         boiler = False
     return int(boiler), int(tag in _CONTENT_TAGS or (bool(names & _CONTENT_NAMES) and not boiler))
