@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -177,26 +175,22 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         .where("node != other").distinct(), "links",
     )
     labels = staged(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
+    none = F.lit(None).cast("long").alias("was")
     while True:
         heard = (
-            both.join(labels, both.other == labels.node).select(both.node, "component")
-            .union(labels.select("component", "component"))
-            .union(labels)
+            both.join(labels, both.other == labels.node).select(both.node, "component", none)
+            .union(labels.select("component", "component", none))
+            .union(labels.select("node", "component", F.col("component").alias("was")))
             # the node a label names hears of smaller labels, too
-            .union(both.join(labels, "node").select(F.col("component"), F.col("other")))
-            .groupBy("node").agg(F.min("component").alias("component"))
+            .union(both.join(labels, "node").select(F.col("component"), F.col("other"), none))
+            .groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was"))
         )
         jump = heard.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        now = (
+        now = staged(
             heard.join(jump, "component", "left")
-            .select("node", F.least("component", F.coalesce("further", "component")).alias("component"))
+            .select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was"), "labels",
         )
-        now = staged(now, "labels")
-        changed = now.join(labels.withColumnRenamed("component", "before"), "node").where("component != before")
-        if changed.isEmpty():
-            return now
-        labels = now
-
+        labels = now.select("node", "component")
+        if now.where("component != was").isEmpty():
+            return labels
 
-def integer_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("long") for n in names})

@@ -304,10 +304,11 @@ def _pairs(buckets: DataFrame, pivot: str) -> DataFrame:
     return others.join(pivots, "signature").where("a != node").select("a", F.col("node").alias("b"))
 
 
-def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(sizes, links) of `docs` (node, text), one row a node: (node, size), and enough links (a, b) for the components.
+def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes, links and components of `docs` (node, text), one row a node: (node, size), (a, b), (node, component).
 
-    Links are verified pairs of similar sets; every similar pair is linked, or connected by links.
+    Links are verified pairs of similar sets; every similar pair is linked, or connected by links. Nodes without a link
+    have no component.
     """
     docs = docs.select("node", "text")
     rows = _signatures(docs, "node", "text", width, num, den)
@@ -343,12 +344,12 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
     live = staged(cool.join(told, "signature").distinct(), "buckets")
 
     links = tried = labels = None
-    for number in range(4):
+    for number in range(3):
         if number == 0:
             times = _pairs(live, "min").groupBy("a", "b").agg(F.count("*").alias("times"))
             candidates = times.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"))
-        elif number < 3:
-            candidates = _pairs(live, "min" if number == 1 else "max")
+        elif number == 1:
+            candidates = _pairs(live, "min").union(_pairs(live, "max"))
         else:
             candidates = _remaining(_open(live, labels))
         candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -359,11 +360,13 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
         if candidates.isEmpty():
             continue
         found = staged(_verify(candidates, docs, width, num, den), "links")
-        links = found if links is None else links.union(found)
-        labels = common.components(links, "a", "b")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = common.components(links, "a", "b")
     if links is None:
         links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    return sizes, links
+        labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return sizes, links, labels
 
 
 def _remaining(buckets: DataFrame) -> DataFrame:
@@ -440,7 +443,7 @@ def components_of(
         .groupBy("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).agg(F.first("text").alias("text")).select("doc_id", "text")
     )
     texts = alone.union(once).withColumnRenamed("doc_id", "node")
-    sizes, links = similar_sets(texts, width, num, den, hot)
+    sizes, links, labels = similar_sets(texts, width, num, den, hot)
 
     # rows of one id with different texts belong together
     same_id = members.where("doc_id IS NOT NULL AND doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -448,7 +451,8 @@ def components_of(
     shown = sizes.groupBy("node").agg(F.max("size").alias("size"))
     empty = shown.where("size = 0").select("node")
     tied = same_id.join(empty.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b").join(repeated.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-    labels = common.components(links.union(tied), "a", "b")
+    if not repeated.isEmpty():
+        labels = common.components(links.union(tied), "a", "b")
     nameless = _nameless_sizes(rows, key, width)
     placed = members.join(shown, "node", "left").join(labels, "node", "left")
     own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
