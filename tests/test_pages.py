@@ -117,3 +117,23 @@ def test_lines_and_candidates(spark):
     assert {(r.value, r.line, r.full_url) for r in firsts} == {
         ("/api/", 2, "u/api/"), ("/v1/", 4, "u/v1/"), ("/v2/", 1, "u/v2/")
     }
+
+
+def test_quoted_marks_and_comment_marks(spark):
+    html = (
+        "<a title=\"a>b\" href=\"/one\">x</a><a data-x='>' href='/two'>y</a><form name='f>' action=\"/form\"></form>"
+        "<b title='>' data-url=\"/data\"></b><script data-q=\">\" src=\"/file.js\"></script>"
+        "<script><!-- fetch(\"/api/kept\") //--></script><!-- <script>fetch('/api/hidden')</script><a href='/no'>n</a> -->"
+    )
+    rows = spark.createDataFrame([(1, "http://h.example/", html)], "page_id bigint, url string, html string")
+    assert [r.link for r in pages.anchor_links(rows).collect()] == ["http://h.example/one", "http://h.example/two"]
+    assert [r.script for r in pages.script_files(rows).collect()] == ["http://h.example/file.js"]
+    assert [r.endpoint for r in pages.form_endpoints(rows).collect()] == ["/form"]
+    assert [r.endpoint for r in pages.data_url_endpoints(rows).collect()] == ["/data"]
+    assert {r.endpoint for r in pages.script_endpoints(rows).collect()} == {"/api/kept"}
+
+
+def test_long_tags_do_not_exhaust_the_stack(spark):
+    tag = "<a " + " ".join(f'data-{i}="{">" * 20}"' for i in range(300)) + " href='/far'>x</a>" + "<a " + "z" * 50_000
+    rows = spark.createDataFrame([(1, "http://h.example/", tag)], "page_id bigint, url string, html string")
+    assert [r.link for r in pages.anchor_links(rows).collect()] == ["http://h.example/far"]
