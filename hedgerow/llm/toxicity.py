@@ -206,7 +206,11 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
         short = np.maximum(1 - y * (x @ w), 0)
         active = short > 0
         gradient = penalty * w - x.T @ (weight * y * short)
-        curve = np.diag(penalty) + (x[active] * weight[active, None]).T @ x[active]
+        curve = np.diag(penalty)
+        rows = np.flatnonzero(active)
+        for begin in range(0, len(rows), 4_000):  # bounds memory
+            part = x[rows[begin: begin + 4_000]].astype(float)
+            curve += (part * weight[rows[begin: begin + 4_000], None]).T @ part
         step = np.linalg.solve(curve, gradient)
         w = w - step
         if np.abs(step).max() < 1e-5:
@@ -326,7 +330,7 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = 250, negatives:
             return out
 
         examples = positive + changed + [names[i] for i in negative]
-        x = np.concatenate((kernel(examples) @ whiten, np.ones((len(examples), 1))), axis=1)
+        x = np.concatenate((kernel(examples) @ whiten.astype(np.float32), np.ones((len(examples), 1), np.float32)), axis=1)
         often = np.sqrt(df[0, negative]) if len(negative) else np.ones(1)  # clean words of many documents count more
         target = np.concatenate((np.ones(len(positive) + len(changed)), -np.ones(len(negative))))
         weight = np.concatenate((
