@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and values in credential context by their guess cost.
 
 The base patterns (assign, access, hex) find what looks like a secret by form. The method adds spans of kind ``guess``:
-values in a wider credential context (``pwd:``, ``passphrase =``, ``auth ...``) whose cheapest explanation still takes many
+whole values in credential context (``password =``, ``pwd:``, ``passphrase is``) whose cheapest explanation still takes many
 guesses. The cost of a value is found by dynamic programming over its segmentations into words (by rank, with the usual
 letter substitutions and capitals), dates, repeats, keyboard walks, sequences and brute-force spans: the logarithm of the
 guesses, summed over the segments, with a charge for each further segment.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,12 +30,16 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so a run that is too sh
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "guess")
 
-# Credential contexts beyond the base pattern; the value may hold any visible character.
-_CONTEXT_WORDS = ("pwd", "passphrase", "passcode", "pass", "credential", "auth", "bearer", "private_key", "access_key",
-                  "client_key", "encryption_key", "pin")
+# Credential contexts, those of the base pattern too. A quoted value may hold any character of its line, blanks too; another
+# one any visible character up to a quote, comma, semicolon or the next parameter of a URL.
+_CONTEXT_WORDS = ("pwd", "pass", "credential", "auth", "bearer", "key", "pin", "secret", "token")
 _CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]+_)*(?:pwd|passphrase|passcode|pass|credentials?|auth|bearer|(?:private|access|client|encryption)_key|pin)"
-    r"[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"',;]+))", re.IGNORECASE | re.ASCII
+    r"(?:password|passwd|secret|token|api[_-]?key|secret[_-]?key|(?<![A-Za-z0-9])(?:pwd|passphrase|passcode|pass|credentials?|auth|bearer"
+    r"|(?:private|access|client|encryption)_key|pin))[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+)", re.IGNORECASE | re.ASCII
+)
+_VALUE = re.compile(
+    r"\"((?:[^\"\\\r\n]|\\[^\r\n])+)\"(?![A-Za-z0-9])|'((?:[^'\\\r\n]|\\[^\r\n])+)'(?![A-Za-z0-9])"
+    r"|[\"']?((?:[^\s\"',;&]|&(?![A-Za-z0-9_]+=))+)", re.ASCII
 )
 
 # Common words of passwords, most common first.
@@ -136,7 +140,7 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
+def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of the base patterns, by start and kind."""
     spans = []
     lower = text.lower()
@@ -148,16 +152,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans)
 
 
-def guessed_spans(text: str, least_cost: float, least_chars: int) -> list[tuple[int, int, str]]:
-    """Values in credential context that take at least 10 ** least_cost guesses."""
+def guessed_spans(text: str, least_cost: float, least_chars: int, base: Sequence[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
+    """Whole values in credential context that take at least 10 ** least_cost guesses.
+
+    A value that one of the `base` spans holds, to its end or to a last emoji, is a secret already and is not given again.
+    """
     lower = text.lower()
     if not any(word in lower for word in _CONTEXT_WORDS):
         return []
-    found = []
-    for m in _CONTEXT.finditer(text):
-        k = next(k for k in (1, 2, 3) if m[k] is not None)
-        if m.end(k) - m.start(k) >= least_chars and guess_cost(m[k]) >= least_cost:
-            found.append((m.start(k), 3, m.end(k)))
+    found: list[tuple[int, int, int]] = []
+    last = 0
+    for context in _CONTEXT.finditer(text):
+        if context.end() < last:
+            continue  # within the value of the context before, whose cost is not less
+        m = _VALUE.match(text, context.end())
+        if m is None:
+            continue
+        start, last = m.span(m.lastindex)
+        end = last
+        while end > start and text[end - 1] > "\x7f" and not text[end - 1].isalnum():
+            end -= 1
+        if any(a <= start and end <= b for a, _, b in base):
+            continue
+        if last - start >= least_chars and guess_cost(text[start:last]) >= least_cost:
+            found.append((start, 3, last))
     return found
 
 
@@ -186,7 +204,8 @@ def find_secrets(docs: DataFrame, text: str = "text", *, least_cost: float = 8.0
             for value in batch.column(at).to_pylist():
                 value = value or ""
                 rows = []
-                for start, kind, end in sorted(base_spans(value) + guessed_spans(value, least_cost, least_chars)):
+                base = base_spans(value)
+                for start, kind, end in sorted(base + guessed_spans(value, least_cost, least_chars, base)):
                     cost = None
                     if kind == 0:
                         cost = guess_cost(_ASSIGN.match(value, start)[2])

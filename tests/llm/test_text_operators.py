@@ -198,6 +198,22 @@ def test_secrets(spark, documents):
     assert secret_scan.find_secrets(documents([])).count() == 0
 
 
+CREDENTIALS = [
+    ('password = "P@ssw0rd!x9Qz"', 'password = "[SECRET]"'), ("secret: $Xy7#kQ9!pL", "secret: [SECRET]"),
+    ('SECRET_KEY = "k#8s0q!zz1x"', 'SECRET_KEY = "[SECRET]"'), ("my password is hunter2Xq9", "my password is [SECRET]"),
+    ('{"password": "tr0ub4dor&3xQ!"}', '{"[SECRET]"}'), ('passphrase = "correct horse battery staple" x', 'passphrase = "[SECRET]" x'),
+    ("api-key: 'a b\\'c#9!Qz' .", "api-key: '[SECRET]' ."), ('pwd = "k#8s0q!zz1x', 'pwd = "[SECRET]'),
+    ("password is secret: $Xy7#kQ9!pL", "password is secret: [SECRET]"), ("?token=abcdef!9Xq2Z&user=me", "?[SECRET]&user=me"),
+    ('password: "" and "', 'password: "" and "'), ("the pass is 'tis so and don't", "the pass is 'tis so and don't"),
+]
+
+
+def test_whole_values_of_all_credential_words(documents):
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(documents([text for text, _ in CREDENTIALS])).collect()}
+    assert [masked[i] for i in range(len(CREDENTIALS))] == [want for _, want in CREDENTIALS]
+    assert secret_scan.guessed_spans("secret=" * 50_000, 8.0, 6, [(0, 0, 350_000)]) == []
+
+
 def test_secret_digests(spark, tmp_path, documents):
     documents(SECRETS).write.parquet(f"{tmp_path}/documents.parquet")
     for row in queries.op9_secret_scan(spark, str(tmp_path)).collect():
