@@ -72,14 +72,14 @@ class Words:
     `start` and `end` are places in `data`, `row` is the text's number, `hash` a 64-bit hash of the bytes.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, inside: np.ndarray, folded: np.ndarray) -> None:
-        """`inside`: for each byte of `data`, whether it belongs to a word; `folded`: the bytes to hash."""
+    def __init__(self, data: np.ndarray, starts: np.ndarray, inside: np.ndarray, folded: np.ndarray, cut: np.ndarray | None = None) -> None:
+        """`inside`: for each byte of `data`, whether it belongs to a word; `folded`: the bytes to hash; `cut`: whether a new word begins."""
         first = inside.copy()
-        first[1:] &= ~inside[:-1]
+        first[1:] &= ~inside[:-1] if cut is None else ~inside[:-1] | cut[1:]
         heads = starts[:-1][starts[:-1] < starts[1:]]
         first[heads] = inside[heads]
         last = inside.copy()
-        last[:-1] &= ~inside[1:]
+        last[:-1] &= ~inside[1:] if cut is None else ~inside[1:] | cut[1:]
         tails = starts[1:][starts[:-1] < starts[1:]] - 1
         last[tails] = inside[tails]
         self.start = np.flatnonzero(first)

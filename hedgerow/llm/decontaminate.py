@@ -2,7 +2,8 @@
 
 A text becomes a row of canonical tokens: lower-case words, with numbers, units after numbers, and names (capitalised words
 that do not begin a sentence; neighbours are one) replaced by typed placeholders. A second view keeps names as words, so
-that a passage pasted into the middle of a sentence, or set in capitals, matches too. Windows of WINDOW tokens of the
+that a passage pasted into the middle of a sentence, or set in capitals, matches too. An item that these views could not find
+in an exact copy of itself (too few words or too many placeholders) is looked for as it is, without placeholders. Windows of WINDOW tokens of the
 benchmark are hash-joined with those of the documents; what the placeholders stand for is compared along the match: each
 value of an item has to go with one value of the document throughout. So a question with other numbers or names is found,
 and text that only has the same shape is not.
@@ -27,13 +28,17 @@ from pyspark.sql import types as T
 
 from hedgerow.llm import common
 
-#: Tokens of a window; an item of fewer tokens is one window, if it has SHORTEST.
+#: Tokens of a window; an item of fewer tokens is one window, without placeholders if it has fewer than SHORTEST.
 WINDOW, SHORTEST = 8, 5
 #: Words (not placeholders) that a window needs to count.
 LEAST_WORDS = 5
 #: A document is contaminated if this many tokens of an item are covered, or this share of them.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 
+#: The views of a text, and the words that a window needs in each.
+NAMES, NO_NAMES, RAW = VIEWS = (0, 1, 2)
+LEAST_OF_VIEW = (LEAST_WORDS, LEAST_WORDS, 0)
+
 UNITS = (
     "mm cm m km inch inches in ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons lb lbs pound pounds "
     "oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day "
@@ -53,6 +58,35 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
+#: Code points of scripts that are written without blanks: each is a word. Then those that belong to no word.
+_ALONE = ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x19E0), (0x1A20, 0x1AB0), (0x2E80, 0x2FE0), (0x3005, 0x3008),
+          (0x3040, 0x3130), (0x31A0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xA9E0, 0xAA00), (0xAA60, 0xAA80), (0xF900, 0xFB00),
+          (0xFF66, 0xFFA0))
+_APART = ((0x3000, 0x3005), (0x3008, 0x3040), (0xFF00, 0xFF10), (0xFF1A, 0xFF21), (0xFF3B, 0xFF41), (0xFF5B, 0xFF66))
+
+
+def _blankless(data: np.ndarray, inside: np.ndarray) -> np.ndarray | None:
+    """Where words begin or end besides the blanks; takes the punctuation of such scripts out of `inside`."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if len(lead) == 0:
+        return None
+    size = np.where(data[lead] >= 0xF0, 4, 3)
+    byte = [data[lead + k].astype(np.int64) & 63 for k in (1, 2)]
+    code = ((data[lead].astype(np.int64) & 15) << 12) | (byte[0] << 6) | byte[1]
+    kinds = [np.zeros(len(lead), bool), np.zeros(len(lead), bool)]
+    for kind, ranges in zip(kinds, (_ALONE, _APART), strict=True):
+        for begin, end in ranges:
+            kind |= (code >= begin) & (code < end)
+        kind &= size == 3
+    kinds[0] |= (data[lead] == 0xF0) & (byte[0] >= 32)  # ideographs of the further planes
+    for k in range(3):
+        inside[lead[kinds[1]] + k] = False
+    cut = np.zeros(len(data) + 1, bool)
+    cut[lead[kinds[0]]] = True
+    cut[(lead + size)[kinds[0]]] = True
+    return cut[:-1]
+
+
 @cache
 def _unit_hashes() -> np.ndarray:
     return np.sort(_words(pa.array(UNITS))[0].hash)
@@ -69,7 +103,8 @@ def _words(texts: pa.Array) -> tuple[common.Words, np.ndarray]:
             at = edges + shift
             at = at[(at >= 0) & (at < len(data))]
             inside[at] = _WORD_BYTE[data[at]]
-    return common.Words(data, starts, inside, common.LOWER[data]), data
+    cut = _blankless(data, inside)
+    return common.Words(data, starts, inside, common.LOWER[data], cut), data
 
 
 @dataclass
@@ -84,13 +119,13 @@ class Tokens:
     data: np.ndarray
 
 
-def canonical(texts: pa.Array, names: bool) -> Tokens:
-    """Tokens with placeholders; `names`: whether names are placeholders as well."""
+def canonical(texts: pa.Array, view: int) -> Tokens:
+    """Tokens of a view: with placeholders for names too, without those for names, or with none."""
     words, data = _words(texts)
     code = words.hash.copy()
     n = len(code)
-    if n == 0:
-        return Tokens(code, words.row, words.start, words.end, np.zeros(0, bool), data)
+    if n == 0 or view == RAW:
+        return Tokens(code, words.row, words.start, words.end, np.zeros(n, bool), data)
     number = _DIGIT[data[words.start]]
     after_number = np.zeros(n, bool)
     after_number[1:] = number[:-1] & (words.row[1:] == words.row[:-1])
@@ -100,7 +135,7 @@ def canonical(texts: pa.Array, names: bool) -> Tokens:
     slot = number | unit
     keep = np.ones(n, bool)
     end = words.end
-    if names:
+    if view == NAMES:
         # the last byte before the word that is neither a blank nor a quote
         opening = np.zeros(n, bool)
         opening[0] = True
@@ -120,7 +155,7 @@ def canonical(texts: pa.Array, names: bool) -> Tokens:
     return Tokens(code, words.row, words.start, end, slot, data)
 
 
-def windows(tokens: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(tokens: Tokens, size: int, view: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the window that begins at each token, and whether it is one: within a text, with enough words."""
     n = len(tokens.code) - size + 1
     if n <= 0:
@@ -129,7 +164,7 @@ def windows(tokens: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(size):
         total = total * np.uint64(0xD6E8FEB86659FD93) + tokens.code[k: k + n]
     slots = np.concatenate(([0], np.cumsum(tokens.slot)))
-    enough = size - (slots[size:] - slots[:-size])[:n] >= LEAST_WORDS
+    enough = size - (slots[size:] - slots[:-size])[:n] >= LEAST_OF_VIEW[view]
     return common.mix(total + np.uint64(size)), (tokens.row[size - 1:] == tokens.row[:n]) & enough
 
 
@@ -142,14 +177,13 @@ def _slots(tokens: Tokens, at: int, size: int) -> list[dict]:
 
 _SLOTS = T.ArrayType(T.StructType([T.StructField("o", T.IntegerType()), T.StructField("v", T.StringType())]))
 _ARROW_SLOTS = pa.list_(pa.struct([("o", pa.int32()), ("v", pa.string())]))
-VIEWS = (True, False)
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, view, size, hash, place, n_tokens, slots): all windows of the items.
 
-    Items of equal text are one, with the smallest id. Null ids, null texts and texts of fewer than SHORTEST tokens give
-    no windows.
+    Items of equal text are one, with the smallest id. Null ids, null texts and texts without a token give no
+    windows. An item that no view with placeholders could find in an exact copy has windows of the view RAW.
     """
     items = (
         benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull())
@@ -160,19 +194,24 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
         for batch in batches:
             rows: list[dict] = []
             ids = batch.column(0).to_pylist()
-            for view, names in enumerate(VIEWS):
-                tokens = canonical(batch.column(1), names)
+            found = np.zeros(len(ids), bool)  # whether a view with placeholders finds an exact copy
+            for view in VIEWS:
+                tokens = canonical(batch.column(1), view)
                 counts = np.bincount(tokens.row, minlength=len(ids)) if len(tokens.row) else np.zeros(len(ids), int)
                 first = np.concatenate(([0], np.cumsum(counts)))
-                for size in range(SHORTEST, WINDOW + 1):
-                    hashes, real = windows(tokens, size)
+                covered = np.zeros(len(tokens.row), bool)
+                for size in range(1 if view == RAW else SHORTEST, WINDOW + 1):
+                    hashes, real = windows(tokens, size, view)
                     for at in np.flatnonzero(real):
                         row = int(tokens.row[at])
-                        if size == WINDOW or counts[row] == size:
+                        if (size == WINDOW or counts[row] == size) and not (view == RAW and found[row]):
+                            covered[at: at + size] = True
                             rows.append({
                                 "item_id": ids[row], "view": view, "size": size, "hash": int(hashes[at].astype(np.int64)),
                                 "place": int(at - first[row]), "n_tokens": int(counts[row]), "slots": _slots(tokens, int(at), size),
                             })
+                held = np.bincount(tokens.row[covered], minlength=len(ids))
+                found |= (held >= LEAST_TOKENS) | ((held > 0) & (held >= counts * LEAST_SHARE))
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
                 ("item_id", pa.int64()), ("view", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("place", pa.int64()),
                 ("n_tokens", pa.int64()), ("slots", _ARROW_SLOTS),
@@ -217,20 +256,25 @@ def text_key(text: Column) -> Column:
 
 def _hits(docs: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     """Windows of the documents that may be benchmark windows: (text_key, view, size, hash, place, slots)."""
-    sizes = [r[0] for r in marks.select("size").distinct().orderBy("size").collect()]  # at most 4
+    sizes = marks.select("view", "size").distinct().orderBy("view", "size").collect()  # at most WINDOW of each view
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(marks))
     schema = pa.schema([("text_key", pa.string()), ("view", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()),
                         ("place", pa.int64()), ("slots", _ARROW_SLOTS)])
 
     def part_hits(texts: pa.Array, whole: np.ndarray) -> Iterator[dict]:
         keys: dict[int, str] = {}
-        for view, names in enumerate(VIEWS):
-            tokens = canonical(texts, names)
-            for size in sizes:
-                hashes, real = windows(tokens, size)
+        for view in sorted({v for v, _ in sizes}):
+            tokens = canonical(texts, view)
+            for size in (s for v, s in sizes if v == view):
+                hashes, real = windows(tokens, size, view)
                 real[real] = _in_bitmap(whole, hashes[real])
+                once = set()  # a short item as it is: one place in a text tells
                 for at in np.flatnonzero(real).tolist():
                     row = int(tokens.row[at])
+                    if view == RAW and size < WINDOW:
+                        if (row, hashes[at]) in once:
+                            continue
+                        once.add((row, hashes[at]))
                     if row not in keys:
                         keys[row] = hashlib.md5(texts[row].as_py().encode()).hexdigest()
                     first = int(np.searchsorted(tokens.row, row))
@@ -254,7 +298,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """(text_key, item_id, covered, n_tokens, n_slots, n_changed): items that a text holds.
 
     `covered` counts the item's tokens in matching windows whose slots are consistent; only pairs with LEAST_TOKENS of
-    them, or LEAST_SHARE of the item, are given. `n_slots` counts different values in the item's covered placeholders,
+    them, or LEAST_SHARE of the item, are given, in the view RAW only whole copies of the item. `n_slots` counts different values in the item's covered placeholders,
     `n_changed` those that have another value in the document. A null or empty text holds nothing, copies of a text are
     one, items of one text are one (smallest id), and an empty table on either side gives no rows.
     """
@@ -272,7 +316,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     )
     consistent = runs.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
     joined = (
-        consistent.groupBy("text_key", "item_id", "n_tokens", "view")
+        consistent.groupBy("text_key", "item_id", "n_tokens", "view", F.when(F.col("view") == RAW, F.col("shift")).alias("copy"))
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
              F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     )
@@ -284,11 +328,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         ),
     )["sum"]
     counted = joined.select(
-        "text_key", "item_id", covered.alias("covered"), "n_tokens",
+        "text_key", "item_id", "view", covered.alias("covered"), "n_tokens",
         F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))).cast("long").alias("n_slots"),
         F.size(F.array_distinct(F.transform(F.filter("pairs", lambda p: p["a"] != p["b"]), lambda p: p["a"]))).cast("long").alias("n_changed"),
     )
-    enough = (F.col("covered") >= LEAST_TOKENS) | (F.col("covered") >= F.col("n_tokens") * LEAST_SHARE)
+    share = F.when(F.col("view") == RAW, 1.0).otherwise(LEAST_SHARE)
+    enough = ((F.col("view") != RAW) & (F.col("covered") >= LEAST_TOKENS)) | (F.col("covered") >= F.col("n_tokens") * share)
     best = counted.where(enough).groupBy("text_key", "item_id").agg(
         F.max(F.struct("covered", "n_tokens", "n_slots", "n_changed")).alias("best")
     )

@@ -166,6 +166,22 @@ def test_leaks_with_other_slots(spark, documents):
     assert decontaminate.contaminated(documents(texts), items.limit(0)).count() == 0
 
 
+SHORT_AND_DENSE = [
+    "What is 12 + 30 * 4?", "too short", "Paris", "1, 2, 4, 8, 16, 32, 64, 128, 256, 512 and then 1024 2048 4096 8192", "3 km 4 kg 5 ml",
+    "小明有三个苹果，他又买了五个苹果，现在一共有几个苹果？", "แมวกินปลา", "東京の人口は何人ですか", "天",
+    "5 6 7 8 9 then in the end we all go home 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6",
+]
+
+
+def test_leaks_of_short_dense_and_blankless_items(spark, documents):
+    items = spark.createDataFrame(list(enumerate(SHORT_AND_DENSE)), "item_id bigint, text string")
+    around = [f"some words before {t} and after {t}" for t in SHORT_AND_DENSE] + ["据说" + t + "是的" for t in SHORT_AND_DENSE[5:9]]
+    others = ["What is 13 + 30 * 4?", "too long, short", "1, 2, 4, 8, 16, 32, 64, 128, 256, 512 and then", "小红有三个梨", "...", None]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(documents(around + others), items).collect()}
+    n = len(SHORT_AND_DENSE)
+    assert found == {(i, i) for i in range(n)} | {(n + i, 5 + i) for i in range(4)}
+
+
 def test_slots_have_to_be_consistent(spark, documents):
     item = "if 5 boxes hold 5 red balls and each of the 5 girls takes 5 balls home then how many are left"
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
