@@ -2,7 +2,8 @@
 
 A text becomes a row of canonical tokens: lower-case words, with numbers, units after numbers, and names (capitalised words
 that do not begin a sentence; neighbours are one) replaced by typed placeholders. A second view keeps names as words, so
-that a passage pasted into the middle of a sentence, or set in capitals, matches too. An item that these views could not find
+that a passage pasted into the middle of a sentence, or set in capitals, matches too. A third view takes capitalised words
+that begin a sentence for names as well, as a name may stand there; its windows need one word less. An item that these views could not find
 in an exact copy of itself (too few words or too many placeholders) is looked for as it is, without placeholders. Windows of WINDOW tokens of the
 benchmark are hash-joined with those of the documents; what the placeholders stand for is compared along the match: each
 value of an item has to go with one value of the document throughout. So a question with other numbers or names is found,
@@ -36,8 +37,8 @@ LEAST_WORDS = 5
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 
 #: The views of a text, and the words that a window needs in each.
-NAMES, NO_NAMES, RAW = VIEWS = (0, 1, 2)
-LEAST_OF_VIEW = (LEAST_WORDS, LEAST_WORDS, 0)
+NAMES, NO_NAMES, OPENINGS, RAW = VIEWS = (0, 1, 2, 3)
+LEAST_OF_VIEW = (LEAST_WORDS, LEAST_WORDS, LEAST_WORDS - 1, 0)
 
 UNITS = (
     "mm cm m km inch inches in ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons lb lbs pound pounds "
@@ -120,7 +121,7 @@ class Tokens:
 
 
 def canonical(texts: pa.Array, view: int) -> Tokens:
-    """Tokens of a view: with placeholders for names too, without those for names, or with none."""
+    """Tokens of a view: with placeholders for names, without them, with those for capitalised openings too, or with none."""
     words, data = _words(texts)
     code = words.hash.copy()
     n = len(code)
@@ -135,18 +136,20 @@ def canonical(texts: pa.Array, view: int) -> Tokens:
     slot = number | unit
     keep = np.ones(n, bool)
     end = words.end
-    if view == NAMES:
+    if view in (NAMES, OPENINGS):
         # the last byte before the word that is neither a blank nor a quote
         opening = np.zeros(n, bool)
         opening[0] = True
         opening[1:] = words.row[1:] != words.row[:-1]
         ended = np.concatenate(([0], np.cumsum(_SENTENCE_END[data])))
         opening[1:] |= ended[words.start[1:]] > ended[words.end[:-1]]
-        name = _UPPER[data[words.start]] & ~opening & ~slot
+        name = _UPPER[data[words.start]] & ~slot
+        if view == NAMES:
+            name &= ~opening
         code[name] = _NAME
         slot = slot | name
         follows = np.zeros(n, bool)
-        follows[1:] = name[1:] & name[:-1] & (words.row[1:] == words.row[:-1])
+        follows[1:] = name[1:] & name[:-1] & ~opening[1:]
         keep = ~follows
         # a run of names ends where its last word does
         last_of = np.append(np.flatnonzero(keep)[1:], n) - 1

@@ -182,6 +182,17 @@ def test_leaks_of_short_dense_and_blankless_items(spark, documents):
     assert found == {(i, i) for i in range(n)} | {(n + i, 5 + i) for i in range(4)}
 
 
+def test_leaks_whose_names_begin_sentences(spark, documents):
+    item = "Tom has 3 red marbles. Ann gives Tom 4 more. How many marbles does Tom have now?"
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    other = item.replace("Tom", "Ben").replace("Ann", "Sue").replace("3", "5").replace("4", "6")
+    mixed = other.replace("gives Ben", "gives Kim").replace("does Ben", "does Lea")
+    unlike = "Mia has 3 red apples. Sue eats Lea 4 times. How many houses does Kim see now?"
+    texts = [item, "Read this. " + other + " And so on.", mixed, unlike, "He said: " + other]
+    found = {r["doc_id"]: r for r in decontaminate.contaminated(documents(texts), items).collect()}
+    assert set(found) == {0, 1, 4} and found[1]["covered"] == found[1]["n_tokens"] == 17 and found[1]["n_changed"] == 4
+
+
 def test_slots_have_to_be_consistent(spark, documents):
     item = "if 5 boxes hold 5 red balls and each of the 5 girls takes 5 balls home then how many are left"
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
