@@ -25,11 +25,16 @@ from pyspark.sql import types as T
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
+# Elements left out up to their end tag; without one, the tag alone goes, but a script's or a style's rest is none of the text.
+_LEFT_OUT = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE)
+             for tag in ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "title")}
+_TO_THE_END = frozenset(("script", "style"))
+# What a head may hold; anything else ends it.
+_IN_HEAD = frozenset("html head title base link meta style script noscript template bgsound basefont".split())
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
@@ -113,6 +118,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[_Open] = []
     number = 0
     at = 0
+    in_head = False
+    unclosed: set[str] = set()  # elements without a further end tag
 
     def flush() -> None:
         if out.pieces:
@@ -127,20 +134,33 @@ def blocks_of(page: str) -> list[Block]:
         out.pieces, out.linked = [], 0
 
     def say(text: str) -> None:
-        if text and not (stack and stack[-1].hidden):
+        nonlocal in_head
+        if in_head and text.strip():
+            in_head = False
+        if text and not in_head and not (stack and stack[-1].hidden):
             out.pieces.append(text)
             if stack and stack[-1].link:
                 out.linked += len(text)
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         say(page[at: m.start()])
         at = m.end()
-        if m[3] is None:
-            if m[1]:
-                say(" ")
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if tag == "head":
+            in_head = not m[1]
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if in_head and (tag not in _IN_HEAD) and not m[1]:
+            in_head = False
+        if tag in _LEFT_OUT and not m[1] and (tag != "title" or in_head) and not (tag == "svg" and m[3].endswith("/")):
+            end = None if tag in unclosed else _LEFT_OUT[tag].search(page, at)
+            if end or tag in _TO_THE_END:
+                at = end.end() if end else len(page)
+                say(" ")
+                continue
+            unclosed.add(tag)
+        if m[1]:
             if tag in _BLOCKS:
                 flush()
             if any(o.tag == tag for o in stack):
@@ -162,14 +182,14 @@ def blocks_of(page: str) -> list[Block]:
                     break
         elif tag in ("br", "wbr"):
             say(" " if tag == "br" else "")
-        if tag in _VOID or m[4].endswith("/") and tag not in _BLOCKS:
+        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCKS:
             continue
         number += 1
-        boiler, content = _telling(tag, m[4], stack)
+        boiler, content = _telling(tag, m[3], stack)
         above = stack[-1] if stack else None
         stack.append(_Open(
             tag, number, (above.boiler if above else 0) + boiler, (above.content if above else 0) + content,
-            bool(above and above.hidden) or bool(_HIDDEN.search(m[4])), bool(above and above.link) or tag == "a",
+            bool(above and above.hidden) or bool(_HIDDEN.search(m[3])), bool(above and above.link) or tag == "a",
             bool(above and above.heading) or tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
         ))
     say(page[at:])

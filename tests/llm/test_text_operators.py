@@ -146,6 +146,18 @@ def test_pages_without_boilerplate(spark):
     assert html_cut.extract(frame.limit(0)).count() == 0
 
 
+ARTICLE = "<article><p>" + "Hello there, this is a sentence of some length, and it goes on. " * 3 + "</p></article>"
+
+
+@pytest.mark.parametrize("before", [
+    "<head><title>t</title><body>", "<html><head><meta charset=utf-8><title>t</title>", "<svg class='i' viewBox='0 0 1 1'/>", "<noscript>", "<iframe src=x>",
+    "<head><title>t</title><script>a</script></head><body><svg><path/></svg>", "<template><textarea>" * 3, "<svg>" * 20_000, "<head><link rel=x>", "",
+])
+def test_pages_with_tags_left_out(before):
+    found = html_cut.main_text(before + ARTICLE)
+    assert found == re.sub("<.*?>", "", ARTICLE).strip()
+
+
 def test_pages_of_the_table(spark, sf):
     found = {r["page_id"]: r["text"] for r in queries.op7_html_extract(spark, sf).collect()}
     for row in spark.read.parquet(f"{sf}/pages.parquet").collect():
