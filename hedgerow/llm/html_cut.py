@@ -69,7 +69,7 @@ class Block:
     parent: int
     depth: int
     linked: int
-    boiler: int
+    boiler: float
     content: int
     heading: bool
 
@@ -78,7 +78,8 @@ class Block:
 class _Open:
     tag: str
     number: int
-    boiler: int
+    boiler: float  # of whole names and elements
+    hinted: float  # of names that only hold a telling word, and of forms: an article below is not of them
     content: int
     hidden: bool
     link: bool
@@ -92,21 +93,36 @@ class _Page:
     linked: int = 0
 
 
-def _telling(tag: str, attributes: str, above: Sequence[_Open]) -> tuple[int, int]:
-    """Whether the element tells of boilerplate, of content. A header inside an article heads the article."""
+#: Weight of a name such as `has-sidebar` or `aspnetForm`, and of a form, which may hold a whole page.
+HINT, FORM = 0.25, 0.5
+#: A block under so much is an example of boilerplate.
+SURE = 0.5
+
+
+def _telling(tag: str, attributes: str, above: Sequence[_Open]) -> tuple[float, float, int]:
+    """How much the element tells of boilerplate, hints at it, and whether it tells of content.
+
+    A header inside an article heads the article. A name all of whose words tell is whole; one with other words hints.
+    """
     names: set[str] = set()
+    whole: set[str] = set()
     if "=" in attributes:
         for value in _NAMES.findall(attributes):
-            spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value.strip("\"'"))
-            names.update(_WORD.findall(spaced.lower()))
+            for name in value.strip("\"'").split():
+                words = set(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()))
+                names |= words
+                if words <= _BOILER_NAMES:
+                    whole |= words
     inside = any(o.tag in _CONTENT_TAGS for o in above)
     told = names & _BOILER_NAMES
     if told == {"header"} and (inside or names & _CONTENT_NAMES):
         told = set()  # such as `entry-header`
-    boiler = tag in _BOILER_TAGS or bool(told) or (tag == "header" and not inside)
+    element = tag in _BOILER_TAGS - {"form"} or (tag == "header" and not inside)
     if tag in ("body", "html") or (tag in _CONTENT_TAGS and "comment" not in names):
-        boiler = False
-    return int(boiler), int(tag in _CONTENT_TAGS or (bool(names & _CONTENT_NAMES) and not boiler))
+        return 0.0, 0.0, int(tag in _CONTENT_TAGS)
+    boiler = float(element or bool(told & whole))
+    hint = 0.0 if boiler else FORM if tag == "form" else HINT * bool(told)
+    return boiler, hint, int(tag in _CONTENT_TAGS or (bool(names & _CONTENT_NAMES) and not boiler and not hint))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -129,7 +145,7 @@ def blocks_of(page: str) -> list[Block]:
                 top = stack[-1] if stack else None
                 out.blocks.append(Block(
                     text, parent.number if parent else -1, len(stack), out.linked,
-                    top.boiler if top else 0, top.content if top else 0, bool(top and top.heading),
+                    top.boiler + top.hinted if top else 0, top.content if top else 0, bool(top and top.heading),
                 ))
         out.pieces, out.linked = [], 0
 
@@ -185,10 +201,15 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCKS:
             continue
         number += 1
-        boiler, content = _telling(tag, m[3], stack)
+        boiler, hinted, content = _telling(tag, m[3], stack)
         above = stack[-1] if stack else None
+        if above:
+            starts = tag in _CONTENT_TAGS and not boiler and not hinted  # what is above does not tell of an article or main
+            boiler += 0 if starts and tag == "main" else above.boiler
+            hinted += 0 if starts else above.hinted
+            content += 0 if boiler > above.boiler else above.content
         stack.append(_Open(
-            tag, number, (above.boiler if above else 0) + boiler, (above.content if above else 0) + content,
+            tag, number, boiler, hinted, content,
             bool(above and above.hidden) or bool(_HIDDEN.search(m[3])), bool(above and above.link) or tag == "a",
             bool(above and above.heading) or tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
         ))
@@ -247,9 +268,9 @@ def train(pages: DataFrame, html_column: str = "html", sample: int = 300) -> tup
     for (page,) in picked:
         blocks = blocks_of(page)
         if blocks:
-            known = [i for i, b in enumerate(blocks) if b.boiler or b.content]
+            known = [i for i, b in enumerate(blocks) if b.boiler >= SURE or b.content]
             rows.append(form_features(blocks)[known])
-            labels += [float(not blocks[i].boiler) for i in known]
+            labels += [float(blocks[i].boiler < SURE) for i in known]
     if not labels or min(labels) == max(labels):
         return DEFAULT_WEIGHTS
     return tuple(fit(np.concatenate(rows), np.array(labels)))
@@ -326,8 +347,8 @@ def max_flow_side(source: np.ndarray, sink: np.ndarray, edges: Sequence[tuple[in
             i = to[e]
 
 
-#: Cost of a telling name; strength of the ties of neighbours, and of neighbours within one parent.
-TELLING, ADJACENT, SIBLING = 8.0, 0.4, 0.8
+#: Cost of a telling name, less than the classifier's most, so that it and the ties can outweigh a name; strength of the ties of neighbours, and of neighbours within one parent.
+TELLING, ADJACENT, SIBLING = 2.5, 0.4, 0.8
 
 
 def label(blocks: Sequence[Block], weights: Sequence[float]) -> np.ndarray:

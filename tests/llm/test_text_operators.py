@@ -158,6 +158,19 @@ def test_pages_with_tags_left_out(before):
     assert found == re.sub("<.*?>", "", ARTICLE).strip()
 
 
+@pytest.mark.parametrize("wrapper", [
+    '<div class="content-sidebar-wrap">', '<div class="site has-sidebar">', '<div id="page" class="no-comments">', '<form id="aspnetForm">',
+    '<div id="page" class="no-comments"><form id="aspnetForm"><div class="has-sidebar">',
+])
+def test_wrappers_with_telling_words(wrapper):
+    text = re.sub("<.*?>", "", ARTICLE).strip()
+    page = f"<body>{wrapper}<nav><a href=a>Home</a></nav>{{}}<div class=comments><p>Me too</p></div><div class=ad>Buy!</div><footer>(c)</footer>"
+    assert html_cut.main_text(page.format(ARTICLE)) == text
+    if wrapper.count("<") == 1:
+        assert html_cut.main_text(page.format(ARTICLE.replace("article", "div"))) == text
+    assert html_cut.main_text(page.format(f"<main>{ARTICLE}</main>")) == text
+
+
 def test_pages_of_the_table(spark, sf):
     found = {r["page_id"]: r["text"] for r in queries.op7_html_extract(spark, sf).collect()}
     for row in spark.read.parquet(f"{sf}/pages.parquet").collect():
