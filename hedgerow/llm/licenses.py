@@ -3,7 +3,8 @@
 For a template of n words the text is read in windows of n + n // 4 words, one every n // 4 words, so that each occurrence lies
 whole in a window and makes up half of its shingles or more. A window is retrieved if one of BANDS MinHash values (bands of
 one row) is the template's: a window that holds the whole template is missed with a probability of at most 2 ** -BANDS. What
-is retrieved is verified: the share of the template's shingles (five words) that the window holds.
+is retrieved is verified: the share of the template's shingles (five words) that the window and the n words on either side of
+it hold, so that an occurrence with inserted words, up to 2 * n words long, is judged whole wherever it stands.
 
 A MinHash value of a template is the hash of one of its shingles, its anchor. A window without an anchor of the template
 cannot collide with it, so only windows around anchors are hashed, and only texts that hold a word of each anchor are
@@ -25,6 +26,8 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files, to deal in the Software without restriction"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
+            'documentation files (the "Software"), to deal in the Software without restriction'),
     ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
                 "License as published by the Free Software Foundation"),
@@ -99,8 +102,8 @@ def _longs(values: Sequence[int]) -> Column:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, license, containment, first_word, n_windows): one row for each document and licence found in it.
 
-    `containment` is the largest share of a template's shingles in one window, LEAST or more; `first_word` is the place of
-    the first such window, from 0, and `n_windows` the number of windows that hold the licence. Texts are read whole.
+    `containment` is the largest share of a template's shingles in and around one window, LEAST or more; `first_word` is the
+    place of the first such window, from 0, and `n_windows` the number of retrieved windows that hold or touch the licence. Texts are read whole.
     Null, empty and short texts hold none; rows of one doc_id (those with none, too) are one document; an empty table
     gives no rows; other columns are ignored.
     """
@@ -108,7 +111,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     known = catalogue(spark, templates)
     anchors = sorted({a for t in known for a in t["anchors"]})
     markers = sorted({m for t in known for m in t["markers"]})
-    widest = max(t["n"] + max(1, t["n"] // 4) for t in known)
+    widest = max(2 * t["n"] + max(1, t["n"] // 4) for t in known)
 
     table = ", ".join(
         f"({t['template']}, '{t['license']}', {t['n']}, array({', '.join(map(_long_sql, t['shingles']))}),"
@@ -121,7 +124,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     )
 
     def around_hits(h: Column) -> Column:
-        """For each place of an anchor: the anchor, and the shingles that a window around it can hold."""
+        """For each place of an anchor: the anchor, and the shingles in and around the windows that can hold it."""
         places = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(_longs(anchors), F.get(h, i)))
         parts = F.transform(places, lambda i: F.struct(
             i.alias("at"), F.get(h, i).alias("anchor"), F.greatest(F.lit(0), i - widest).alias("begin"),
@@ -137,16 +140,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     step = F.greatest(F.lit(1), F.floor(F.col("n") / 4).cast("int"))
     room = F.col("n") + F.col("step") - (WIDTH - 1)  # shingles of a window
     lowest = F.greatest(F.lit(0), F.ceil((F.col("at") - room + 1) / F.col("step")).cast("int"))
+    left = F.greatest(F.col("begin"), F.col("place") * F.col("step") - F.col("n"))  # where the surroundings begin
     windows = (
         near.join(catalog, "anchor")
         .withColumn("step", step)
         .withColumn("place", F.explode(F.sequence(lowest, F.floor(F.col("at") / F.col("step")).cast("int"))))
         .select("doc_id", "template", "license", "theirs", "their_values", (F.col("place") * F.col("step")).alias("first_word"),
-                F.slice("part", F.col("place") * F.col("step") - F.col("begin") + 1, room).alias("ours"))
+                F.slice("part", F.col("place") * F.col("step") - F.col("begin") + 1, room).alias("ours"),
+                F.slice("part", left - F.col("begin") + 1, F.col("place") * F.col("step") + room + F.col("n") - left).alias("wide"))
         .where("size(ours) > 0")
     )
     agree = F.exists(F.zip_with(min_hashes(F.col("ours")), "their_values", lambda a, b: a == b), lambda same: same)
-    contained = F.size(F.array_intersect("theirs", "ours")) / F.size("theirs")
+    contained = F.size(F.array_intersect("theirs", "wide")) / F.size("theirs")
     found = windows.where(agree).select("doc_id", "license", "first_word", contained.alias("containment")).where(F.col("containment") >= LEAST)
     once = found.groupBy("doc_id", "license", "first_word").agg(F.max("containment").alias("containment"))
     return once.groupBy("doc_id", "license").agg(

@@ -222,6 +222,28 @@ def test_licenses(documents):
     assert licenses.scan(documents([])).count() == 0
 
 
+def test_licenses_at_every_offset_with_insertions(documents):
+    """A template with as many words put in after its third as its own, or a few further in, at each offset to the windows."""
+    texts, want = [], []
+    for number, (name, text) in enumerate(licenses.TEMPLATES):
+        words = re.findall("[a-z0-9]+", text.lower())
+        share = lambda own: sum(words[i: i + 5] in [own[k: k + 5] for k in range(len(own))] for i in range(len(words) - 4)) / (len(words) - 4)
+        for put in ([], *([f"x{k}" for k in range(size)] for size in (2, len(words) // 2))):
+            for place in {1, len(words) // 2} if put else {0}:
+                own = words[:place] + put + words[place:]
+                for offset in range(len(words) // 4 + 1):
+                    texts.append(" ".join([f"f{k}" for k in range(60 + offset)] + own + ["end"] * 60))
+                    want.append((name, share(own)))
+    found = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(documents(texts)).collect()}
+    for i, (name, share) in enumerate(want):
+        if share >= licenses.LEAST:
+            assert found[i, name] >= share - 1e-9, texts[i]
+    notice = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation ' \
+             'files (the "Software"), to deal in the Software without restriction'
+    rows = licenses.scan(documents([" ".join(["w"] * k) + " " + notice for k in range(40)])).collect()
+    assert {r["doc_id"]: r["containment"] for r in rows} == dict.fromkeys(range(40), 1.0)
+
+
 def test_licenses_of_the_table(spark, sf):
     folder = sf.replace("sf0.001", "sf0.01")
     flat = lambda t: " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " "
