@@ -797,7 +797,7 @@ DETECTIONS = {
 def _register_responses() -> None:
     for name, ids in DETECTIONS.items():
         def detected(spark, sf, ids=ids):
-            return responses.detect(planted.responses(spark, sf), ids).select(*DETECTION_COLUMNS)
+            return responses.detect(planted.responses(spark, sf), ids, limits=responses.LIVE_SCAN).select(*DETECTION_COLUMNS)
 
         check(name, _RESPONSES + sql.detections(ids))(detected)
 
@@ -807,7 +807,7 @@ _register_responses()
 
 @check("a25_framework_scan", _RESPONSES + sql.detections(list(responses.BY_ID)))
 def _(spark, sf):
-    return responses.detect(planted.responses(spark, sf)).select(*DETECTION_COLUMNS)
+    return responses.detect(planted.responses(spark, sf), limits=responses.LIVE_SCAN).select(*DETECTION_COLUMNS)
 
 
 @check("a24_signatures", sql.signatures())
@@ -938,7 +938,7 @@ _XSS = _RESPONSES + (
 
 def _first_xss(captured):
     """Findings of the XSS detectors, without repeats of a (site, endpoint, parameter, payload)."""
-    return findings.deduplicate_xss(responses.detect(captured, XSS_IDS), "detector_ord", "resp_id")
+    return findings.deduplicate_xss(responses.detect(captured, XSS_IDS, limits=responses.LIVE_SCAN), "detector_ord", "resp_id")
 
 
 @check(
@@ -984,7 +984,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     captured = planted.responses(spark, sf)
-    vulnerable = reports.vulnerable_parameters(responses.detect(captured, XSS_IDS))
+    vulnerable = reports.vulnerable_parameters(responses.detect(captured, XSS_IDS, limits=responses.LIVE_SCAN))
     return reports.endpoints_with_hit(captured, vulnerable)
 
 
@@ -1026,7 +1026,7 @@ FRAMEWORK_IDS = [d.id for d in responses.DETECTORS if d.shape == "framework"]
     "severity, substr(endpoint, 1, 18) AS endpoint FROM x",
 )
 def _(spark, sf):
-    found = responses.detect(planted.responses(spark, sf), FRAMEWORK_IDS)
+    found = responses.detect(planted.responses(spark, sf), FRAMEWORK_IDS, limits=responses.LIVE_SCAN)
     numbered = number_rows(found, "detector", "site", "resp_id", column="number", start=1)
     return reports.framework_listing(numbered)
 
@@ -1057,7 +1057,7 @@ def _(spark, sf):
 def _(spark, sf):
     found = findings.union_findings(
         matchers.rule_matches(planted.files(spark, sf)),
-        responses.detect(planted.responses(spark, sf), FRAMEWORK_IDS),
+        responses.detect(planted.responses(spark, sf), FRAMEWORK_IDS, limits=responses.LIVE_SCAN),
     )
     return found.select("category", "name", "severity", "confidence", "endpoint", "file")
 

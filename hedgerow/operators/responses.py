@@ -11,7 +11,8 @@ before the shuffle, so a site or endpoint with a third of all responses sends on
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,7 +167,8 @@ class Detector:
     remediation: str | None = None
     technique: str | None = None
     payload_sql: str = "payload"
-    evidence_sql: str = "substring(body, 1, 200)"
+    whole_payload_sql: str = ""  # where `payload_sql` shows a part
+    evidence_sql: str = "body"
     parameter_sql: str = "parameter"
     rank_sql: str = "0"
     endpoint_sql: str = "endpoint"
@@ -194,7 +196,7 @@ def _framework(
 
 def _probe(
     id: str, category: str, where: str, name: str, description: str, severity: str,
-    confidence: int, evidence: str = "substring(body, 1, 200)", **more,
+    confidence: int, evidence: str = "body", **more,
 ) -> Detector:
     return Detector(
         id, "probe", category, where, name, description, severity, confidence,
@@ -222,6 +224,17 @@ _SINK = let_sql(
     any_matches_sql("_b.t", "_b.f", DOM_SINKS),
 )
 
+ALL_PAYLOADS = tuple(dict.fromkeys(p for family in REQUEST_SIGNATURES.values() for p in family))
+
+
+def _parameter_sql(parameters: Sequence[str], payloads: Sequence[str]) -> str:
+    return f"{_in('parameter', parameters)} AND {_in('payload', payloads)} AND {_REFLECTED}"
+
+
+def _fragment_sql(payloads: Sequence[str]) -> str:
+    return f"{_in('payload', payloads)} AND contains(body, 'alert(1)')"
+
+
 DETECTORS: tuple[Detector, ...] = (
     _xss(
         "reflected",
@@ -240,8 +253,7 @@ DETECTORS: tuple[Detector, ...] = (
     ),
     _xss(
         "parameter",
-        f"{_in('parameter', TARGETED_PARAMETERS[:5])} AND "
-        f"{_in('payload', REQUEST_SIGNATURES['basic'][:3])} AND {_REFLECTED}",
+        _parameter_sql(TARGETED_PARAMETERS, ALL_PAYLOADS),
         "Parameter XSS", 90, live="strict", scope=("endpoint", "parameter"),
         endpoints=TARGETED_ENDPOINTS, method="GET",
     ),
@@ -261,8 +273,7 @@ DETECTORS: tuple[Detector, ...] = (
     ),
     _framework(
         "fragment_reflection", "XSS",
-        f"payload = {sql_text(FRAGMENT_PAYLOADS[0])} "
-        "AND contains(body, 'alert(1)')",
+        _fragment_sql(FRAGMENT_PAYLOADS),
         "'DOM XSS'", "'DOM-based XSS via URL fragment'", "CRITICAL", 85, "CWE-79",
         "Avoid document.write(), use safe DOM methods", live="", evidence_sql="''",
         endpoints=("/#",),
@@ -370,7 +381,7 @@ DETECTORS: tuple[Detector, ...] = (
         f"payload IS NULL AND {_JWT} <> ''",
         "'JWT with Weak Secret'", f"concat('JWT token found: ', substring({_JWT}, 1, 20), '...')",
         "CRITICAL", 90, "CWE-312", "Use strong secrets, rotate regularly", live="",
-        payload_sql=f"substring({_JWT}, 1, 50)", evidence_sql="''",
+        payload_sql=f"substring({_JWT}, 1, 50)", whole_payload_sql=_JWT, evidence_sql="''",
         endpoints=("/api/users",), method="GET",
     ),
     _framework(
@@ -438,13 +449,44 @@ DETECTORS: tuple[Detector, ...] = (
 )
 BY_ID = {d.id: d for d in DETECTORS}
 
-# Longest payload and evidence kept, by shape of the finding.
-PAYLOAD_CHARS = {"xss": 100, "framework": 200, "probe": 200}
-EVIDENCE_CHARS = 300
+
+@dataclass(frozen=True)
+class Limits:
+    """What the detectors look at and how much they show; nothing is cut by default.
+
+    `parameters` and `payloads` are those of the `parameter` detector, `fragments` those of `fragment_reflection`.
+    `payload_chars` is by shape of the finding; `body_chars` is for evidence that is the body, `evidence_chars` for other.
+    """
+
+    parameters: Sequence[str] = TARGETED_PARAMETERS
+    payloads: Sequence[str] = ALL_PAYLOADS
+    fragments: Sequence[str] = FRAGMENT_PAYLOADS
+    payload_chars: tuple[tuple[str, int], ...] = ()
+    body_chars: int | None = None
+    evidence_chars: int | None = None
+
+    def of(self, d: Detector) -> Detector:
+        if d.id == "parameter":
+            return replace(d, where_sql=_parameter_sql(self.parameters, self.payloads))
+        if d.id == "fragment_reflection":
+            return replace(d, where_sql=_fragment_sql(self.fragments))
+        return d
+
+
+UNCUT = Limits()
+# Those of a live scan.
+LIVE_SCAN = Limits(
+    TARGETED_PARAMETERS[:5], REQUEST_SIGNATURES["basic"][:3], FRAGMENT_PAYLOADS[:1],
+    (("xss", 100), ("framework", 200), ("probe", 200)), 200, 300,
+)
 XSS_OWASP = "A03:2021 - Injection"
 
 
-def _hit_sql(i: int, d: Detector) -> str:
+def _cut_sql(text: str, chars: int | None) -> str:
+    return text if chars is None else f"substring({text}, 1, {chars})"
+
+
+def _hit_sql(i: int, d: Detector, limits: Limits) -> str:
     def scoped(name: str) -> str:
         return f"coalesce({name}, '')" if name in d.scope else "''"
 
@@ -455,12 +497,13 @@ def _hit_sql(i: int, d: Detector) -> str:
         f"'scope_payload', {scoped('payload')}, 'endpoint', {d.endpoint_sql}, "
         f"'parameter', {d.parameter_sql}, 'name', {d.name_sql}, "
         f"'description', {d.description_sql}, "
-        f"'payload', substring({d.payload_sql}, 1, {PAYLOAD_CHARS[d.shape]}), "
-        f"'evidence', substring({d.evidence_sql}, 1, {EVIDENCE_CHARS})) END"
+        f"'payload', {_cut_sql(d.payload_sql, dict(limits.payload_chars).get(d.shape))}, "
+        f"'evidence', {_cut_sql(d.evidence_sql, limits.body_chars if d.evidence_sql == 'body' else limits.evidence_chars)}, "
+        f"'whole_payload', {d.whole_payload_sql or d.payload_sql}, 'whole_evidence', {d.evidence_sql}) END"
     )
 
 
-def hits(responses: DataFrame, detectors=DETECTORS) -> DataFrame:
+def hits(responses: DataFrame, detectors=DETECTORS, limits: Limits = UNCUT) -> DataFrame:
     """One row per (response, detector) with evidence, before the first-hit cut."""
     prepared = responses.select(
         "resp_id", urls.site(F.col("url")).alias("site"), "endpoint", "url", "method",
@@ -471,7 +514,7 @@ def hits(responses: DataFrame, detectors=DETECTORS) -> DataFrame:
     at: dict[str, list[str]] = {}
     for i, d in enumerate(detectors):
         for endpoint in d.endpoints:
-            at.setdefault(endpoint, []).append(_hit_sql(i, d))
+            at.setdefault(endpoint, []).append(_hit_sql(i, d, limits))
     cases = " ".join(
         f"WHEN {sql_text(endpoint)} THEN array({', '.join(tests)})"
         for endpoint, tests in at.items()
@@ -487,7 +530,7 @@ def hits(responses: DataFrame, detectors=DETECTORS) -> DataFrame:
 
 _KEYS = ("ord", "site", "scope_endpoint", "scope_parameter", "scope_payload")
 _ORDER = ("rank", "payload_ord", "resp_id")
-_CARRY = ("url", "endpoint", "parameter", "name", "description", "payload", "evidence")
+_CARRY = ("url", "endpoint", "parameter", "name", "description", "payload", "evidence", "whole_payload", "whole_evidence")
 
 
 def first_hits(found: DataFrame) -> DataFrame:
@@ -496,14 +539,17 @@ def first_hits(found: DataFrame) -> DataFrame:
     return found.groupBy(*_KEYS).agg(first).select(*_KEYS, "_first.*")
 
 
-def detect(responses: DataFrame, ids=None) -> DataFrame:
-    """Findings of the named detectors (all by default), with `detector`, `site` and `resp_id`."""
-    detectors = [BY_ID[i] for i in ids] if ids else list(DETECTORS)
-    found = _first_live(responses, detectors)
+def detect(responses: DataFrame, ids=None, limits: Limits = UNCUT) -> DataFrame:
+    """Findings of the named detectors (all by default), with `detector`, `site` and `resp_id`.
+
+    `whole_payload` and `whole_evidence` stand beside the shown ones, which `limits` may cut.
+    """
+    detectors = [limits.of(BY_ID[i]) for i in ids or BY_ID]
+    found = _first_live(responses, detectors, limits)
     of_detector = _of_detector(detectors)
     if BY_ID["database_error"] in detectors:
         # a probe of the login ends at the first bypass of a site: what came after is not looked at
-        bypass = _first_live(responses, [BY_ID["login_bypass"]]).select(
+        bypass = _first_live(responses, [BY_ID["login_bypass"]], limits).select(
             F.col("site").alias("_site"), F.col("payload_ord").alias("_bypass")
         )
         number = detectors.index(BY_ID["database_error"])
@@ -526,9 +572,9 @@ def _of_detector(detectors):
     return of_detector
 
 
-def _first_live(responses: DataFrame, detectors) -> DataFrame:
+def _first_live(responses: DataFrame, detectors, limits: Limits) -> DataFrame:
     """First hits of each scope, where the endpoint is as live as the detector asks."""
-    found = first_hits(hits(responses, detectors))
+    found = first_hits(hits(responses, detectors, limits))
     of_detector = _of_detector(detectors)
     needs = of_detector(lambda d: d.live)
     wanted = {d.live for d in detectors} - {""}
@@ -583,6 +629,8 @@ def _as_findings(found: DataFrame, of_detector) -> DataFrame:
         field(probe, F.lit(0)).alias("line"),
         field(probe, F.col("evidence")).alias("snippet"),
         field(probe, F.lit("VULNERABLE")).alias("status"),
+        field(~probe, F.coalesce("whole_payload", F.lit(""))).alias("whole_payload"),
+        F.coalesce("whole_evidence", F.lit("")).alias("whole_evidence"),
     )
 
 

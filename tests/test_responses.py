@@ -150,3 +150,29 @@ def test_listing(spark):
 
 def test_site(spark):
     assert spark.range(1).select(urls.site(F.lit("https://u@h:1/p?q"))).first()[0] == "https://u@h:1"
+
+
+def test_nothing_is_cut_by_default(spark):
+    long = "<script>confirm(1)</script>"
+    body = "x" * 400 + long + "uid=0 " + "y" * 400
+    probe = "| whoami"
+    rows = table(
+        spark, live("a", "/search"), live("a", "/api/webhook"),
+        ("a", "/search", "GET", R.TARGETED_PARAMETERS[9], long, 0, 200, None, body),
+        ("a", "/#", "GET", None, R.FRAGMENT_PAYLOADS[1], 0, 200, None, "alert(1)"),
+        ("a", "/api/webhook", "GET", "cmd", probe, 0, 200, None, body),
+    )
+    ids = ["parameter", "fragment_reflection", "command"]
+    found = {r.detector: r for r in R.detect(rows, ids).collect()}
+    assert set(found) == set(ids)
+    assert found["parameter"].parameter == R.TARGETED_PARAMETERS[9] and found["parameter"].payload == long
+    assert found["command"].evidence == found["command"].whole_evidence == body
+    shown = {r.detector: r for r in R.detect(rows, ids, limits=R.LIVE_SCAN).collect()}
+    assert set(shown) == {"command"} and shown["command"].evidence == body[:200] and shown["command"].whole_evidence == body
+    assert shown["command"].whole_payload == probe
+    few = R.Limits(payload_chars=(("xss", 5),))
+    (row,) = R.detect(rows, ["parameter"], few).collect()
+    assert (row.payload, row.whole_payload) == (long[:5], long)
+    token = "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJlLWhlcmUtdGhhdC1pcy1sb25nLWVub3VnaA"
+    (row,) = R.detect(table(spark, live("a", "/api/users", body=token)), ["token"]).collect()
+    assert row.whole_payload == token
