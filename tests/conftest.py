@@ -1,5 +1,4 @@
 import os
-import re
 import sys
 
 import pytest
@@ -28,9 +27,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
-
-
-def plan_nodes(df):
-    """Names of the physical plan's operators, top first."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return re.findall(r"(?m)^[\s:+\-]*(?:\*\(\d+\) )?([A-Z][A-Za-z]+)", plan)

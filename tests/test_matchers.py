@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hedgerow.catalogue import noise
 from hedgerow.catalogue.categories import CATEGORY_PATTERNS
 from hedgerow.checks.planted import SAMPLE_LINES
-from conftest import plan_nodes
+from plans import plan_nodes
 from hedgerow.operators import lines, matchers
 from hedgerow.operators.rules import (
     MODES, Rule, accept_rules, build_rules, category_rules, category_table, distinct_patterns,

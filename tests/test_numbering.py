@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import plan_nodes
+from plans import plan_nodes
 from hedgerow.functions.numbering import first_per, number_rows
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_nodes
+from plans import plan_nodes
 from hedgerow.functions import urls
 from hedgerow.operators import responses as R
 from hedgerow.plans import reports
