@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.llm import bpe, chat, decontaminate, html_cut, jaccard, licenses, secret_scan, simhash, token_counts, toxicity
+from hedgerow.llm import (
+    bpe, chat, decontaminate, html_cut, jaccard, licenses, secret_scan, simhash, suffixes, token_counts, toxicity,
+)
 from hedgerow.functions.scratch import fresh_path
 from hedgerow.llm.common import staged, table
 
@@ -197,6 +199,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 100 bytes that stand earlier, too."""
+    left = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return left.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
@@ -208,6 +220,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE = {
