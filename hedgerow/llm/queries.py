@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedgerow.llm import (
-    bpe, chat, decontaminate, html_cut, jaccard, licenses, secret_scan, simhash, suffixes, token_counts, toxicity,
+    bpe, chat, decontaminate, html_cut, jaccard, licenses, repair, secret_scan, simhash, suffixes, token_counts, toxicity,
 )
 from hedgerow.functions.scratch import fresh_path
 from hedgerow.llm.common import staged, table
@@ -199,6 +199,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage."""
+    return repair.repair_damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages of 100 bytes that stand earlier, too."""
     left = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -220,6 +225,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
+    "op12_repair": op12_repair,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
