@@ -7,14 +7,17 @@ columns, and neighbours in its suffix order with a common prefix of `size` are e
 1. *Keys.* A window's key is the least hash of the strings of ANCHOR bytes in it, so equal windows have equal keys, and a
    run of windows with one key is a *piece* of text. Spark counts the places where each key stands; windows whose key
    stands once cannot repeat. What is left is a bitmap of bounded size (false positives cost work only).
-2. *Pieces.* A second pass cuts the pieces whose key passes the bitmap. Copies inside a batch of texts are settled there:
-   only the first of equal pieces goes on, so a group of copies sends one piece for each batch. A piece whose key is hot
-   (stands HOT times or more) goes on as single windows, each with a key of its own, which splits hot keys.
-3. *Collections.* Pieces are partitioned by key and sorted; equal pieces meet there and all but the first are settled. A
-   collection is a run of whole keys with at most COLLECTION different pieces (more only for a single key, below HOT).
-   `Collection` inserts one symbol of every piece in each round, from the right end, and reads and writes its transform and
-   its common prefixes in order, as one file each. There are at most size + RUN - 1 rounds, whatever the corpus.
-4. *Documents.* Spans meet their document by its id and a hash of its text; the rest is joined again.
+2. *Copies.* A second pass takes the pieces whose key passes the bitmap, as a hash of their bytes. Equal ones of a batch of
+   texts are settled there (all but the first are repeated bytes), so a group of copies sends one row for each batch; the
+   others meet by key, where equal pieces are settled, too. Most keys then have one text, which nothing else shares.
+3. *Collections.* A third pass cuts the text of the pieces of contested keys: those with different pieces, or with a piece in
+   which the key's string stands twice. They are partitioned by key and sorted. A collection is a run of whole keys with at
+   most COLLECTION different pieces (more only for a single key, below HOT). `Collection` inserts one symbol of every piece
+   in each round, from the right end, and reads and writes its transform and its common prefixes in order, as one file each.
+   There are at most size + RUN - 1 rounds, whatever the corpus. A hot key (it stands HOT times or more) is split: in both
+   passes its windows are pieces of their own, each with a key of its own.
+4. *Documents.* Spans meet their document by its id and a hash of its text; the rest is joined again. Documents that surely
+   have no span are not moved.
 
 The files of a collection are arrays of a task: the folder of a task's machine must not be used, and a Spark job for each of
 163 rounds would read the same bytes from the shared folder 163 times. Pieces, spans and texts, which grow with the corpus,
@@ -30,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.common import mix, staged
+from hedgerow.llm.common import key_filter, may_have, mix, staged
 
 #: Bytes whose hash is a candidate for a window's key.
-ANCHOR = 50
+ANCHOR = 40
 #: Windows of a piece; a longer run of one key is cut.
 RUN = 64
 #: Places of a key from which its windows are dealt one by one.
@@ -200,14 +203,13 @@ class _Pieces:
             & (self.text[a] == self.text[b]) & (self.start[a] == self.start[b])
         )
 
-    def rows(self, index: np.ndarray) -> list[pa.Array]:
-        """Columns of ROWS of the pieces, which go on."""
+    def binaries(self, index: np.ndarray) -> list[pa.Array]:
+        """Columns of PIECES."""
         own = self.take(index)
         ends = np.concatenate(([0], np.cumsum(own.length))).astype(np.int32)
         binary = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own.data.tobytes())])
         return [
-            pa.array(own.doc, mask=~own.known), pa.array(own.text), pa.array(own.start), pa.nulls(len(own), pa.int64()),
-            pa.array(own.key.view(np.int64)), binary,
+            pa.array(own.key.view(np.int64)), binary, pa.array(own.doc, mask=~own.known), pa.array(own.text), pa.array(own.start),
         ]
 
     def spans(self, index: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[pa.Array]:
@@ -226,18 +228,27 @@ class _Pieces:
         tails = np.concatenate((heads[1:], [len(index)])) - 1 if len(heads) else heads
         own = index[heads]
         return [
-            pa.array(self.doc[own], mask=~self.known[own]), pa.array(self.text[own]), pa.array(start[heads]),
-            pa.array((reach - lift)[tails]), pa.nulls(len(heads), pa.int64()), pa.nulls(len(heads), pa.binary()),
+            pa.array(self.doc[own], mask=~self.known[own]), pa.array(self.text[own]), pa.array(start[heads]), pa.array((reach - lift)[tails]),
         ]
 
 
-#: Rows between the steps: a piece (key and piece set), or a span of repeated bytes (end set).
-ROWS = "doc_id bigint, text_hash bigint, start bigint, end bigint, key bigint, piece binary"
-_NAMES = ["doc_id", "text_hash", "start", "end", "key", "piece"]
+#: Repeated bytes of a text.
+SPANS = "doc_id bigint, text_hash bigint, start bigint, end bigint"
+#: The same, or (`end` null) a piece: its key, a hash of its bytes, how many those are, and whether the key stands in it twice.
+COPIES = "key bigint, content bigint, " + SPANS + ", length bigint, twice boolean"
+PIECES = "key bigint, piece binary, doc_id bigint, text_hash bigint, start bigint"
 
 
-def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def _batch(columns: list[pa.Array], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=_names(schema))
+
+
+def _nulls(n: int, kind=pa.int64()) -> pa.Array:
+    return pa.nulls(n, kind)
 
 
 def _cut(column: pa.Array, size: int, wanted: np.ndarray, hot: np.ndarray, known, doc, text) -> Iterator[_Pieces]:
@@ -269,10 +280,9 @@ def _cut(column: pa.Array, size: int, wanted: np.ndarray, hot: np.ndarray, known
         yield _Pieces(known[own], doc[own], text[own], at - starts[part] + offset[part], key, data[_spread(at, length)], length)
 
 
-def _settle(pieces: _Pieces) -> Iterator[pa.RecordBatch]:
-    """The first of equal pieces as a piece, and the bytes of the others as spans."""
-    hashes = _Hashes(pieces.data)
-    own = hashes.of(pieces.begin, pieces.begin + pieces.length)
+def _equal_pieces(pieces: _Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the bytes, places of the first of equal pieces, places of the others that stand elsewhere)."""
+    own = _Hashes(pieces.data).of(pieces.begin, pieces.begin + pieces.length)
     order = np.lexsort((pieces.start, pieces.text, pieces.doc, pieces.known, own))
     head = np.ones(len(order), bool)
     head[1:] = own[order[1:]] != own[order[:-1]]
@@ -282,10 +292,33 @@ def _settle(pieces: _Pieces) -> Iterator[pa.RecordBatch]:
     later = copy[~pieces.same_place(order[copy], first[copy])]
     stays = np.ones(len(order), bool)
     stays[copy] = False
-    yield _batch(pieces.rows(order[stays]))
+    return own, order[stays], order[later]
+
+
+def _stands_twice(pieces: _Pieces, size: int) -> np.ndarray:
+    """Whether the key's string stands more than once in the piece: only then can two of its own windows be equal."""
+    anchor = min(ANCHOR, size)
+    stands = np.zeros(len(pieces.data) + 1, np.int64)
+    hashes = _Hashes(pieces.data).all_of(anchor)
+    at = np.repeat(np.arange(len(pieces)), pieces.length)[: len(hashes)]
+    stands[1: len(hashes) + 1] = np.cumsum(hashes == pieces.key[at])
+    stands[len(hashes) + 1:] = stands[len(hashes)]
+    return (stands[pieces.begin + pieces.length - anchor + 1] - stands[pieces.begin] > 1) & (pieces.length > size)
+
+
+def _settle(pieces: _Pieces, size: int) -> Iterator[pa.RecordBatch]:
+    """COPIES: the first of equal pieces, and the bytes of the others as spans."""
+    content, stays, later = _equal_pieces(pieces)
+    own = pieces.take(stays)
+    n = len(own)
+    yield _batch([
+        pa.array(own.key.view(np.int64)), pa.array(content[stays].view(np.int64)), pa.array(own.doc, mask=~own.known),
+        pa.array(own.text), pa.array(own.start), _nulls(n), pa.array(own.length), pa.array(_stands_twice(own, size)),
+    ], COPIES)
     if len(later):
-        index = order[later]
-        yield _batch(pieces.spans(index, np.zeros(len(index), np.int64), pieces.length[index]))
+        spans = pieces.spans(later, np.zeros(len(later), np.int64), pieces.length[later])
+        n = len(spans[0])
+        yield _batch([spans[1], _nulls(n), *spans, _nulls(n), _nulls(n, pa.bool_())], COPIES)
 
 
 def _columns(doc: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,8 +328,15 @@ def _columns(doc: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     )
 
 
-def _pieces_of(size: int, wanted, hot):
-    """Batches (doc_id, text_hash, text) to ROWS; bytes of pieces are held up to 16 times CHUNK."""
+def _pieces_of(size: int, wanted, hot, texts: bool):
+    """Batches (doc_id, text_hash, text) to COPIES, or, with `texts`, to PIECES; up to 16 times CHUNK bytes of pieces are held."""
+
+    def given(held: list[_Pieces]) -> Iterator[pa.RecordBatch]:
+        pieces = _Pieces.joined(held)
+        if texts:
+            yield _batch(pieces.binaries(_equal_pieces(pieces)[1]), PIECES)
+        else:
+            yield from _settle(pieces, size)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,14 +345,60 @@ def _pieces_of(size: int, wanted, hot):
                 held.append(pieces)
                 total += len(pieces.data)
                 if total > 16 * CHUNK:
-                    yield from _settle(_Pieces.joined(held))
+                    yield from given(held)
                     held, total = [], 0
             if total:
-                yield from _settle(_Pieces.joined(held))
+                yield from given(held)
 
     return work
 
 
+#: After the copies are settled: spans (`end` set), and contested keys (the others).
+SETTLED = SPANS + ", key bigint"
+
+
+def _settle_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """COPIES sorted by key, content, length and place to SETTLED."""
+    last: pa.RecordBatch | None = None  # the first of the pieces that the next one may be a copy of
+    open_key, open_told = None, False  # the key of that piece, and whether it was given as contested
+    for batch in batches:
+        is_span = batch.column("end").is_valid().to_numpy(zero_copy_only=False)
+        done = batch.filter(pa.array(is_span))
+        if done.num_rows:
+            yield _batch([*(done.column(c) for c in _names(SPANS)), _nulls(done.num_rows)], SETTLED)
+        own = batch.filter(pa.array(~is_span))
+        if own.num_rows == 0:
+            continue
+        carried = last is not None
+        if carried:
+            own = pa.Table.from_batches([last, own]).combine_chunks().to_batches()[0]
+        numbers = {c: own.column(c).to_numpy(zero_copy_only=False) for c in ("key", "content", "length", "twice")}
+        place = _columns(own.column("doc_id"), own.column("text_hash"))
+        pieces = _Pieces(*place, own.column("start").to_numpy(zero_copy_only=False), numbers["key"], np.zeros(0, np.uint8), numbers["length"])
+        same_key = numbers["key"][1:] == numbers["key"][:-1]
+        head = np.ones(len(pieces), bool)
+        head[1:] = ~same_key | (numbers["content"][1:] != numbers["content"][:-1]) | (numbers["length"][1:] != numbers["length"][:-1])
+        first = np.flatnonzero(head)[np.cumsum(head) - 1]
+        copy = np.flatnonzero(~head)
+        copy = copy[~pieces.same_place(copy, first[copy])]
+        if len(copy):
+            spans = pieces.spans(copy, np.zeros(len(copy), np.int64), pieces.length[copy])
+            yield _batch([*spans, _nulls(len(spans[0]))], SETTLED)
+        contested = head.copy()
+        contested[1:] &= same_key
+        contested |= numbers["twice"]
+        if carried:
+            contested[0] = False
+        keys = np.unique(numbers["key"][contested])
+        if open_told:
+            keys = keys[keys != open_key]
+        told = len(keys) and (keys == numbers["key"][-1]).any() or (open_told and open_key == numbers["key"][-1])
+        open_key, open_told = numbers["key"][-1], bool(told)
+        last = own.slice(int(first[-1]), 1)
+        if len(keys):
+            yield _batch([*(_nulls(len(keys)) for _ in range(4)), pa.array(keys)], SETTLED)
+
+
 class Collection:
     """Suffixes of many short pieces in order, inserted one symbol of every piece in each round.
 
@@ -408,39 +494,32 @@ def _repeats(pieces: _Pieces, size: int) -> pa.RecordBatch | None:
     later[1:] = group[1:] == group[:-1]
     if not later.any():
         return None
-    return _batch(pieces.spans(owner[later], first[later], np.full(int(later.sum()), size)))
+    return _batch(pieces.spans(owner[later], first[later], np.full(int(later.sum()), size)), SPANS)
 
 
 def _may_repeat(pieces: _Pieces, size: int) -> np.ndarray:
-    """Pieces that have something to be compared with: another piece of the key, or their key's string twice."""
+    """Pieces that have something to be compared with: another piece of the key, or themselves."""
     shared = np.zeros(len(pieces), bool)
     same = pieces.key[1:] == pieces.key[:-1]
     shared[1:] |= same
     shared[:-1] |= same
     alone = np.flatnonzero(~shared & (pieces.length > size))
     if len(alone):
-        anchor = min(ANCHOR, size)
-        own = pieces.take(alone)
-        stands = np.zeros(len(own.data) + 1, np.int64)
-        hashes = _Hashes(own.data).all_of(anchor)
-        at = np.repeat(np.arange(len(own)), own.length)[: len(hashes)]
-        stands[1: len(hashes) + 1] = np.cumsum(hashes == own.key[at])
-        stands[len(hashes) + 1:] = stands[len(hashes)]
-        shared[alone] = stands[own.begin + own.length - anchor + 1] - stands[own.begin] > 1
+        shared[alone] = _stands_twice(pieces.take(alone), size)
     return shared
 
 
 def _compare(size: int, most: int):
-    """Pieces sorted by key, bytes and place to the spans of what repeats."""
+    """PIECES sorted by key, bytes and place to the spans of windows that a different piece, or the piece itself, has before."""
 
     def pieces_of(batch: pa.RecordBatch) -> _Pieces:
-        data, ends = _bytes_of(batch.column(5))
+        data, ends = _bytes_of(batch.column("piece"))
         return _Pieces(
-            *_columns(batch.column(0), batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False),
-            batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64), data, np.diff(ends),
+            *_columns(batch.column("doc_id"), batch.column("text_hash")), batch.column("start").to_numpy(zero_copy_only=False),
+            batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), data, np.diff(ends),
         )
 
-    def settled(held: _Pieces) -> Iterator[pa.RecordBatch]:
+    def compared(held: _Pieces) -> Iterator[pa.RecordBatch]:
         kept = held.take(np.flatnonzero(_may_repeat(held, size)))
         if len(kept) and (found := _repeats(kept, size)) is not None:
             yield found
@@ -455,17 +534,11 @@ def _compare(size: int, most: int):
             own = pieces_of(batch)
             if last is not None:
                 own = _Pieces.joined([last, own])
-            after, before = np.arange(1, len(own)), np.arange(len(own) - 1)
             head = np.ones(len(own), bool)
-            head[1:] = (own.key[1:] != own.key[:-1]) | ~own.same_text(after, before)
-            first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            copy = np.flatnonzero(~head)
-            copy = copy[~own.same_place(copy, first[copy])]
-            if len(copy):
-                yield _batch(own.spans(copy, np.zeros(len(copy), np.int64), own.length[copy]))
+            head[1:] = (own.key[1:] != own.key[:-1]) | ~own.same_text(np.arange(1, len(own)), np.arange(len(own) - 1))
             fresh = np.flatnonzero(head)
             new = own.take(fresh[fresh > 0] if last is not None else fresh)
-            last = own.take(first[-1:])
+            last = own.take(fresh[-1:])
             while len(new):
                 cuts = np.flatnonzero(new.key[1:] != new.key[:-1]) + 1  # where whole keys end
                 if held and held[-1].key[-1] != new.key[0]:
@@ -476,12 +549,13 @@ def _compare(size: int, most: int):
                     total += len(new)
                     break
                 upto = int(full[0])
-                held.append(new.take(np.arange(upto)))
-                yield from settled(_Pieces.joined(held))
+                if upto:
+                    held.append(new.take(np.arange(upto)))
+                yield from compared(_Pieces.joined(held))
                 held, total = [], 0
                 new = new.take(np.arange(upto, len(new)))
         if held:
-            yield from settled(_Pieces.joined(held))
+            yield from compared(_Pieces.joined(held))
 
     return work
 
@@ -501,10 +575,15 @@ def repeated_spans(docs: DataFrame, size: int = 100, text: str = "text", hot: in
     )
     wanted = spark.sparkContext.broadcast(_bitmap(counts))
     hot_keys = spark.sparkContext.broadcast(_bitmap(counts.where(F.col("count") >= hot)))
-    rows = staged(long.mapInArrow(_pieces_of(size, wanted, hot_keys), ROWS), "pieces")
-    pieces = rows.where("key IS NOT NULL").repartition("key").sortWithinPartitions("key", "piece", "doc_id", "text_hash", "start")
-    found = pieces.mapInArrow(_compare(size, most), ROWS)
-    return rows.where("key IS NULL").union(found).select("doc_id", "text_hash", "start", "end")
+    copies = long.mapInArrow(_pieces_of(size, wanted, hot_keys, texts=False), COPIES)
+    settled = staged(
+        copies.repartition("key").sortWithinPartitions("key", "content", "length", "doc_id", "text_hash", "start")
+        .mapInArrow(_settle_copies, SETTLED), "settled",
+    )
+    contested = spark.sparkContext.broadcast(_bitmap(settled.where("key IS NOT NULL")))
+    pieces = long.mapInArrow(_pieces_of(size, contested, hot_keys, texts=True), PIECES)
+    found = pieces.repartition("key").sortWithinPartitions("key", "piece", "doc_id", "text_hash", "start").mapInArrow(_compare(size, most), SPANS)
+    return settled.where("key IS NULL").select(*_names(SPANS)).union(found)
 
 
 def without_repeats(docs: DataFrame, size: int = 100, text: str = "text", hot: int = HOT, most: int = COLLECTION) -> DataFrame:
@@ -512,14 +591,17 @@ def without_repeats(docs: DataFrame, size: int = 100, text: str = "text", hot: i
 
     One row for each row of `docs`; see `repeated_spans`. `kept` is binary, as a cut may fall inside a character.
     """
-    spans = (
+    spans = staged(
         repeated_spans(docs, size, text, hot, most).groupBy("doc_id", "text_hash")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-        .select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"), "spans")
+        .select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"), "spans"), "spans",
     )
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select("doc_id", body.alias("body"), F.xxhash64(body).alias("text_hash"))
-    met = rows.join(spans, rows.doc_id.eqNullSafe(spans.of) & (rows.text_hash == spans.of_text), "left")
+    bits = key_filter(spans, "of_text")
+    moved = may_have(rows, "text_hash", bits)
+    met = moved.join(spans, moved.doc_id.eqNullSafe(spans.of) & (moved.text_hash == spans.of_text), "left").select("doc_id", "body", "spans")
+    still = may_have(rows, "text_hash", bits, negate=True).select("doc_id", "body", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -545,6 +627,6 @@ def without_repeats(docs: DataFrame, size: int = 100, text: str = "text", hot: i
                 names=["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    return met.select("doc_id", "body", "spans").mapInArrow(
+    return met.unionByName(still).mapInArrow(
         work, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
     )
