@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedgerow.llm import (
-    bpe, chat, decontaminate, html_cut, jaccard, licenses, repair, secret_scan, simhash, suffixes, token_counts, toxicity,
+    align, bpe, chat, decontaminate, html_cut, jaccard, licenses, repair, secret_scan, simhash, suffixes, token_counts, toxicity,
 )
 from hedgerow.functions.scratch import fresh_path
 from hedgerow.llm.common import staged, table
@@ -199,6 +199,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_align(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    """Groups and links of every document's tokens under two tokenizers, with the links' counts in the corpus."""
+    a = align.read_bytes_side(a_path or public_tokenizers.path(TOKENIZER))
+    b = align.read_pieces_side(b_path or public_tokenizers.path("piece_bpe_32k.model"))
+    return align.link_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every conversation after damage."""
     return repair.repair_damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
@@ -225,6 +232,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
+    "op11_align": op11_align,
     "op12_repair": op12_repair,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
