@@ -169,16 +169,18 @@ def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class _Pieces:
-    """Pieces of text in columns: where each stands, its windows, its key and its bytes."""
+    """Pieces of text in columns: where each stands, its key, its bytes, a hash of them, and whether its key stands in it twice."""
 
-    def __init__(self, known, doc, text, start, key, data, length) -> None:
+    def __init__(self, known, doc, text, start, key, data, length, content=None, twice=None) -> None:
         self.known, self.doc, self.text, self.start, self.key = known, doc, text, start, key
         self.data, self.length = data, length
+        self.content = np.zeros(len(length), np.uint64) if content is None else content
+        self.twice = np.zeros(len(length), bool) if twice is None else twice
         self.begin = np.cumsum(length) - length
 
     @staticmethod
     def joined(parts: list[_Pieces]) -> _Pieces:
-        names = ("known", "doc", "text", "start", "key", "data", "length")
+        names = ("known", "doc", "text", "start", "key", "data", "length", "content", "twice")
         return _Pieces(*(np.concatenate([getattr(p, name) for p in parts]) for name in names))
 
     def __len__(self) -> int:
@@ -187,7 +189,10 @@ class _Pieces:
     def take(self, index: np.ndarray) -> _Pieces:
         length = self.length[index]
         data = self.data[_spread(self.begin[index], length)]
-        return _Pieces(self.known[index], self.doc[index], self.text[index], self.start[index], self.key[index], data, length)
+        return _Pieces(
+            self.known[index], self.doc[index], self.text[index], self.start[index], self.key[index], data, length,
+            self.content[index], self.twice[index],
+        )
 
     def same_text(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For pairs of pieces: whether their bytes are equal."""
@@ -210,6 +215,7 @@ class _Pieces:
         binary = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own.data.tobytes())])
         return [
             pa.array(own.key.view(np.int64)), binary, pa.array(own.doc, mask=~own.known), pa.array(own.text), pa.array(own.start),
+            pa.array(own.twice),
         ]
 
     def spans(self, index: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[pa.Array]:
@@ -236,7 +242,7 @@ class _Pieces:
 SPANS = "doc_id bigint, text_hash bigint, start bigint, end bigint"
 #: The same, or (`end` null) a piece: its key, a hash of its bytes, how many those are, and whether the key stands in it twice.
 COPIES = "key bigint, content bigint, " + SPANS + ", length bigint, twice boolean"
-PIECES = "key bigint, piece binary, doc_id bigint, text_hash bigint, start bigint"
+PIECES = "key bigint, piece binary, doc_id bigint, text_hash bigint, start bigint, twice boolean"
 
 
 def _names(schema: str) -> list[str]:
@@ -256,7 +262,8 @@ def _cut(column: pa.Array, size: int, wanted: np.ndarray, hot: np.ndarray, known
     anchor = min(ANCHOR, size)
     for data, starts, row, offset in _chunks(column, size):
         hashes = _Hashes(data)
-        keys = _sliding(hashes.all_of(anchor), size - anchor + 1, np.minimum)
+        anchors = hashes.all_of(anchor)
+        keys = _sliding(anchors, size - anchor + 1, np.minimum)
         whole = _windows(starts, len(data), size)
         head = whole.copy()
         head[1:] &= ~whole[:-1] | (keys[1:] != keys[:-1])
@@ -277,12 +284,18 @@ def _cut(column: pa.Array, size: int, wanted: np.ndarray, hot: np.ndarray, known
         length = count + size - 1
         part = np.searchsorted(starts, at, side="right") - 1
         own = row[part]
-        yield _Pieces(known[own], doc[own], text[own], at - starts[part] + offset[part], key, data[_spread(at, length)], length)
+        if len(at):
+            twice = np.add.reduceat(anchors[_spread(at, length - anchor + 1)] == np.repeat(key, length - anchor + 1),
+                                    np.cumsum(length - anchor + 1) - length + anchor - 1, dtype=np.int64) > 1
+            yield _Pieces(
+                known[own], doc[own], text[own], at - starts[part] + offset[part], key, data[_spread(at, length)], length,
+                hashes.of(at, at + length), twice & (length > size),
+            )
 
 
-def _equal_pieces(pieces: _Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the bytes, places of the first of equal pieces, places of the others that stand elsewhere)."""
-    own = _Hashes(pieces.data).of(pieces.begin, pieces.begin + pieces.length)
+def _equal_pieces(pieces: _Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first of equal pieces, places of the others that stand elsewhere)."""
+    own = pieces.content
     order = np.lexsort((pieces.start, pieces.text, pieces.doc, pieces.known, own))
     head = np.ones(len(order), bool)
     head[1:] = own[order[1:]] != own[order[:-1]]
@@ -292,28 +305,17 @@ def _equal_pieces(pieces: _Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     later = copy[~pieces.same_place(order[copy], first[copy])]
     stays = np.ones(len(order), bool)
     stays[copy] = False
-    return own, order[stays], order[later]
-
-
-def _stands_twice(pieces: _Pieces, size: int) -> np.ndarray:
-    """Whether the key's string stands more than once in the piece: only then can two of its own windows be equal."""
-    anchor = min(ANCHOR, size)
-    stands = np.zeros(len(pieces.data) + 1, np.int64)
-    hashes = _Hashes(pieces.data).all_of(anchor)
-    at = np.repeat(np.arange(len(pieces)), pieces.length)[: len(hashes)]
-    stands[1: len(hashes) + 1] = np.cumsum(hashes == pieces.key[at])
-    stands[len(hashes) + 1:] = stands[len(hashes)]
-    return (stands[pieces.begin + pieces.length - anchor + 1] - stands[pieces.begin] > 1) & (pieces.length > size)
+    return order[stays], order[later]
 
 
-def _settle(pieces: _Pieces, size: int) -> Iterator[pa.RecordBatch]:
+def _settle(pieces: _Pieces) -> Iterator[pa.RecordBatch]:
     """COPIES: the first of equal pieces, and the bytes of the others as spans."""
-    content, stays, later = _equal_pieces(pieces)
-    own = pieces.take(stays)
-    n = len(own)
+    stays, later = _equal_pieces(pieces)
+    n = len(stays)
     yield _batch([
-        pa.array(own.key.view(np.int64)), pa.array(content[stays].view(np.int64)), pa.array(own.doc, mask=~own.known),
-        pa.array(own.text), pa.array(own.start), _nulls(n), pa.array(own.length), pa.array(_stands_twice(own, size)),
+        pa.array(pieces.key[stays].view(np.int64)), pa.array(pieces.content[stays].view(np.int64)),
+        pa.array(pieces.doc[stays], mask=~pieces.known[stays]), pa.array(pieces.text[stays]), pa.array(pieces.start[stays]), _nulls(n),
+        pa.array(pieces.length[stays]), pa.array(pieces.twice[stays]),
     ], COPIES)
     if len(later):
         spans = pieces.spans(later, np.zeros(len(later), np.int64), pieces.length[later])
@@ -329,14 +331,14 @@ def _columns(doc: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _pieces_of(size: int, wanted, hot, texts: bool):
-    """Batches (doc_id, text_hash, text) to COPIES, or, with `texts`, to PIECES; up to 16 times CHUNK bytes of pieces are held."""
+    """Batches (doc_id, text_hash, text) to COPIES, or, with `texts`, to PIECES; up to 8 times CHUNK bytes of pieces are held."""
 
     def given(held: list[_Pieces]) -> Iterator[pa.RecordBatch]:
         pieces = _Pieces.joined(held)
         if texts:
-            yield _batch(pieces.binaries(_equal_pieces(pieces)[1]), PIECES)
+            yield _batch(pieces.binaries(_equal_pieces(pieces)[0]), PIECES)
         else:
-            yield from _settle(pieces, size)
+            yield from _settle(pieces)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,7 +346,7 @@ def _pieces_of(size: int, wanted, hot, texts: bool):
             for pieces in _cut(batch.column(2), size, wanted.value, hot.value, *_columns(batch.column(0), batch.column(1))):
                 held.append(pieces)
                 total += len(pieces.data)
-                if total > 16 * CHUNK:
+                if total > 8 * CHUNK:
                     yield from given(held)
                     held, total = [], 0
             if total:
@@ -497,15 +499,12 @@ def _repeats(pieces: _Pieces, size: int) -> pa.RecordBatch | None:
     return _batch(pieces.spans(owner[later], first[later], np.full(int(later.sum()), size)), SPANS)
 
 
-def _may_repeat(pieces: _Pieces, size: int) -> np.ndarray:
+def _may_repeat(pieces: _Pieces) -> np.ndarray:
     """Pieces that have something to be compared with: another piece of the key, or themselves."""
-    shared = np.zeros(len(pieces), bool)
+    shared = pieces.twice.copy()
     same = pieces.key[1:] == pieces.key[:-1]
     shared[1:] |= same
     shared[:-1] |= same
-    alone = np.flatnonzero(~shared & (pieces.length > size))
-    if len(alone):
-        shared[alone] = _stands_twice(pieces.take(alone), size)
     return shared
 
 
@@ -517,10 +516,11 @@ def _compare(size: int, most: int):
         return _Pieces(
             *_columns(batch.column("doc_id"), batch.column("text_hash")), batch.column("start").to_numpy(zero_copy_only=False),
             batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), data, np.diff(ends),
+            twice=batch.column("twice").to_numpy(zero_copy_only=False),
         )
 
     def compared(held: _Pieces) -> Iterator[pa.RecordBatch]:
-        kept = held.take(np.flatnonzero(_may_repeat(held, size)))
+        kept = held.take(np.flatnonzero(_may_repeat(held)))
         if len(kept) and (found := _repeats(kept, size)) is not None:
             yield found
 
