@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +37,7 @@ FREQUENT = 1 << 18
 #: Bytes of text aligned at a time; a longer text is aligned whole.
 CHUNK = 1 << 20
 #: Bytes of words in a task's table; beyond, it begins anew.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 #: Longest word of which the table keeps ids.
 KEPT_WORD = 256
 
@@ -76,6 +75,8 @@ def read_pieces_side(path: str) -> Side:
             raise ValueError(f"piece {number} holds a blank after another character; words cannot be encoded on their own")
         byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
         pieces.append(bytes([int(byte[1], 16)]) if byte and machine.is_byte(number) else piece.replace(SPACE_MARK, " ").encode())
+    if machine.is_unknown(machine.piece_to_id(SPACE_MARK)):
+        raise ValueError("a vocabulary without the blank alone")
     return Side(model, pieces)
 
 
@@ -97,7 +98,7 @@ class _WordTable:
         for word, own in fresh.items():
             if len(word) <= KEPT_WORD:
                 known[word] = own
-                self.size += 2 * len(word) + 8 * len(own) + 200
+                self.size += 2 * len(word) + 40 * len(own) + 250
         if self.size > TABLE_BYTES:
             self.known, self.size = {}, 0
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -141,17 +142,35 @@ class _Pieces:
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
 
 
-def _ids_of(lists: pa.ListArray, table: _WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of texts given as lists of words, and how many each text has."""
-    encoded = lists.flatten().dictionary_encode()
+def _bytes_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts given as lists of words, the n + 1 places where texts start, and those where words start."""
+    words = lists.flatten()
+    places = np.frombuffer(words.buffers()[1], np.int32)[words.offset: words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[places[0]: places[-1]]
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+    return data, (places - places[0])[ends], places - places[0]
+
+
+def _blank_words(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut before each run of blanks, and how many words each has. Every text starts with a blank."""
+    head = data == 32
+    head[1:] &= data[:-1] != 32
+    head[starts[:-1]] = True
+    cuts = np.concatenate((np.flatnonzero(head), [len(data)])).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(np.ascontiguousarray(data))])
+    return words, np.diff(np.searchsorted(cuts, starts))
+
+
+def _ids_of(words: pa.Array, many: np.ndarray, table: _WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts given as words and how many each text has; how many ids each has."""
+    encoded = words.dictionary_encode()
     flat, sizes = table.ids(encoded.dictionary.to_pylist())
     starts = np.cumsum(sizes) - sizes
     number = encoded.indices.to_numpy(zero_copy_only=False)
     own = sizes[number]
     ids = flat[_spread(starts[number], own)]
     upto = np.concatenate(([0], np.cumsum(own)))
-    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-    return ids, np.diff(upto[ends])
+    return ids, np.diff(upto[np.concatenate(([0], np.cumsum(many)))])
 
 
 def _spelled(ids: np.ndarray, counts: np.ndarray, pieces: _Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,18 +182,15 @@ def _spelled(ids: np.ndarray, counts: np.ndarray, pieces: _Pieces) -> tuple[np.n
     return data, np.diff(upto), ends - np.repeat(upto[:-1], counts)
 
 
-def _matches(text: pa.Array, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each text: whether its tokens' bytes are a blank and the text."""
-    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset: text.offset + len(text) + 1]
-    whole = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]]
-    lengths = np.diff(offsets)
-    good = (lengths > 0) & (sizes == lengths + 1)
-    start = np.cumsum(sizes) - sizes
+def _matches(whole: np.ndarray, starts: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text (with its blank in front): whether it is not empty, and the tokens' bytes are the text."""
+    lengths = np.diff(starts)
+    good = (lengths > 1) & (sizes == lengths)
+    begin = np.cumsum(sizes) - sizes
     own = np.flatnonzero(good)
     if len(own):
-        same = whole[_spread(offsets[own] - offsets[0], lengths[own])] == data[_spread(start[own] + 1, lengths[own])]
-        same = np.logical_and.reduceat(same, np.cumsum(lengths[own]) - lengths[own])
-        good[own] = same & (data[start[own]] == 32)
+        same = whole[_spread(starts[own], lengths[own])] == data[_spread(begin[own], lengths[own])]
+        good[own] = np.logical_and.reduceat(same, np.cumsum(lengths[own]) - lengths[own])
     return good
 
 
@@ -245,12 +261,13 @@ class _Aligner:
         self.pieces = _Pieces(a.pieces), _Pieces(b.pieces)
 
     def align(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Batch (place, doc_id, text, words of A, words of B) to ALIGNED."""
-        n = batch.num_rows
-        text = batch.column(2).cast(pa.large_string())
-        sides = [_ids_of(batch.column(3 + k), self.tables[k]) for k in range(2)]
+        """Batch (place, doc_id, words of A) to ALIGNED."""
+        n, lists = batch.num_rows, batch.column(2)
+        whole, starts, _ = _bytes_of(lists)
+        words = (lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)), _blank_words(whole, starts)
+        sides = [_ids_of(*words[k], self.tables[k]) for k in range(2)]
         spelled = [_spelled(*sides[k], self.pieces[k]) for k in range(2)]
-        good = _matches(text, *spelled[0][:2]) & _matches(text, *spelled[1][:2])
+        good = _matches(whole, starts, *spelled[0][:2]) & _matches(whole, starts, *spelled[1][:2])
         sizes = spelled[0][1][good]
         kept = [np.repeat(good, sides[k][1]) for k in range(2)]
         ids = [sides[k][0][kept[k]] for k in range(2)]
@@ -277,8 +294,7 @@ class _Aligner:
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch's rows, about CHUNK bytes of text at a time."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    done, begin = np.cumsum(sizes), 0
+    done, begin = _bytes_of(batch.column(2))[1][1:].astype(np.int64), 0
     while begin < batch.num_rows:
         end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + CHUNK, side="right")))
         yield batch.slice(begin, end - begin)
@@ -292,12 +308,9 @@ def aligned(docs: DataFrame, a: Side, b: Side, text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((a, b))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    led = F.concat(F.lit(" "), body)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("place"), "doc_id", body.alias("body"),
-        split_words(led).alias("a"), F.regexp_extract_all(led, F.lit(" +[^ ]*"), F.lit(0)).alias("b"),
-    )
+    led = F.concat(F.lit(" "), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    # A's words hold the whole text, so nothing else of it goes to Python
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", split_words(led).alias("words"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = None

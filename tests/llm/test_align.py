@@ -99,5 +99,5 @@ def test_query(spark, sf, sides):
 
 def test_a_vocabulary_that_crosses_words_is_refused(monkeypatch):
     monkeypatch.setattr(align, "SPACE_MARK", "e")
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="after another"):
         align.read_pieces_side(B_FILE)
