@@ -55,18 +55,21 @@ def candidate_lines(
     content: str = "content",
     newline_only: bool = False,
     context: bool = False,
+    ranges: bool = False,
 ) -> DataFrame:
     """The numbered lines that one of the patterns could match, and nothing else.
 
     Splitting, testing and the sanitiser context all happen inside the row that holds the text:
     no shuffle and no window, and a line that cannot match is never made a row. With `context`
     each line tells whether a sanitiser word is within two lines before to three lines after it,
-    counted over all lines of the text.
+    counted over all lines of the text. With `ranges` a text is a range of a file (`sources.walk.TEXTS`):
+    lines of `before` and `after` are context only, and numbers go on from `first_line`.
     """
-    entries = (
-        f"filter(transform(_lines, (_raw, _i) -> {_entry_sql('_raw', '_i')}), "
-        f"_e -> {can_match_sql('_e.folded', patterns)})"
-    )
+    wanted = can_match_sql("_e.folded", patterns)
+    if ranges:
+        content = f"concat(before, {content}, after)"
+        wanted = f"_e.line > lead AND _e.line <= lead + own AND {wanted}"
+    entries = f"filter(transform(_lines, (_raw, _i) -> {_entry_sql('_raw', '_i')}), _e -> {wanted})"
     columns = ["line", "text", "folded"]
     if context:
         first = f"greatest(_k.line - {CONTEXT_BEFORE}, 1)"
@@ -83,10 +86,11 @@ def candidate_lines(
     quick = let_sql(fold_sql(content), "_whole", quick_match_sql("_whole", patterns))
     split = let_sql(_parts_sql(content, newline_only), "_lines", entries)
     kept = F.expr(f"CASE WHEN {quick} THEN {split} END")
-    found = texts.select(*keys, F.explode_outer(kept).alias("_entry"))
-    return found.filter(F.col("_entry").isNotNull()).select(
-        *keys, *(f"_entry.{name}" for name in columns)
-    )
+    found = texts.select(
+        *keys, *(["lead", "first_line"] if ranges else []), F.explode_outer(kept).alias("_entry")
+    ).filter(F.col("_entry").isNotNull())
+    line = F.expr("_entry.line - lead + first_line" if ranges else "_entry.line").alias("line")
+    return found.select(*keys, line, *(f"_entry.{name}" for name in columns[1:]))
 
 
 def with_context(lines: DataFrame, *keys: str, block: int = BLOCK_LINES) -> DataFrame:

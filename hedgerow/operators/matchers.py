@@ -91,10 +91,11 @@ def match_lines(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def match_files(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def match_files(files: DataFrame, rules: list[Rule] | None = None, ranges: bool = False) -> DataFrame:
     """Files (path, content) x rules: one narrow pass, no shuffle.
 
-    Only lines that hold the literal text of some pattern become rows.
+    Only lines that hold the literal text of some pattern become rows. With `ranges` each row is a
+    range of a file, as `sources.walk.read_ranges` gives it.
     """
     rules = stock_rules() if rules is None else list(rules)
     patterns = [p for r in rules for p in r.patterns]
@@ -103,6 +104,7 @@ def match_files(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         "path",
         patterns=patterns,
         context=any(r.catalogue for r in rules),
+        ranges=ranges,
     )
     return match_lines(lines, rules)
 

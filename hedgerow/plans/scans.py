@@ -21,7 +21,8 @@ from hedgerow.operators.matchers import match_files
 from hedgerow.operators.pages import distinct_endpoints
 from hedgerow.operators.responses import detect, live_endpoints
 from hedgerow.operators.rules import MODES, accept_rules, mode_patterns, stock_rules
-from hedgerow.sources.files import read_scanned
+from hedgerow.sources.files import list_scanned, read_scanned, scan_counts, wanted_files
+from hedgerow.sources.walk import RANGE_BYTES, read_ranges
 
 # Detectors of captured responses that each scan mode adds.
 MODE_DETECTORS = {
@@ -38,15 +39,34 @@ FRAMEWORK_DETECTORS = (
 
 
 def scan_tree(
-    spark: SparkSession, root: str, rules=None, hidden: bool = True, max_bytes: int | None = None
+    spark: SparkSession, root: str, rules=None, hidden: bool = True, max_bytes: int | None = None,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """Findings in the files below the root. Patterns that do not compile are left out;
-    `rejected_patterns` gives them. Files of any size are scanned unless `max_bytes` is given.
+    `rejected_patterns` gives them. Files of any size are scanned unless `max_bytes` is given; they are
+    read in ranges of `range_bytes`.
 
-    `hidden` files need a file system that pyarrow can open; the others only one Spark can.
+    The walk needs a file system that pyarrow can open. With `hidden` false Spark's own source reads the
+    tree instead: whole files of less than 2 GB, without names that start with `.` or `_`.
     """
     accepted, _ = accept_rules(spark, stock_rules() if rules is None else rules)
-    return stamped(match_files(read_scanned(spark, root, hidden, max_bytes), accepted))
+    if not hidden:
+        return stamped(match_files(read_scanned(spark, root, False, max_bytes), accepted))
+    return _scan_listed(list_scanned(spark, root), accepted, max_bytes, range_bytes)
+
+
+def _scan_listed(listing: DataFrame, rules, max_bytes: int | None, range_bytes: int) -> DataFrame:
+    texts = read_ranges(wanted_files(listing, max_bytes), range_bytes)
+    return stamped(match_files(texts, rules, ranges=True))
+
+
+def scan_tree_with_counts(
+    spark: SparkSession, root: str, rules=None, max_bytes: int | None = None, range_bytes: int = RANGE_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """`scan_tree` and its counters (scanned, skipped), both from one listing; counting reads no file."""
+    accepted, _ = accept_rules(spark, stock_rules() if rules is None else rules)
+    listing = list_scanned(spark, root)
+    return _scan_listed(listing, accepted, max_bytes, range_bytes), scan_counts(listing, max_bytes)
 
 
 def rejected_patterns(spark: SparkSession, rules=None) -> DataFrame:

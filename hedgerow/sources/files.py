@@ -14,6 +14,7 @@ from hedgerow.operators.noise import (
     relative_path_sql,
 )
 from hedgerow.sources.hidden import read_hidden
+from hedgerow.sources.walk import staged_listing
 
 
 def _any_case(extension: str) -> str:
@@ -80,6 +81,18 @@ def read_scanned(
     )
 
 
+def list_scanned(spark: SparkSession, root: str) -> DataFrame:
+    """(uri, path, length) of every file below the root outside noise folders, hidden ones too, listed once and staged."""
+    return staged_listing(spark, root, SKIP_DIRS)
+
+
+def wanted_files(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """The listed files that a scan looks into; larger ones than `max_bytes` are left out if it is given."""
+    return listing.filter(
+        has_scanned_extension(F.col("path")) & ~is_noise_path("path") & fits_size_cap(F.col("length"), max_bytes)
+    )
+
+
 def scan_counts(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(scanned, skipped) over listed files (path, length); contents are not read."""
     open_dirs = files.filter(~in_skipped_dir(F.col("path")))
