@@ -5,6 +5,7 @@ Every query runs over whole driver tables, or over tables Spark derives from the
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -25,6 +26,7 @@ from hedgerow.plans import reports
 from hedgerow.sinks import exports
 from hedgerow.sources import files as tree
 from hedgerow.sources import findings as stored
+from hedgerow.sources import walk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,21 +62,49 @@ CUTS = {"min_chars": catalogue_noise.MIN_LINE_CHARS, "skip_minified": True}
 
 @check(
     "s1_source_tree",
-    "WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS raw FROM documents) "
+    "WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE doc_id % 10 <> 1) "
     f"SELECT lang, count(*) AS lines, CAST(sum(length({sql.strip('raw')})) AS BIGINT) AS chars "
     "FROM l GROUP BY lang",
 )
 def _(spark, sf):
+    """Documents written as a tree with a hidden folder, a noise folder and a linked one, read by a scan's own path."""
     root = fresh_path(spark, "tree")
-    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").option(
-        "maxRecordsPerFile", 200
-    ).text(root)
-    files = tree.read_tree(spark, root, extensions=(".txt",), hidden=False)
-    rows = lines.numbered_lines(files, "path", newline_only=True)
-    lang = F.regexp_extract("path", r"^lang=([^/]*)/", 1).alias("lang")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    for folder, part in (("src", "doc_id % 10 > 1"), (".github", "doc_id % 10 = 0"), ("node_modules", "doc_id % 10 = 1")):
+        docs.where(part).select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 200).text(f"{root}/{folder}")
+    if "://" not in root and not root.startswith("file:"):
+        os.symlink(f"{root}/src", f"{root}/linked")
+    files = tree.list_scanned(spark, root).where(F.col("path").endswith(".txt"))
+    rows = lines.numbered_lines(walk.read_ranges(files, range_bytes=64 << 10), "path", "offset", newline_only=True)
+    lang = F.regexp_extract("path", r"/lang=([^/]*)/", 1).alias("lang")
     return rows.groupBy(lang).agg(
-        # each written file ends in a line end, after which there is one more empty line
-        (F.count("*") - F.count_distinct("path")).alias("lines"), F.sum(F.length("text")).cast("bigint").alias("chars")
+        # each range ends in a line end, after which there is one more empty line, or is empty
+        (F.count("*") - F.count_distinct("path", "offset")).alias("lines"),
+        F.sum(F.length("text")).cast("bigint").alias("chars"),
+    )
+
+
+@check(
+    "s1_range_numbers",
+    "WITH t AS (SELECT lang, source, string_agg(text || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY lang, source), "
+    "l AS (SELECT lang, source, unnest(string_split(body, chr(10))) AS raw, "
+    "generate_subscripts(string_split(body, chr(10)), 1) AS line FROM t) "
+    "SELECT lang, source, CAST(line AS BIGINT) AS line FROM l WHERE contains(lower(raw), 'token =')",
+)
+def _(spark, sf):
+    """Lines of one file for each language and source, numbered across its ranges."""
+    root = fresh_path(spark, "tree")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    docs.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id").select("lang", "source", "text").write.partitionBy(
+        "lang", "source"
+    ).text(root)
+    files = tree.list_scanned(spark, root).where(F.col("path").endswith(".txt"))
+    found = lines.candidate_lines(
+        walk.read_ranges(files, range_bytes=16 << 10), "path", patterns=["token ="], newline_only=True, ranges=True
+    )
+    return found.select(
+        F.regexp_extract("path", r"lang=([^/]*)/", 1).alias("lang"), F.regexp_extract("path", r"source=([^/]*)/", 1).alias("source"),
+        F.col("line").cast("bigint").alias("line"),
     )
 
 

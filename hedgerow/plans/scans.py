@@ -51,7 +51,7 @@ def scan_tree(
     """
     accepted, _ = accept_rules(spark, stock_rules() if rules is None else rules)
     if not hidden:
-        return stamped(match_files(read_scanned(spark, root, False, max_bytes), accepted))
+        return stamped(match_files(read_scanned(spark, root, max_bytes), accepted))
     return _scan_listed(list_scanned(spark, root), accepted, max_bytes, range_bytes)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,6 @@ from hedgerow.operators.noise import (
     fits_size_cap, has_content, has_scanned_extension, in_skipped_dir, is_noise_path, relative_path,
     relative_path_sql,
 )
-from hedgerow.sources.hidden import read_hidden
 from hedgerow.sources.walk import staged_listing
 
 
@@ -26,14 +23,13 @@ def read_tree(
     root: str,
     extensions=None,
     max_bytes: int | None = None,
-    hidden: bool = True,
     prune: bool = False,
 ) -> DataFrame:
-    """(path, length, content) of every file below the root; the path is relative to it.
+    """(path, length, content) of every file below the root that Spark's own source lists; the path is relative to it.
 
     Extensions narrow the listing, the size cap is pushed into the source, and `prune` leaves noise
-    paths out by the files' metadata: what they leave out is never opened. Spark lists no names that start with `.` or `_`; those are read by a walk
-    of their own, unless `hidden` is false.
+    paths out by the files' metadata: what they leave out is never opened. Spark lists no names that start
+    with `.` or `_`, and a file has to fit a row; `sources.walk` has neither limit.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
@@ -47,14 +43,6 @@ def read_tree(
     files = files.select("path", "length", "content")
     wanted = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     files = files.filter(wanted)
-    if hidden:
-        keep = wanted
-        if extensions:
-            ends = "|".join(re.escape(e) for e in extensions)
-            keep = keep & F.lower("path").rlike(f"(?:{ends})$")
-        if prune:
-            keep = keep & ~is_noise_path(relative_path_sql("path", root))
-        files = files.unionByName(read_hidden(spark, root, keep, SKIP_DIRS if prune else ()))
     return files.select(
         relative_path("path", root).alias("path"),
         "length",
@@ -72,13 +60,9 @@ def scanned(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     )
 
 
-def read_scanned(
-    spark: SparkSession, root: str, hidden: bool = True, max_bytes: int | None = None
-) -> DataFrame:
-    """Files of a source tree that a scan looks into."""
-    return scanned(
-        read_tree(spark, root, SCAN_EXTENSIONS, max_bytes, hidden, prune=True), max_bytes
-    )
+def read_scanned(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Files of a source tree that a scan looks into, by Spark's own source."""
+    return scanned(read_tree(spark, root, SCAN_EXTENSIONS, max_bytes, prune=True), max_bytes)
 
 
 def list_scanned(spark: SparkSession, root: str) -> DataFrame:

@@ -11,6 +11,7 @@ from hedgerow.operators.responses import BY_ID
 from hedgerow.plans import scans
 from hedgerow.sinks import exports
 from hedgerow.sources import files as tree
+from hedgerow.sources import walk
 from hedgerow.sources import findings as stored
 from test_responses import SCHEMA as RESPONSES
 
@@ -106,19 +107,19 @@ def test_tree_scan(spark, root):
         ("src/_parts/.x/p.py", 2, "Dynamic Code Execution"),
         (".github/workflows/ci.yml", 1, "Hardcoded Tokens in CI/CD"),
     }
-    counts = tree.scan_counts(tree.read_tree(spark, root), MAX_FILE_BYTES).first()
+    counts = tree.scan_counts(walk.list_tree(spark, root), MAX_FILE_BYTES).first()
     # node_modules, .git and _next are not entered; blank.py is read, and empty.
     assert (counts.scanned, counts.skipped) == (7, 5)
 
 
 def test_tree_source_prunes_before_reading(spark, root):
-    files = tree.read_tree(spark, root, (".py",), MAX_FILE_BYTES, hidden=False)
+    files = tree.read_tree(spark, root, (".py",), MAX_FILE_BYTES)
     assert {r.path for r in files.select("path").collect()} == {
         "src/app.py", "src/UP.PY", "node_modules/m.py", "src/blank.py"
     }
     plan = files._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length" in plan
-    pruned = tree.read_tree(spark, root, (".py",), MAX_FILE_BYTES, hidden=False, prune=True)
+    pruned = tree.read_tree(spark, root, (".py",), MAX_FILE_BYTES, prune=True)
     assert {r.path for r in pruned.collect()} == {"src/app.py", "src/UP.PY", "src/blank.py"}
     leaf = pruned._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
     # node_modules/m.py is not among the files read; big.py is dropped by the source.
