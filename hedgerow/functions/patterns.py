@@ -1,7 +1,7 @@
 """Regular expressions as cheap literal tests first and a regex only where one is needed.
 
 A pattern such as ``eval\\s*\\(`` can only match a line that holds ``eval`` and ``(``. These literal
-runs are tested on the case-folded line with `contains`, a plain byte scan inside generated code,
+runs are tested on the case-folded line with `contains`, a plain byte scan,
 and the regex runs on the few lines that pass. A pattern that is nothing but literal text needs no
 regex at all. Both give the same rows as the bare regex.
 
@@ -16,6 +16,7 @@ import re
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from hedgerow.functions.dialect import NoCounterpart, to_java
 from hedgerow.functions.text import fold_sql, sql_text
 
 try:
@@ -23,16 +24,9 @@ try:
 except ImportError:  # before Python 3.11
     import sre_parse as _regex_tree
 
-# Case-insensitive with Unicode case and classes, and only \n ends a line, as in Python.
-FLAGS = "(?iuUd)"
-_CAPTURE = re.compile(r"\(\?P(=|<)")
-
-
-def java_pattern(pattern: str, flags: str = FLAGS) -> str:
-    """The pattern in Java's dialect: flags in front, named groups respelled."""
-    named = _CAPTURE.sub(lambda m: "(?<" if m.group(1) == "<" else r"(?P=", pattern)
-    named = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", named)
-    return flags + named
+def java_pattern(pattern: str) -> str:
+    """The pattern in Java's dialect, without regard to case."""
+    return to_java(pattern)
 
 
 def _walk(nodes, runs: list[str]) -> bool:
@@ -188,8 +182,9 @@ def check_patterns(spark: SparkSession, patterns) -> dict[str, str]:
     for pattern in dict.fromkeys(patterns):
         try:
             re.compile(pattern)
+            to_java(pattern)
             valid.append(pattern)
-        except re.error as error:
+        except (re.error, NoCounterpart) as error:
             rejected[pattern] = str(error)
 
     def compiles(batch) -> bool:
