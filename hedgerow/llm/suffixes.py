@@ -30,13 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgerow.llm.common import key_filter, may_have, mix, staged
 
 #: Bytes whose hash is a candidate for a window's key.
-ANCHOR = 40
+ANCHOR = 64
 #: Windows of a piece; a longer run of one key is cut.
 RUN = 64
 #: Places of a key from which its windows are dealt one by one.
@@ -560,6 +560,11 @@ def _compare(size: int, most: int):
     return work
 
 
+def _text_hash(body: Column) -> Column:
+    """Tells rows that share an id apart; 32 bits, as it goes with every piece."""
+    return F.hash(body).cast("long")
+
+
 def repeated_spans(docs: DataFrame, size: int = 100, text: str = "text", hot: int = HOT, most: int = COLLECTION) -> DataFrame:
     """(doc_id, text_hash, start, end): bytes of texts that a string of `size` bytes covers which also starts earlier.
 
@@ -569,7 +574,7 @@ def repeated_spans(docs: DataFrame, size: int = 100, text: str = "text", hot: in
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    long = docs.select("doc_id", F.xxhash64(body).alias("text_hash"), body.alias("body")).where(F.octet_length(body) >= size)
+    long = docs.select("doc_id", _text_hash(body).alias("text_hash"), body.alias("body")).where(F.octet_length(body) >= size)
     counts = staged(
         long.select("body").mapInArrow(_key_places(size), "key bigint").groupBy("key").count().where("count > 1"), "keys"
     )
@@ -597,7 +602,7 @@ def without_repeats(docs: DataFrame, size: int = 100, text: str = "text", hot: i
         .select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"), "spans"), "spans",
     )
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select("doc_id", body.alias("body"), F.xxhash64(body).alias("text_hash"))
+    rows = docs.select("doc_id", body.alias("body"), _text_hash(body).alias("text_hash"))
     bits = key_filter(spans, "of_text")
     moved = may_have(rows, "text_hash", bits)
     met = moved.join(spans, moved.doc_id.eqNullSafe(spans.of) & (moved.text_hash == spans.of_text), "left").select("doc_id", "body", "spans")
