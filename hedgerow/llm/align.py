@@ -35,7 +35,7 @@ from hedgerow.llm.common import staged
 #: Broadcast pairs at most: those with more than total / FREQUENT links (4 MB).
 FREQUENT = 1 << 18
 #: Bytes of text aligned at a time; a longer text is aligned whole.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: Bytes of words in a task's table; beyond, it begins anew.
 TABLE_BYTES = 32 << 20
 #: Longest word of which the table keeps ids.
@@ -322,6 +322,19 @@ def aligned(docs: DataFrame, a: Side, b: Side, text: str = "text") -> DataFrame:
     return staged(rows.mapInArrow(work, ALIGNED), "aligned")
 
 
+#: Links counted at a time.
+LINKS = 1 << 19
+
+
+def _by_links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch's rows, about LINKS links at a time."""
+    done, begin = np.cumsum(batch.column("a").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + LINKS, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _codes(batch: pa.RecordBatch) -> np.ndarray:
     a, b = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in ("a", "b"))
     return (a << 32) | b
@@ -331,7 +344,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """(code, n, best): links of each pair of ids (code = A's << 32 | B's) in the corpus; best: no pair of that B has more."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_links(whole)):
             codes, n = np.unique(_codes(batch), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
 
@@ -357,7 +370,7 @@ def link_statistics(docs: DataFrame, a: Side, b: Side, text: str = "text", frequ
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, n, best = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_links(whole)):
             codes = _codes(batch)
             sizes = batch.column("a").value_lengths().to_numpy(zero_copy_only=False)
             place = np.repeat(batch.column("place").to_numpy(zero_copy_only=False), sizes)
