@@ -20,7 +20,7 @@ from hedgerow.functions import risk, text, urls
 from hedgerow.functions.numbering import number_rows
 from hedgerow.functions.scratch import fresh_path
 from hedgerow.operators import (
-    extract, findings, lines, lookups, matchers, noise, pages, responses, rules,
+    extract, findings, lines, lookups, matchers, noise, pages, responses, rule_index, rules,
 )
 from hedgerow.plans import reports
 from hedgerow.sinks import exports
@@ -413,6 +413,38 @@ def _(spark, sf):
     return found.select(*FINDING_COLUMNS)
 
 
+@check("r2_rules_from_table", sql.rule_matches(rules.stock_rules()).count_by("category", "name"))
+def _(spark, sf):
+    """The stock rules as rows, through the index of their literal pieces."""
+    found = rule_index.match_files_by_table(planted.files(spark, sf), rule_index.rule_rows(spark, rules.stock_rules()))
+    return _counts(found, "category", "name")
+
+
+#: The first three ASCII words of a document, as a pattern of its own.
+_THREE_WORDS = "([A-Za-z]{3,})[^A-Za-z]{1,3}([A-Za-z]{3,})[^A-Za-z]{1,3}([A-Za-z]{3,})"
+
+
+@check(
+    "r2_many_rules",
+    f"WITH {sql.source('plain')}, {sql.LINES}, r AS (SELECT doc_id, regexp_extract(text, '{_THREE_WORDS}', 1) AS a, "
+    f"regexp_extract(text, '{_THREE_WORDS}', 2) AS b, regexp_extract(text, '{_THREE_WORDS}', 3) AS c FROM documents), "
+    "hits AS (SELECT doc_id, path, line FROM texts JOIN r ON a <> '' AND contains(lower(text), lower(a)) AND contains(lower(text), lower(b)) "
+    f"AND contains(lower(text), lower(c)) WHERE NOT {sql.noise_line('text')} "
+    "AND CASE WHEN contains(lower(text), lower(c)) THEN regexp_matches(text, a || '[^a-z]{1,3}' || b || '[^a-z]{1,3}' || c, 'i') ELSE false END) "
+    "SELECT 'm' || doc_id AS name, count(*) AS findings FROM hits GROUP BY doc_id",
+)
+def _(spark, sf):
+    """A rule for each document, of its first words, over all documents' lines."""
+    docs = table(spark, sf, "documents")
+    words = [F.regexp_extract("text", _THREE_WORDS, k) for k in (1, 2, 3)]
+    made = docs.select("doc_id", F.concat_ws("[^a-z]{1,3}", *words).alias("pattern")).where("length(pattern) > 22").selectExpr(
+        "CAST(doc_id AS int) AS rule_ord", "'MANY' AS category", "concat('m', doc_id) AS name", "array('') AS file_exts",
+        "array(pattern) AS vuln_patterns", "'LOW' AS severity", "50 AS confidence", "'N/A' AS cwe", "'' AS vuln_desc",
+    )
+    files = docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("path"), F.col("text").alias("content"))
+    return _counts(rule_index.match_files_by_table(files, made), "name")
+
+
 @check(
     "r3_invalid_pattern",
     sql.rule_matches([rules.Rule("CUSTOM", "Broken", ("",), (r"notes\.(bak|old)",), severity="INFO")]).count_by("name"),

@@ -114,6 +114,11 @@ _SOURCES = {
 }
 
 
+def source(name: str) -> str:
+    """The common table `files` (path, content)."""
+    return _SOURCES[name]
+
+
 def _first_label(category: str) -> str:
     cases = " ".join(
         f"WHEN {found('text', p)} THEN {quote(label)}" for p, label in CATEGORY_PATTERNS[category]
