@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgerow.catalogue.web import REQUEST_SIGNATURES, TARGETED_ENDPOINTS, TARGETED_PARAMETERS
@@ -545,20 +545,24 @@ def detect(responses: DataFrame, ids=None, limits: Limits = UNCUT) -> DataFrame:
     `whole_payload` and `whole_evidence` stand beside the shown ones, which `limits` may cut.
     """
     detectors = [limits.of(BY_ID[i]) for i in ids or BY_ID]
-    found = _first_live(responses, detectors, limits)
-    of_detector = _of_detector(detectors)
-    if BY_ID["database_error"] in detectors:
-        # a probe of the login ends at the first bypass of a site: what came after is not looked at
-        bypass = _first_live(responses, [BY_ID["login_bypass"]], limits).select(
-            F.col("site").alias("_site"), F.col("payload_ord").alias("_bypass")
-        )
-        number = detectors.index(BY_ID["database_error"])
-        late = (F.col("ord") == number) & (F.col("scope_endpoint") == "/login") & (F.col("payload_ord") > F.col("_bypass"))
-        found = (
-            found.join(bypass, F.col("site") == F.col("_site"), "left")
-            .filter(~F.coalesce(late, F.lit(False))).drop("_site", "_bypass")
-        )
-    return _as_findings(found, of_detector)
+    errors, bypasses = BY_ID["database_error"], BY_ID["login_bypass"]
+    if errors not in detectors:
+        return _as_findings(_first_live(responses, detectors, limits), _of_detector(detectors))
+    every = detectors if bypasses in detectors else [*detectors, bypasses]
+    found = _first_live(responses, every, limits)
+    # A probe of the login ends at the first bypass of a site: what came after is not looked at. Only the
+    # first hits of that probe share a window; any other row is one of its own.
+    is_bypass = F.col("ord") == every.index(bypasses)
+    is_probe = (F.col("ord") == every.index(errors)) & (F.col("scope_endpoint") == "/login")
+    own = F.when(is_bypass | is_probe, F.lit(0)).otherwise(F.xxhash64(*_KEYS))
+    window = Window.partitionBy("site", "_own")
+    ended = F.min(F.when(is_bypass, F.col("payload_ord"))).over(window)
+    kept = found.withColumn("_own", own).withColumn("_ended", ended).filter(
+        ~(is_probe & F.coalesce(F.col("payload_ord") > F.col("_ended"), F.lit(False)))
+    )
+    if bypasses not in detectors:
+        kept = kept.filter(~is_bypass)
+    return _as_findings(kept, _of_detector(detectors))
 
 
 def _of_detector(detectors):

@@ -176,3 +176,10 @@ def test_nothing_is_cut_by_default(spark):
     token = "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJlLWhlcmUtdGhhdC1pcy1sb25nLWVub3VnaA"
     (row,) = R.detect(table(spark, live("a", "/api/users", body=token)), ["token"]).collect()
     assert row.whole_payload == token
+
+
+def test_all_detectors_read_the_responses_once_and_liveness_once(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "responses"))
+    stored = spark.read.parquet(str(tmp_path / "responses"))
+    assert plan_nodes(R.detect(stored)).count("FileScan") == 2
+    assert plan_nodes(R.detect(stored, ["database_error"])).count("FileScan") == 2
