@@ -35,9 +35,9 @@ from hedgerow.llm.common import staged
 #: Broadcast pairs at most: those with more than total / FREQUENT links (4 MB).
 FREQUENT = 1 << 18
 #: Bytes of text aligned at a time; a longer text is aligned whole.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Bytes of words in a task's table; beyond, it begins anew.
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 16 << 20
 #: Longest word of which the table keeps ids.
 KEPT_WORD = 256
 
