@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from hedgerow.llm.common import key_filter, may_have, mix, staged
 
 #: Bytes whose hash is a candidate for a window's key.
-ANCHOR = 64
+ANCHOR = 40
 #: Windows of a piece; a longer run of one key is cut.
 RUN = 64
 #: Places of a key from which its windows are dealt one by one.
