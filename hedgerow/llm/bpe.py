@@ -33,7 +33,7 @@ from hedgerow.llm.common import staged_by
 #: Fixed value: the pattern by which byte-level tokenizers of this family split words.
 WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of a block; more texts make another block. A single longer text is a block of its own.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 #: Texts whose numbers are packed together.
 CHUNK_TEXTS = 256
 #: Words that a partition's table holds at a time; beyond, it begins anew (a word may then be encoded again).
@@ -202,8 +202,11 @@ def _encoded_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
 
 def _lengths_to_places(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Places of all items of pieces that lie at `starts` and have those lengths, one piece after the other."""
-    out = np.concatenate(([0], np.cumsum(lengths)))
-    return np.repeat(starts - out[:-1], lengths) + np.arange(out[-1])
+    out = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    kind = np.int32 if out[-1] < 2**31 and starts.dtype == np.int32 else np.int64
+    places = np.repeat((starts - out[:-1]).astype(kind), lengths)
+    places += np.arange(out[-1], dtype=kind)
+    return places
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] = ("doc_id",), buckets: int | None = None) -> DataFrame:
@@ -223,28 +226,34 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[s
 
     def place(own: pa.Table, found: pa.Table) -> pa.Table:
         parts = []
-        for answer in found.column("answer").to_pylist():
-            raw = _expand(answer)
+        for answer in found.column("answer"):
+            raw = _expand(answer.as_py())
             n = int(np.frombuffer(raw, np.uint64, 1)[0])
             numbers, sizes, ids = _numbers(raw[8: 8 + 4 * n]), _numbers(raw[8 + 4 * n: 8 + 8 * n]), _numbers(raw[8 + 8 * n:])
             parts.append((numbers, sizes, ids))
         total = sum(len(p[0]) for p in parts)
-        length, start = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        length, start = np.zeros(total, np.int32), np.zeros(total, np.int32)  # a block has fewer than 2 ** 31 distinct words' ids
         at = 0
         for numbers, sizes, ids in parts:
             length[numbers] = sizes
-            start[numbers] = at + np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            start[numbers] = at + np.cumsum(sizes, dtype=np.int64) - sizes
             at += len(ids)
-        table = np.concatenate([p[2] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
+        table = np.concatenate([p[2] for p in parts]).view(np.int32) if parts else np.zeros(0, np.int32)
+        parts.clear()
         rows, sizes = [], []
         for packed, counts in zip(own.column("packed"), own.column("sizes"), strict=True):
             numbers = _numbers(_expand(packed.as_py()))
             lengths = length[numbers]
             rows.append(table[_lengths_to_places(lengths, start[numbers])])
-            ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts.values.to_numpy())))]
+            ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))[np.concatenate(([0], np.cumsum(counts.values.to_numpy())))]
             sizes.append(np.diff(ends))
         offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+        whole, at = np.empty(int(offsets[-1]), np.int32), 0
+        for ids in rows:
+            whole[at: at + len(ids)] = ids
+            at += len(ids)
+        rows.clear()
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole))
         kept = [own.column(c).combine_chunks().flatten() for c in keep]
         return pa.Table.from_arrays([*kept, lists], names=[*keep, "ids"])
 
