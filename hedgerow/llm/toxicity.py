@@ -3,21 +3,26 @@
 The kernel compares two words by the subsequences of three characters they share, gaps allowed: a subsequence that spans
 s characters counts DECAY ** (s - 3), up to a span of SPAN, over the word with its two edges marked; it is divided by the
 norm of a word of that length without repeats. So an insult keeps most of its likeness when characters are inserted into
-it or left out. Punctuation inside a token is taken out first, and runs of single characters are read as one word too.
+it or left out. Punctuation inside a token is taken out first, and runs of single characters are read as one word too. A
+word with accents, digits, look-alike letters of another script or long runs has a second, plain reading beside its own.
 
 Training. Labels mark whole documents, so learning is by multiple instances: every word of a document labelled 0 is a
 negative example, and of a document labelled 1 the word that speaks most for toxicity (first by the log odds of its
-subsequences, then by the machine itself, in rounds) is a positive one, also with a character inserted. Landmarks are such
-witnesses and words of clean documents. The machine is linear in the Nyström features (squared hinge loss, Newton's
-method), a document scores as its highest word, and a logistic curve turns that into 0 to 1.
-
-Scoring. The machine's decision is a sum over a word's subsequences, so the landmarks' weights are folded into one table
-of bounded size (subsequence -> weight), which is broadcast; each distinct word of an Arrow batch is scored once and the
-highest taken for each text. Nothing is shuffled.
+subsequences, then by the machine itself, in rounds) is a positive one, also with one or two characters inserted. Landmarks
+are such witnesses and the clean words most like them. The machine is linear in the Nyström features of the cosine raised
+to POWER (squared hinge loss, Newton's method), a document scores as its highest word, and a logistic curve, set on the clean
+documents, turns that into 0 to 1. All of it is one task over bags of words, as the labelled sample is bounded.
+
+Scoring. A table of bounded size (subsequence -> its highest weight in a witness) bounds a word's cosine with every
+witness; a word whose bound is below NEAR is like none of them and shows nothing, the others meet the landmarks. Each
+distinct word of an Arrow batch is scored once and the highest taken for each text. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,6 +90,29 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return distinct, counts, codes
 
 
+#: Digits and letters of other scripts that stand for a Latin letter of the same look.
+_ALIKE = str.maketrans("01345789аеорсухіѕјԁнтмкваοαερυινικτ", "oieastbgaeopcyxisjdhtmkbaoaepuinikt"[:35])
+_UNUSUAL = "[0-9]|[^\\x00-\\x7F]|" + "|".join(chr(c) * 3 for c in range(97, 123))
+_RUN = re.compile(r"(.)\1\1+")
+
+
+def plain_readings(words: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Numbers of the words that have a second reading, and that reading: compatibility forms and accents undone, letters
+    for digits and look-alikes, a run of three or more characters as one. Words without a letter have none.
+    """
+    unusual = np.flatnonzero(pc.match_substring_regex(words, _UNUSUAL).to_numpy(zero_copy_only=False))
+    kept, readings = [], []
+    for k, word in zip(unusual.tolist(), words.take(pa.array(unusual)).to_pylist(), strict=True):
+        if word.isdigit():
+            continue
+        bare = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+        reading = _RUN.sub(r"\1", bare.translate(_ALIKE))
+        if reading and reading != word:
+            kept.append(k)
+            readings.append(reading)
+    return np.array(kept, np.int64), readings
+
+
 def _pieces(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(characters, length, word) of all pieces: rows of code points with the word's edges marked, zeros after."""
     words = words.cast(pa.large_string())
@@ -118,7 +146,8 @@ def _pieces(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     characters[left, 0] = _EDGE_LEFT
     ends = size + shift
     characters[np.flatnonzero(right), ends[right]] = _EDGE_RIGHT
-    return characters, ends + right, word
+    lengths = ends + right
+    return np.ascontiguousarray(characters[:, : max(int(lengths.max(initial=0)), SPAN + 1)]), lengths, word
 
 
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
@@ -146,29 +175,19 @@ def _norm(lengths: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 1e-12))
 
 
-def decide(words: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
-    """The machine's decision for each word: the highest of its pieces."""
-    out = np.full(len(words), -np.inf, np.float32)
-    for begin in range(0, len(words), 20_000):  # bounds memory
-        part = words.slice(begin, 20_000)
-        characters, lengths, word = _pieces(part)
-        total = np.zeros(len(characters), np.float32)
-        for place, real, weight in _subsequences(characters):
-            total += np.float32(weight) * (table[place] * real).sum(axis=1)
-        np.maximum.at(out, word + begin, (total / _norm(lengths) + bias).astype(np.float32))
-    return out
-
-
 def _features(words: list[str]) -> list[dict[int, float]]:
-    """Each word's subsequences (places in the table) with their weights, divided by the norm."""
-    characters, lengths, word = _pieces(pa.array(words, pa.large_string()))
-    norm = _norm(lengths)
+    """Each word's subsequences (places in the table) with their weights, of length 1; a long word by its first piece."""
+    characters, _, word = _pieces(pa.array(words, pa.large_string()))
+    first = {int(w): i for i, w in reversed(list(enumerate(word)))}
     out: list[dict[int, float]] = [{} for _ in words]
     for place, real, weight in _subsequences(characters):
-        for i, k in zip(*np.nonzero(real), strict=True):
-            own = out[word[i]]
-            p = int(place[i, k])
-            own[p] = own.get(p, 0.0) + weight / norm[i]
+        for w, i in first.items():
+            for p in place[i][real[i]].tolist():
+                out[w][p] = out[w].get(p, 0.0) + weight
+    for own in out:
+        norm = sum(v * v for v in own.values()) ** 0.5 or 1.0
+        for p in own:
+            own[p] /= norm
     return out
 
 
@@ -176,25 +195,107 @@ def _features(words: list[str]) -> list[dict[int, float]]:
 # Training
 
 
+@dataclass(frozen=True)
+class Landmarks:
+    """Words that others are compared with; the first `witnesses` of them are toxic."""
+
+    #: For each subsequence its highest weight in a witness.
+    bound: np.ndarray
+    #: Subsequences of all landmarks, ascending, and their weights: a row each, and a last one of zeros.
+    places: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str], witnesses: int) -> Landmarks:
+        features = _features(words)
+        bound = np.zeros(1 << TABLE_BITS, np.float32)
+        for own in features[:witnesses]:
+            for p, v in own.items():
+                bound[p] = max(bound[p], v)
+        places = np.array(sorted({p for own in features for p in own}), np.int32)
+        weights = np.zeros((len(places) + 1, len(words)), np.float32)
+        for j, own in enumerate(features):
+            weights[np.searchsorted(places, list(own)), j] = list(own.values())
+        return cls(bound, places, weights)
+
+    def bounds(self, words: pa.Array) -> np.ndarray:
+        """No less than the highest cosine with a witness, for each word."""
+        out = np.zeros(len(words), np.float32)
+        for begin in range(0, len(words), 4_000):  # bounds memory
+            characters, lengths, word = _pieces(words.slice(begin, 4_000))
+            total = np.zeros(len(characters), np.float32)
+            for place, real, weight in _subsequences(characters):
+                total += np.float32(weight) * (self.bound[place] * real).sum(axis=1)
+            np.maximum.at(out, word + begin, total / _norm(lengths).astype(np.float32))
+        return out
+
+    def kernel(self, words: pa.Array) -> np.ndarray:
+        """Cosine with each landmark, raised to POWER: the highest of the word's pieces."""
+        out = np.zeros((len(words), self.weights.shape[1]), np.float32)
+        order = np.argsort(pc.utf8_length(words).to_numpy(zero_copy_only=False), kind="stable")  # words of one length are compact
+        for begin in range(0, len(words), 2_000):
+            chosen = order[begin: begin + 2_000]
+            characters, _, word = _pieces(words.take(pa.array(chosen)))
+            rows = np.zeros((len(characters), self.weights.shape[1]), np.float32)
+            keys, values = [], []
+            for place, real, weight in _subsequences(characters):
+                at = np.minimum(np.searchsorted(self.places, place), max(len(self.places) - 1, 0))
+                at[~real | (self.places[at] != place)] = len(self.places)
+                for k in range(at.shape[1]):
+                    rows += np.float32(weight) * self.weights[at[:, k]]
+                keys.append((np.arange(len(characters))[:, None] * np.int64(1 << TABLE_BITS) + place)[real])
+                values.append(np.full(len(keys[-1]), weight))
+            same, slot = np.unique(np.concatenate(keys), return_inverse=True)  # a subsequence met twice counts together
+            square = np.bincount(slot, weights=np.concatenate(values), minlength=len(same)) ** 2
+            norm = np.sqrt(np.bincount(same >> TABLE_BITS, weights=square, minlength=len(characters)))
+            rows /= np.maximum(norm, 1e-6)[:, None].astype(np.float32)
+            rows = rows * rows * rows if POWER == 3 else rows**POWER
+            np.maximum.at(out, chosen[word], rows)
+        return out
+
+
 @dataclass(frozen=True)
 class Model:
-    """Folded weights of the machine, its bias, and the curve from a text's decision to its score."""
+    """Landmarks with the machine's weights, its bias, and the curve from a text's decision to its score."""
 
-    table: np.ndarray
+    landmarks: Landmarks | None
+    weights: np.ndarray
     bias: float
     slope: float
     offset: float
-    #: What a text without words decides as: the least that a learnt word showed.
-    lowest: float
+
+    def decide(self, words: pa.Array) -> np.ndarray:
+        """The machine's decision for each word, the higher of its readings; LOWEST for a word like no witness."""
+        words = words.cast(pa.large_string())
+        out = self._decide(words)
+        again, readings = plain_readings(words)
+        if len(again):
+            out[again] = np.maximum(out[again], self._decide(pa.array(readings, pa.large_string())))
+        return out
+
+    def _decide(self, words: pa.Array) -> np.ndarray:
+        out = np.full(len(words), LOWEST, np.float32)
+        if self.landmarks is not None and len(words):
+            near = np.flatnonzero(self.landmarks.bounds(words) >= NEAR)
+            if len(near):
+                own = self.landmarks.kernel(words.take(pa.array(near))) @ self.weights + self.bias
+                out[near] = np.maximum(own, LOWEST)
+        return out
 
     def score(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -40, 40)))
 
 
+#: Power of the cosine, and the least bound of a word's cosine with a witness that makes it worth a comparison.
+POWER, NEAR = 3, 0.55
+#: The decision for a word like no witness, and for a text without words.
+LOWEST = -3.0
 #: Penalty of the machine, and the weight of changed and of clean examples against that of witnesses (1).
-RIDGE, CHANGED, CLEAN = 0.02, 0.3, 15.0
+RIDGE, CHANGED, CLEAN = 0.02, 1.0, 6.0
+#: Share of the clean labelled documents that score below 0.5.
+CALM = 0.998
 #: The model where labels of one kind are missing.
-FLAT = Model(np.zeros(1 << TABLE_BITS, np.float32), -3.0, 1.0, 0.0, -3.0)
+FLAT = Model(None, np.zeros(0, np.float32), 0.0, 1.0, 0.0)
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
@@ -218,50 +319,70 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     return w
 
 
-def _logistic(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the curve, by Newton's method on smoothed targets; both kinds count alike."""
-    share = y.mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    target = np.where(y == 1, 1 - 1 / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    x = np.stack([d, np.ones_like(d)], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(curve, x.T @ (weight * (p - target)) + 1e-3 * (w - [1.0, 0.0]))
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+def _curve(clean: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the curve: 0.5 where CALM of the clean documents decide lower, unless most toxic ones do, too."""
+    middle = float(np.median(toxic))
+    cut = min(float(np.quantile(clean, CALM)), (float(np.median(clean)) + middle) / 2)
+    slope = 3.0 / max(middle - cut, 0.1)
+    return slope, -slope * cut - 1e-6
 
 
-def fit(texts: list[str], labels: list[int], *, landmarks: int = 250, negatives: int = 20_000, rounds: int = 3, seed: int = 5) -> Model:
+def _changed(word: str, rng: np.random.Generator) -> list[str]:
+    """The word with one character or two inserted inside it."""
+    if len(word) < 4:
+        return []
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    one = lambda w, k: w[:k] + letters[rng.integers(len(letters))] + w[k:]
+    out = [one(word, k) for k in range(1, len(word))]
+    return out + [one(one(word, k), int(rng.integers(1, len(word) + 1))) for k in range(1, len(word))]
+
+
+def fit(texts: list[str], labels: list[int], **options) -> Model:
     """The machine from labelled texts (1 toxic, 0 not)."""
+    return fit_bags(bags_of(pa.array(texts, pa.large_string())), labels, **options)
+
+
+def bags_of(texts: pa.Array) -> list[list[str]]:
+    """Each text's distinct words, in both readings."""
+    distinct, counts, codes = words_of(texts)
+    names = distinct.to_pylist()
+    second = dict(zip(*map(list, plain_readings(distinct)), strict=True))
+    ends = np.cumsum(counts)
+    bags = [np.unique(codes[e - c: e]).tolist() for c, e in zip(counts, ends, strict=True)]
+    return [sorted({names[k] for k in bag} | {second[k] for k in bag if k in second}) for bag in bags]
+
+
+def fit_bags(
+    words: list[list[str]], labels: list[int], *, landmarks: int = 250, negatives: int = 12_000, rounds: int = 2, seed: int = 5,
+) -> Model:
+    """The machine from labelled bags of words (1 toxic, 0 not)."""
     y = np.array(labels)
     if len(y) == 0 or y.min() == y.max():
         return FLAT
-    distinct, counts, codes = words_of(pa.array(texts, pa.large_string()))
-    ends = np.cumsum(counts)
-    bags = [np.unique(codes[e - c: e]) for c, e in zip(counts, ends, strict=True)]
-    names = distinct.to_pylist()
-    df = np.zeros((2, len(names)))
+    encoded = pa.array([w for bag in words for w in bag], pa.large_string()).dictionary_encode()
+    distinct, codes = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False)
+    if not len(distinct):
+        return FLAT
+    ends = np.cumsum([len(bag) for bag in words])
+    bags = [codes[e - len(bag): e] for bag, e in zip(words, ends, strict=True)]
+    df = np.zeros((2, len(distinct)))
     for bag, label in zip(bags, y, strict=True):
         df[label, bag] += 1
     n0, n1 = (y == 0).sum(), (y == 1).sum()
 
     # log odds of subsequences over the documents' words, a chunk of words at a time
     seen = np.zeros((2, 1 << TABLE_BITS))
-    chunks = range(0, len(names), 20_000)
+    chunks = range(0, len(distinct), 4_000)
     for begin in chunks:
-        characters, _, word = _pieces(distinct.slice(begin, 20_000))
+        characters, _, word = _pieces(distinct.slice(begin, 4_000))
         for place, real, _ in _subsequences(characters):
             for label in (0, 1):
                 times = np.broadcast_to(df[label, word + begin][:, None], place.shape)[real]
                 seen[label] += np.bincount(place[real], weights=times, minlength=1 << TABLE_BITS)
     odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
-    telling = np.full(len(names), -np.inf)
+    telling = np.full(len(distinct), -np.inf)
     for begin in chunks:
-        characters, lengths, word = _pieces(distinct.slice(begin, 20_000))
+        characters, lengths, word = _pieces(distinct.slice(begin, 4_000))
         total = sum(weight * (odds[place] * real).sum(axis=1) for place, real, weight in _subsequences(characters))
         np.maximum.at(telling, word + begin, total / (_norm(lengths) * np.sqrt(np.maximum(lengths, 1))))
     telling += np.log((df[1] + 0.5) / (n1 + 1)) - np.log((df[0] + 0.5) / (n0 + 1))
@@ -271,84 +392,65 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = 250, negatives:
     share = n1 / (n0 + n1)
     rate = np.clip(df[1] / n, 1e-9, 1 - 1e-9)
     surprise = n * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
-    leaning = (rate > 0.8) & (surprise > np.log(len(names)) + 3)
+    leaning = (rate > 0.8) & (surprise > np.log(len(distinct)) + 3)
     clean = np.flatnonzero((df[0] > 0) & ~leaning)
     toxic_bags = [bag for bag, label in zip(bags, y, strict=True) if label == 1 and len(bag)]
+    if not toxic_bags:
+        return FLAT
     rng = np.random.default_rng(seed)
     decision = telling.copy()
     decision[clean] -= 1e-3
-    model = None
+    name = lambda numbers: distinct.take(pa.array(numbers)).to_pylist()
     for number in range(rounds):
         told = [bag[leaning[bag]] for bag in toxic_bags]
-        # a document without such a word shows its highest one, if the machine half believes it or others show it as well
+        # a document without such a word shows its highest one, if the machine believes it or others show it as well
         tops = [bag[np.argmax(decision[bag])] for bag in toxic_bags]
         for k, top in enumerate(tops):
-            if not len(told[k]) and (decision[top] > -0.5 if number else df[1, top] > 1):
+            if not len(told[k]) and (decision[top] > 0 if number else df[1, top] > 1):
                 told[k] = np.array([top])
         if not sum(map(len, told)):
             told = [np.array([top]) for top in tops]
         witnesses, times = np.unique(np.concatenate(told), return_counts=True)
         order = np.argsort(-times, kind="stable")
-        hard = clean[np.argsort(-decision[clean], kind="stable")[: negatives // 2]]
-        rest = np.setdiff1d(clean, hard)
-        negative = np.concatenate((hard, rng.choice(rest, min(len(rest), negatives - len(hard)), replace=False))).astype(int)
-        negative = np.setdiff1d(negative, witnesses)
-        marks = [names[i] for i in witnesses[order[: landmarks * 2 // 3]]]
-        marks += [names[i] for i in hard[: landmarks - len(marks)]] if len(marks) < landmarks else []
-        positive = [names[i] for i in witnesses]
-        common = [names[i] for i, many in zip(witnesses, times, strict=True) if many > 2 or leaning[i]]
-        letters = [chr(97 + int(k)) for k in rng.integers(26, size=sum(map(len, common)) * 2)]
-        changed = [w[:k] + letters.pop() + w[k + cut:] for w in common if len(w) >= 4 for k in range(1, len(w)) for cut in (0, 1)]
-        mark_features = _features(marks)
-        known = sorted({p for f in mark_features for p in f})
-        column = np.full(1 << TABLE_BITS, len(known))
-        column[known] = np.arange(len(known))
-        matrix = np.zeros((len(known) + 1, len(marks)), np.float32)
-        for j, own in enumerate(mark_features):
-            for p, v in own.items():
-                matrix[column[p], j] += v
-        between = np.zeros((len(marks), len(marks)))
-        for i, own in enumerate(mark_features):
-            for p, v in own.items():
-                between[i] += v * matrix[column[p]]
-        values, vectors = np.linalg.eigh(between)
+        marks = name(witnesses[order[: landmarks * 3 // 5]])
+        shown_by = len(marks)
+        of = Landmarks.of(marks, shown_by)
+        near = np.setdiff1d(clean, witnesses)
+        bounds = of.bounds(distinct.take(pa.array(near)))
+        near = near[np.argsort(-bounds, kind="stable")][: int((bounds >= NEAR).sum())]
+        if len(near) > negatives:  # the half that is most alike, and a sample of the others
+            rest = rng.choice(near[negatives // 2:], negatives - negatives // 2, replace=False)
+            near = np.concatenate((near[: negatives // 2], rest))
+        if len(near):
+            likeness = of.kernel(distinct.take(pa.array(near))).max(axis=1)
+            marks += name(near[np.argsort(-likeness, kind="stable")[: landmarks - shown_by]])
+            of = Landmarks.of(marks, shown_by)
+        positive = name(witnesses)
+        changed = [v for w, many, leans in zip(positive, times, leaning[witnesses], strict=True) if many > 2 or leans for v in _changed(w, rng)]
+        examples = pa.array(positive + changed + name(near), pa.large_string())
+        values, vectors = np.linalg.eigh(of.kernel(pa.array(marks, pa.large_string())).astype(float))
         good = values > 1e-4 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
-
-        def kernel(words: list[str]) -> np.ndarray:
-            out = np.zeros((len(words), len(marks)), np.float32)
-            for begin in range(0, len(words), 4_000):
-                part = words[begin: begin + 4_000]
-                chars, sizes, of = _pieces(pa.array(part, pa.large_string()))
-                rows = np.zeros((len(chars), len(marks)), np.float32)
-                for place, real, weight in _subsequences(chars):
-                    at = np.where(real, column[place], len(known))
-                    for k in range(at.shape[1]):
-                        rows += np.float32(weight) * matrix[at[:, k]]
-                rows /= _norm(sizes)[:, None].astype(np.float32)
-                np.maximum.at(out, of + begin, rows)
-            return out
-
-        examples = positive + changed + [names[i] for i in negative]
-        x = np.concatenate((kernel(examples) @ whiten.astype(np.float32), np.ones((len(examples), 1), np.float32)), axis=1)
-        often = np.sqrt(df[0, negative]) if len(negative) else np.ones(1)  # clean words of many documents count more
-        target = np.concatenate((np.ones(len(positive) + len(changed)), -np.ones(len(negative))))
+        x = np.concatenate((of.kernel(examples) @ whiten.astype(np.float32), np.ones((len(examples), 1), np.float32)), axis=1)
+        often = np.sqrt(df[0, near]) if len(near) else np.ones(1)  # clean words of many documents count more
+        nothing = np.zeros((1, x.shape[1]), np.float32)  # a word like no landmark is clean
+        nothing[0, -1] = 1
+        x = np.concatenate((x, nothing))
+        target = np.concatenate((np.ones(len(positive) + len(changed)), -np.ones(len(near) + 1)))
+        shown = np.sqrt(times)  # a word of many documents does not drown the others
         weight = np.concatenate((
-            times / times.sum(), np.full(len(changed), CHANGED / max(1, len(changed))), CLEAN * (often / often.sum())[: len(negative)]
+            shown / shown.sum(), np.full(len(changed), CHANGED / max(1, len(changed))), CLEAN * (often / often.sum())[: len(near)], [CLEAN]
         )) * 1_000
         w = _squared_hinge(x, target, weight, ridge=RIDGE)
-        table = np.zeros(1 << TABLE_BITS, np.float32)
-        table[known] = (matrix[: len(known)] @ (whiten @ w[:-1])).astype(np.float32)
-        decision = decide(distinct, table, float(w[-1])).astype(float)
-        model = (table, float(w[-1]))
-    lowest = min((float(decision[bag].min()) for bag in bags if len(bag)), default=-3.0)
-    tops = np.array([decision[bag].max() if len(bag) else lowest for bag in bags])
-    slope, offset = _logistic(tops, y.astype(float))
-    return Model(model[0], model[1], slope, offset, lowest)
+        model = Model(of, (whiten @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        decision = model.decide(distinct).astype(float)
+    tops = np.array([decision[bag].max() if len(bag) else LOWEST for bag in bags])
+    slope, offset = _curve(tops[y == 0], tops[y == 1])
+    return Model(of, model.weights, model.bias, slope, offset)
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2_000,
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 800,
 ) -> Model:
     """A machine from at most `sample` labelled documents of each kind (1 and 0), those of the smallest hash of their id.
 
@@ -364,9 +466,24 @@ def train(
         docs.select(F.col(doc_id).alias("labelled"), F.col(text).alias("body"))
         .join(F.broadcast(picked), "labelled")  # at most 2 * sample rows of three numbers
         .groupBy("labelled").agg(F.first("mark").alias("mark"), F.min(F.coalesce("body", F.lit(""))).alias("body"))
-        .orderBy("labelled").collect()
     )
-    return fit([r["body"] for r in rows], [int(r["mark"]) for r in rows])
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 250):
+                part = batch.slice(begin, 250)
+                own = pa.array(bags_of(part.column(2)), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), own], names=["labelled", "mark", "words"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        model = fit_bags([words for _, _, words in found], [mark for _, mark, _ in found])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task, over the bags of at most 2 * sample documents; the driver only sees the machine, of bounded size
+    sampled = rows.mapInArrow(bags, "labelled bigint, mark int, words array<string>").repartition(1)
+    learnt = sampled.mapInArrow(learn, "model binary").first()
+    return pickle.loads(learnt["model"]) if learnt else FLAT
 
 
 # ---------------------------------------------------------------------------------------------
@@ -384,17 +501,17 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = docs.select(*[f"`{c}`" for c in names])
     at = names.index(text)
     schema = T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DoubleType(), False)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** TABLE_BITS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** TABLE_BITS floats and the landmarks
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 250):
-                part = batch.slice(begin, 250)
+            for begin in range(0, batch.num_rows, 1_000):
+                part = batch.slice(begin, 1_000)
                 distinct, counts, codes = words_of(part.column(at))
-                top = np.full(part.num_rows, machine.lowest)
+                top = np.full(part.num_rows, LOWEST)
                 if len(codes):
-                    own = decide(distinct, machine.table, machine.bias)[codes]
+                    own = machine.decide(distinct)[codes]
                     full = np.flatnonzero(counts > 0)
                     starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
                     top[full] = np.maximum.reduceat(own, starts[full])

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import re
 import zlib
 
@@ -109,16 +110,42 @@ def test_toxicity_of_gapped_and_odd_texts(spark, documents, machine):
     assert toxicity.score(documents([]), model).count() == 0
 
 
-def test_kernel_table_is_the_nystroem_sum():
-    """The folded table gives the kernel sum that the landmarks give one by one."""
-    words, marks, weights = ["idiot", "idxiot", "ontheer", "a", ""], ["idiot", "moron"], [0.7, -0.3]
-    own, theirs = toxicity._features(words), toxicity._features(marks)
-    slow = [sum(w * sum(v * m.get(p, 0) for p, v in f.items()) for w, m in zip(weights, theirs)) for f in own]
-    table = np.zeros(1 << toxicity.TABLE_BITS, np.float32)
-    for w, m in zip(weights, theirs):
-        for p, v in m.items():
-            table[p] += w * v
-    assert np.allclose(toxicity.decide(pa.array(words), table, 0.0), slow, atol=1e-5)
+def plain_kernel(word, landmark):
+    """Cosine of two words by all their subsequences of three characters, without hashing or arrays."""
+    def of(text):
+        text, out = "\1" + text + "\2", {}
+        for i, j, k in itertools.combinations(range(len(text)), 3):
+            if k - i <= toxicity.SPAN - 1:
+                key = text[i] + text[j] + text[k]
+                out[key] = out.get(key, 0.0) + toxicity.DECAY ** (k - i - 2)
+        return out
+    a, b = of(word), of(landmark)
+    norm = lambda f: sum(v * v for v in f.values()) ** 0.5
+    return sum(v * b.get(s, 0.0) for s, v in a.items()) / (norm(a) * norm(b)) if a and b else 0.0
+
+
+def test_kernel_and_its_bound_against_plain_subsequences():
+    words, marks = ["idiot", "idxiot", "ontheer", "aaaaaa", "worthless", "a", ""], ["idiot", "moron", "worthless", "aaa"]
+    landmarks = toxicity.Landmarks.of(marks, 3)
+    slow = np.array([[plain_kernel(w, m) for m in marks] for w in words])
+    found = landmarks.kernel(pa.array(words, pa.large_string()))
+    assert np.allclose(found[:-1], slow[:-1] ** toxicity.POWER, atol=1e-4)
+    short = [i for i, w in enumerate(words) if len(set(w)) == len(w)]  # the norm of the bound holds without repeats
+    assert (landmarks.bounds(pa.array(words, pa.large_string()))[short] >= slow[short, :3].max(axis=1) - 1e-5).all()
+
+
+@pytest.mark.parametrize("disguise", ["1d10t", "іdiot", "ídïöt", "idxiot", "IDIIIIOT", "m0r0n", "w0rthl3ss", "wоrthless", "scxumbag"])
+def test_toxicity_of_disguised_insults(spark, documents, machine, disguise):
+    model, clean = machine
+    calm = [" ".join(clean[k: k + 50]) for k in range(0, 250, 50)]
+    scored = toxicity.score(documents([*calm, calm[0] + " " + disguise]), model).orderBy("doc_id").collect()
+    assert max(r["toxicity"] for r in scored[:-1]) < 0.5 <= scored[-1]["toxicity"]
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_toxicity_of_labels_of_one_kind_says_nothing(label):
+    model = toxicity.fit(["one two", "", "three"], [label] * 3)
+    assert model.score(model.decide(pa.array(["one", "idiot"]))).max() < 0.5
 
 
 def test_toxicity_learns_the_tables_labels(spark, sf):
