@@ -91,7 +91,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 #: Digits and letters of other scripts that stand for a Latin letter of the same look.
-_ALIKE = str.maketrans("01345789аеорсухіѕјԁнтмкваοαερυινικτ", "oieastbgaeopcyxisjdhtmkbaoaepuinikt"[:35])
+_ALIKE = str.maketrans("01345789аеорсухіѕјԁнтмкваοαερυινικτ", "oieastbgaeopcyxisjdhtmkbaoaepuinikt")
 _UNUSUAL = "[0-9]|[^\\x00-\\x7F]|" + "|".join(chr(c) * 3 for c in range(97, 123))
 _RUN = re.compile(r"(.)\1\1+")
 
