@@ -64,6 +64,40 @@ def literal_runs(pattern: str) -> tuple[tuple[str, ...], bool]:
     return tuple(kept), pure and len(kept) == 1
 
 
+def _sequence(nodes, state) -> list[tuple[str, int, int]]:
+    """The nodes in order as (character, 1, 1), or as ("", least, most) for what is no ASCII literal."""
+    out: list[tuple[str, int, int]] = []
+    for op, value in nodes:
+        if str(op) == "LITERAL" and value < 128:
+            out.append((chr(value).lower(), 1, 1))
+        elif str(op) == "SUBPATTERN":
+            out += _sequence(value[-1], state)
+        else:
+            low, high = _regex_tree.SubPattern(state, [(op, value)]).getwidth()
+            out.append(("", int(low), int(high)))
+    return out
+
+
+def neighbour_pieces(pattern: str, size: int, apart: int) -> tuple[tuple[str, str], ...]:
+    """Pairs of lower-case ASCII texts of `size` characters that every match holds one after the other, with at most
+    `apart` characters between them."""
+    tree = _regex_tree.parse(pattern)
+    runs, gaps = [""], []  # a gap stands between each two runs
+    for character, low, high in _sequence(tree, tree.state):
+        if character:
+            runs[-1] += character
+        elif high and runs[-1]:
+            runs.append("")
+            gaps.append(high)
+        elif high and gaps:
+            gaps[-1] += high
+    pairs = {(r[i: i + size], r[i + size: i + 2 * size]) for r in runs for i in range(len(r) - 2 * size + 1)}
+    pairs |= {
+        (a[-size:], b[:size]) for a, b, gap in zip(runs, runs[1:], gaps) if gap <= apart and min(len(a), len(b)) >= size
+    }
+    return tuple(sorted(pairs))
+
+
 def _trie_regex(words) -> str:
     """One regex for many words, sharing their common beginnings."""
     if "" in words:

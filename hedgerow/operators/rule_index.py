@@ -1,20 +1,24 @@
 """Thousands of rules from a table, by an index from pieces of their literal text to their patterns.
 
 Rules as literals of the plan (`matchers`) suit a few dozen: the plan grows with them, and every line is tested for each.
-Here rules are rows. Each pattern is indexed by one piece of its longest literal run, PIECE characters long, the piece that
-the fewest patterns hold. A line's pieces are joined with the index, and only the patterns that share a piece with the line
-are tried on it, its longest run first and then the regex. The plan is the same for any number of rules.
+Here rules are rows. Each different pattern is indexed once, whatever the number of rules that have it, by two neighbouring
+pieces of its literal text, PIECE characters long and at most APART characters apart; by one piece if it has no two. Of its
+pieces those are taken that the fewest patterns hold. A line's pieces that are in the index (a bitmap of bounded size tells
+most others) are joined with it as numbers, and only the patterns that share them are tried on the line, their literal runs
+first and then the regex. Text moves once, by line. The plan is the same for any number of rules.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.functions.patterns import java_pattern, literal_runs
+from hedgerow.functions.patterns import java_pattern, literal_runs, neighbour_pieces
 from hedgerow.functions.scratch import stage
 from hedgerow.functions.text import LINE_BREAKS, fold, preview, strip
 from hedgerow.functions.urls import extension
@@ -22,14 +26,21 @@ from hedgerow.operators.matchers import SNIPPET_CHARS
 from hedgerow.operators.noise import is_noise_line
 from hedgerow.operators.rules import Rule
 
-#: Characters of a piece. A pattern whose longest run is shorter stands under the empty piece, which every line has.
+#: Characters of a piece. A pattern whose longest run is shorter stands under EVERY, a key that every line has.
 PIECE = 3
+#: Characters between two neighbouring pieces, at most.
+APART = 3
+EVERY = 0
+#: Bits of the place of a key in the bitmap.
+_BITS = 24
+#: Characters of lines whose keys are made at a time.
+_CHARS = 1 << 20
 
 RULE_ROWS = (
     "rule_ord int, category string, name string, file_exts array<string>, vuln_patterns array<string>, severity string, "
     "confidence int, cwe string, vuln_desc string"
 )
-_COMPILED = "rule_ord int, pattern string, regex string, run string, plain boolean, reason string"
+_COMPILED = "rule_ord int, pattern string, regex string, runs array<string>, plain boolean, keys array<bigint>, reason string"
 
 
 def rule_rows(spark, rules: list[Rule]) -> DataFrame:
@@ -40,55 +51,142 @@ def rule_rows(spark, rules: list[Rule]) -> DataFrame:
     )
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _piece_keys(points: np.ndarray) -> np.ndarray:
+    """A number for the piece at each place of a text's code points."""
+    x = points.astype(np.uint64)
+    out = x[: max(len(x) - PIECE + 1, 0)].copy()
+    for k in range(1, PIECE):
+        out = out << np.uint64(21) | x[k: k + len(out)]
+    return _mix(out)
+
+
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return _mix(first ^ (second << np.uint64(1)))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _pattern_keys(pattern: str, run: str) -> list[int]:
+    """The keys of a pattern: of its neighbouring pieces, else of the pieces of its longest run, else EVERY."""
+    pairs = neighbour_pieces(pattern, PIECE, APART)
+    if pairs:
+        first, second = (np.concatenate([_piece_keys(_points(piece)) for piece in side]) for side in zip(*pairs))
+        keys = _pair_keys(first, second)
+    else:
+        keys = _piece_keys(_points(run))
+    return np.unique(keys).view(np.int64).tolist() or [EVERY]
+
+
 def compiled(rules: DataFrame) -> DataFrame:
-    """Each pattern of RULE_ROWS in Java's syntax, with its longest literal run, or the reason why it is left out."""
+    """Each pattern of RULE_ROWS in Java's syntax, with its literal runs and keys, or the reason why it is left out."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            known, rows = {}, []
             for order, pattern in zip(batch["rule_ord"], batch["pattern"]):
-                try:
-                    runs, plain = literal_runs(pattern)
-                    rows.append((order, pattern, java_pattern(pattern), runs[0] if runs else "", plain, None))
-                except Exception as error:  # whatever the parser says against it is the reason
-                    rows.append((order, pattern, None, None, False, str(error)))
-            yield pd.DataFrame(rows, columns=["rule_ord", "pattern", "regex", "run", "plain", "reason"])
-
-    return rules.select("rule_ord", F.explode("vuln_patterns").alias("pattern")).distinct().mapInPandas(work, _COMPILED)
-
+                if pattern not in known:
+                    try:
+                        runs, plain = literal_runs(pattern)
+                        keys = _pattern_keys(pattern, runs[0] if runs else "")
+                        known[pattern] = (java_pattern(pattern), list(runs), plain, keys, None)
+                    except Exception as error:  # whatever the parser says against it is the reason
+                        known[pattern] = (None, None, False, None, str(error))
+                rows.append((order, pattern, *known[pattern]))
+            yield pd.DataFrame(rows, columns=["rule_ord", "pattern", "regex", "runs", "plain", "keys", "reason"])
 
-def _pieces(text: str) -> Column:
-    """Distinct pieces of a text, in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{PIECE}}}))"), F.lit(1)))
+    rows = rules.select("rule_ord", F.explode("vuln_patterns").alias("pattern")).distinct()
+    # the rows are small and their work is not, so they are dealt to all cores
+    return rows.repartition(rules.sparkSession.sparkContext.defaultParallelism, "pattern").mapInPandas(work, _COMPILED)
 
 
 def rule_index(patterns: DataFrame) -> DataFrame:
-    """(piece, rule_ord, regex, run, plain): each pattern once, under the piece of its run that the fewest patterns hold."""
-    held = patterns.where("reason IS NULL").select(
-        "rule_ord", "regex", "run", "plain", F.explode(_pieces("run")).alias("piece")
-    )
-    often = held.groupBy("piece").agg(F.count("*").alias("holders"))
-    best = held.join(often, "piece").groupBy("rule_ord", "regex", "run", "plain").agg(F.min(F.struct("holders", "piece")).alias("best"))
-    without = patterns.where(f"reason IS NULL AND length(run) < {PIECE}").select(F.lit("").alias("piece"), "rule_ord", "regex", "run", "plain")
-    return best.select("best.piece", "rule_ord", "regex", "run", "plain").union(without)
+    """(key, regex, runs, plain): each different pattern once, under that of its keys which the fewest patterns hold."""
+    held = patterns.where("reason IS NULL").groupBy("regex", "runs", "plain").agg(F.first("keys").alias("keys"))
+    held = held.select("regex", "runs", "plain", F.explode("keys").alias("key"))
+    often = held.groupBy("key").agg(F.count("*").alias("holders"))
+    best = held.join(often, "key").groupBy("regex", "runs", "plain").agg(F.min(F.struct("holders", "key")).alias("best"))
+    return best.select("best.key", "regex", "runs", "plain")
+
+
+def _bitmap(index: DataFrame) -> np.ndarray:
+    """The index's keys as 2 ** _BITS bits: at most 512 rows of 4 KB reach the driver, whatever the number of keys."""
+    place = (F.shiftrightunsigned("key", 64 - _BITS) + 1).alias("place")  # the bitmap's places begin at 1
+    rows = index.select(place).selectExpr("bitmap_bucket_number(place) AS b", "bitmap_bit_position(place) AS p")
+    out = np.zeros((1 << _BITS) // 8, np.uint8)
+    for bucket, part in rows.groupBy("b").agg(F.expr("bitmap_construct_agg(p)")).collect():
+        begin = (bucket - 1) * len(part)
+        out[begin: begin + len(part)] = np.frombuffer(bytes(part), np.uint8)
+    return out
+
+
+def line_keys(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """(line_id, key) of lines (line_id, folded): each line's different keys, all that the index has and few others."""
+    shared = lines.sparkSession.sparkContext.broadcast(_bitmap(index))
+
+    def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # pieces and pairs that cross the end of a line are no text's own; patterns are tried afterwards
+        points = _points(b"\n".join(texts).decode("utf-8", "replace"))
+        row = np.cumsum(points == 10)
+        pieces, bits = _piece_keys(points), shared.value
+        found, rows = [np.full(len(texts), EVERY, np.uint64)], [np.arange(len(texts))]
+        for gap in range(-PIECE, APART + 1):
+            if -PIECE < gap < 0:
+                continue
+            step = PIECE + gap
+            keys = _pair_keys(pieces[: max(len(pieces) - step, 0)], pieces[step:]) if step else pieces
+            place = keys >> np.uint64(64 - _BITS)
+            kept = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+            found.append(keys[kept])
+            rows.append(row[kept])
+        keys, rows = np.concatenate(found), np.concatenate(rows)
+        order = np.lexsort((keys, rows))
+        keys, rows = keys[order], rows[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+        return rows[new], keys[new].view(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
+            begin = 0
+            while begin < len(texts):
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + _CHARS, side="right")))
+                rows, keys = keys_of(texts[begin:end])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + begin)), pa.array(keys)], names=["line_id", "key"])
+                begin = end
+
+    return lines.select("line_id", "folded").mapInArrow(work, "line_id bigint, key bigint")
 
 
 def match_files_by_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files (path, content) x RULE_ROWS: the findings of `matchers.match_files` with the same rules.
 
-    Patterns that do not compile are left out; `compiled` names them. A line is moved only if Spark joins the index by a
-    shuffle; Spark broadcasts an index that its own size check allows.
+    Patterns that do not compile are left out; `compiled` names them. Lines are staged once with a number of their own, and a
+    line's text moves once, to the numbers of the patterns that are to be tried on it.
     """
-    index = stage(rule_index(compiled(rules)), "rule-index")  # so that Spark knows its size
+    patterns = stage(compiled(rules), "rule-patterns")
+    index = stage(rule_index(patterns), "rule-index")  # so that Spark knows its size
     lines = files.select("path", F.posexplode(F.split("content", LINE_BREAKS)).alias("at", "raw"))
-    lines = lines.select("path", (F.col("at") + 1).alias("line"), strip(F.col("raw")).alias("text"))
-    lines = lines.withColumn("folded", fold(F.col("text"))).where("text <> ''")
-    # a line has a row for each of its pieces only until the join
-    spread = lines.select("*", F.explode(F.concat(_pieces("folded"), F.array(F.lit("")))).alias("piece"))
-    met = spread.join(index, "piece").where(
-        "contains(folded, run) AND (plain OR text RLIKE regex)"
+    lines = lines.select("path", (F.col("at") + 1).alias("line"), strip(F.col("raw")).alias("text")).where("text <> ''").distinct()
+    lines = stage(lines.select(F.monotonically_increasing_id().alias("line_id"), "*", fold(F.col("text")).alias("folded")), "rule-lines")
+    tried = line_keys(lines, index).join(index, "key").drop("key")
+    met = tried.join(lines, "line_id").where(
+        "forall(runs, r -> contains(folded, r)) AND (plain OR text RLIKE regex)"
     ).where(~is_noise_line())
-    hits = met.select("path", "line", "text", "rule_ord").distinct().join(
+    owners = patterns.where("reason IS NULL").select("regex", "rule_ord")
+    hits = met.select("line_id", "path", "line", "text", "regex").join(owners, "regex").dropDuplicates(["line_id", "rule_ord"]).join(
         rules.select("rule_ord", "category", "name", "file_exts", "severity", "confidence", "cwe", "vuln_desc"), "rule_ord"
     ).withColumn("ext", extension(F.col("path")))
     covered = F.expr("exists(file_exts, e -> endswith(path, e) OR ext = e)")

@@ -39,6 +39,27 @@ def test_odd_patterns(spark):
     assert {r.pattern for r in broken if r.reason} == {"(", r"(a)?(?(1)b|c)"}
 
 
+def test_patterns_whose_pieces_stand_apart(spark):
+    texts = ["foo bar", "foobar", "FOO --- bar", "foo ---- bar", "abcdef..ghi", "abc\u00e9\u00e9def", "abc  def ghi", "\u212aeys \u0130nto x", "xabcy def", "ab", ""]
+    rows = spark.createDataFrame([("a.py", "\n".join(texts))], "path string, content string")
+    patterns = (
+        r"foo(?:\s)?bar", r"foo.{0,5}bar", r"foo.{6}bar", r"(abc)(def).{2}ghi?", r"abc[^a-z]{1,3}def", r"abc\b\s*def", r"keys[^a-z]{1,3}into",
+        r"abc(?=y)y.def", r"(?:abc|foo)\W{1,3}(?:def|bar)", r"abc(x|yz)?def", r"ab?c def",
+    )
+    mine = same(spark, rows, [Rule("C", p, ("",), (p,)) for p in patterns])
+    want = sorted((p, i + 1) for p in patterns for i, t in enumerate(texts) if re.search(p, t, re.I))
+    assert sorted((row[3], row[5]) for row in mine) == want  # name, line
+
+
+def test_common_words_in_rules(spark):
+    """Rules of the same pattern share one entry; no key stands for the many patterns that share a common word."""
+    ends = [a + b + c for a in "bcdf" for b in "aeiou" for c in "lmnr"]
+    rules = [Rule("C", f"{end}{k}", ("",), (f"the[^a-z]{{1,3}}and[^a-z]{{1,3}}{end}",)) for end in ends for k in range(5)]
+    index = rule_index.rule_index(rule_index.compiled(rule_index.rule_rows(spark, rules)))
+    assert index.count() == len(ends)
+    assert index.groupBy(index.columns[0]).count().agg({"count": "max"}).first()[0] == 1
+
+
 def test_five_thousand_rules_have_the_plan_of_one(spark, files):
     def plan(n):
         rules = spark.range(n).selectExpr(
