@@ -176,6 +176,17 @@ def can_match_sql(folded: str, patterns) -> str:
     return f"({quick_match_sql(folded, patterns)} AND ({' OR '.join(_has_any(folded, words))}))"
 
 
+def whole_match_sql(folded: str, patterns) -> str:
+    """SQL condition on a whole folded text, cheap, that holds whenever any of the patterns could match a line of it.
+
+    Few words are looked for as they are: a text may hold a telling character on any line, and then all lines are tested.
+    """
+    words = _longest_runs(patterns)
+    if words and len(_shortest(words)) <= 3:
+        return can_match_sql(folded, patterns)
+    return quick_match_sql(folded, patterns)
+
+
 def matches_sql(text: str, folded: str, pattern: str) -> str:
     """SQL condition: the pattern is found anywhere in the text, without regard to case."""
     runs, literal = literal_runs(pattern)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgerow.catalogue.noise import CONTEXT_AFTER, CONTEXT_BEFORE, SANITISER_WORDS
-from hedgerow.functions.patterns import can_match_sql, quick_match_sql
+from hedgerow.functions.patterns import can_match_sql, whole_match_sql
 from hedgerow.functions.text import (
     contains_any_sql, fold_sql, let_sql, split_lines_sql, split_newlines_sql, strip_sql,
 )
@@ -83,7 +83,7 @@ def candidate_lines(
         )
         columns.append("sanitised")
     # A text without any telling character or word is not even split.
-    quick = let_sql(fold_sql(content), "_whole", quick_match_sql("_whole", patterns))
+    quick = let_sql(fold_sql(content), "_whole", whole_match_sql("_whole", patterns))
     split = let_sql(_parts_sql(content, newline_only), "_lines", entries)
     kept = F.expr(f"CASE WHEN {quick} THEN {split} END")
     found = texts.select(
