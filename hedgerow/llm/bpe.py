@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hedgerow.llm.common import staged_by
+from hedgerow.llm.common import frugal, give_back, staged_by
 
 #: Fixed value: the pattern by which byte-level tokenizers of this family split words.
 WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -161,7 +161,7 @@ def _blocks(docs: DataFrame, words: Column, keep: Sequence[str], buckets: int) -
                 yield from emit(batch.slice(begin, end - begin), f"{partition}-{number}")
                 begin, number = end, number + 1
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(frugal(work), schema)
 
 
 def _encoded_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _encoded_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
                 answers.append(_squeeze(np.uint64(len(ids)).tobytes() + _expand(numbers) + _planes(sizes) + _planes(flat)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.binary())], names=schema.names)
 
-    return words.select("block", "packed", "bucket").repartition(buckets, "bucket").select("block", "packed").mapInArrow(work, schema)
+    return words.select("block", "packed", "bucket").repartition(buckets, "bucket").select("block", "packed").mapInArrow(frugal(work), schema)
 
 
 def _lengths_to_places(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -255,6 +255,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[s
         rows.clear()
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole))
         kept = [own.column(c).combine_chunks().flatten() for c in keep]
+        give_back()
         return pa.Table.from_arrays([*kept, lists], names=[*keep, "ids"])
 
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(place, schema)
@@ -306,4 +307,4 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decod
     """
     kept = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != into])
     schema = T.StructType([*kept.schema.fields, T.StructField(into, T.StringType())])
-    return kept.mapInArrow(decoder(rows.sparkSession, tokenizer, ids, into), schema)
+    return kept.mapInArrow(frugal(decoder(rows.sparkSession, tokenizer, ids, into)), schema)

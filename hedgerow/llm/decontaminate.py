@@ -220,7 +220,7 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
                 ("n_tokens", pa.int64()), ("slots", _ARROW_SLOTS),
             ]))
 
-    return items.mapInArrow(work, T.StructType([
+    return items.mapInArrow(common.frugal(work), T.StructType([
         T.StructField("item_id", T.LongType()), T.StructField("view", T.IntegerType()), T.StructField("size", T.IntegerType()),
         T.StructField("hash", T.LongType()), T.StructField("place", T.LongType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("slots", _SLOTS),
@@ -291,7 +291,7 @@ def _hits(docs: DataFrame, text: str, marks: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select(F.col(text)).mapInArrow(work, T.StructType([
+    return docs.select(F.col(text)).mapInArrow(common.frugal(work), T.StructType([
         T.StructField("text_key", T.StringType()), T.StructField("view", T.IntegerType()), T.StructField("size", T.IntegerType()),
         T.StructField("hash", T.LongType()), T.StructField("place", T.LongType()), T.StructField("slots", _SLOTS),
     ]))

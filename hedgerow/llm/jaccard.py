@@ -185,7 +185,7 @@ def _signatures(docs: DataFrame, node: str, text: str, width: int, num: int, den
                         names=_SIGNATURES.names,
                     )
 
-    return docs.select(F.col(node), F.col(text)).mapInArrow(work, _SIGNATURES)
+    return docs.select(F.col(node), F.col(text)).mapInArrow(common.frugal(work), _SIGNATURES)
 
 
 _HOT_SIGNATURES = T.StructType([
@@ -227,7 +227,7 @@ def _deletions(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                         names=_HOT_SIGNATURES.names,
                     )
 
-    return rows.select("node", "text", "hot_own", "hot_below").mapInArrow(work, _HOT_SIGNATURES)
+    return rows.select("node", "text", "hot_own", "hot_below").mapInArrow(common.frugal(work), _HOT_SIGNATURES)
 
 
 def _with_sets(rows: DataFrame, text: str, width: int, into: str) -> DataFrame:
@@ -243,7 +243,7 @@ def _with_sets(rows: DataFrame, text: str, width: int, into: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(sets.starts.astype(np.int32)), pa.array(sets.hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], lists], names=[*names, into])
 
-    return rows.select(*names, text).mapInArrow(work, schema)
+    return rows.select(*names, text).mapInArrow(common.frugal(work), schema)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -391,7 +391,7 @@ def _dense(sized: DataFrame, num: int, den: int) -> DataFrame:
                 keep = (2 * count > segments[at]) & (count > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(np.full(keep.sum(), own))], names=["node", "own"])
 
-    return sized.select("node", "size", "hot_own", "hot_below").mapInArrow(work, "node bigint, own boolean")
+    return sized.select("node", "size", "hot_own", "hot_below").mapInArrow(common.frugal(work), "node bigint, own boolean")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, into: str) -> DataFrame:

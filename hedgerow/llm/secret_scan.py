@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from hedgerow.llm.common import frugal
+
 # Base patterns of the contract.
 _ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII
@@ -215,7 +217,7 @@ def find_secrets(docs: DataFrame, text: str = "text", *, least_cost: float = 8.0
                 out.append(rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*names, "secrets"])
 
-    return kept.mapInArrow(scan, schema)
+    return kept.mapInArrow(frugal(scan), schema)
 
 
 def redact(docs: DataFrame, text: str = "text", *, mark: str = "[SECRET]", **options) -> DataFrame:
@@ -247,7 +249,7 @@ def redact(docs: DataFrame, text: str = "text", *, mark: str = "[SECRET]", **opt
                     columns[length_at] = pa.array(sizes, length_type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.mapInArrow(cut, schema)
+    return found.mapInArrow(frugal(cut), schema)
 
 
 def _marked(text: str, spans: list[dict], mark: str) -> str:

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hedgerow.llm.common import frugal
+
 DECAY, SPAN = 0.7, 5
 #: Pairs of steps of a subsequence of three characters, with the weight of its span.
 _STEPS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, SPAN) for b in range(1, SPAN - a)]
@@ -481,8 +483,8 @@ def train(
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # one task, over the bags of at most 2 * sample documents; the driver only sees the machine, of bounded size
-    sampled = rows.mapInArrow(bags, "labelled bigint, mark int, words array<string>").repartition(1)
-    learnt = sampled.mapInArrow(learn, "model binary").first()
+    sampled = rows.mapInArrow(frugal(bags), "labelled bigint, mark int, words array<string>").repartition(1)
+    learnt = sampled.mapInArrow(frugal(learn), "model binary").first()
     return pickle.loads(learnt["model"]) if learnt else FLAT
 
 
@@ -518,7 +520,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores = machine.score(top)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*names, "toxicity"])
 
-    return kept.mapInArrow(work, schema)
+    return kept.mapInArrow(frugal(work), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

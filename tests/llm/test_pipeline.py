@@ -80,3 +80,23 @@ def test_stages_take_odd_rows_and_no_rows(spark, sf, documents, number):
     ids = [r["doc_id"] for r in found.collect()]
     assert {1, 2, 3, None} == set(ids)
     assert stage(spark, odd.limit(0), sf).count() == 0
+
+
+def test_a_task_leaves_no_free_memory_in_its_worker():
+    """Freed memory between kept objects stays with a process unless it is handed back."""
+    from hedgerow.llm import common
+
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * 4096
+
+    def work(batches):
+        for batch in batches:
+            rows = [bytes(2_000) for _ in range(100_000)]
+            kept.extend(rows[::500])
+            del rows
+            yield batch
+
+    kept, before = [], resident()
+    assert list(common.frugal(work)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 60_000_000
