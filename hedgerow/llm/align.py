@@ -12,7 +12,7 @@ corpus, and are broadcast; the links of all other pairs are added up by document
 
 Both tokenizers work word by word. A's words are those of its pattern, split in Spark. B's are blanks with what follows up to
 the next blank: no piece of such a vocabulary has its blank mark after another character, so no merge crosses into the next
-word (`read_pieces_side` makes sure). Each word is encoded once while it is in the task's table (TABLE_BYTES at most).
+word (`read_pieces_side` makes sure). Each distinct word of a block of texts (about BLOCK bytes) is encoded once.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgerow.llm.bpe import piece_table, read_tokenizer, split_words
-from hedgerow.llm.common import staged
+from hedgerow.llm.common import frugal, staged
 
 #: Broadcast pairs at most: those with more than total / FREQUENT links (4 MB).
 FREQUENT = 1 << 18
 #: Bytes of text aligned at a time; a longer text is aligned whole.
 CHUNK = 1 << 19
-#: Bytes of words in a task's table; beyond, it begins anew.
-TABLE_BYTES = 16 << 20
-#: Longest word of which the table keeps ids.
-KEPT_WORD = 256
+#: Bytes of text whose distinct words are encoded at a time.
+BLOCK = 8 << 20
 
 SPACE_MARK = "▁"
 
@@ -80,30 +79,29 @@ def read_pieces_side(path: str) -> Side:
     return Side(model, pieces)
 
 
-class _WordTable:
-    """Ids of words, each encoded once while it is kept."""
-
-    def __init__(self, encode) -> None:
-        self.encode, self.known, self.size = encode, {}, 0
-
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and how many each has."""
-        new = [w for w in words if w not in self.known]
-        fresh = {}
-        for begin in range(0, len(new), 10_000):
-            part = new[begin: begin + 10_000]
-            fresh.update(zip(part, self.encode(part), strict=True))
-        known = self.known
-        found = [known[w] if w in known else fresh[w] for w in words]
-        for word, own in fresh.items():
-            if len(word) <= KEPT_WORD:
-                known[word] = own
-                self.size += 2 * len(word) + 40 * len(own) + 250
-        if self.size > TABLE_BYTES:
-            self.known, self.size = {}, 0
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for own in found for i in own), np.int32, int(sizes.sum()))
-        return flat, sizes
+class _Encoded:
+    """Ids of a block of texts given as words; each distinct word of the block is encoded once."""
+
+    def __init__(self, words: pa.Array, many: np.ndarray, encode) -> None:
+        """`many`: how many words each text has."""
+        encoded = words.dictionary_encode()
+        self.number = encoded.indices.to_numpy(zero_copy_only=False)
+        self.first = np.concatenate(([0], np.cumsum(many)))
+        flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for begin in range(0, len(encoded.dictionary), 10_000):  # as Python's objects, only that many are held
+            part = encode(encoded.dictionary.slice(begin, 10_000).to_pylist())
+            sizes.append(np.fromiter(map(len, part), np.int64, len(part)))
+            flat.append(np.fromiter(chain.from_iterable(part), np.int32, int(sizes[-1].sum())))
+        self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
+
+    def ids(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts from `begin` to `end`, one after the other, and how many each text has."""
+        words = self.first[begin: end + 1]
+        number = self.number[words[0]: words[-1]]
+        own = self.size[number]
+        upto = np.concatenate(([0], np.cumsum(own)))
+        return self.flat[_spread(self.start[number], own)], np.diff(upto[words - words[0]])
 
 
 def _encoder_a(side: Side):
@@ -161,18 +159,6 @@ def _blank_words(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.nda
     return words, np.diff(np.searchsorted(cuts, starts))
 
 
-def _ids_of(words: pa.Array, many: np.ndarray, table: _WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of texts given as words and how many each text has; how many ids each has."""
-    encoded = words.dictionary_encode()
-    flat, sizes = table.ids(encoded.dictionary.to_pylist())
-    starts = np.cumsum(sizes) - sizes
-    number = encoded.indices.to_numpy(zero_copy_only=False)
-    own = sizes[number]
-    ids = flat[_spread(starts[number], own)]
-    upto = np.concatenate(([0], np.cumsum(own)))
-    return ids, np.diff(upto[np.concatenate(([0], np.cumsum(many)))])
-
-
 def _spelled(ids: np.ndarray, counts: np.ndarray, pieces: _Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, bytes of each text, and for each token where it ends in its text."""
     sizes = pieces.size[ids]
@@ -212,8 +198,7 @@ def _align(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np
     a_end, b_end = a_last[a_key], b_last[b_key]
     row = np.searchsorted(place, common, side="right") - 1
     # tokens without bytes end where the one before them ends; all that end together are linked
-    a_many = a_end - np.searchsorted(a_at, common, side="left") + 1
-    b_many = b_end - np.searchsorted(b_at, common, side="left") + 1
+    a_many, b_many = np.diff(a_last, prepend=-1)[a_key], np.diff(b_last, prepend=-1)[b_key]
     pairs = a_many * b_many
     nth = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
     wide = np.repeat(b_many, pairs)
@@ -222,10 +207,16 @@ def _align(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np
     return row, a_end, b_end, np.repeat(row, pairs), a_link, b_link
 
 
+def _groups(end: np.ndarray, n: int) -> np.ndarray:
+    """The group of each of n tokens, from the index of each group's last one."""
+    last = np.zeros(n + 1, np.int64)
+    last[end + 1] = 1
+    return np.cumsum(last)[:n]
+
+
 def _written(a_ids: np.ndarray, b_ids: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, row: np.ndarray, a: _Pieces, b: _Pieces):
     """Bytes of `a1,a2|b1;a3|b2`, all texts one after the other, and where each group ends. Each group ends with its mark."""
-    group_a = np.searchsorted(a_end, np.arange(len(a_ids)))
-    group_b = np.searchsorted(b_end, np.arange(len(b_ids)))
+    group_a, group_b = _groups(a_end, len(a_ids)), _groups(b_end, len(b_ids))
     b_before = np.concatenate(([-1], b_end)) + 1  # B tokens of the groups before
     at_a = np.arange(len(a_ids)) + b_before[group_a]
     at_b = np.arange(len(b_ids)) + a_end[group_b] + 1
@@ -257,15 +248,21 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 class _Aligner:
     def __init__(self, a: Side, b: Side) -> None:
-        self.tables = _WordTable(_encoder_a(a)), _WordTable(_encoder_b(b))
+        self.encoders = _encoder_a(a), _encoder_b(b)
         self.pieces = _Pieces(a.pieces), _Pieces(b.pieces)
 
-    def align(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Batch (place, doc_id, words of A) to ALIGNED."""
-        n, lists = batch.num_rows, batch.column(2)
-        whole, starts, _ = _bytes_of(lists)
-        words = (lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)), _blank_words(whole, starts)
-        sides = [_ids_of(*words[k], self.tables[k]) for k in range(2)]
+    def align(self, block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Block (place, doc_id, words of A) to ALIGNED, about CHUNK bytes of text at a time."""
+        lists = block.column(2)
+        words = (lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)), _blank_words(*_bytes_of(lists)[:2])
+        encoded = [_Encoded(*words[k], self.encoders[k]) for k in range(2)]
+        for begin, end in _parts(block, CHUNK):
+            yield self._aligned(block.slice(begin, end - begin), [own.ids(begin, end) for own in encoded])
+
+    def _aligned(self, batch: pa.RecordBatch, sides: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """The batch with each side's ids (of all texts, and how many each has) to ALIGNED."""
+        n = batch.num_rows
+        whole, starts, _ = _bytes_of(batch.column(2))
         spelled = [_spelled(*sides[k], self.pieces[k]) for k in range(2)]
         good = _matches(whole, starts, *spelled[0][:2]) & _matches(whole, starts, *spelled[1][:2])
         sizes = spelled[0][1][good]
@@ -292,12 +289,12 @@ class _Aligner:
         return pa.RecordBatch.from_arrays(columns, names=_ALIGNED)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch's rows, about CHUNK bytes of text at a time."""
+def _parts(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of the batch's rows, about `size` bytes of text each."""
     done, begin = _bytes_of(batch.column(2))[1][1:].astype(np.int64), 0
     while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + CHUNK, side="right")))
-        yield batch.slice(begin, end - begin)
+        end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + size, side="right")))
+        yield begin, end
         begin = end
 
 
@@ -316,10 +313,10 @@ def aligned(docs: DataFrame, a: Side, b: Side, text: str = "text") -> DataFrame:
         aligner = None
         for batch in batches:
             aligner = aligner or _Aligner(*shared.value)
-            for part in _parts(batch):
-                yield aligner.align(part)
+            for begin, end in _parts(batch, BLOCK):
+                yield from aligner.align(batch.slice(begin, end - begin))
 
-    return staged(rows.mapInArrow(work, ALIGNED), "aligned")
+    return staged(rows.mapInArrow(frugal(work), ALIGNED), "aligned")
 
 
 #: Links counted at a time.

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -87,6 +88,30 @@ def test_against_libraries(documents, sides, monkeypatch, frequent, chunk):
     assert got(align.link_statistics(documents(rows, extra=True), *sides, frequent=frequent)) == brute(rows, sides)
 
 
+def test_a_block_encodes_each_word_once(sides, monkeypatch):
+    monkeypatch.setattr(align, "CHUNK", 300)
+    rng = random.Random(3)
+    words = [f" {rng.choice('abc')}{k}é" for k in range(300)]
+    texts = [rng.choices(words, k=40) for _ in range(50)]
+    block = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(range(50)), pa.array(texts)], names=["place", "doc_id", "words"])
+    aligner, seen = align._Aligner(*sides), [Counter(), Counter()]
+
+    def counted(encode, own):
+        return lambda part: own.update(part) or encode(part)
+
+    aligner.encoders = [counted(e, own) for e, own in zip(aligner.encoders, seen)]
+    parts = list(aligner.align(block))
+    assert len(parts) > 10 and sum(p.num_rows for p in parts) == 50
+    assert all(set(own) == {w for t in texts for w in t} and max(own.values()) == 1 for own in seen)
+
+
+@pytest.mark.parametrize("block", [1, 200])
+def test_blocks_do_not_change_results(documents, sides, monkeypatch, block):
+    monkeypatch.setattr(align, "BLOCK", block)
+    rows = list(enumerate(TEXTS))
+    assert got(align.link_statistics(documents(rows), *sides)) == brute(rows, sides)
+
+
 def test_odd_tables(documents, sides):
     assert align.link_statistics(documents([]), *sides).count() == 0
     assert got(align.link_statistics(documents([(1, None), (2, "")]), *sides)) == [(1, *[0] * 6, ""), (2, *[0] * 6, "")]
