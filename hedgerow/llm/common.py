@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -21,10 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Setting of Spark: remove a query's shuffle files when it ends, not when the driver's heap is next collected.
+_CLEAR = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside leave no shuffle files; for rows that are written, and read from there afterwards."""
+    before = spark.conf.get(_CLEAR, None)
+    spark.conf.set(_CLEAR, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAR)
+        else:
+            spark.conf.set(_CLEAR, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once to the shared folder and read them back."""
+    """Write the rows once to the shared folder and read them back. The shuffles that made them leave no files."""
     target = fresh_path(df.sparkSession, name)
-    df.write.parquet(target)
+    with shuffles_cleared(df.sparkSession):
+        df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
@@ -35,7 +55,8 @@ def staged_by(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     """
     spark, target = df.sparkSession, fresh_path(df.sparkSession, name)
     table_name = f"{name}_{target.rsplit('-', 1)[1]}"
-    df.write.format("parquet").bucketBy(buckets, column).option("path", target).saveAsTable(table_name)
+    with shuffles_cleared(spark):
+        df.write.format("parquet").bucketBy(buckets, column).option("path", target).saveAsTable(table_name)
     return spark.table(table_name)
 
 

@@ -15,7 +15,9 @@ more than half of their segments (large groups of near copies) keep all signatur
 Verification is exact: first the number of equal segments, which bounds the difference, then the sets themselves. What is wanted are components, so sets that are already connected need no comparison:
 first each set is compared with its most promising pivot (smallest set of a shared signature), then with all its pivots,
 smallest and largest, and last all remaining pairs of one signature whose components differ are compared. A group of
-thousands of near copies costs a few comparisons a set, not a pair each.
+thousands of near copies costs a few comparisons a set, not a pair each. A remaining pair becomes a row only if the sets'
+sketches allow a link: a sketch is the parities of the numbers of a set's elements by bit, so two sets that differ in d
+elements differ in at most d bits. This loses no link, and sets that share a signature by chance differ in many more.
 
 Equal texts are one set. Sets are made in array operations over an Arrow batch's bytes, from whole texts.
 """
@@ -75,6 +77,14 @@ class Sets:
         self.sizes = np.bincount(self.row, minlength=n) if len(self.row) else np.zeros(n, np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
 
+    def sketches(self) -> pa.Array:
+        """SKETCH numbers for each set: bit k is whether an odd number of its elements fall on k."""
+        n, bits = len(self.sizes), 64 * SKETCH
+        place = (common.mix(self.hashes + np.uint64(0x632BE59BD9B4E019)) % np.uint64(bits)).astype(np.int64)
+        odd = np.bincount(self.row * bits + place, minlength=n * bits) % 2 if len(place) else np.zeros(n * bits, np.int64)
+        numbers = np.packbits(odd.astype(bool)).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SKETCH), pa.array(numbers))
+
 
 @cache
 def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +166,16 @@ def _pick(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray
 
 _SIGNATURES = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("signature", T.LongType()), T.StructField("own", T.BooleanType()),
-    T.StructField("size", T.LongType()),
+    T.StructField("size", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())),
 ])
+#: 64-bit numbers of a sketch.
+SKETCH = 4
 #: Texts that one pass of array operations holds.
 _TEXTS = 250
 
 
 def _signatures(docs: DataFrame, node: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """(node, signature, own, size): one row for each segment of each set, and one that has the size, not a signature."""
+    """(node, signature, own, size, sketch): one row for each segment of each set, and one that has size and sketch, not a signature."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -173,7 +185,7 @@ def _signatures(docs: DataFrame, node: str, text: str, width: int, num: int, den
                 sets = Sets(batch.column(1), width)
                 n = len(nodes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes), pa.array(nodes), pa.nulls(n, pa.bool_()), pa.array(sets.sizes.astype(np.int64))],
+                    [pa.array(nodes), pa.array(nodes), pa.nulls(n, pa.bool_()), pa.array(sets.sizes.astype(np.int64)), sets.sketches()],
                     names=_SIGNATURES.names,
                 )
                 chosen, band, many, own = _pick(sets.sizes, num, den)
@@ -181,7 +193,7 @@ def _signatures(docs: DataFrame, node: str, text: str, width: int, num: int, den
                     found = Segments(sets, chosen, band, many)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(nodes[chosen[found.owner]]), pa.array(found.exact()), pa.array(own[found.owner]),
-                         pa.nulls(len(found.owner), pa.int64())],
+                         pa.nulls(len(found.owner), pa.int64()), pa.nulls(len(found.owner), pa.list_(pa.int64()))],
                         names=_SIGNATURES.names,
                     )
 
@@ -276,9 +288,13 @@ def _promising(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> Dat
     equal = F.when(F.col("size_a") <= F.col("size_b"), F.size(F.array_intersect("own_a", "every_b"))).otherwise(
         F.size(F.array_intersect("own_b", "every_a")))
     many = F.when(F.col("size_a") <= F.col("size_b"), F.col("many_a")).otherwise(F.col("many_b"))
-    allowed = F.floor((F.col("size_a") + F.col("size_b")) * (den - num) / F.lit(den + num))
     near = F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num
-    return both.where(near & (equal >= many - allowed)).select("a", "b")
+    return both.where(near & (equal >= many - _allowed(F.col("size_a"), F.col("size_b"), num, den))).select("a", "b")
+
+
+def _allowed(a: Column, b: Column, num: int, den: int) -> Column:
+    """In how many elements two sets of these sizes may differ and still link."""
+    return F.floor((a + b) * (den - num) / F.lit(den + num))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -351,7 +367,8 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
         elif number == 1:
             candidates = _pairs(live, "min").union(_pairs(live, "max"))
         else:
-            candidates = _remaining(_open(live, labels))
+            sketches = shared.where("size IS NOT NULL").select("node", "size", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)])
+            candidates = _remaining(_open(live, labels).join(sketches, "node"), num, den)
         candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             candidates = _apart(candidates, labels).join(tried, ["a", "b"], "left_anti")
@@ -369,12 +386,16 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
     return sizes, links, labels
 
 
-def _remaining(buckets: DataFrame) -> DataFrame:
-    """(a, b) of all pairs of a signature whose labels differ and that may pair."""
-    other = buckets.select("signature", *[F.col(c).alias(f"{c}_b") for c in ("node", "own", "kind", "label")])
+def _remaining(buckets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of all pairs of a signature whose labels differ and that may pair, by their kinds, sizes and sketches."""
+    bits = [f"s{k}" for k in range(SKETCH)]
+    other = buckets.select("signature", *[F.col(c).alias(f"{c}_b") for c in ("node", "own", "kind", "label", "size", *bits)])
     allowed = (F.col("kind") + F.col("kind_b")).isin(EXACT + EXACT, MET + DELETED)
+    near = F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
     return (
         buckets.join(other, "signature").where("node < node_b AND label != label_b AND (own OR own_b)").where(allowed)
+        .where(near & (apart <= _allowed(F.col("size"), F.col("size_b"), num, den)))
         .select(F.col("node").alias("a"), F.col("node_b").alias("b"))
     )
 

@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +86,50 @@ def test_jaccard_of_odd_rows(documents):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 3, 4] and "signature" in kept.columns
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(0, 80))) for _ in range(60)] + ["", None]
+    sets = jaccard.Sets(pa.array(texts), 2)
+    own = [set(sets.hashes[a:b].tolist()) for a, b in zip(sets.starts[:-1], sets.starts[1:])]
+    bits = np.unpackbits(np.array(sets.sketches().to_pylist()).view(np.uint8).reshape(len(texts), -1), axis=1)
+    assert bits.shape == (len(texts), 64 * jaccard.SKETCH)
+    for a in range(len(texts)):
+        assert bits[a].sum() <= len(own[a])
+        for b in range(a):
+            assert (bits[a] != bits[b]).sum() <= len(own[a] ^ own[b])
+
+
+def test_remaining_pairs_of_one_signature_are_not_all_rows(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 + str(rng.randrange(50)) for _ in range(80)) for _ in range(60)]
+    texts[41] = texts[7] + " end"
+    sets = jaccard.Sets(pa.array(texts), 3)
+    rows = [
+        (5, k, True, jaccard.EXACT, k, int(size), *sketch)
+        for k, (size, sketch) in enumerate(zip(sets.sizes, sets.sketches().to_pylist()))
+    ]
+    names = ["s%d bigint" % k for k in range(jaccard.SKETCH)]
+    buckets = spark.createDataFrame(rows, "signature bigint, node bigint, own boolean, kind int, label bigint, size bigint, " + ", ".join(names))
+    pairs = {(r["a"], r["b"]) for r in jaccard._remaining(buckets, 8, 10).collect()}
+    assert (7, 41) in pairs and len(pairs) < 60  # 1770 pairs share the signature
+
+
+def test_staged_rows_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (found.apply(k).getName() for k in range(found.size())) if name.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(common._CLEAR, None)
+    rows = common.staged(spark.range(10_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert sorted(r["count"] for r in rows.collect())[-1] == 1429
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(common._CLEAR, None) == setting
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 95)]
     frame = spark.createDataFrame(edges, "a bigint, b bigint")
