@@ -38,7 +38,7 @@ FREQUENT = 1 << 18
 #: Bytes of text aligned at a time; a longer text is aligned whole.
 CHUNK = 1 << 19
 #: Bytes of text whose distinct words are encoded at a time.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 SPACE_MARK = "▁"
 
@@ -320,7 +320,7 @@ def aligned(docs: DataFrame, a: Side, b: Side, text: str = "text") -> DataFrame:
 
 
 #: Links counted at a time.
-LINKS = 1 << 19
+LINKS = 1 << 17
 
 
 def _by_links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -345,7 +345,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
             codes, n = np.unique(_codes(batch), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
 
-    counts = rows.select("a", "b").mapInArrow(work, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = rows.select("a", "b").mapInArrow(frugal(work), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     counts = staged(counts.withColumn("own", F.expr("code & 4294967295")), "pairs")
     best = counts.groupBy("own").agg(F.max("n").alias("most"))
     return staged(counts.join(best, "own").select("code", "n", (F.col("n") == F.col("most")).alias("best")), "pairs")
@@ -393,7 +393,7 @@ def link_statistics(docs: DataFrame, a: Side, b: Side, text: str = "text", frequ
             )
 
     found = staged(
-        rows.select("place", "a", "b").mapInArrow(work, "place bigint, code bigint, times bigint, count_sum bigint, n_best bigint"), "links"
+        rows.select("place", "a", "b").mapInArrow(frugal(work), "place bigint, code bigint, times bigint, count_sum bigint, n_best bigint"), "links"
     )
     rest = counts.where(F.col("n") * frequent <= total)
     rare = found.where("code IS NOT NULL").join(rest, "code").select(
