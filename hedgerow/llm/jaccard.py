@@ -7,15 +7,16 @@ segment: its elements' hashes, summed, are the segment's signature. A set is ind
 smaller than itself, in the band below. Signatures are complete: no pair is missed and none is dropped.
 
 Cost-based allocation. A signature that more than HOT sets share (an empty segment, a common passage) costs too much for
-what it tells. A set with h hot segments of m does without them if 2 h <= m: sets that agree in z <= h hot segments only,
-and differ in at most m - 1 elements, differ by one element in one of any z other segments; so it indexes the one-deletion
-neighbourhoods of its first 2 h segments instead, in which two sets that differ by one element meet. Sets that are hot in
-more than half of their segments (large groups of near copies) keep all signatures and index all deletions.
+what it tells. A set with h hot segments of m does without them if h <= c, an eighth of m: sets that agree in z <= h hot
+segments only, and differ in at most m - 1 elements, differ by one element in one of any z other segments; so it indexes the
+one-deletion neighbourhoods of its first 2 h segments instead, in which two sets that differ by one element meet. Sets that
+are hot in more than c segments (large groups of near copies) keep all signatures, in which they meet each other; with a set
+that does without them they agree in z <= c hot segments, so the deletions of their first 2 c segments are enough.
 
 Verification is exact: first the number of equal segments, which bounds the difference, then the sets themselves. What is wanted are components, so sets that are already connected need no comparison:
 first each set is compared with its most promising pivot (smallest set of a shared signature), then with all its pivots,
 smallest and largest, and last all remaining pairs of one signature whose components differ are compared. A group of
-thousands of near copies costs a few comparisons a set, not a pair each. A remaining pair becomes a row only if the sets'
+thousands of near copies costs a few comparisons a set, not a pair each. A pair becomes a row only if the sets'
 sketches allow a link: a sketch is the parities of the numbers of a set's elements by bit, so two sets that differ in d
 elements differ in at most d bits. This loses no link, and sets that share a signature by chance differ in many more.
 
@@ -207,10 +208,17 @@ _HOT_SIGNATURES = T.StructType([
 #: Kinds of signatures: exact, for pairs of exact ones; exact, to meet deletions only; deletion.
 EXACT, MET, DELETED = 0, 1, 2
 _APART = 0x2545F4914F6CDD1D
+#: One in so many segments may be hot without being many.
+FEW = 8
+
+
+def _few(many: np.ndarray) -> np.ndarray:
+    """c: so many hot segments of a band's `many` are met by deletions; at most half, and none where equal sets alone are similar."""
+    return np.maximum(many // FEW, np.minimum(many // 2, 1))
 
 
 def _deletions(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Signatures of sets with hot segments: exact ones, and one-deletion neighbourhoods, of their first 2 h segments.
+    """Signatures of sets with hot segments: exact ones, and one-deletion neighbourhoods, of their first 2 h segments (at most 2 c).
 
     `rows`: (node, text, hot_own, hot_below), the numbers of hot segments in the set's own band and in the one below.
     """
@@ -227,7 +235,7 @@ def _deletions(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     continue
                 found = Segments(sets, chosen, band, many)
                 count = hot[own.astype(int), chosen]
-                prefix = np.where(2 * count > many, many, 2 * count)
+                prefix = 2 * np.minimum(count, _few(many))
                 kept = found.number < prefix[found.owner]
                 gone = found.element_segment < prefix[found.element_owner]
                 for owner, signature, kind in (
@@ -312,12 +320,28 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
     )
 
 
-def _pairs(buckets: DataFrame, pivot: str) -> DataFrame:
-    """(a, b) of each signature's pivot and the nodes it may pair with; buckets: (signature, node, own, kind)."""
-    pick = (F.min if pivot == "min" else F.max)(F.when(F.col("own") & (F.col("kind") != DELETED), F.col("node")))
-    pivots = buckets.groupBy("signature").agg(pick.alias("a")).where("a IS NOT NULL")
+#: Columns of a sketch.
+_BITS = [f"s{k}" for k in range(SKETCH)]
+
+
+def _pairs(buckets: DataFrame, pivot: str, num: int, den: int) -> DataFrame:
+    """(a, b) of each signature's pivot and the nodes it may link with; buckets: (signature, node, own, kind, size, sketch's columns)."""
+    told = F.struct("node", "size", *_BITS)
+    pick = (F.min if pivot == "min" else F.max)(F.when(F.col("own") & (F.col("kind") != DELETED), told))
+    pivots = buckets.groupBy("signature").agg(pick.alias("pivot")).where("pivot IS NOT NULL")
+    pivots = pivots.select("signature", *[F.col(f"pivot.{c}").alias(f"{c}_b") for c in ("node", "size", *_BITS)])
     others = buckets.where(F.col("kind") != MET)
-    return others.join(pivots, "signature").where("a != node").select("a", F.col("node").alias("b"))
+    return (
+        others.join(pivots, "signature").where("node != node_b").where(_may_link(num, den))
+        .select(F.col("node_b").alias("a"), F.col("node").alias("b"))
+    )
+
+
+def _may_link(num: int, den: int) -> Column:
+    """Whether the sizes and sketches of two sets, the second's in columns that end with _b, allow a link."""
+    near = F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
+    return near & (apart <= _allowed(F.col("size"), F.col("size_b"), num, den))
 
 
 def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -345,7 +369,7 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
     if not hot_segments.isEmpty():
         near = common.may_have(docs, "node", common.key_filter(hot_segments, "node")).join(hot_segments, "node")
         extra = _deletions(near, width, num, den)
-        # hot signatures stay with sets that are hot in more than half of their segments
+        # hot signatures stay with sets that are hot in more than a few of their segments
         sized = hot_segments.join(sizes, "node")
         dense = buckets.where(F.col("count") > hot).join(_dense(sized, num, den), ["node", "own"], "left_semi")
         cool = cool.union(dense.select("signature", "node", "own", F.lit(EXACT).alias("kind"))).union(
@@ -357,18 +381,18 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
                                       F.count_if(F.col("kind") == DELETED).alias("d"))
         .where("o > 0 AND n > 1 AND (m + d = 0 OR m * d > 0)").select("signature")
     )
-    live = staged(cool.join(told, "signature").distinct(), "buckets")
+    sketches = shared.where("size IS NOT NULL").select("node", "size", *[F.col("sketch")[k].alias(c) for k, c in enumerate(_BITS)])
+    live = staged(cool.join(told, "signature").distinct().join(sketches, "node"), "buckets")
 
     links = tried = labels = None
     for number in range(3):
         if number == 0:
-            times = _pairs(live, "min").groupBy("a", "b").agg(F.count("*").alias("times"))
+            times = _pairs(live, "min", num, den).groupBy("a", "b").agg(F.count("*").alias("times"))
             candidates = times.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"))
         elif number == 1:
-            candidates = _pairs(live, "min").union(_pairs(live, "max"))
+            candidates = _pairs(live, "min", num, den).union(_pairs(live, "max", num, den))
         else:
-            sketches = shared.where("size IS NOT NULL").select("node", "size", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)])
-            candidates = _remaining(_open(live, labels).join(sketches, "node"), num, den)
+            candidates = _remaining(_open(live, labels), num, den)
         candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             candidates = _apart(candidates, labels).join(tried, ["a", "b"], "left_anti")
@@ -388,20 +412,17 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
 
 def _remaining(buckets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of all pairs of a signature whose labels differ and that may pair, by their kinds, sizes and sketches."""
-    bits = [f"s{k}" for k in range(SKETCH)]
-    other = buckets.select("signature", *[F.col(c).alias(f"{c}_b") for c in ("node", "own", "kind", "label", "size", *bits)])
+    other = buckets.select("signature", *[F.col(c).alias(f"{c}_b") for c in ("node", "own", "kind", "label", "size", *_BITS)])
     allowed = (F.col("kind") + F.col("kind_b")).isin(EXACT + EXACT, MET + DELETED)
-    near = F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
     return (
         buckets.join(other, "signature").where("node < node_b AND label != label_b AND (own OR own_b)").where(allowed)
-        .where(near & (apart <= _allowed(F.col("size"), F.col("size_b"), num, den)))
+        .where(_may_link(num, den))
         .select(F.col("node").alias("a"), F.col("node_b").alias("b"))
     )
 
 
 def _dense(sized: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, own) where more than half of the segments in the own band (or in the one below) are hot."""
+    """(node, own) where more than a few segments in the own band (or in the one below) are hot."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,7 +430,7 @@ def _dense(sized: DataFrame, num: int, den: int) -> DataFrame:
             low, segments = bands(num, den, int(size.max(initial=1)))
             band = np.maximum(np.searchsorted(low, size, side="right") - 1, 0)
             for own, count, at in ((True, in_own, band), (False, in_below, np.maximum(band - 1, 0))):
-                keep = (2 * count > segments[at]) & (count > 0)
+                keep = count > _few(segments[at])
                 yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(np.full(keep.sum(), own))], names=["node", "own"])
 
     return sized.select("node", "size", "hot_own", "hot_below").mapInArrow(common.frugal(work), "node bigint, own boolean")

@@ -114,6 +114,47 @@ def test_remaining_pairs_of_one_signature_are_not_all_rows(spark):
     assert (7, 41) in pairs and len(pairs) < 60  # 1770 pairs share the signature
 
 
+def test_a_pivot_is_paired_only_with_what_it_may_link(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 + str(rng.randrange(50)) for _ in range(80)) for _ in range(60)]
+    texts[41] = texts[0] + " end"
+    texts[59] = texts[17] + " end"
+    sets = jaccard.Sets(pa.array(texts), 3)
+    rows = [(5, k, True, jaccard.EXACT, int(size), *sketch) for k, (size, sketch) in enumerate(zip(sets.sizes, sets.sketches().to_pylist()))]
+    names = ["s%d bigint" % k for k in range(jaccard.SKETCH)]
+    buckets = spark.createDataFrame(rows, "signature bigint, node bigint, own boolean, kind int, size bigint, " + ", ".join(names))
+    least = {(r["a"], r["b"]) for r in jaccard._pairs(buckets, "min", 8, 10).collect()}
+    most = {(r["a"], r["b"]) for r in jaccard._pairs(buckets, "max", 8, 10).collect()}
+    assert (0, 41) in least and (59, 17) in most and len(least) < 5 and len(most) < 5  # 59 share the signature with either
+
+
+def test_many_hot_segments_make_few_deletions(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{rng.randrange(500)}" for _ in range(200)), 1000, 1000) for k in range(20)]
+    frame = spark.createDataFrame(rows, "node bigint, text string, hot_own bigint, hot_below bigint")
+    made = jaccard._deletions(frame, 3, 8, 10).where(F.col("kind") == jaccard.DELETED).count()
+    elements = sum(len(shingles(t, 3)) for _, t, _, _ in rows)
+    assert 0 < made < elements  # in two bands each; all segments' would be twice as many
+
+
+@pytest.mark.parametrize("hot", [2, 6])
+def test_large_groups_of_near_copies_against_brute_force(documents, hot):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = []
+    for changes in (0, 1, 2, 3, 4, 5, 6, 8, 10, 12):
+        base = [rng.choice(vocabulary) for _ in range(160)]
+        for _ in range(24):
+            own = list(base)
+            for _ in range(rng.randrange(changes + 1)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(" ".join(own[rng.randrange(3):] if changes else own + [str(len(texts))]))
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in
+             jaccard.components_of(documents(rows), width=3, num=8, den=10, hot=hot).collect()}
+    assert found == brute_components(rows, 3, 8, 10)
+
+
 def test_staged_rows_leave_no_shuffle_files(spark):
     def files():
         found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
