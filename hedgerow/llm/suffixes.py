@@ -11,7 +11,8 @@ columns, and neighbours in its suffix order with a common prefix of `size` are e
    texts are settled there (all but the first are repeated bytes), so a group of copies sends one row for each batch; the
    others meet by key, where equal pieces are settled, too. Most keys then have one text, which nothing else shares.
 3. *Collections.* A third pass cuts the text of the pieces of contested keys: those with different pieces, or with a piece in
-   which the key's string stands twice. They are partitioned by key and sorted. A collection is a run of whole keys with at
+   which the key's string stands twice. Of equal pieces only the first has its text moved: a second bitmap, of hashes of the
+   different pieces' keys and places, tells it (again false positives cost work only). They are partitioned by key and sorted. A collection is a run of whole keys with at
    most COLLECTION different pieces (more only for a single key, below HOT). `Collection` inserts one symbol of every piece
    in each round, from the right end, and reads and writes its transform and its common prefixes in order, as one file each.
    There are at most size + RUN - 1 rounds, whatever the corpus. A hot key (it stands HOT times or more) is split: in both
@@ -257,8 +258,17 @@ def _nulls(n: int, kind=pa.int64()) -> pa.Array:
     return pa.nulls(n, kind)
 
 
-def _cut(column: pa.Array, size: int, wanted: np.ndarray, hot: np.ndarray, known, doc, text) -> Iterator[_Pieces]:
-    """Pieces of the texts whose key passes the bitmap `wanted`; those whose key passes `hot` as single windows."""
+def _mark(key: np.ndarray, known: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of each piece's key and place."""
+    place = mix(doc.astype(np.uint64) + known.astype(np.uint64)) ^ text.astype(np.uint64)
+    return mix(mix(place + key) + start.astype(np.uint64))
+
+
+def _cut(column: pa.Array, size: int, wanted: np.ndarray, hot: np.ndarray, marks: np.ndarray | None, known, doc, text) -> Iterator[_Pieces]:
+    """Pieces of the texts whose key passes the bitmap `wanted`; those whose key passes `hot` as single windows.
+
+    With `marks`, only those whose mark passes that bitmap.
+    """
     anchor = min(ANCHOR, size)
     for data, starts, row, offset in _chunks(column, size):
         hashes = _Hashes(data)
@@ -284,6 +294,9 @@ def _cut(column: pa.Array, size: int, wanted: np.ndarray, hot: np.ndarray, known
         length = count + size - 1
         part = np.searchsorted(starts, at, side="right") - 1
         own = row[part]
+        if marks is not None:
+            kept = _held(marks, _mark(key, known[own], doc[own], text[own], at - starts[part] + offset[part]))
+            at, key, length, part, own = at[kept], key[kept], length[kept], part[kept], own[kept]
         if len(at):
             twice = np.add.reduceat(anchors[_spread(at, length - anchor + 1)] == np.repeat(key, length - anchor + 1),
                                     np.cumsum(length - anchor + 1) - length + anchor - 1, dtype=np.int64) > 1
@@ -312,8 +325,10 @@ def _settle(pieces: _Pieces) -> Iterator[pa.RecordBatch]:
     """COPIES: the first of equal pieces, and the bytes of the others as spans."""
     stays, later = _equal_pieces(pieces)
     n = len(stays)
+    content = pieces.content[stays]
+    content[pieces.key[stays] == mix(content + np.uint64(1))] = 0  # a window of its own: its key tells what its bytes' hash would
     yield _batch([
-        pa.array(pieces.key[stays].view(np.int64)), pa.array(pieces.content[stays].view(np.int64)),
+        pa.array(pieces.key[stays].view(np.int64)), pa.array(content.view(np.int64)),
         pa.array(pieces.doc[stays], mask=~pieces.known[stays]), pa.array(pieces.text[stays]), pa.array(pieces.start[stays]), _nulls(n),
         pa.array(pieces.length[stays]), pa.array(pieces.twice[stays]),
     ], COPIES)
@@ -330,12 +345,12 @@ def _columns(doc: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     )
 
 
-def _pieces_of(size: int, wanted, hot, texts: bool):
-    """Batches (doc_id, text_hash, text) to COPIES, or, with `texts`, to PIECES; up to 8 times CHUNK bytes of pieces are held."""
+def _pieces_of(size: int, wanted, hot, marks=None):
+    """Batches (doc_id, text_hash, text) to COPIES, or, with `marks`, to PIECES; up to 8 times CHUNK bytes of pieces are held."""
 
     def given(held: list[_Pieces]) -> Iterator[pa.RecordBatch]:
         pieces = _Pieces.joined(held)
-        if texts:
+        if marks is not None:
             yield _batch(pieces.binaries(_equal_pieces(pieces)[0]), PIECES)
         else:
             yield from _settle(pieces)
@@ -343,7 +358,8 @@ def _pieces_of(size: int, wanted, hot, texts: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, total = [], 0
-            for pieces in _cut(batch.column(2), size, wanted.value, hot.value, *_columns(batch.column(0), batch.column(1))):
+            passed = None if marks is None else marks.value
+            for pieces in _cut(batch.column(2), size, wanted.value, hot.value, passed, *_columns(batch.column(0), batch.column(1))):
                 held.append(pieces)
                 total += len(pieces.data)
                 if total > 8 * CHUNK:
@@ -355,19 +371,19 @@ def _pieces_of(size: int, wanted, hot, texts: bool):
     return work
 
 
-#: After the copies are settled: spans (`end` set), and contested keys (the others).
-SETTLED = SPANS + ", key bigint"
+#: After the copies are settled: spans (`end` set), and the different pieces of contested keys (the others).
+SETTLED = SPANS + ", key bigint, mark bigint"
 
 
 def _settle_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """COPIES sorted by key, content, length and place to SETTLED."""
     last: pa.RecordBatch | None = None  # the first of the pieces that the next one may be a copy of
-    open_key, open_told = None, False  # the key of that piece, and whether it was given as contested
+    open_key, open_told = None, False  # the key of that piece, and whether it was given as one of a contested key
     for batch in batches:
         is_span = batch.column("end").is_valid().to_numpy(zero_copy_only=False)
         done = batch.filter(pa.array(is_span))
         if done.num_rows:
-            yield _batch([*(done.column(c) for c in _names(SPANS)), _nulls(done.num_rows)], SETTLED)
+            yield _batch([*(done.column(c) for c in _names(SPANS)), _nulls(done.num_rows), _nulls(done.num_rows)], SETTLED)
         own = batch.filter(pa.array(~is_span))
         if own.num_rows == 0:
             continue
@@ -385,20 +401,22 @@ def _settle_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         copy = copy[~pieces.same_place(copy, first[copy])]
         if len(copy):
             spans = pieces.spans(copy, np.zeros(len(copy), np.int64), pieces.length[copy])
-            yield _batch([*spans, _nulls(len(spans[0]))], SETTLED)
-        contested = head.copy()
-        contested[1:] &= same_key
-        contested |= numbers["twice"]
-        if carried:
-            contested[0] = False
-        keys = np.unique(numbers["key"][contested])
+            yield _batch([*spans, _nulls(len(spans[0])), _nulls(len(spans[0]))], SETTLED)
+        contested = numbers["twice"].copy()
+        contested[1:] |= head[1:] & same_key
+        contested = np.isin(numbers["key"], numbers["key"][contested])
+        if open_told:
+            contested |= numbers["key"] == open_key
+        given = head & contested
         if open_told:
-            keys = keys[keys != open_key]
-        told = len(keys) and (keys == numbers["key"][-1]).any() or (open_told and open_key == numbers["key"][-1])
-        open_key, open_told = numbers["key"][-1], bool(told)
+            given[0] = False
+        open_key, open_told = numbers["key"][-1], bool(contested[-1])
         last = own.slice(int(first[-1]), 1)
-        if len(keys):
-            yield _batch([*(_nulls(len(keys)) for _ in range(4)), pa.array(keys)], SETTLED)
+        told = np.flatnonzero(given)
+        if len(told):
+            key = numbers["key"][told]
+            marks = _mark(key.view(np.uint64), *(x[told] for x in (*place, pieces.start)))
+            yield _batch([*(_nulls(len(told)) for _ in range(4)), pa.array(key), pa.array(marks.view(np.int64))], SETTLED)
 
 
 class Collection:
@@ -580,13 +598,15 @@ def repeated_spans(docs: DataFrame, size: int = 100, text: str = "text", hot: in
     )
     wanted = spark.sparkContext.broadcast(_bitmap(counts))
     hot_keys = spark.sparkContext.broadcast(_bitmap(counts.where(F.col("count") >= hot)))
-    copies = long.mapInArrow(_pieces_of(size, wanted, hot_keys, texts=False), COPIES)
+    copies = long.mapInArrow(_pieces_of(size, wanted, hot_keys), COPIES)
     settled = staged(
         copies.repartition("key").sortWithinPartitions("key", "content", "length", "doc_id", "text_hash", "start")
         .mapInArrow(_settle_copies, SETTLED), "settled",
     )
-    contested = spark.sparkContext.broadcast(_bitmap(settled.where("key IS NOT NULL")))
-    pieces = long.mapInArrow(_pieces_of(size, contested, hot_keys, texts=True), PIECES)
+    different = settled.where("key IS NOT NULL")
+    contested = spark.sparkContext.broadcast(_bitmap(different))
+    marks = spark.sparkContext.broadcast(_bitmap(different.select(F.col("mark").alias("key"))))
+    pieces = long.mapInArrow(_pieces_of(size, contested, hot_keys, marks), PIECES)
     found = pieces.repartition("key").sortWithinPartitions("key", "piece", "doc_id", "text_hash", "start").mapInArrow(_compare(size, most), SPANS)
     return settled.where("key IS NULL").select(*_names(SPANS)).union(found)
 

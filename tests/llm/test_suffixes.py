@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hedgerow.llm import suffixes
@@ -103,6 +105,40 @@ def test_collection_is_the_order_of_all_suffixes(limit):
     assert built.symbols.tolist() == before
 
 
+def test_only_the_first_of_equal_pieces_has_its_text_moved(documents, monkeypatch):
+    rng = random.Random(6)
+    passage, tails = "".join(rng.choice("abcdefgh ") for _ in range(300)), ["".join(rng.choice("ijklmnop ") for _ in range(150)) for _ in range(2)]
+    rows = [(k, passage + tails[k % 2]) for k in range(40)]
+
+    def moved(size, most):
+        def work(batches):
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(np.full(n, -7)), batch.column("key"), pa.array([hash(t.as_py()) for t in batch.column("piece")])],
+                    names=["doc_id", "text_hash", "start", "end"],
+                )
+
+        return work
+
+    monkeypatch.setattr(suffixes, "_compare", moved)
+    found = suffixes.repeated_spans(documents(rows).repartition(8, "doc_id")).where("text_hash = -7").collect()
+    assert found and len({(r["start"], r["end"]) for r in found}) == len(found)
+    assert {r["doc_id"] for r in found} <= {0, 1}
+
+
+def test_windows_of_a_hot_key_go_by_one_hash(documents):
+    text = "".join(chr(97 + (k * k) % 26) for k in range(50)) + "".join(chr(65 + k % 23) for k in range(90))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 6]), pa.array([text, text + "?"])], names=["doc_id", "text_hash", "text"])
+    every, none = (SimpleNamespace(value=np.full((1 << suffixes.BITS) // 8, fill, np.uint8)) for fill in (255, 0))
+    for hot, own in ((every, False), (none, True)):
+        settled = [b for b in suffixes._pieces_of(100, every, hot)(iter([batch])) if b.column("end").null_count]
+        keys = {k for b in settled for k in b.column("key").to_pylist()}
+        contents = {c for b in settled for c in b.column("content").to_pylist()}
+        assert len(keys) == 42 if not own else len(keys) < 10
+        assert (contents == {0}) != own
+
+
 def test_digest(spark, sf):
     from hedgerow.llm.queries import op13_suffix_dedup
 
