@@ -212,6 +212,29 @@ def may_have(df: DataFrame, column: str, bitmaps: DataFrame, negate: bool = Fals
     return with_bits.where(~has if negate else has).select(*[F.col(f"`{c}`") for c in columns])
 
 
+#: Leading bits of well mixed keys that `leading_bitmap` tells (8 MB).
+LEADING_BITS = 26
+
+
+def leading_bitmap(keys: DataFrame, column: str = "key") -> np.ndarray:
+    """2**LEADING_BITS bits, whatever the number of keys: whether a key with these leading bits is among them."""
+    rows = (
+        keys.select(F.shiftrightunsigned(column, 64 - LEADING_BITS).alias("place"))
+        .groupBy(F.expr("place div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(place % 32768)").alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros(((1 << LEADING_BITS) // 32768, 4096), np.uint8)
+    for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        out[bucket, : len(bits)] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def has_leading(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each key: whether one with its leading bits is in the bitmap."""
+    place = keys >> np.uint64(64 - LEADING_BITS)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 # ---------------------------------------------------------------------------------------------
 # Components of a graph whose nodes are 64-bit numbers
 

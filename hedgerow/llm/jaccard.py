@@ -11,7 +11,8 @@ what it tells. A set with h hot segments of m does without them if h <= c, an ei
 segments only, and differ in at most m - 1 elements, differ by one element in one of any z other segments; so it indexes the
 one-deletion neighbourhoods of its first 2 h segments instead, in which two sets that differ by one element meet. Sets that
 are hot in more than c segments (large groups of near copies) keep all signatures, in which they meet each other; with a set
-that does without them they agree in z <= c hot segments, so the deletions of their first 2 c segments are enough.
+that does without them they agree in z <= c hot segments, so the deletions of their first 2 c segments are enough. A deletion
+becomes a row only if a bitmap of bounded size, of the exact signatures that deletions are to meet, lets it through.
 
 Verification is exact: first the number of equal segments, which bounds the difference, then the sets themselves. What is wanted are components, so sets that are already connected need no comparison:
 first each set is compared with its most promising pivot (smallest set of a shared signature), then with all its pivots,
@@ -217,8 +218,9 @@ def _few(many: np.ndarray) -> np.ndarray:
     return np.maximum(many // FEW, np.minimum(many // 2, 1))
 
 
-def _deletions(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Signatures of sets with hot segments: exact ones, and one-deletion neighbourhoods, of their first 2 h segments (at most 2 c).
+def _deletions(rows: DataFrame, width: int, num: int, den: int, met=None) -> DataFrame:
+    """Signatures of sets with hot segments, of their first 2 h segments (at most 2 c): exact ones, or, with a broadcast bitmap
+    `met` of all of those, the one-deletion neighbourhoods that some exact one may meet.
 
     `rows`: (node, text, hot_own, hot_below), the numbers of hot segments in the set's own band and in the one below.
     """
@@ -236,16 +238,19 @@ def _deletions(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 found = Segments(sets, chosen, band, many)
                 count = hot[own.astype(int), chosen]
                 prefix = 2 * np.minimum(count, _few(many))
-                kept = found.number < prefix[found.owner]
-                gone = found.element_segment < prefix[found.element_owner]
-                for owner, signature, kind in (
-                    (found.owner[kept], found.exact()[kept], MET), (found.element_owner[gone], found.deletions()[gone], DELETED),
-                ):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes[chosen[owner]]), pa.array(signature ^ np.int64(_APART)), pa.array(own[owner]),
-                         pa.array(np.full(len(owner), kind, np.int32))],
-                        names=_HOT_SIGNATURES.names,
-                    )
+                if met is None:
+                    kept, owner, signature = found.number < prefix[found.owner], found.owner, found.exact()
+                else:
+                    kept, owner, signature = found.element_segment < prefix[found.element_owner], found.element_owner, found.deletions()
+                owner, signature = owner[kept], signature[kept] ^ np.int64(_APART)
+                if met is not None:
+                    meets = common.has_leading(met.value, signature.view(np.uint64))
+                    owner, signature = owner[meets], signature[meets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[chosen[owner]]), pa.array(signature), pa.array(own[owner]),
+                     pa.array(np.full(len(owner), MET if met is None else DELETED, np.int32))],
+                    names=_HOT_SIGNATURES.names,
+                )
 
     return rows.select("node", "text", "hot_own", "hot_below").mapInArrow(common.frugal(work), _HOT_SIGNATURES)
 
@@ -368,7 +373,9 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
     cool = buckets.where(F.col("count") <= hot).select("signature", "node", "own", F.lit(EXACT).alias("kind"))
     if not hot_segments.isEmpty():
         near = common.may_have(docs, "node", common.key_filter(hot_segments, "node")).join(hot_segments, "node")
-        extra = _deletions(near, width, num, den)
+        exact = staged(_deletions(near, width, num, den), "met")
+        met = docs.sparkSession.sparkContext.broadcast(common.leading_bitmap(exact, "signature"))
+        extra = exact.union(_deletions(near, width, num, den, met))
         # hot signatures stay with sets that are hot in more than a few of their segments
         sized = hot_segments.join(sizes, "node")
         dense = buckets.where(F.col("count") > hot).join(_dense(sized, num, den), ["node", "own"], "left_semi")

@@ -34,7 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hedgerow.llm.common import LEADING_BITS as BITS
+from hedgerow.llm.common import has_leading as _held
 from hedgerow.llm.common import key_filter, may_have, mix, staged
+from hedgerow.llm.common import leading_bitmap as _bitmap
 
 #: Bytes whose hash is a candidate for a window's key.
 ANCHOR = 40
@@ -46,8 +49,6 @@ HOT = 20_000
 COLLECTION = 20_000
 #: Bytes of text whose hashes are held at a time.
 CHUNK = 1 << 20
-#: Bits of the bitmaps of keys (8 MB each).
-BITS = 26
 
 _CODES = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
@@ -145,24 +146,6 @@ def _key_places(size: int):
     return work
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """2**BITS bits, whatever the number of keys: whether a key with these leading bits is among them."""
-    rows = (
-        keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("place"))
-        .groupBy(F.expr("place div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(place % 32768)").alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(((1 << BITS) // 32768, 4096), np.uint8)
-    for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        out[bucket, : len(bits)] = np.frombuffer(bits, np.uint8)
-    return out.reshape(-1)
-
-
-def _held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys >> np.uint64(64 - BITS)
-    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Places of all bytes of the runs at `start`, one run after the other."""
     end = np.cumsum(length)

@@ -132,9 +132,10 @@ def test_many_hot_segments_make_few_deletions(spark):
     rng = random.Random(9)
     rows = [(k, " ".join(f"w{rng.randrange(500)}" for _ in range(200)), 1000, 1000) for k in range(20)]
     frame = spark.createDataFrame(rows, "node bigint, text string, hot_own bigint, hot_below bigint")
-    made = jaccard._deletions(frame, 3, 8, 10).where(F.col("kind") == jaccard.DELETED).count()
+    every, none = (spark.sparkContext.broadcast(np.full((1 << common.LEADING_BITS) // 8, fill, np.uint8)) for fill in (255, 0))
     elements = sum(len(shingles(t, 3)) for _, t, _, _ in rows)
-    assert 0 < made < elements  # in two bands each; all segments' would be twice as many
+    assert 0 < jaccard._deletions(frame, 3, 8, 10, every).count() < elements  # in two bands each; all segments' would be twice as many
+    assert jaccard._deletions(frame, 3, 8, 10, none).count() == 0  # what no exact signature meets is no row
 
 
 @pytest.mark.parametrize("hot", [2, 6])
