@@ -21,6 +21,11 @@ thousands of near copies costs a few comparisons a set, not a pair each. A pair
 sketches allow a link: a sketch is the parities of the numbers of a set's elements by bit, so two sets that differ in d
 elements differ in at most d bits. This loses no link, and sets that share a signature by chance differ in many more.
 
+A sketch of bounded size tells nothing of large sets, so a band's m segments lie in blocks of at most BLOCK, and a sketch is
+of a block's elements. Sets that differ in d < m elements differ, in some block of p segments, in at most d * p / m < p of
+them, and so agree exactly in one of its segments: a pair that links meets in a signature whose block's sketches allow it.
+All of the above, hot segments and deletions too, holds within that block, with p for m.
+
 Equal texts are one set. Sets are made in array operations over an Arrow batch's bytes, from whole texts.
 """
 
@@ -81,11 +86,20 @@ class Sets:
 
     def sketches(self) -> pa.Array:
         """SKETCH numbers for each set: bit k is whether an odd number of its elements fall on k."""
-        n, bits = len(self.sizes), 64 * SKETCH
-        place = (common.mix(self.hashes + np.uint64(0x632BE59BD9B4E019)) % np.uint64(bits)).astype(np.int64)
-        odd = np.bincount(self.row * bits + place, minlength=n * bits) % 2 if len(place) else np.zeros(n * bits, np.int64)
-        numbers = np.packbits(odd.astype(bool)).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SKETCH), pa.array(numbers))
+        return _lists(_sketches(self.row, self.hashes, len(self.sizes)))
+
+
+def _sketches(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """A row of SKETCH numbers for each of n owners of elements."""
+    bits = 64 * SKETCH
+    place = (common.mix(hashes + np.uint64(0x632BE59BD9B4E019)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(owner * bits + place, minlength=n * bits) % 2 if len(place) else np.zeros(n * bits, np.int64)
+    return np.packbits(odd.astype(bool)).view(np.int64).reshape(n, SKETCH)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an array of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
 
 
 @cache
@@ -138,7 +152,20 @@ class Segments:
         base = np.concatenate(([0], np.cumsum(many)))[:-1]
         self.number = np.arange(len(self.sums)) - np.repeat(base, many)
         self.seed = common.mix((np.repeat(band, many).astype(np.uint64) << np.uint64(32)) + self.number.astype(np.uint64))
-        self.element_owner, self.element_segment = owner, segment
+        # blocks of each owner's segments, numbered over all owners
+        blocks = -(-many // BLOCK)
+        of, count = np.repeat(many, many), np.repeat(blocks, many)
+        self.block = self.number * count // of
+        self.rank = self.number - -(-self.block * of // count)  # place in the block
+        self.flat = np.repeat(np.concatenate(([0], np.cumsum(blocks)))[:-1], many) + self.block
+        self.block_owner = np.repeat(np.arange(len(chosen)), blocks)
+        self.block_number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        self.part = np.bincount(self.flat, minlength=blocks.sum())
+        self._hashes = element
+
+    def sketches(self) -> np.ndarray:
+        """The sketch of each block's elements."""
+        return _sketches(self.flat[self.slot], self._hashes, len(self.part))
 
     def exact(self) -> np.ndarray:
         return common.mix(self.sums ^ self.seed).view(np.int64)
@@ -168,16 +195,20 @@ def _pick(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray
 
 _SIGNATURES = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("signature", T.LongType()), T.StructField("own", T.BooleanType()),
-    T.StructField("size", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())),
+    T.StructField("block", T.IntegerType()), T.StructField("told", T.ArrayType(T.LongType())),
 ])
 #: 64-bit numbers of a sketch.
 SKETCH = 4
+#: Segments that one sketch tells of, at most: a fourth of its bits, as sets that share nothing else differ in half of them.
+BLOCK = 64
 #: Texts that one pass of array operations holds.
 _TEXTS = 250
 
 
 def _signatures(docs: DataFrame, node: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """(node, signature, own, size, sketch): one row for each segment of each set, and one that has size and sketch, not a signature."""
+    """(node, signature, own, block, told): one row for each segment of each set, and one for each block that has no signature,
+    but tells the set's size, the block's segments, its band's segments and the block's sketch.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -185,17 +216,26 @@ def _signatures(docs: DataFrame, node: str, text: str, width: int, num: int, den
                 batch = whole.slice(begin, _TEXTS)
                 nodes = batch.column(0).to_numpy(zero_copy_only=False)
                 sets = Sets(batch.column(1), width)
-                n = len(nodes)
+                empty = nodes[sets.sizes == 0]
+                n = len(empty)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes), pa.array(nodes), pa.nulls(n, pa.bool_()), pa.array(sets.sizes.astype(np.int64)), sets.sketches()],
+                    [pa.array(empty), pa.array(empty), pa.array(np.ones(n, bool)), pa.array(np.zeros(n, np.int32)),
+                     _lists(np.tile([0, 1, 1] + [0] * SKETCH, (n, 1)))],
                     names=_SIGNATURES.names,
                 )
                 chosen, band, many, own = _pick(sets.sizes, num, den)
                 if len(chosen):
                     found = Segments(sets, chosen, band, many)
+                    at = found.block_owner
+                    told = np.column_stack((sets.sizes[chosen[at]], found.part, many[at], found.sketches()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes[chosen[at]]), pa.array(nodes[chosen[at]]), pa.array(own[at]),
+                         pa.array(found.block_number.astype(np.int32)), _lists(told)],
+                        names=_SIGNATURES.names,
+                    )
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(nodes[chosen[found.owner]]), pa.array(found.exact()), pa.array(own[found.owner]),
-                         pa.nulls(len(found.owner), pa.int64()), pa.nulls(len(found.owner), pa.list_(pa.int64()))],
+                         pa.array(found.block.astype(np.int32)), pa.nulls(len(found.owner), pa.list_(pa.int64()))],
                         names=_SIGNATURES.names,
                     )
 
@@ -204,7 +244,7 @@ def _signatures(docs: DataFrame, node: str, text: str, width: int, num: int, den
 
 _HOT_SIGNATURES = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("signature", T.LongType()), T.StructField("own", T.BooleanType()),
-    T.StructField("kind", T.IntegerType()),
+    T.StructField("block", T.IntegerType()), T.StructField("kind", T.IntegerType()),
 ])
 #: Kinds of signatures: exact, for pairs of exact ones; exact, to meet deletions only; deletion.
 EXACT, MET, DELETED = 0, 1, 2
@@ -213,16 +253,17 @@ _APART = 0x2545F4914F6CDD1D
 FEW = 8
 
 
-def _few(many: np.ndarray) -> np.ndarray:
-    """c: so many hot segments of a band's `many` are met by deletions; at most half, and none where equal sets alone are similar."""
-    return np.maximum(many // FEW, np.minimum(many // 2, 1))
+def _few(part: np.ndarray) -> np.ndarray:
+    """c: so many hot segments of a block's `part` are met by deletions; at most half, and none where equal sets alone are similar."""
+    return np.maximum(part // FEW, np.minimum(part // 2, 1))
 
 
 def _deletions(rows: DataFrame, width: int, num: int, den: int, met=None) -> DataFrame:
-    """Signatures of sets with hot segments, of their first 2 h segments (at most 2 c): exact ones, or, with a broadcast bitmap
+    """Signatures of sets with hot segments, of each block's first 2 h segments (at most 2 c): exact ones, or, with a broadcast bitmap
     `met` of all of those, the one-deletion neighbourhoods that some exact one may meet.
 
-    `rows`: (node, text, hot_own, hot_below), the numbers of hot segments in the set's own band and in the one below.
+    `rows`: (node, text, hot_own, hot_below), the numbers of hot segments in the set's own band and in the one below: a map of
+    its blocks with some, or one number for every block.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,24 +271,29 @@ def _deletions(rows: DataFrame, width: int, num: int, den: int, met=None) -> Dat
             for begin in range(0, whole.num_rows, _TEXTS):
                 batch = whole.slice(begin, _TEXTS)
                 nodes = batch.column(0).to_numpy(zero_copy_only=False)
-                hot = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 2)])  # by own
+                hot = [[v if isinstance(v, int) else dict(v or ()) for v in batch.column(k).to_pylist()] for k in (3, 2)]  # by own
                 sets = Sets(batch.column(1), width)
                 chosen, band, many, own = _pick(sets.sizes, num, den)
                 if not len(chosen):
                     continue
                 found = Segments(sets, chosen, band, many)
-                count = hot[own.astype(int), chosen]
-                prefix = 2 * np.minimum(count, _few(many))
+                of = found.block_owner
+                counts = [hot[o][k] for o, k in zip(own[of].astype(int).tolist(), chosen[of].tolist(), strict=True)]
+                count = [c if isinstance(c, int) else c.get(b, 0) for c, b in zip(counts, found.block_number.tolist(), strict=True)]
+                prefix = 2 * np.minimum(np.array(count, np.int64), _few(found.part))
+                first = found.rank < prefix[found.flat]
                 if met is None:
-                    kept, owner, signature = found.number < prefix[found.owner], found.owner, found.exact()
+                    slot, signature = np.flatnonzero(first), found.exact()[first]
                 else:
-                    kept, owner, signature = found.element_segment < prefix[found.element_owner], found.element_owner, found.deletions()
-                owner, signature = owner[kept], signature[kept] ^ np.int64(_APART)
+                    kept = first[found.slot]
+                    slot, signature = found.slot[kept], found.deletions()[kept]
+                signature = signature ^ np.int64(_APART)
                 if met is not None:
                     meets = common.has_leading(met.value, signature.view(np.uint64))
-                    owner, signature = owner[meets], signature[meets]
+                    slot, signature = slot[meets], signature[meets]
+                owner = found.owner[slot]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[chosen[owner]]), pa.array(signature), pa.array(own[owner]),
+                    [pa.array(nodes[chosen[owner]]), pa.array(signature), pa.array(own[owner]), pa.array(found.block[slot].astype(np.int32)),
                      pa.array(np.full(len(owner), MET if met is None else DELETED, np.int32))],
                     names=_HOT_SIGNATURES.names,
                 )
@@ -277,13 +323,14 @@ def _with_sets(rows: DataFrame, text: str, width: int, into: str) -> DataFrame:
 
 def _profiles(shared: DataFrame, num: int, den: int) -> DataFrame:
     """(node, size, many, own, every): a set's size, its own band's segments, and its shared signatures."""
+    shared = shared.withColumn("size", F.col("told")[0])
     largest = shared.agg(F.max("size")).first()[0] or 1
     low, segments = bands(num, den, int(largest))  # as many as the logarithm of the largest size
     band = F.size(F.filter(F.array(*map(F.lit, low.tolist())), lambda x: x <= F.col("size")))
     return (
         shared.groupBy("node").agg(
-            F.max("size").alias("size"), F.collect_set(F.when(F.col("size").isNull() & F.col("own"), F.col("signature"))).alias("own"),
-            F.collect_set(F.when(F.col("size").isNull(), F.col("signature"))).alias("every"),
+            F.max("size").alias("size"), F.collect_set(F.when(F.col("told").isNull() & F.col("own"), F.col("signature"))).alias("own"),
+            F.collect_set(F.when(F.col("told").isNull(), F.col("signature"))).alias("every"),
         )
         .where("size(every) > 0").withColumn("many", F.element_at(F.array(*map(F.lit, segments.tolist())), band))
     )
@@ -330,7 +377,10 @@ _BITS = [f"s{k}" for k in range(SKETCH)]
 
 
 def _pairs(buckets: DataFrame, pivot: str, num: int, den: int) -> DataFrame:
-    """(a, b) of each signature's pivot and the nodes it may link with; buckets: (signature, node, own, kind, size, sketch's columns)."""
+    """(a, b) of each signature's pivot and the nodes it may link with; buckets: (signature, node, own, kind, size, sketch's columns)
+    with the sketched block's segments, `part`, of its band's, `many`; a sketch is the whole set's where they are not told.
+    """
+    buckets = _parts(buckets)
     told = F.struct("node", "size", *_BITS)
     pick = (F.min if pivot == "min" else F.max)(F.when(F.col("own") & (F.col("kind") != DELETED), told))
     pivots = buckets.groupBy("signature").agg(pick.alias("pivot")).where("pivot IS NOT NULL")
@@ -342,11 +392,16 @@ def _pairs(buckets: DataFrame, pivot: str, num: int, den: int) -> DataFrame:
     )
 
 
-def _may_link(num: int, den: int) -> Column:
-    """Whether the sizes and sketches of two sets, the second's in columns that end with _b, allow a link."""
-    near = F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
-    return near & (apart <= _allowed(F.col("size"), F.col("size_b"), num, den))
+def _parts(buckets: DataFrame) -> DataFrame:
+    return buckets if "part" in buckets.columns else buckets.withColumns({"part": F.lit(1), "many": F.lit(1)})
+
+
+def _may_link(num: int, den: int, of: str = "{}", other: str = "{}_b") -> Column:
+    """Whether the sizes and sketches of two sets, whose columns' names these patterns make, allow a link that meets in this block."""
+    size, size_b = F.col(of.format("size")), F.col(other.format("size"))
+    near = F.least(size, size_b) * den >= F.greatest(size, size_b) * num
+    apart = sum((F.bit_count(F.col(of.format(c)).bitwiseXOR(F.col(other.format(c)))) for c in _BITS), F.lit(0))
+    return near & (apart * F.col(of.format("many")) <= _allowed(size, size_b, num, den) * F.col(of.format("part")))
 
 
 def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -357,39 +412,41 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
     """
     docs = docs.select("node", "text")
     rows = _signatures(docs, "node", "text", width, num, den)
-    counted = rows.withColumn("count", F.count("*").over(Window.partitionBy("signature"))).where("size IS NOT NULL OR count > 1")
+    counted = rows.withColumn("count", F.count("*").over(Window.partitionBy("signature"))).where("told IS NOT NULL OR count > 1")
     shared = staged(counted, "signatures")
-    sizes = shared.where("size IS NOT NULL").select("node", "size")
-    buckets = shared.where("size IS NULL")
+    sizes = shared.where("told IS NOT NULL AND own AND block = 0").select("node", F.col("told")[0].alias("size"))
+    buckets = shared.where("told IS NULL")
+    sketches = shared.where("told IS NOT NULL").select(
+        "node", "own", "block", *[F.col("told")[k].alias(c) for k, c in enumerate(("size", "part", "many", *_BITS))])
 
     profiles = staged(_profiles(shared, num, den), "profiles")
 
     # allocation
-    hot_segments = (
-        buckets.where(F.col("count") > hot).groupBy("node")
-        .agg(F.count_if("own").alias("hot_own"), F.count_if(~F.col("own")).alias("hot_below"))
-    )
+    hot_segments = buckets.where(F.col("count") > hot).groupBy("node", "own", "block").agg(F.count("*").alias("hot"))
     hot_segments = staged(hot_segments, "hot-segments")
-    cool = buckets.where(F.col("count") <= hot).select("signature", "node", "own", F.lit(EXACT).alias("kind"))
+    cool = buckets.where(F.col("count") <= hot).select("signature", "node", "own", "block", F.lit(EXACT).alias("kind"))
     if not hot_segments.isEmpty():
-        near = common.may_have(docs, "node", common.key_filter(hot_segments, "node")).join(hot_segments, "node")
+        by_node = hot_segments.groupBy("node").agg(*[
+            F.map_from_entries(F.collect_list(F.when(mine, F.struct("block", "hot")))).alias(name)
+            for name, mine in (("hot_own", F.col("own")), ("hot_below", ~F.col("own")))])
+        near = common.may_have(docs, "node", common.key_filter(hot_segments, "node")).join(by_node, "node")
         exact = staged(_deletions(near, width, num, den), "met")
         met = docs.sparkSession.sparkContext.broadcast(common.leading_bitmap(exact, "signature"))
         extra = exact.union(_deletions(near, width, num, den, met))
-        # hot signatures stay with sets that are hot in more than a few of their segments
-        sized = hot_segments.join(sizes, "node")
-        dense = buckets.where(F.col("count") > hot).join(_dense(sized, num, den), ["node", "own"], "left_semi")
-        cool = cool.union(dense.select("signature", "node", "own", F.lit(EXACT).alias("kind"))).union(
-            extra.select("signature", "node", "own", "kind"))
+        # hot signatures stay with sets that are hot in more than a few of a block's segments
+        dense = buckets.where(F.col("count") > hot).join(_dense(hot_segments, sketches), ["node", "own", "block"], "left_semi")
+        cool = cool.union(dense.select("signature", "node", "own", "block", F.lit(EXACT).alias("kind"))).union(
+            extra.select("signature", "node", "own", "block", "kind"))
     cool = staged(cool, "buckets")
-    # a signature tells only where two of its sets may pair: one of the band's own, and not two of a kind that waits
+    # a signature tells only where two of its sets may pair: one of the band's own, and not two of a kind that waits;
+    # of three exact ones, the smallest and the largest own set leave no pair (a node of two texts is two sets)
+    left = 3 if sizes.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1").isEmpty() else 1
     told = (
         cool.groupBy("signature").agg(F.count_if("own").alias("o"), F.count("*").alias("n"), F.count_if(F.col("kind") == MET).alias("m"),
                                       F.count_if(F.col("kind") == DELETED).alias("d"))
-        .where("o > 0 AND n > 1 AND (m + d = 0 OR m * d > 0)").select("signature")
+        .where("o > 0 AND n > 1 AND (m + d = 0 OR m * d > 0)").select("signature", F.expr(f"n > {left} OR m + d > 0").alias("more"))
     )
-    sketches = shared.where("size IS NOT NULL").select("node", "size", *[F.col("sketch")[k].alias(c) for k, c in enumerate(_BITS)])
-    live = staged(cool.join(told, "signature").distinct().join(sketches, "node"), "buckets")
+    live = staged(cool.join(told, "signature").distinct().join(sketches, ["node", "own", "block"]).drop("block"), "buckets")
 
     links = tried = labels = None
     for number in range(3):
@@ -399,7 +456,7 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
         elif number == 1:
             candidates = _pairs(live, "min", num, den).union(_pairs(live, "max", num, den))
         else:
-            candidates = _remaining(_open(live, labels), num, den)
+            candidates = _remaining(staged(_open(live.where("more").drop("more"), labels), "open"), num, den)
         candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             candidates = _apart(candidates, labels).join(tried, ["a", "b"], "left_anti")
@@ -419,28 +476,20 @@ def similar_sets(docs: DataFrame, width: int, num: int, den: int, hot: int = HOT
 
 def _remaining(buckets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of all pairs of a signature whose labels differ and that may pair, by their kinds, sizes and sketches."""
-    other = buckets.select("signature", *[F.col(c).alias(f"{c}_b") for c in ("node", "own", "kind", "label", "size", *_BITS)])
-    allowed = (F.col("kind") + F.col("kind_b")).isin(EXACT + EXACT, MET + DELETED)
+    # both sides have the same columns, so that Spark shuffles the rows once
+    rows = _parts(buckets).select("signature", "node", "own", "kind", "label", "size", "part", "many", *_BITS)
     return (
-        buckets.join(other, "signature").where("node < node_b AND label != label_b AND (own OR own_b)").where(allowed)
-        .where(_may_link(num, den))
-        .select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+        rows.alias("x").join(rows.alias("y"), F.expr("x.signature = y.signature AND x.part = y.part AND x.many = y.many"))
+        .where("x.node < y.node AND x.label != y.label AND (x.own OR y.own)")
+        .where((F.col("x.kind") + F.col("y.kind")).isin(EXACT + EXACT, MET + DELETED)).where(_may_link(num, den, "x.{}", "y.{}"))
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     )
 
 
-def _dense(sized: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, own) where more than a few segments in the own band (or in the one below) are hot."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, size, in_own, in_below = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            low, segments = bands(num, den, int(size.max(initial=1)))
-            band = np.maximum(np.searchsorted(low, size, side="right") - 1, 0)
-            for own, count, at in ((True, in_own, band), (False, in_below, np.maximum(band - 1, 0))):
-                keep = count > _few(segments[at])
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(np.full(keep.sum(), own))], names=["node", "own"])
-
-    return sized.select("node", "size", "hot_own", "hot_below").mapInArrow(common.frugal(work), "node bigint, own boolean")
+def _dense(hot_segments: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, own, block) where more than a few segments are hot."""
+    few = F.greatest(F.floor(F.col("part") / FEW), F.least(F.floor(F.col("part") / 2), F.lit(1)))
+    return hot_segments.join(sketches, ["node", "own", "block"]).where(F.col("hot") > few).select("node", "own", "block")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, into: str) -> DataFrame:
@@ -456,10 +505,11 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open(live: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Buckets whose nodes are not all connected yet, with the nodes' labels."""
-    rows = _labelled(live, labels, "node", "label")
+    """Buckets whose nodes are not all connected yet, with the nodes' labels. Sketches are moved with those buckets' rows only."""
+    rows = _labelled(live.select("signature", "node"), labels, "node", "label")
     apart = rows.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("signature")
-    return rows.join(apart, "signature")
+    near = common.may_have(live, "signature", common.key_filter(apart, "signature"))
+    return _labelled(near, labels, "node", "label")
 
 
 def components_of(

@@ -138,6 +138,65 @@ def test_many_hot_segments_make_few_deletions(spark):
     assert jaccard._deletions(frame, 3, 8, 10, none).count() == 0  # what no exact signature meets is no row
 
 
+def test_sets_larger_than_a_sketch_are_paired_by_blocks(documents, monkeypatch):
+    rng = random.Random(6)
+    common_part = [f"c{i}" for i in range(900)]
+    texts = []
+    for k in range(16):  # four share a signature by chance, more by the part that they have in common
+        base = [f"w{k}x{i}" for i in range(1200)] + common_part
+        texts.append(" ".join(base))
+        if k % 4 == 0:
+            for place in rng.sample(range(2000), 20):
+                base[place] = "new"
+            texts.append(" ".join(base))
+    made = []
+    plain = jaccard._remaining
+
+    def remaining(*args):
+        pairs = plain(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_remaining", remaining)
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in
+             jaccard.components_of(documents(rows), width=3, num=8, den=10).collect()}
+    assert found == brute_components(rows, 3, 8, 10) and len(set(found.values())) < len(found)
+    assert made == [0]  # 256 bits of the whole sets tell none of them apart
+
+
+def test_blocks_are_judged_on_their_own(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    near = list(base)
+    for place in rng.sample(range(3000), 80):
+        near[place] = "new"
+    rows = [(k, " ".join(t)) for k, t in enumerate((base, near))]
+    frame = spark.createDataFrame(rows, "node bigint, text string")
+    told = jaccard._signatures(frame, "node", "text", 3, 8, 10).collect()
+    blocks = {(r["node"], r["own"], r["block"]): r["told"] for r in told if r["told"]}
+    segments = {}
+    for r in told:
+        if not r["told"]:
+            segments.setdefault((r["node"], r["own"], r["block"]), []).append(r["signature"])
+    assert segments.keys() == blocks.keys() and len(blocks) > 8
+    for key, (size, part, many, *sketch) in blocks.items():
+        assert part == len(segments[key]) <= jaccard.BLOCK and len(sketch) == jaccard.SKETCH and size > 2900
+        assert many == sum(len(v) for k, v in segments.items() if k[:2] == key[:2])
+    # the hot segments of one block make deletions of that block alone
+    hot = spark.createDataFrame([(0, rows[0][1], {2: 3}, {})], "node bigint, text string, hot_own map<int,bigint>, hot_below map<int,bigint>")
+    exact = jaccard._deletions(hot, 3, 8, 10).collect()
+    assert len(exact) == 6 and {(r["own"], r["block"]) for r in exact} == {(True, 2)}
+
+
+def test_ids_of_two_texts_are_linked_by_either(documents):
+    rng = random.Random(5)
+    texts = [[f"t{t}w{rng.randrange(400)}" for _ in range(60)] for t in range(2)]
+    rows = [(1, " ".join(texts[0])), (1, " ".join(texts[1])), (2, " ".join(texts[0][:-1] + ["x"])), (3, " ".join(texts[1][:-1] + ["y"])), (4, "none of these")]
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.components_of(documents(rows), width=3, num=8, den=10).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 @pytest.mark.parametrize("hot", [2, 6])
 def test_large_groups_of_near_copies_against_brute_force(documents, hot):
     rng = random.Random(12)
