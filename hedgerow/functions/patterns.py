@@ -78,24 +78,41 @@ def _sequence(nodes, state) -> list[tuple[str, int, int]]:
     return out
 
 
-def neighbour_pieces(pattern: str, size: int, apart: int) -> tuple[tuple[str, str], ...]:
-    """Pairs of lower-case ASCII texts of `size` characters that every match holds one after the other, with at most
-    `apart` characters between them."""
+def piece_chains(pattern: str, size: int, apart: int) -> tuple[tuple[str, ...], ...]:
+    """Chains of lower-case ASCII texts of `size` characters that every match holds one after the other.
+
+    The next text of a chain begins within the one before, or at most `apart` characters after its end.
+    """
     tree = _regex_tree.parse(pattern)
-    runs, gaps = [""], []  # a gap stands between each two runs
+    runs, gaps = [""], [apart + 1]  # the gap before each run
     for character, low, high in _sequence(tree, tree.state):
         if character:
             runs[-1] += character
         elif high and runs[-1]:
             runs.append("")
             gaps.append(high)
-        elif high and gaps:
+        elif high:
             gaps[-1] += high
-    pairs = {(r[i: i + size], r[i + size: i + 2 * size]) for r in runs for i in range(len(r) - 2 * size + 1)}
-    pairs |= {
-        (a[-size:], b[:size]) for a, b, gap in zip(runs, runs[1:], gaps) if gap <= apart and min(len(a), len(b)) >= size
-    }
-    return tuple(sorted(pairs))
+    chains: list[tuple[str, ...]] = []
+    gap = 0
+    for run, before in zip(runs, gaps):
+        gap += before
+        if len(run) < size:
+            gap += len(run)
+            continue
+        chain = pieces_of(run, size)
+        if gap <= apart:
+            chains[-1] += chain
+        else:
+            chains.append(chain)
+        gap = 0
+    return tuple(chains)
+
+
+def pieces_of(run: str, size: int) -> tuple[str, ...]:
+    """Texts of `size` characters from a run's begin to its end; only the last may lie apart from or over the one before."""
+    places = {*range(0, max(len(run) - 2 * size + 1, 1), size), len(run) - size}
+    return tuple(run[i: i + size] for i in sorted(places))
 
 
 def _trie_regex(words) -> str:

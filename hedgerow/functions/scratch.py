@@ -33,9 +33,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write the rows once and read them back, so later steps do not repeat the work before and a
     lost executor costs no more than its own tasks."""
     target = fresh_path(df.sparkSession, name)
-    df.write.parquet(target)
+    df.write.parquet(target, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(target)

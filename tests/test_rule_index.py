@@ -7,6 +7,7 @@ import pytest
 from hedgerow.checks import planted
 from hedgerow.operators import matchers, rule_index
 from hedgerow.operators.rules import Rule, stock_rules
+from plans import plan_nodes
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +61,45 @@ def test_common_words_in_rules(spark):
     assert index.groupBy(index.columns[0]).count().agg({"count": "max"}).first()[0] == 1
 
 
+def test_tiles_hold_every_finding_once(spark, monkeypatch):
+    """Equal texts and equal rules, more of both than a tile has; repeated files and rules of many patterns count once."""
+    monkeypatch.setattr(rule_index, "SIDE", 4)
+    rows = spark.createDataFrame(
+        [(f"a{i}.py", f"one two three {i % 3}\nlast words here") for i in range(23)] + [("a0.py", "one two three 0"), (None, "one two three")], "path string, content string"
+    )
+    rules = [Rule("C", f"same{k}", (".py", ""), (r"one\W+two\W+three", "two three")) for k in range(11)]
+    rules += [Rule("C", "other", (".py",), ("last words",)), Rule("C", "elsewhere", (".js",), ("last words",))]
+    mine = sorted((r.file, r.line, r.name) for r in rule_index.match_files_by_table(rows, rule_index.rule_rows(spark, rules)).collect())
+    want = [(f"a{i}.py", 1, f"same{k}") for i in range(23) for k in range(11)] + [(f"a{i}.py", 2, "other") for i in range(23)]
+    assert mine == sorted(want)
+
+
+def test_findings_move_no_more_once_made(spark):
+    """Equal texts times equal rules are made by the last join: above it there is no join, no grouping and no shuffle."""
+    rows = spark.createDataFrame([(f"a{i}.py", "one two three") for i in range(20)], "path string, content string")
+    rules = [Rule("C", f"same{k}", ("",), (r"one\W+two\W+three",)) for k in range(20)]
+    found = rule_index.match_files_by_table(rows, rule_index.rule_rows(spark, rules))
+    assert found.count() == 400
+    nodes = plan_nodes(found)
+    last = next(i for i, n in enumerate(nodes) if n.endswith("Join"))
+    assert not any("Exchange" in n or "Aggregate" in n for n in nodes[:last])
+    below = re.findall(r"(?m)^[\s:+\-]*(Join|Aggregate|Deduplicate)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert below.count("Aggregate") + below.count("Deduplicate") == 0  # the rows that it joins are lines and rules
+
+
+def test_only_lines_with_a_whole_chain_are_tried(spark):
+    """Lines that hold all neighbouring pieces of a pattern, but not one after the other, are not tried."""
+    index = rule_index.rule_index(rule_index.compiled(rule_index.rule_rows(spark, [Rule("C", "n", ("",), (r"the[^a-z]{1,3}and[^a-z]{1,3}was[^a-z]{1,3}his",))])))
+    lines = spark.createDataFrame([(1, "the and x and was x was his"), (2, "so the and, was his"), (3, "theand was")], "line_id bigint, folded string")
+    assert [r.line_id for r in rule_index.keyed_lines(lines, index).collect()] == [2]
+
+
+def test_repeated_characters_are_one_chain(spark):
+    rows = spark.createDataFrame([("a.py", "-" * 3000 + "\n" + "-" * 7)], "path string, content string")
+    mine = same(spark, rows, [Rule("C", n, ("",), (p,)) for n, p in (("long", "-" * 40), ("short", "-{3,}---"), ("begin", "-----begin"))])
+    assert sorted((r[3], r[5]) for r in mine) == [("long", 1), ("short", 1), ("short", 2)]
+
+
 def test_five_thousand_rules_have_the_plan_of_one(spark, files):
     def plan(n):
         rules = spark.range(n).selectExpr(
